@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_corpus
 from .jaccard import jaccard_components
 from .suffix import remove_repeats
+from .toxicity import score_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
