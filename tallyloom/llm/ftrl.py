@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, column, sliced
-from .kernels import LOWER, U64, Words, combine, encode
+from .kernels import LOWER, U64, Words, combine, encode, mix, range_hash
 
 DIMS = 1 << 20
 #: Rows of the labelled table that a model is fitted on at most: those of the least hash of their id.
@@ -21,8 +21,11 @@ EPOCHS = 2
 BREAKS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text numbers and feature numbers in order of place (unigrams, bigrams, pairs with one word between), and words of each text."""
+def features(texts: list[bytes], gaps: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers and feature numbers in order of place (unigrams, bigrams, pairs with one word between), and words of each text.
+
+    gaps: what stands between two words, such as stops and junk, is a feature too.
+    """
     words = Words([t.translate(LOWER) for t in texts], BREAKS)
     h = words.hashes
     owner = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
@@ -32,6 +35,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             pair = combine(np.stack([h[:-gap], h[gap:] ^ U64(salt)], 1).ravel(), 2)[::2]
             same = owner[:-gap] == owner[gap:]
             parts.append(pair[same]), owners.append(owner[:-gap][same])
+    if gaps and len(h) > 1:
+        same = owner[:-1] == owner[1:]
+        parts.append(mix(range_hash(words.sums, words.ends[:-1], words.starts[1:]))[same]), owners.append(owner[:-1][same])
     f = (np.concatenate(parts) >> U64(44)).astype(np.int64) % DIMS
     return np.concatenate(owners), f, np.diff(words.bounds)
 
@@ -57,7 +63,7 @@ class Ftrl:
         self.n[f] += g * g
 
 
-def fit(docs: DataFrame, labelled: DataFrame, classes: int, max_rows: int = MAX_ROWS, epochs: int = EPOCHS):
+def fit(docs: DataFrame, labelled: DataFrame, classes: int, gaps: bool = False, max_rows: int = MAX_ROWS, epochs: int = EPOCHS):
     """docs: doc_id, text. labelled: doc_id, y (array of `classes` doubles), one row an id. Returns a broadcast (biases, coordinates, weights).
 
     The rows stream through one task in the order of a hash, `epochs` times over; their number is bounded by max_rows.
@@ -70,7 +76,7 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, max_rows: int = MAX_
     def extract(batches):
         for batch in sliced(batches):
             texts = [encode(t) for t in column(batch, "text").to_pylist()]
-            who, f, _ = features(texts)
+            who, f, _ = features(texts, gaps)
             order = np.argsort(who, kind="stable")
             cuts = np.searchsorted(who[order], np.arange(len(texts) + 1))
             f = f[order]
@@ -103,9 +109,9 @@ def dense(model) -> tuple[np.ndarray, np.ndarray]:
     return bias, out
 
 
-def scores(texts: list[bytes], bias: np.ndarray, w: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scores(texts: list[bytes], bias: np.ndarray, w: np.ndarray, used: np.ndarray, gaps: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities (texts x classes), and words of each text; a feature counts once a text. used: coordinates that have weights."""
-    who, f, words = features(texts)
+    who, f, words = features(texts, gaps)
     sel = used[f]
     pairs = np.unique(who[sel] * DIMS + f[sel])
     total = np.zeros((len(texts), len(bias)))

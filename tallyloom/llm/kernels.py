@@ -67,7 +67,8 @@ class Words:
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.starts, self.ends = runs(~stops[data])
-        self.hashes = range_hash(prefix_sums(data), self.starts, self.ends)
+        self.sums = prefix_sums(data)
+        self.hashes = range_hash(self.sums, self.starts, self.ends)
         self.bounds = np.searchsorted(self.starts, at)
 
 

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, licenses
 from .bpe import encode_corpus
 from .jaccard import jaccard_components
+from .mixing import mix
+from .search import exact_top_k
+from .sketch import compare_versions
 from .suffix import remove_repeats
+from .tokenfile import token_roundtrip
 from .toxicity import score_toxicity
 
 QUERIES: dict = {}
@@ -42,3 +48,64 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: Shares of the mixture's tokens by domain; what is good keeps its own tokens.
+MIXTURE = {"good": 0.95, "poor": 0.05}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixture's domains."""
+    return labels.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
+
+
+@query
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), MIXTURE, "good")
+    return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(MIXTURE))), "rate", "copies")
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = [(-1, 0, "user", chat.PLANTED), (-1, 1, "assistant", chat.PLANTED)]
+    return chat.chat_digests(turns.union(spark.sql("VALUES " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in planted))))
+
+
+ORACLES["op7_chat_formatting"] = chat.ORACLE
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_license_scan"] = licenses.oracle()
+
+ORACLES["op5_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
