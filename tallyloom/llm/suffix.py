@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ SIZE = 400
 #: Bytes of an anchor: long enough to be rare by chance, short enough to leave few anchors (one in (SIZE - GRAM) / 2 bytes).
 GRAM = 64
 #: Bytes of a text that are looked at together.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Occurrences of an anchor to a task; more are dealt out over several, each with its share of the hashes.
 HOT = 50_000
 #: Suffixes of a batch.
@@ -264,36 +265,31 @@ def _scan(size: int):
     return run
 
 
-def _cut_texts(size: int, keep_text: bool):
-    def run(batches):
-        for batch in sliced(batches):
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for t, whole, lo, hi in zip(_texts(batch), *(column(batch, c).to_pylist() for c in ("whole", "lo", "hi"))):
-                if whole:
-                    s, e = np.array([0]), np.array([len(t)])
-                else:
-                    s, e = merged(np.array(lo or [], np.int64), np.array(hi or [], np.int64))
-                view = memoryview(t)
-                kept = b"".join([view[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(t)])])
-                for k, v in (("n_bytes", len(t)), ("n_removed", len(t) - len(kept)), ("n_spans", len(s)), ("kept_sha256", sha256(kept).hexdigest()), ("kept", kept if keep_text else None)):
-                    out[k].append(v)
-            yield {"doc_id": column(batch, "doc_id"), **out}
+def _cut(text: bytes, whole: bool | None, lo: list | None, hi: list | None) -> tuple[bytes, int]:
+    """What is left of a text, and how many maximal runs went."""
+    if whole:
+        return b"", 1
+    s, e = merged(np.array(lo or [], np.int64), np.array(hi or [], np.int64))
+    view = memoryview(text)
+    return b"".join([view[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)])]), len(s)
 
-    return run
 
+def _digests(batches):
+    for batch in sliced(batches):
+        texts = _texts(batch)
+        kept = [_cut(t, *x) for t, *x in zip(texts, *(column(batch, c).to_pylist() for c in ("whole", "lo", "hi")))]
+        yield {
+            "doc_id": column(batch, "doc_id"), "n_bytes": [len(t) for t in texts], "n_removed": [len(t) - len(k) for t, (k, _) in zip(texts, kept)],
+            "n_spans": [n for _, n in kept], "kept_sha256": [sha256(k).hexdigest() for k, _ in kept],
+        }
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """docs: doc_id long, text string, any other columns.  Returns a row for each row: doc_id, n_bytes, n_removed, n_spans (long),
-    kept_sha256 (string) and, if keep_text, kept (binary: what is left; it may start or end within a character).
 
-    Each byte goes that is covered by a string of `size` bytes that also starts at another place of any row's text, the same one
-    included; strings are judged on the input.  Null texts count as empty; texts under `size` bytes stay whole; rows that repeat
-    (also of one doc_id) are texts of their own and so repeat each other; null doc_ids are kept.
-    """
+def _decide(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """docs with whole, lo, hi: whether all of a text goes, else the intervals that go; all columns stay."""
     n = width(docs.sparkSession)
-    docs = keep_columns(docs, "doc_id", "text")
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    seen = arrow_map(keyed.select("id", "th", "text"), _anchors(size, gram), "id long, th string, n_bytes long, fps array<long>")
+    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_th", F.md5(F.coalesce("text", F.lit(""))))
+    texts = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), "text")
+    seen = arrow_map(texts, _anchors(size, gram), "id long, th string, n_bytes long, fps array<long>")
     # one entity for all rows of one text
     entities = cut(seen.groupBy("th").agg(F.count("*").alias("times"), F.min("id").alias("id"), F.any_value("n_bytes").alias("n_bytes"), F.any_value("fps").alias("fps")))
     entities = entities.withColumn("eid", F.monotonically_increasing_id())
@@ -301,7 +297,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_tex
     twice = anchors.groupBy("fp").count().where("count > 1")
     wanted = anchors.distinct().join(twice, "fp").groupBy("eid").agg(F.collect_list("fp").alias("fps"), F.collect_list("count").alias("counts"))
     sources = wanted.join(entities.select("eid", "id", "th", (F.col("times") > 1).alias("copied")), "eid").select("id", "th", "eid", "copied", "fps", "counts")
-    dealt = keyed.select("id", "th", "text").join(sources, ["id", "th"]).dropDuplicates(["id", "th"])
+    dealt = texts.join(sources, ["id", "th"]).dropDuplicates(["id", "th"])
     spans = cut(arrow_map(dealt, _spans(size, gram), "kind int, eid long, lo long, hi long, fp long, salts int, known boolean, span binary"))
     strings = spans.where("kind = 0").select("fp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "eid", "lo", "known", "span")
     found = arrow_map(strings.repartition(n, "fp", "salt").sortWithinPartitions("fp", "salt"), _scan(size), "eid long, lo long, hi long")
@@ -311,7 +307,32 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_tex
     decided = decided.where("whole or lo is not null")
     decided = decided.withColumns({c: F.when(~F.col("whole"), F.col(c)) for c in ("lo", "hi")})
     # by document and not by text, so that a text of very many documents is no hot key of the large join
-    decided = keyed.select("id", "th").distinct().join(decided, "th").select("id", "th", "whole", "lo", "hi")
-    final = keyed.join(decided, ["id", "th"], "left").select("doc_id", "text", "whole", "lo", "hi")
-    out = arrow_map(final, _cut_texts(size, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if keep_text else out.drop("kept")
+    decided = texts.select("id", "th").distinct().join(decided, "th").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "whole", "lo", "hi")
+    return keyed.join(decided, ["_id", "_th"], "left").drop("_id", "_th")
+
+
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """docs: doc_id long, text string, any other columns.  Returns a row for each row: doc_id, n_bytes, n_removed, n_spans (long),
+    kept_sha256 (string: of what is left).
+
+    Each byte goes that is covered by a string of `size` bytes that also starts at another place of any row's text, the same one
+    included; strings are judged on the input.  Null texts count as empty; texts under `size` bytes stay whole; rows that repeat
+    (also of one doc_id) are texts of their own and so repeat each other; null doc_ids are kept.
+    """
+    decided = _decide(keep_columns(docs, "doc_id", "text"), size, gram)
+    return arrow_map(decided, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """docs (doc_id, text, n_chars and others) with what remove_repeats() leaves of the texts, characters that a cut has halved left out,
+    and n_chars of that; all columns and rows stay, and null texts stay null."""
+    names, schema = docs.columns, docs.schema
+
+    def run(batches):
+        for batch in sliced(batches):
+            raw = column(batch, "text").to_pylist()
+            kept = [None if r is None else _cut(encode(r), *x)[0].decode("utf-8", "ignore") for r, *x in zip(raw, *(column(batch, c).to_pylist() for c in ("whole", "lo", "hi")))]
+            new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([len(k or "") for k in kept], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new.get(c, column(batch, c)) for c in names], names)
+
+    return _decide(docs, size, gram).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     scored = arrow_map(keep_columns(docs, "doc_id", "text"), run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, whose score stays under the threshold."""
+    model = toxicity_model(docs, labels)
+
+    def run(batches):
+        bias, w = dense(model.value)
+        used = w.any(1)
+        for batch in sliced(batches):
+            p, _ = scores([encode(t) for t in column(batch, "text").to_pylist()], bias, w, used)
+            yield batch.filter(pa.array(p[:, 0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
