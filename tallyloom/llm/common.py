@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at a time, which bounds a Python worker's memory.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Bytes of a batch that goes to a Python worker (a session setting, as long texts would make batches of many rows large).
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that later jobs neither compute it anew nor lose it with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder, so that later jobs neither compute it anew nor lose it with an executor.
+
+    The steps before it are done with then: the JVM's collector is asked to run, which is when Spark drops their shuffle files.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def width(spark: SparkSession) -> int:
@@ -36,12 +47,13 @@ def width(spark: SparkSession) -> int:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
-    """mapInArrow for functions that yield a dict of columns (arrays or lists) at a time."""
+    """mapInArrow for functions that yield a dict of columns (arrays or lists) at a time. Batches go to Python by BATCH_BYTES."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark_schema = _parse_datatype_string(schema)
     arrow = to_arrow_schema(spark_schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches):
         for out in fn(batches):

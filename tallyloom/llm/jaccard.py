@@ -30,11 +30,13 @@ from .kernels import U64, encode, shingle_sets
 #: Shingles whose counts are kept to order by: the most frequent ones; the others count as rare. 16 bytes each are broadcast.
 FREQUENT = 200_000
 #: Groups of up to this many entities are paired in full.
-SMALL = 4
+SMALL = 32
 #: Entities in a block of step 4.
 BLOCK = 1024
-#: Ids up to this many are broadcast to find their texts (8 bytes each); beyond it, the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Entities up to this many are broadcast to find their texts (some 60 bytes each); beyond it, the join shuffles.
+BROADCAST_IDS = 500_000
+#: Members of a pivot that are verified in one task.
+PORTION = 500
 PARTS = 16
 
 
@@ -45,28 +47,45 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of the most frequent shingles, counted over all documents.
 
-    A task reports what at least two of its documents share within a chunk; this orders prefixes only, no result depends on it.
+    A task reports what at least two of some thousand of its documents share; this orders prefixes only, no result depends on it.
     """
 
     def count(batches):
-        keys, counts = np.empty(0, U64), np.empty(0, np.int64)
-        for batch in sliced(batches):
-            k, c = np.unique(np.concatenate([np.empty(0, U64), *shingle_sets(_texts(batch), words)]), return_counts=True)
+        keys, counts, waiting = np.empty(0, U64), np.empty(0, np.int64), []
+
+        def settle():
+            nonlocal keys, counts, waiting
+            k, c = np.unique(np.concatenate([np.empty(0, U64), *waiting]), return_counts=True)
+            waiting = []
             known = np.searchsorted(keys, k)
             known[known == len(keys)] = 0
             seen = (keys[known] == k) if len(keys) else np.zeros(len(k), bool)
             counts[known[seen]] += c[seen]
             new = ~seen & (c > 1)
             keys, counts = np.concatenate([keys, k[new]]), np.concatenate([counts, c[new]])
+            if len(keys) > 2 * FREQUENT:
+                most = np.argpartition(-counts, FREQUENT)[:FREQUENT]
+                keys, counts = keys[most], counts[most]
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order]
-            if len(keys) > 4 * FREQUENT:
-                most = np.sort(np.argpartition(-counts, FREQUENT)[:FREQUENT])
-                keys, counts = keys[most], counts[most]
+
+        for batch in sliced(batches):
+            waiting += shingle_sets(_texts(batch), words)
+            if sum(map(len, waiting)) > 1_000_000:
+                settle()
+        settle()
         yield {"h": keys.view(np.int64), "c": counts}
 
-    top = arrow_map(docs.select("text"), count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    h, c = top.h.to_numpy(np.int64).view(U64), top.c.to_numpy(np.int64)
+    counted = cut(arrow_map(docs.select("text"), count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    # the least count at which the table keeps its bound
+    sizes = sorted(((r.c, r["count"]) for r in counted.groupBy("c").count().collect()), reverse=True)  # a row for each different count
+    total, floor = 0, 1 << 62
+    for c, k in sizes:
+        if total + k > FREQUENT:
+            break
+        total, floor = total + k, c
+    top = counted.where(F.col("c") >= floor).toArrow()
+    h, c = top["h"].to_numpy().view(U64), top["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
@@ -98,14 +117,18 @@ def _sets(words: int, num: int, den: int, frequent):
 
 
 def _pair_up(num: int, den: int):
-    """Rows sorted by token, light, n, eid. Yields pairs (kind 0: a, b) and the rows of groups larger than SMALL (kind 1: token, eid)."""
+    """Rows sorted by token, light, n, eid. Yields pairs (kind 0: a, b, their sizes, shingles met on in groups paired in full, whether the
+    first-shingle filters let them pass anywhere) and the rows of groups larger than SMALL (kind 1: token, eid)."""
     names = ("token", "light", "n", "eid", "pos")
 
     def fits(n1, p1, n2, p2):
-        """The length filter, then the positional filter: what can still be shared from these places on."""
+        """The length filter, then the positional filter: what can still be shared from these places on.
+
+        It is that of a pair's first shared shingle, where nothing before can be shared; every pair that links passes it there.
+        """
         low, high = np.minimum(n1, n2), np.maximum(n1, n2)
         need = -(-num * (n1 + n2) // (num + den))
-        return (den * low >= num * high) & (np.minimum(p1, p2) + 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need)
+        return (den * low >= num * high) & (np.minimum(n1 - p1, n2 - p2) >= need)
 
     def run(batches):
         carry = None  # the last group so far: its first SMALL rows, the pivots in force and its size
@@ -131,17 +154,16 @@ def _pair_up(num: int, den: int):
             sizes = np.bincount(group)
             if old_n:
                 sizes[0] += size0 - old_n
-            out_a, out_b = [], []
+            met = []  # rows of pairs, and whether the group is one that is paired in full
             # stars: a row that does not fit its pivot becomes, as the first such, the next pivot of its group
             pivot = heads[group].copy()
             if old_n and carry["pivot"] >= 0:
                 pivot[head & fresh] = carry["pivot"]
-            todo = np.flatnonzero(fresh & (pivot != np.arange(count)))
+            todo = np.flatnonzero(fresh & (pivot != np.arange(count)) & (rank >= SMALL))
             while len(todo):
                 p = pivot[todo]
                 ok = fits(rows["n"][p], rows["pos"][p], rows["n"][todo], rows["pos"][todo])
-                out_a.append(rows["eid"][p[ok]])
-                out_b.append(rows["eid"][todo[ok]])
+                met.append((p[ok], todo[ok], 0))
                 left = todo[~ok]
                 if not len(left):
                     break
@@ -149,25 +171,32 @@ def _pair_up(num: int, den: int):
                 lead = np.concatenate(([True], g[1:] != g[:-1]))
                 pivot[left] = left[lead][np.cumsum(lead) - 1]
                 todo = left[~lead]
-            # the first SMALL of a group in full
+            # the first SMALL of a group in full; those that do not fit at this shingle may have met at an earlier one, and count there
+            some = np.flatnonzero(fresh & (rank >= 1) & (rank < SMALL))
             for back in range(1, SMALL):
-                i = np.flatnonzero(fresh & (rank >= back) & (rank < SMALL))
+                i = some = some[rank[some] >= back]
                 j = i - back
-                ok = fits(rows["n"][i], rows["pos"][i], rows["n"][j], rows["pos"][j])
-                out_a.append(rows["eid"][j[ok]])
-                out_b.append(rows["eid"][i[ok]])
+                low, high = np.minimum(rows["n"][i], rows["n"][j]), np.maximum(rows["n"][i], rows["n"][j])
+                ok = den * low >= num * high
+                met.append((j[ok], i[ok], 1))
             big = sizes[group] > SMALL
             opened = big & (fresh | ((group == 0) & (size0 <= SMALL) & (rank < SMALL)))
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            keep = a != b
-            a, b = a[keep], b[keep]
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                a, b = pairs[:, 0], pairs[:, 1]
-            kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(int(opened.sum()), np.int32)])
-            if len(kind):
-                yield {"kind": kind, "a": np.concatenate([a, token[opened]]), "b": np.concatenate([b, rows["eid"][opened]])}
+            x, y, full = (np.concatenate([np.empty(0, np.int64), *(np.broadcast_to(m[k], m[0].shape) for m in met)]).astype(np.int64) for k in range(3))
+            first_fit = fits(rows["n"][x], rows["pos"][x], rows["n"][y], rows["pos"][y])
+            swap = rows["eid"][x] > rows["eid"][y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            keep = rows["eid"][x] != rows["eid"][y]
+            x, y, full, first_fit = x[keep], y[keep], full[keep], first_fit[keep]
+            if len(x):
+                order = np.lexsort((rows["eid"][y], rows["eid"][x]))
+                x, y, full, first_fit = x[order], y[order], full[order], first_fit[order]
+                a, b = rows["eid"][x], rows["eid"][y]
+                at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                shared, fit = np.add.reduceat(full, at), np.logical_or.reduceat(first_fit, at)
+                yield {"kind": np.zeros(len(at), np.int32), "a": a[at], "b": b[at], "na": rows["n"][x[at]], "nb": rows["n"][y[at]], "shared": shared, "fit": fit}
+            if m := int(opened.sum()):
+                zero = np.zeros(m, np.int32)
+                yield {"kind": zero + 1, "a": token[opened], "b": rows["eid"][opened], "na": zero, "nb": zero, "shared": zero, "fit": zero > 0}
             # what the next batch needs of the last group: its first rows and its pivot in force
             tail = np.flatnonzero(group == group[-1])
             keep_rows = tail[: SMALL]
@@ -267,8 +296,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     doc_id keep a null component and link nothing.  An empty table gives an empty result.  Equality of shingles is that of their
     64-bit hashes.
     """
+    return _labelled(keep_columns(docs, "doc_id", "text").withColumn("h", F.lit(0).cast("long")), words, num, den).drop("h")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with all columns, without near duplicates: of each component the document with the least doc_id stays, once.
+    Wordless texts and rows without doc_id are in no component and stay."""
+    docs = docs.withColumn("_h", F.xxhash64("text"))
+    found = _labelled(docs.select("doc_id", "text", F.col("_h").alias("h")), words, num, den)
+    chosen = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("_h"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = docs.where(~alone).join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
+    return one.union(docs.where(alone)).drop("_h")
+
+
+def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """docs: doc_id, text, h (handed through). Returns doc_id, n_shingles, component_id, h."""
     spark, n = docs.sparkSession, width(docs.sparkSession)
-    docs = keep_columns(docs, "doc_id", "text")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
     sets = arrow_map(docs, _sets(words, num, den, frequent), "doc_id long, n int, light int, key binary, prefix array<long>")
     whole = sets.where("key is not null and doc_id is not null")
@@ -276,28 +320,41 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     entities = entities.withColumn("eid", F.monotonically_increasing_id())
     rows = entities.select("eid", "n", "light", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.repartition(n, "token").sortWithinPartitions("token", "light", "n", "eid")
-    met = cut(arrow_map(rows, _pair_up(num, den), "kind int, a long, b long"))
-    pairs = met.where("kind = 0").select("a", "b").distinct()
+    met = cut(arrow_map(rows, _pair_up(num, den), "kind int, a long, b long, na int, nb int, shared int, fit boolean"))
     opened = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("eid"))
-
-    # the whole sets of the entities that meet others
-    taking_part = cut(pairs.select(F.explode(F.array("a", "b")).alias("eid")).union(opened.select("eid")).distinct().join(entities.select("eid", "doc_id", "key"), "eid"))
-    wanted = taking_part.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-
-    def hashes(batches):
-        for batch in sliced(batches):
-            s = shingle_sets(_texts(batch), words)
-            yield {"key": [blake2b(x.tobytes(), digest_size=16).digest() for x in s], "hashes": [x.tobytes() for x in s]}
-
-    found = arrow_map(docs.join(wanted, "doc_id", "left_semi"), hashes, "key binary, hashes binary")
-    full = cut(found.join(taking_part.select("eid", "key"), "key").select("eid", "hashes").dropDuplicates(["eid"]))
-
-    # each pair once; the pivot side is dealt in salted portions, as one pivot may have very many members
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
+    # the positional filter at the end of the prefixes: what they share, counted, and all that stands behind the shorter of them
+    hidden = opened.groupBy("eid").count()
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("fit").alias("fit")).where("fit")
+    for side in ("a", "b"):
+        pairs = pairs.join(hidden.select(F.col("eid").alias(side), F.col("count").alias(f"open_{side}")), side, "left")
+    behind = lambda n: F.ceil(F.col(n) * num / den) - 1  # noqa: E731  n less the length of its prefix
+    possible = F.col("shared") + F.least(F.coalesce("open_a", F.lit(0)), F.coalesce("open_b", F.lit(0))) + F.greatest(behind("na"), behind("nb"))
+    pairs = cut(pairs.where(possible >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den))).select("a", "b"))
+
+    def whole_sets(eids: DataFrame) -> DataFrame:
+        """eid, hashes: the whole sets of some entities, each once and dealt by entity."""
+        wanted = cut(eids.join(entities.select("eid", "doc_id", "key"), "eid"))
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+
+        def hashes(batches):
+            for batch in sliced(batches):
+                keys, eids = column(batch, "key").to_pylist(), column(batch, "eid").to_pylist()
+                s = shingle_sets(_texts(batch), words)
+                mine = [i for i, x in enumerate(s) if blake2b(x.tobytes(), digest_size=16).digest() == keys[i]]
+                yield {"eid": [eids[i] for i in mine], "hashes": [s[i].tobytes() for i in mine]}
+
+        found = arrow_map(docs.join(wanted, "doc_id"), hashes, "eid long, hashes binary")
+        return found.repartition(n, "eid").groupBy("eid").agg(F.any_value("hashes").alias("hashes"))
+
+    full = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("eid")).distinct())
+
+    # each pair once; a pivot's members are dealt in portions, as there may be very many
+    portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).alias("portions"))
+    salted = pairs.join(portions, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("portions")))
     sides = salted.join(full.withColumnRenamed("eid", "b"), "b").select("a", "salt", "b", "hashes")
-    pivots = salted.select("a", "salt").distinct().join(full.withColumnRenamed("eid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
+    pivots = portions.join(full.withColumnRenamed("eid", "a"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)))
+    pivots = pivots.select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
     sides = sides.union(pivots).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     links = cut(arrow_map(sides, _verify(num, den), "u long, v long"))
     labels = components(links)
@@ -317,21 +374,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         members = placed.select("family", F.explode(every).alias("sb"), F.col("block").alias("mb"), F.lit(False).alias("stray"), "eid", "comp")
         strays = placed.where("comp <> main").select("family", F.col("block").alias("sb"), F.explode(every).alias("mb"), F.lit(True).alias("stray"), "eid", "comp")
-        work = members.union(strays).join(full, "eid").repartition(n, "family", "sb", "mb").sortWithinPartitions("family", "sb", "mb")
+        work = members.union(strays).join(whole_sets(placed.select("eid").distinct()), "eid").repartition(n, "family", "sb", "mb").sortWithinPartitions("family", "sb", "mb")
         edges = links.union(arrow_map(work, _block_links(num, den), "u long, v long"))
         labels = components(edges)
 
     # the least document of a component, for every set's key
     named = entities.select("eid", "key", "doc_id").join(labels.withColumnRenamed("id", "eid"), "eid", "left").withColumn("root", F.coalesce("root", "eid"))
     named = named.withColumn("component_id", F.min("doc_id").over(Window.partitionBy("root"))).select("key", "component_id")
-    plain = arrow_map(docs, _keys(words), "doc_id long, n_shingles long, key binary")
-    return plain.join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    plain = arrow_map(docs, _keys(words), "doc_id long, n_shingles long, key binary, h long")
+    return plain.join(named, "key", "left").select("doc_id", "n_shingles", "h", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _keys(words: int):
     def run(batches):
         for batch in sliced(batches):
             s = shingle_sets(_texts(batch), words)
-            yield {"doc_id": column(batch, "doc_id"), "n_shingles": [len(x) for x in s], "key": [blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in s]}
+            yield {"doc_id": column(batch, "doc_id"), "h": column(batch, "h"), "n_shingles": [len(x) for x in s], "key": [blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in s]}
 
     return run
