@@ -61,7 +61,7 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 
 
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -95,7 +95,12 @@ def _split(pattern: str, buckets: int):
 
         def block():
             nonlocal serial, places, docs, amount
-            raw = [w.encode("utf-8", "replace") for w in places]
+            # frequent words get small numbers, which pack well
+            number = np.argsort(-np.bincount(np.concatenate([x for _, x, _ in docs]), minlength=len(places)), kind="stable")
+            rank = np.empty(len(places), np.uint32)
+            rank[number] = np.arange(len(places))
+            words = list(places)
+            raw = [words[i].encode("utf-8", "replace") for i in number.tolist()]
             bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in raw), np.uint32, len(raw))
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -107,7 +112,7 @@ def _split(pattern: str, buckets: int):
                 "kind": [0] * k + [1] + [2] * d,
                 "bucket": [*full, *[None] * (1 + d)],
                 "doc_ids": [*[None] * (k + 1), *(x[0] for x in docs)],
-                "payload": [*packed, _pack(_planes(bucket)), *(x[1] for x in docs)],
+                "payload": [*packed, _pack(_planes(bucket)), *(_pack(_planes(counts) + _planes(rank[at])) for _, at, counts in docs)],
             }
             serial, places, docs, amount = serial + 1, {}, [], 0
 
@@ -117,7 +122,7 @@ def _split(pattern: str, buckets: int):
                 words = matches(text or "")
                 found.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words)))
             counts = np.array([len(x) for x in found], np.uint32)
-            docs.append((column(batch, "doc_id").to_pylist(), _pack(_planes(counts) + _planes(np.concatenate(found)))))
+            docs.append((column(batch, "doc_id").to_pylist(), np.concatenate(found), counts))
             amount += sum(len(t or "") for t in texts)
             if amount > BLOCK:
                 yield from block()
