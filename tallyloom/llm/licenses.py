@@ -60,6 +60,12 @@ def places(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(rows, here), lambda i: i.isNotNull())
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of these words, whole and in either case."""
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    return rf"(?i)(?<!{word})(?:{'|'.join(sorted(words))})(?!{word})"
+
+
 def _templates(spark: SparkSession, counts: dict[str, int], templates: dict[str, str], threshold: float) -> DataFrame:
     """token, label, t (the template's words in the order), size, need, at: a row for each word of a prefix."""
     rows = []
@@ -83,16 +89,16 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     vocabulary = sorted({w for t in templates for w in t.split()})
 
     # the places of the templates' words in all texts
-    every = docs.select(F.explode(F.split(F.lower(spaced("text")), " ")).alias("token"))
-    known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "token string"))
-    counts = {r.token: r["count"] for r in every.join(known, "token").groupBy("token").count().collect()}
+    every = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_any_of(vocabulary)), F.lit(0))).alias("token"))
+    counts = {r.token: r["count"] for r in every.groupBy(F.lower("token").alias("token")).count().collect()}
     prefixes = _templates(spark, counts, templates, threshold)
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     least = min(ceil(threshold * len(set(t.split())) - 1e-9) for t in templates)
 
-    blocks = keyed.select("id", "h", F.explode(F.split("text", BLOCKS)).alias("block")).where(F.length("block") >= 2 * least - 1)
-    words = blocks.select("id", "h", "block", F.array_distinct(F.split(F.lower(spaced(F.col("block"))), " ")).alias("words")).where(F.size("words") >= least)
-    # (lower() also maps some letters beyond ASCII; the verification below reads the block anew)
+    # a text without any word of a prefix has no block to look at
+    rare = sorted({r.token for r in prefixes.select("token").distinct().collect()})  # a constant's words
+    blocks = keyed.where(F.col("text").rlike(_any_of(rare))).select("id", "h", F.explode(F.split("text", BLOCKS)).alias("block")).where(F.length("block") >= 2 * least - 1)
+    words = blocks.select("id", "h", "block", F.array_distinct(F.split(lowered(spaced(F.col("block"))), " ")).alias("words")).where(F.size("words") >= least)
     met = words.select("id", "h", "block", "words", F.explode("words").alias("token")).join(F.broadcast(prefixes), "token").where(F.size("words") >= F.col("need"))
     exact = F.split(lowered(spaced(F.col("block"))), " ")
     mine = F.array_intersect(F.array(*map(F.lit, order)), exact)  # the block's words of the vocabulary, in the order
