@@ -302,12 +302,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all columns, without near duplicates: of each component the document with the least doc_id stays, once.
     Wordless texts and rows without doc_id are in no component and stay."""
+    names = docs.columns
     docs = docs.withColumn("_h", F.xxhash64("text"))
     found = _labelled(docs.select("doc_id", "text", F.col("_h").alias("h")), words, num, den)
     chosen = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("_h"))
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     one = docs.where(~alone).join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
-    return one.union(docs.where(alone)).drop("_h")
+    return one.unionByName(docs.where(alone)).select(*(F.col(f"`{c}`") for c in names))
 
 
 def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:

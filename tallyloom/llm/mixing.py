@@ -18,18 +18,19 @@ from .common import arrow_map, column, cut, keep_columns, sliced
 from .ftrl import dense, fit, scores
 from .kernels import encode
 
-PASSES = 25
+PASSES = 200
 TOLERANCE = 1e-4
 #: Rates are rounded to a multiple of this before copies are drawn.
 GRID = 0.05
 
 
-def rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """The rates of documents with posteriors p after the steps so far, from 1."""
-    r = np.ones(len(p))
-    for y in steps:
-        r = np.maximum(0.0, r - p @ y)
-    return r
+def rates(p: np.ndarray, steps: np.ndarray, ahead: float = 0.0) -> np.ndarray:
+    """The rates of documents with posteriors p after the steps so far, from 1. A step is a vector y and a momentum; ahead extends the
+    last move by such a momentum, without a step."""
+    r = before = np.ones(len(p))
+    for *y, momentum in steps:
+        r, before = np.maximum(0.0, r + momentum * (r - before) - p @ np.array(y)), r
+    return r + ahead * (r - before)
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
@@ -55,45 +56,67 @@ def _stack(batch) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """members: n_tokens, p. The steps whose rates bring the domains' expected tokens as near to the targets as can be."""
+    """members: n_tokens, p. The steps whose rates bring the domains' expected tokens as near to the targets as can be.
+
+    Steps scaled by the Gram matrix of the positive rates solve the squares at once where no rate meets its bound; when one does not
+    bring them down, plain projected gradient steps with momentum follow, whose limit is the least of the squares, and then another.
+    """
     d = len(targets)
-    steps, loss, step, trial = np.zeros((0, d)), np.inf, 1.0, None
 
-    def total(tried: np.ndarray):
+    def total(steps: np.ndarray, ahead: float = 0.0):
         def run(batches):
-            reached, gram = np.zeros(d), np.zeros((d, d))
+            here, there, gram = np.zeros(d), np.zeros(d), np.zeros((d, d))
             for batch in batches:
                 if len(batch):
                     p, t = _stack(batch), column(batch, "n_tokens").to_numpy(zero_copy_only=False).astype(float)
-                    r = rates(p, tried)
-                    reached += (r * t) @ p
+                    r = rates(p, steps)
+                    here += (r * t) @ p
+                    there += (rates(p, steps, ahead) * t) @ p if ahead else (r * t) @ p
                     on = r > 0
                     gram += (p[on] * t[on, None]).T @ p[on]
-            yield {"reached": [reached], "gram": [gram.ravel()]}
-
-        rows = arrow_map(members, run, "reached array<double>, gram array<double>")
-        sums = rows.agg(*(F.sum(F.col("reached")[i]) for i in range(d)), *(F.sum(F.col("gram")[i]) for i in range(d * d))).first()
-        x = np.array([0.0 if v is None else v for v in sums])
-        return x[:d], x[d:].reshape(d, d)
-
-    reached, gram = total(steps)
-    scale = max(1.0, np.abs(targets).max())
+            yield {"here": [here], "there": [there], "gram": [gram.ravel()]}
+
+        rows = arrow_map(members, run, "here array<double>, there array<double>, gram array<double>")
+        names = [F.col(c)[i] for c, n in (("here", d), ("there", d), ("gram", d * d)) for i in range(n)]
+        x = np.array([0.0 if v is None else v for v in rows.agg(*map(F.sum, names)).first()])
+        return x[:d], x[d : 2 * d], x[2 * d :].reshape(d, d)
+
+    steps, scale = np.zeros((0, d + 1)), max(1.0, np.abs(targets).max())
+    here, there, gram = total(steps)
+    bound = np.linalg.eigvalsh(gram)[-1]  # of the curvature, with all documents in
+    curvature, momentum, age = bound, 0.0, 1.0
+    rest = 0  # plain steps until the next scaled one is tried
     for _ in range(passes):
-        gap = reached - targets
+        gap = here - targets
         loss = gap @ gap
-        if np.abs(gap).max() <= TOLERANCE * scale or not gram.any():
+        if np.abs(gap).max() <= TOLERANCE * scale or bound <= 0:
             break
-        y = step * np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(d), gap, rcond=None)[0]
-        trial = np.vstack([steps, y])
-        reached_now, gram_now = total(trial)
-        if (now := np.sum((reached_now - targets) ** 2)) < loss:
-            if loss - now < 1e-10 * loss:
-                return trial
-            steps, reached, gram, step = trial, reached_now, gram_now, min(1.0, 2 * step)
-        else:
-            step /= 4
-            if step < 1e-3:
+        rest -= 1
+        if rest < 0:
+            y = np.linalg.solve(gram + 1e-3 * max(np.linalg.eigvalsh(gram)[-1], 1e-9 * bound) * np.eye(d), gap)
+            trial = np.vstack([steps, [*y, 0.0]])
+            after = total(trial)
+            if np.sum((after[0] - targets) ** 2) < 0.7 * loss:
+                steps, (here, there, gram) = trial, after
+                momentum, age = 0.0, 1.0
+                continue
+            rest = 6
+        older, next_age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        trial = np.vstack([steps, [*((there - targets) / curvature), momentum]])
+        after = total(trial, (older - 1) / next_age)
+        now = np.sum((after[0] - targets) ** 2)
+        if now < loss:
+            steps, (here, there, gram) = trial, after
+            momentum, age = (older - 1) / next_age, next_age
+            curvature = min(bound, 1.2 * np.linalg.eigvalsh(gram)[-1])  # of those with positive rates: the others stay where they are
+            if loss - now < 1e-6 * loss:
                 break
+        elif momentum:  # start the momentum anew
+            momentum, age, there = 0.0, 1.0, here
+        elif curvature < bound:
+            curvature = min(bound, 4 * curvature)
+        else:
+            break
     return steps
 
 
