@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, column, cut, keep_columns, sliced, width
+from .split import Places, splitter
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 32 << 20
+#: Words of the documents that are packed together.
+PACK = 3_000_000
 
 
 @cache
@@ -61,7 +64,7 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 
 
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(data)
+    return zstandard.ZstdCompressor(level=9).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -84,12 +87,11 @@ def _split(pattern: str, buckets: int):
     """Rows of a block, by kind. 0: its words of one bucket; 1: the bucket of each word; 2: some documents, as places in the list of words."""
 
     def run(batches):
-        import regex
         from pyspark import TaskContext
 
-        matches = regex.compile(pattern).findall
+        matches = splitter(pattern)
         task, serial = TaskContext.get().partitionId(), 0
-        places: dict[str, int] = {}
+        places = Places()
         docs: list[tuple] = []
         amount = 0
 
@@ -106,21 +108,29 @@ def _split(pattern: str, buckets: int):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts)).tolist()
             packed = [_pack_words([raw[i] for i in order[cuts[b] : cuts[b + 1]]]) for b in full]
-            k, d = len(full), len(docs)
+            groups, size = [[]], 0
+            for doc in docs:
+                if size > PACK:
+                    groups.append([])
+                    size = 0
+                groups[-1].append(doc)
+                size += len(doc[1])
+            packs = [([i for ids, _, _ in g for i in ids], _pack(_planes(np.concatenate([c for _, _, c in g])) + _planes(rank[np.concatenate([x for _, x, _ in g])]))) for g in groups]
+            k, d = len(full), len(packs)
             yield {
                 "block": [(task << 32) | serial] * (k + 1 + d),
                 "kind": [0] * k + [1] + [2] * d,
                 "bucket": [*full, *[None] * (1 + d)],
-                "doc_ids": [*[None] * (k + 1), *(x[0] for x in docs)],
-                "payload": [*packed, _pack(_planes(bucket)), *(_pack(_planes(counts) + _planes(rank[at])) for _, at, counts in docs)],
+                "doc_ids": [*[None] * (k + 1), *(ids for ids, _ in packs)],
+                "payload": [*packed, _pack(_planes(bucket)), *(raw for _, raw in packs)],
             }
-            serial, places, docs, amount = serial + 1, {}, [], 0
+            serial, places, docs, amount = serial + 1, Places(), [], 0
 
         for batch in sliced(batches):
             found, texts = [], column(batch, "text").to_pylist()
             for text in texts:
                 words = matches(text or "")
-                found.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words)))
+                found.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
             counts = np.array([len(x) for x in found], np.uint32)
             docs.append((column(batch, "doc_id").to_pylist(), np.concatenate(found), counts))
             amount += sum(len(t or "") for t in texts)

@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .bpe import gather
 from .common import arrow_map, column, cut, in_id_order, keep_columns, shared_dir, sliced, width
+from .split import PATTERN, Places, spaced, splitter
 
 FRAME_IDS = 1 << 16
 _SEEK, _INDEX, _END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class Encoder:
@@ -43,8 +44,6 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,32 +53,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config.get("normalizer")
         self.added = [t["content"] for t in config.get("added_tokens", [])]
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.words = splitter(PATTERN)
+        # bytes of each token: a byte-level vocabulary writes each byte as one character
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = Places()
         self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words and remembers them. Runs of words that a space opens go through the library as one text, which it splits
+        just so; the tokens' bytes tell where each word ends."""
+        runs, ids, counts = [], [], []
+        for w in words:
+            plain = spaced(w) is not None
+            if not runs or runs[-1][0] != plain or len(runs[-1][1]) > 4000:
+                runs.append((plain, []))
+            runs[-1][1].append(w)
+        alone = [w for plain, run in runs if not plain for w in run]
+        encoded = iter(self.whole(["".join(run) for plain, run in runs if plain]))
+        single = iter(self.whole(alone))
+        for plain, run in runs:
+            if not plain:
+                part = [next(single) for _ in run]
+                ids += part
+                counts += map(len, part)
+                continue
+            got = next(encoded)
+            ends = np.cumsum([len(w.encode("utf-8", "replace")) for w in run])
+            reached = np.cumsum(self.sizes[got])
+            at = np.searchsorted(reached, ends)
+            if len(reached) and at[-1] == len(reached) - 1 and (reached[at] == ends).all():
+                ids.append(got)
+                counts += np.diff(at + 1, prepend=0).tolist()
+            else:
+                part = self.whole(run)
+                ids += part
+                counts += map(len, part)
+        self.flat = np.concatenate([self.flat, *ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return self.whole(texts)
         if len(self.places) > REMEMBERED:
             self.forget()
-        known, places, at, odd = len(self.places), self.places, [], []
+        known, number, at, odd = len(self.places), self.places.__getitem__, [], []
         for i, t in enumerate(texts):
             if any(a in t for a in self.added):
                 odd.append(i)
                 t = ""
             found = self.words(t)
-            at.append(np.fromiter((places.setdefault(w, len(places)) for w in found), np.int64, len(found)))
-        if len(places) > known:
-            ids = self.whole(list(places)[known:])
-            self.flat = np.concatenate([self.flat, *ids])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids])])
+            at.append(np.fromiter(map(number, found), np.int64, len(found)))
+        if len(self.places) > known:
+            self.learn(list(self.places)[known:])
         out = [gather(self.flat, self.bounds, x) for x in at]
         for i, x in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = x
@@ -93,7 +127,7 @@ def encoder(path: str) -> Encoder:
 
 class TokenFileWriter:
     def __init__(self, sink):
-        self.sink, self.pack = sink, zstandard.ZstdCompressor(level=3)
+        self.sink, self.pack = sink, zstandard.ZstdCompressor(level=1)
         self.waiting: list[np.ndarray] = []
         self.n_waiting, self.table = 0, []
         self.ids, self.nulls, self.counts = [], [], []
