@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, extract, norm_text, replace_matches, strip
+from .text import collapse, extract, let, norm_text, replace_matches, strip
 
 #: Month names and their short forms.
 MONTHS = {
@@ -19,6 +19,8 @@ NAMES = ("JANUARI", "FEBRUARI", "MARET", "APRIL", "MEI", "JUNI", "JULI", "AGUSTU
 
 WORD_DATE = r"\b(\d{1,2})[\s./-]+([A-Za-z]{3,15})[\s./-]+(\d{2,4})\b"
 NUMBER_DATE = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
+#: What a text needs for a date of either kind; a cheap test before the rewriting.
+DATED = r"\d[\s./-]+[A-Za-z0-9]{1,15}[\s./-]+\d"
 CLOCK = r"\b\d{1,2}\s*[:.;]\s*\d{2}\b"
 _ANY = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
 
@@ -62,7 +64,7 @@ def normalize_dates(c: Column) -> Column:
         day, month = (F.regexp_extract(m, NUMBER_DATE, k).try_cast("int") for k in (1, 2))
         return F.when(day.between(1, 31) & month.between(1, 12), _spelled(day, month, full_year(F.regexp_extract(m, NUMBER_DATE, 3)))).otherwise(m)
 
-    return replace_matches(replace_matches(strip(c), WORD_DATE, word), NUMBER_DATE, numeric)
+    return F.when(F.coalesce(c, F.lit("")).rlike(DATED), replace_matches(replace_matches(strip(c), WORD_DATE, word), NUMBER_DATE, numeric)).otherwise(strip(c))
 
 
 def norm_key(c: Column) -> Column:
@@ -108,9 +110,8 @@ def month_without_day(c: Column) -> Column:
 
 def month_year(c: Column) -> Column:
     """struct(month, year), both null where the text has none."""
-    text, pattern = F.upper(normalize_dates(c)), rf"\b(?:\d{{1,2}}\s+)?({_ANY})\s+(\d{{2,4}})\b"
-    month = month_id(extract(text, pattern, 1))
-    return F.struct(month.alias("month"), full_year(extract(text, pattern, 2)).alias("year"))
+    pattern = rf"\b(?:\d{{1,2}}\s+)?({_ANY})\s+(\d{{2,4}})\b"
+    return let(F.upper(normalize_dates(c)), lambda text: F.struct(month_id(extract(text, pattern, 1)).alias("month"), full_year(extract(text, pattern, 2)).alias("year")))
 
 
 def display_date(iso: Column) -> Column:
@@ -122,50 +123,55 @@ def display_date(iso: Column) -> Column:
 
 def repair_request_date(ro_date: Column, chunk: Column) -> Column:
     """A request date of month and year only takes the day from the header, if that has the same month and year."""
-    own, said = month_year(ro_date), request_date(chunk)
-    year, month = (extract(said, r"^(\d{4})-(\d{2})-\d{2}$", k).try_cast("int") for k in (1, 2))
-    agrees = F.coalesce(own["month"].isNull() | own["year"].isNull() | ((own["month"] == month) & (own["year"] == year)), F.lit(False))
-    return F.when(month_without_day(ro_date) & (said != "") & agrees, display_date(said)).otherwise(strip(ro_date))
+
+    def repaired(said: Column) -> Column:
+        year, month = (extract(said, r"^(\d{4})-(\d{2})-\d{2}$", k).try_cast("int") for k in (1, 2))
+        agrees = let(month_year(ro_date), lambda own: F.coalesce(own["month"].isNull() | own["year"].isNull() | ((own["month"] == month) & (own["year"] == year)), F.lit(False)))
+        return F.when((said != "") & agrees, display_date(said)).otherwise(strip(ro_date))
+
+    return F.when(month_without_day(ro_date), let(request_date(chunk), repaired)).otherwise(strip(ro_date))
 
 
 def norm_date(c: Column) -> Column:
     """DDMM or DDMMYYYY of the first date, else the text's letters and digits."""
-    text = F.upper(normalize_dates(c))
     numeric, word = r"\b(\d{1,2})[/-](\d{1,2})(?:[/-](\d{2,4}))?\b", r"\b(\d{1,2})\s+([A-Z]+)(?:\s+(\d{2,4}))?\b"
 
-    def written(day, month, year):
-        good = day.between(1, 31) & month.between(1, 12)
-        out = F.concat(F.format_string("%02d%02d", day, month), F.coalesce(F.format_string("%04d", full_year(year)), F.lit("")))
+    def written(day: Column, month: Column, year: Column) -> Column:
         bare = F.format_string("%02d%02d", day, month)
-        return F.when(F.coalesce(good, F.lit(False)), F.when(year.isNull(), bare).otherwise(out)).otherwise(norm_text(c))
+        good = F.coalesce(day.between(1, 31) & month.between(1, 12), F.lit(False))
+        return F.when(good, F.when(year.isNull(), bare).otherwise(F.concat(bare, F.format_string("%04d", full_year(year))))).otherwise(norm_text(c))
+
+    def of(text: Column) -> Column:
+        n = [extract(text, numeric, k) for k in (1, 2, 3)]
+        w = [extract(text, word, k) for k in (1, 2, 3)]
+        by_name = let(month_id(w[1]), lambda month: written(w[0].try_cast("int"), month, w[2]))
+        return F.when(n[0].isNotNull(), written(n[0].try_cast("int"), n[1].try_cast("int"), n[2])).when(w[0].isNotNull(), by_name).otherwise(norm_text(c))
 
-    n = [extract(text, numeric, k) for k in (1, 2, 3)]
-    w = [extract(text, word, k) for k in (1, 2, 3)]
-    return (
-        F.when(n[0].isNotNull(), written(n[0].try_cast("int"), n[1].try_cast("int"), n[2]))
-        .when(w[0].isNotNull(), written(w[0].try_cast("int"), month_id(w[1]), w[2]))
-        .otherwise(norm_text(c))
-    )
+    return let(F.upper(normalize_dates(c)), of)
 
 
 def canonical_date(c: Column) -> Column:
     """d-MON-yyyy of the first date (three letters of the month's name), else the text in upper case."""
-    iso = first_date(c)
-    day, month, year = (extract(iso, r"^(\d{4})-(\d{2})-(\d{2})$", k) for k in (3, 2, 1))
-    name = F.substring(month_name(month.try_cast("int")), 1, 3)
-    return F.when(iso != "", F.concat_ws("-", day.try_cast("int").cast("string"), name, year)).otherwise(F.upper(strip(c)))
+
+    def of(iso: Column) -> Column:
+        day, month, year = (F.substring(iso, a, n) for a, n in ((9, 2), (6, 2), (1, 4)))
+        name = F.substring(month_name(month.try_cast("int")), 1, 3)
+        return F.when(iso != "", F.concat_ws("-", day.try_cast("int").cast("string"), name, year)).otherwise(F.upper(strip(c)))
+
+    return let(first_date(c), of)
 
 
 def loading_date(raw: Column, ro_date: Column) -> Column:
     """SEGERA and bare clock times mean the request's date; a date of its own wins; else the text in upper case."""
-    text, specific = strip(raw), canonical_date(raw)
-    return (
-        F.when(text == "", "")
-        .when(F.upper(text).contains("SEGERA"), canonical_date(ro_date))
-        .when((specific != "") & (specific != F.upper(text)), specific)
-        .when(F.upper(text).rlike(CLOCK), canonical_date(ro_date))
-        .otherwise(F.upper(text))
-    )
+
+    def of(text: Column) -> Column:
+        by_own = let(
+            canonical_date(text),
+            lambda own: F.when((own != "") & (own != text), own).when(text.rlike(CLOCK), canonical_date(ro_date)).otherwise(text),
+        )
+        return F.when(text == "", "").when(text.contains("SEGERA"), canonical_date(ro_date)).otherwise(by_own)
+
+    return let(F.upper(strip(raw)), of)
 
 
 def strict_date(c: Column) -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BLANKS = ("", "-", "null", "none", "nan", "undefined")
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c computed once: the one element of an array, bound by a lambda."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends (trim() takes spaces only)."""
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")

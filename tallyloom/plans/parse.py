@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fields
 from ..functions.identity import norm_phone
-from ..functions.text import filled, strip
+from ..functions.text import filled, let, strip
 
 #: The spellings that open a request.
 REQUEST = r"(?:requestt?|reqest|reques|requer)(?!\s+order\s+khusus)"
@@ -30,11 +30,13 @@ def pieces(c: Column) -> Column:
     blocks = F.filter(F.transform(F.when(text.rlike(HEADER), by_head).otherwise(F.split(text, FALLBACK, -1)), strip), lambda x: x != "")
 
     def by_unit(block: Column) -> Column:
-        parts = F.split(block, UNIT_LINE, -1)
-        starts_with_unit = F.get(parts, 0).rlike(r"(?i)^\s*\d{1,3}\s*unit\b")
-        head = F.when(starts_with_unit, "").otherwise(strip(F.get(parts, 0)))
-        bodies = F.filter(F.when(starts_with_unit, parts).otherwise(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))), lambda x: strip(x) != "")
-        return F.when(F.size(bodies) <= 1, F.array(block)).otherwise(F.transform(bodies, lambda b: F.when(head == "", strip(b)).otherwise(F.concat(head, F.lit("\n"), strip(b)))))
+        def of(parts: Column) -> Column:
+            starts_with_unit = F.get(parts, 0).rlike(r"(?i)^\s*\d{1,3}\s*unit\b")
+            head = F.when(starts_with_unit, "").otherwise(strip(F.get(parts, 0)))
+            bodies = F.filter(F.when(starts_with_unit, parts).otherwise(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))), lambda x: strip(x) != "")
+            return let(bodies, lambda bs: F.when(F.size(bs) <= 1, F.array(block)).otherwise(F.transform(bs, lambda b: F.when(head == "", strip(b)).otherwise(F.concat(head, F.lit("\n"), strip(b))))))
+
+        return let(F.split(block, UNIT_LINE, -1), of)
 
     return F.flatten(F.transform(blocks, by_unit))
 

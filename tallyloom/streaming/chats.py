@@ -14,7 +14,7 @@ from ..plans.parse import pieces
 
 def read_chat_stream(spark: SparkSession, path: str) -> DataFrame:
     """A row a file, as files come."""
-    return spark.readStream.schema("value string").option("wholetext", True).text(path).select(F.col("value").alias("chat_text"))
+    return spark.readStream.format("text").option("wholetext", "true").load(path).select(F.col("value").alias("chat_text"))
 
 
 def gate(chats: DataFrame, time: str | None = None, delay: str = "1 hour") -> DataFrame:
