@@ -17,19 +17,24 @@ DIMS = 1 << 20
 #: Rows of the labelled table that a model is fitted on at most: those of the least hash of their id.
 MAX_ROWS = 20_000
 EPOCHS = 2
+STEM = 5
 #: Letters and digits, and all bytes beyond ASCII, make words.
 BREAKS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
 
 def features(texts: list[bytes], gaps: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text numbers and feature numbers in order of place (unigrams, bigrams, pairs with one word between), and words of each text.
+    """Text numbers and feature numbers in order of place (unigrams, stems, bigrams, pairs with one word between), and words of each text.
+
+    A stem is a longer word's first STEM bytes, as inflected words share it.
 
     gaps: what stands between two words, such as stops and junk, is a feature too.
     """
     words = Words([t.translate(LOWER) for t in texts], BREAKS)
     h = words.hashes
     owner = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    parts, owners = [h], [owner]
+    long_ = words.ends - words.starts > STEM
+    stems = mix(range_hash(words.sums, words.starts[long_], words.starts[long_] + STEM))
+    parts, owners = [h, stems], [owner, owner[long_]]
     for gap, salt in ((1, 0x5851F42D4C957F2D), (2, 0x14057B7EF767814F)):
         if len(h) > gap:
             pair = combine(np.stack([h[:-gap], h[gap:] ^ U64(salt)], 1).ravel(), 2)[::2]
@@ -45,7 +50,7 @@ def features(texts: list[bytes], gaps: bool = False) -> tuple[np.ndarray, np.nda
 class Ftrl:
     """One-against-rest models for `classes` targets; alpha, beta set the rates, l1 and l2 the shrinkage. The bias is not shrunk."""
 
-    def __init__(self, classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((DIMS + 1, classes)), np.zeros((DIMS + 1, classes))
 
