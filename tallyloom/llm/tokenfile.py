@@ -28,12 +28,33 @@ from pyspark.sql import functions as F
 
 from .bpe import gather
 from .common import arrow_map, column, cut, in_id_order, keep_columns, shared_dir, sliced, width
-from .split import PATTERN, Places, spaced, splitter
+from .split import PATTERN, spaced, splitter
 
 FRAME_IDS = 1 << 16
 _SEEK, _INDEX, _END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
+
+
+class _Words(dict):
+    """Words to numbers; new words get the next ones and are listed until they are encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+def _extended(old: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """old with more behind its first `used` items; room is doubled when it runs out."""
+    if used + len(more) > len(old):
+        old = np.concatenate([old[:used], np.empty(max(used, len(more)) + len(more), old.dtype)])
+    old[used : used + len(more)] = more
+    return old
 
 
 class Encoder:
@@ -62,8 +83,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.places = Places()
-        self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.places, self.known = _Words(), 0
+        self.flat, self.bounds = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,24 +118,30 @@ class Encoder:
                 part = self.whole(run)
                 ids += part
                 counts += map(len, part)
-        self.flat = np.concatenate([self.flat, *ids])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+        end = int(self.bounds[self.known])
+        self.flat = _extended(self.flat, end, np.concatenate(ids))
+        self.bounds = _extended(self.bounds, self.known + 1, end + np.cumsum(counts))
+        self.known += len(words)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return self.whole(texts)
         if len(self.places) > REMEMBERED:
             self.forget()
-        known, number, at, odd = len(self.places), self.places.__getitem__, [], []
+        number, at, odd = self.places.__getitem__, [], []
         for i, t in enumerate(texts):
             if any(a in t for a in self.added):
                 odd.append(i)
                 t = ""
             found = self.words(t)
             at.append(np.fromiter(map(number, found), np.int64, len(found)))
-        if len(self.places) > known:
-            self.learn(list(self.places)[known:])
-        out = [gather(self.flat, self.bounds, x) for x in at]
+        if self.places.new:
+            new, self.places.new = self.places.new, []
+            self.learn(new)
+        every = np.concatenate([np.empty(0, np.int64), *at])
+        ids, ends = gather(self.flat, self.bounds, every), np.concatenate(([0], np.cumsum(self.bounds[every + 1] - self.bounds[every])))
+        cuts = ends[np.cumsum([0, *map(len, at)])].tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         for i, x in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = x
         return out
