@@ -25,9 +25,11 @@ from .common import arrow_map, column, cut, keep_columns, sliced, width
 from .split import Places, splitter
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 32 << 20
+BLOCK = 24 << 20
 #: Words of the documents that are packed together.
-PACK = 3_000_000
+PACK = 1_000_000
+#: Words of the documents that go out together.
+OUT = 200_000
 
 
 @cache
@@ -199,8 +201,12 @@ def _assemble(path: str):
                     counts = _unplanes(raw[: 4 * len(doc_ids)])
                     places = slot[_unplanes(raw[4 * len(doc_ids) :])]
                     ends = np.cumsum(counts, dtype=np.int64)
-                    ids = [gather(flat, bounds, places[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
-                    yield {"doc_id": doc_ids, "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids], "decoded": [decode(x, path) for x in ids]}
+                    cuts, done = ends.tolist(), 0
+                    while done < len(doc_ids):  # some documents at a time, a long one alone
+                        to = max(done + 1, int(np.searchsorted(ends, (cuts[done - 1] if done else 0) + OUT, "right")))
+                        ids = [gather(flat, bounds, places[a:b]) for a, b in zip((ends - counts)[done:to].tolist(), cuts[done:to])]
+                        yield {"doc_id": doc_ids[done:to], "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids], "decoded": [decode(x, path) for x in ids]}
+                        done = to
 
     return run
 

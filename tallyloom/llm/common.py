@@ -46,6 +46,23 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidied(fn: Callable) -> Callable:
+    """fn, a generator over batches, which gives the memory that it freed back to the machine when a task ends: workers are used again,
+    and what one step held must not stay beside the next one's."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow for functions that yield a dict of columns (arrays or lists) at a time. Batches go to Python by BATCH_BYTES."""
     from pyspark.sql.types import _parse_datatype_string
@@ -59,7 +76,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[d
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, spark_schema)
+    return df.mapInArrow(tidied(run), spark_schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

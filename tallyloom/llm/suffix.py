@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, cut, keep_columns, sliced, width
+from .common import arrow_map, column, cut, keep_columns, sliced, tidied, width
 from .kernels import U64, encode, prefix_sums, range_hash, runs
 
 SIZE = 400
@@ -335,4 +335,4 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
             new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([len(k or "") for k in kept], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, column(batch, c)) for c in names], names)
 
-    return _decide(docs, size, gram).mapInArrow(run, schema)
+    return _decide(docs, size, gram).mapInArrow(tidied(run), schema)

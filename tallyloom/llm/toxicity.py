@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, keep_columns, sliced
+from .common import arrow_map, column, keep_columns, sliced, tidied
 from .ftrl import dense, fit, scores
 from .kernels import encode
 
@@ -54,4 +54,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             p, _ = scores([encode(t) for t in column(batch, "text").to_pylist()], bias, w, used)
             yield batch.filter(pa.array(p[:, 0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
