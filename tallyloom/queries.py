@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, fields, identity, rules, text
 from .operators import merge
-from .plans import blocks, datasets, evaluate, matching, parse
+from .plans import annotate, blocks, datasets, evaluate, evidence, matching, parse, report
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
 from .sources import io
 
@@ -709,3 +709,55 @@ SELECT o_orderkey, 'REQUEST' AS first_word, CAST(n AS INTEGER) AS slots, CAST(n
 def message_phones(spark, sf_dir):
     m = order_messages(spark, sf_dir)
     return m.select("o_orderkey", F.regexp_extract("message", r"^(\w+)", 1).alias("first_word"), F.size(parse.loading_segments(F.col("message"))).alias("slots"), F.size(fields.phones(F.col("message"))).alias("phones"))
+
+
+# ---- reports, evidence, annotation -----------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), c AS (SELECT user_id, min(ts) AS t FROM events GROUP BY 1)
+SELECT r.user_id, event_id, CAST(b.i AS INTEGER) AS batch_index, CAST(n AS INTEGER) AS row_no FROM r JOIN (SELECT user_id, row_number() OVER (ORDER BY t, user_id) AS i FROM c) b USING (user_id)
+""")
+def replay_numbers(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    first = e.groupBy("user_id").agg(F.min("ts").alias("created"))
+    return report.number_batches(e.join(first, "user_id"), "user_id", "created", "event_id", "event_id").select("user_id", "event_id", "batch_index", "row_no")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'BLOCK: tanggal request beda; ' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN 'BLOCK: lokasi beda; ' ELSE '' END
+  || CASE WHEN p_partkey % 5 = 0 THEN 'REVIEW: pesan susulan tidak punya driver terisi; ' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'REVIEW: angka qty beda; ' ELSE '' END AS advisory,
+  CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 'NO_MATCH' ELSE 'MATCH' END AS expected FROM part
+""")
+def pair_checks(spark, sf_dir):
+    """What the operational rules advise on pairs of texts."""
+    k = F.col("p_partkey")
+    text_ = lambda d, p, q, who: F.concat(F.lit("REQUEST UNIT ON CALL "), d, F.lit("\n"), q, F.lit(" UNIT CDD\nLokasi : "), p, F.lit("\ndriver : "), who, F.lit("\n"))
+    a = text_(F.lit("1 Mei 2024"), F.lit("GUDANG A"), F.lit("3"), F.lit("ani"))
+    b = text_(F.when(k % 2 == 0, "2 Mei 2024").otherwise("1/5/2024"), F.when(k % 3 == 0, "GUDANG B").otherwise("gudang a"), F.when(k % 7 == 0, "4").otherwise("3"), F.when(k % 5 == 0, "-").otherwise("budi"))
+    p = evidence.pair_checks(table(spark, sf_dir, "part").select(k, a.alias("text_a"), b.alias("text_b")))
+    advisory = F.when(F.col("rule_advisory") == "OK", "").otherwise(F.concat("rule_advisory", F.lit("; ")))
+    return p.select(k, advisory.alias("advisory"), "expected")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)
+SELECT v.label, CAST(sum(CASE WHEN v.label IN ('RO_DATE', 'UNIT_QTY', 'UNIT_TYPE', 'ORIGIN') THEN 1 ELSE n END) AS BIGINT) AS found, count(*) AS messages
+FROM l, (VALUES ('RO_DATE'), ('UNIT_QTY'), ('UNIT_TYPE'), ('ORIGIN'), ('LOAD_DATE'), ('DESTINATION'), ('DRIVER'), ('PLATE'), ('PHONE'), ('TIME')) v(label) GROUP BY 1
+""")
+def annotated_entities(spark, sf_dir):
+    """The annotator's entities over all messages, by label."""
+    a = annotate.annotate(order_messages(spark, sf_dir).select("o_orderkey", F.col("message").alias("text")))
+    g = annotate.grouped(a, ["o_orderkey"])
+    return g.groupBy("label").agg(F.sum(F.size("values").cast("long")).alias("found"), F.count("*").alias("messages"))
+
+
+@query()
+def office_report(spark, sf_dir):
+    """The office report of the sheet that the block queries use, a batch a user."""
+    i = F.col("event_id")
+    rows = _sheet(spark, sf_dir).withColumns({
+        "plate": F.format_string("b %d xy", i), "phone": F.format_string("+62 8%09d", i), "time": F.when(i % 6 == 0, "8").when(i % 6 == 1, "SEGERA").otherwise("09.30"),
+        "date": F.when(i % 4 == 0, "5 mei").when(i % 4 == 1, "10.00").otherwise("1/2/2024"), "text": F.when(i % 9 == 0, "revisi jam").otherwise("driver 1: ani\ndriver 2: budi"),
+    })
+    return report.office_report(rows, "user_id", "event_id", 2026)

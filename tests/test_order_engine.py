@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tallyloom.functions import dates, fields, identity, rules, text
 from tallyloom.operators import merge
-from tallyloom.plans import blocks, datasets, evaluate, matching, parse, workspace
+from tallyloom.plans import annotate, blocks, datasets, evaluate, evidence, matching, parse, report, workspace
 from tallyloom.sources import io
 from tallyloom.streaming import chats as stream
 
@@ -229,6 +229,50 @@ def test_metrics_of_nothing(spark):
     assert (m.tp, m.accuracy, m.f1, m.macro_f1) == (0, 0.0, 0.0, 0.0)
 
 
+def test_report_cells(spark):
+    two = "driver 1: ani wati nopol B 1\ndriver 2: budi\nno hp 081234567 dan no hp 628987654321"
+    assert ask(spark, lambda c: report.driver_pair(c)["first"], two, "x") == ["Ani Wati", ""]
+    assert ask(spark, report.driver_name, "m.rizki o'neil-budi", "driver baru", None) == ["M.Rizki O'Neil-Budi", "", ""]
+    assert ask(spark, lambda c: report.with_driver_pair(c, F.lit(two)), "", "budi", "cici") == ["Ani Wati & Budi", "Ani Wati & Budi", "cici"]
+    assert ask(spark, lambda c: report.with_phone_pair(c, F.lit(two)), "", "081234567", "0800") == ["081234567 & 08987654321", "081234567 & 08987654321", "0800"]
+    got = ask(spark, report.format_chat, "a\nWaktu loading : 08:00 1/2/2024\nb", "[08.00, 1/2/2024] A: contoh chat x[09.00, 1/2/2024] B: ya")
+    assert got == ["a\n\nREQUEST ORDER KHUSUS 1/2/2024\nWaktu loading : 08:00\nb", "[09.00, 1/2/2024] B: ya"]
+
+
+def test_office_report(spark):
+    cols = "batch int, seq int, unit_qty string, unit_type string, origin string, destination string, driver string, plate string, phone string, time string, date string, text string"
+    rows = [
+        (1, 1, "3 unit", "cdd", "bekasi", None, "", "", "", "", "5 mei", "x"),
+        (1, 2, "", None, None, "jakarta-bogor", "ani", "b 1 x", "62811111", "8", "", "x"),
+        (1, 3, "", None, None, None, "budi", "b 2 y", "0822222222", "09.00", "10.00", "x"),
+        (1, 4, "", None, None, None, "cici", "", "", "09:00", "", "revisi driver"),
+    ]
+    got = report.office_report(spark.createDataFrame(rows, cols), "batch", "seq", 2026, "%03d/A").orderBy("no").collect()
+    assert [(r.job_number, r.driver, r.no_plat, r.jam_loading) for r in got] == [("042/A", "Ani", "B 1 X", "08:00"), ("043/A", "Cici", "B 2 Y", "09:00"), ("044/A", "", "", "")]
+    assert {r.pickup for r in got} == {"BEKASI"} and {r.tgl_muat for r in got} == {"05 MEI 2026"} and {r.status_unit for r in got} == {"PARTIAL"}
+
+
+def test_evidence(spark):
+    df = spark.createDataFrame([("UNIT_QTY", ["3 unit"], ["3"], 0.5), ("PLATE", ["A", "b"], ["B"], 0.5), ("PLATE", ["A"], ["B"], 0.5), ("RO_DATE", ["2024"], ["2024"], 0.5), ("PLATE", [], ["B"], 0.5)], "a string, x array<string>, y array<string>, c double")
+    got = [r.v for r in df.select(evidence.contextual_confidence(F.col("a"), F.col("x"), F.col("y"), F.col("c")).alias("v")).collect()]
+    assert got == [0.95, 0.95, 0.5, 0.5, 0.5]
+    one = spark.range(1)
+    slot = lambda e, n: one.select(evidence.slot_evidence(F.lit(e), F.lit(n)).alias("v")).first().v
+    assert [slot(1, 0), slot(0, 1), slot(1, 2), slot(2, 2)] == ["BELUM ADA UNIT", "PENUH", "MELEBIHI", "CUKUP"]
+    m = spark.createDataFrame([("a", "b", "x", "X ")], "old_driver string, new_driver string, old_plate string, new_plate string")
+    assert [(r.field, r.old, r.new) for r in evidence.unit_changes(m, ("driver", "plate"), text.norm_text).collect()] == [("driver", "a", "b")]
+
+
+def test_annotator(spark):
+    t = "REQUEST UNIT ON CALL 5 Mei 2024\n3 unit CDD\nLokasi : GUDANG\nWaktu loading : 08:00 6/5/2024\ndriver : ani\nNo hp : 0811-2222-333"
+    a = annotate.annotate(spark.createDataFrame([(1, t), (2, None)], "id int, text string"))
+    spans = {r.id: r.spans for r in a.collect()}
+    assert all(t[s.start : s.stop] == s.value for s in spans[1]) and spans[2] == []
+    assert {s.label: s.value for s in spans[1]} == {"RO_DATE": "5 Mei 2024", "UNIT_QTY": "3", "UNIT_TYPE": "CDD", "ORIGIN": "GUDANG", "TIME": "08:00", "LOAD_DATE": "6/5/2024", "DRIVER": "ani", "PHONE": "0811-2222-333"}
+    assert a.where("id = 1").select(annotate.loading_values(F.col("spans")).alias("v")).first().v == ["08:00 6/5/2024"]
+    assert ask(spark, annotate.intent, "batal", "revisi unit", "fyi", "request 3 unit") == ["CANCEL", "UPDATE", "INFO", "NEW_ORDER"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "chat.txt").write_text("﻿REQUEST a\nb", encoding="utf-8")
     assert io.read_chats(spark, str(tmp_path / "chat.txt")).first().chat_text == "REQUEST a\nb"
@@ -321,7 +365,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", ["smart_merge_kernel", "augmented_templates", "pair_scores"])
+@pytest.mark.parametrize("name", ["smart_merge_kernel", "augmented_templates", "pair_scores", "office_report"])
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
