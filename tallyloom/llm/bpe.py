@@ -25,7 +25,7 @@ from .common import arrow_map, column, cut, keep_columns, sliced, width
 from .split import Places, splitter
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 24 << 20
+BLOCK = 32 << 20
 #: Words of the documents that are packed together.
 PACK = 1_000_000
 #: Words of the documents that go out together.
@@ -85,7 +85,7 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [raw[at + a : at + b] for a, b in zip([0, *ends], ends)]
 
 
-def _split(pattern: str, buckets: int):
+def _split(pattern: str, buckets: int, most: int):
     """Rows of a block, by kind. 0: its words of one bucket; 1: the bucket of each word; 2: some documents, as places in the list of words."""
 
     def run(batches):
@@ -100,7 +100,10 @@ def _split(pattern: str, buckets: int):
         def block():
             nonlocal serial, places, docs, amount
             # frequent words get small numbers, which pack well
-            number = np.argsort(-np.bincount(np.concatenate([x for _, x, _ in docs]), minlength=len(places)), kind="stable")
+            times = np.zeros(len(places), np.int64)
+            for _, x, _ in docs:
+                times += np.bincount(x, minlength=len(places))
+            number = np.argsort(-times, kind="stable")
             rank = np.empty(len(places), np.uint32)
             rank[number] = np.arange(len(places))
             words = list(places)
@@ -136,7 +139,7 @@ def _split(pattern: str, buckets: int):
             counts = np.array([len(x) for x in found], np.uint32)
             docs.append((column(batch, "doc_id").to_pylist(), np.concatenate(found), counts))
             amount += sum(len(t or "") for t in texts)
-            if amount > BLOCK:
+            if amount > most:
                 yield from block()
         if docs:
             yield from block()
@@ -211,15 +214,16 @@ def _assemble(path: str):
     return run
 
 
-def encode_corpus(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
+def encode_corpus(docs: DataFrame, path: str, pattern: str, digests: bool = False, block: int = BLOCK) -> DataFrame:
     """docs: doc_id long, text string, any other columns. Returns a row for each row: doc_id, n_tokens (long), ids (binary: little-endian
     unsigned 32-bit integers) and decoded (binary: the ids' bytes); with digests, their SHA-256 in lowercase hex instead.
 
+    block: characters in a block; fewer take less memory (a worker holds a block's distinct words) and more shuffle.
     path: ranks in tiktoken's format, readable on every executor; pattern: what splits texts into words. Special tokens do not exist.
     Null and empty texts have no tokens; rows that repeat stay; null doc_ids are kept.
     """
     n = width(docs.sparkSession)
-    parts = cut(arrow_map(keep_columns(docs, "doc_id", "text"), _split(pattern, 2 * n), "block long, kind int, bucket int, doc_ids array<long>, payload binary"))
+    parts = cut(arrow_map(keep_columns(docs, "doc_id", "text"), _split(pattern, 2 * n, block), "block long, kind int, bucket int, doc_ids array<long>, payload binary"))
     words = parts.where("kind = 0").select("block", "bucket", "payload").repartition(n, "bucket").sortWithinPartitions("bucket")
     ids = arrow_map(words, _encode_words(path, pattern), "block long, bucket int, payload binary")
     ids = ids.select("block", F.lit(0).alias("kind"), "bucket", F.lit(None).cast("array<bigint>").alias("doc_ids"), "payload")

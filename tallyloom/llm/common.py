@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at a time, which bounds a Python worker's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of a batch that goes to a Python worker (a session setting, as long texts would make batches of many rows large).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,14 +51,17 @@ def tidied(fn: Callable) -> Callable:
     and what one step held must not stay beside the next one's."""
 
     def run(batches):
+        import ctypes
+
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # arrays of a MB and more are mapped, and so go back at once
         try:
             yield from fn(batches)
         finally:
-            import ctypes
-
             pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
 
     return run
 

@@ -71,7 +71,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
         for batch in sliced(batches):
             waiting += shingle_sets(_texts(batch), words)
-            if sum(map(len, waiting)) > 1_000_000:
+            if sum(map(len, waiting)) > 500_000:
                 settle()
         settle()
         yield {"h": keys.view(np.int64), "c": counts}

@@ -109,3 +109,31 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+# brute force in SQL: all pairs that share a shingle, and the closure of their links
+ORACLES["op3_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r AS (
+  SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.id WHERE r.low < e.y
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.low AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(low) AS low FROM r GROUP BY 1) m ON m.id = d.doc_id
+"""
+
+# brute force in SQL: every string of 400 bytes, in hexadecimal digits
+ORACLES["op8_suffix_array_dedup"] = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), g AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM t),
+starts AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM g WHERE n >= 400)),
+twice AS (SELECT k FROM starts GROUP BY 1 HAVING count(*) > 1), hit AS (SELECT doc_id, i FROM starts JOIN twice USING (k)),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM hit),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM marked), runs AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY 1, 2),
+ends AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS h, sum(b - a) AS gone, count(*) AS spans FROM ends JOIN g USING (doc_id) JOIN (SELECT doc_id, max(b) AS last FROM runs GROUP BY 1) USING (doc_id) GROUP BY 1)
+SELECT g.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, g.h))) AS kept_sha256 FROM g LEFT JOIN kept USING (doc_id)
+"""

@@ -26,11 +26,11 @@ SIZE = 400
 #: Bytes of an anchor: long enough to be rare by chance, short enough to leave few anchors (one in (SIZE - GRAM) / 2 bytes).
 GRAM = 64
 #: Bytes of a text that are looked at together.
-PIECE = 2 << 20
+PIECE = 1 << 19
 #: Occurrences of an anchor to a task; more are dealt out over several, each with its share of the hashes.
 HOT = 50_000
 #: Suffixes of a batch.
-BATCH = 1 << 20
+BATCH = 1 << 18
 _PLACE_BITS = 24
 
 
