@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +102,6 @@ def preview_order(pairs: DataFrame) -> DataFrame:
 def match_units(existing: DataFrame, incoming: DataFrame, scope: str) -> DataFrame:
     """Registered units found again: each complete existing unit, in order, takes the best incoming one not yet taken (plate 4, phone 3,
     driver 2; the first of equals). The choice is sequential within a scope, so a kernel runs a scope at a time."""
-    import pandas as pd
-
     def kernel(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         rows, free = [], {}
         for x in new[new["ok"]].sort_values("seq").itertuples():
@@ -160,3 +159,61 @@ def proof_rows(pairs: DataFrame, names: dict[str, tuple[str, str]], key) -> Data
 
     rows = [F.struct(F.lit(n).alias("field"), F.col(a).cast("string").alias("candidate"), F.col(b).cast("string").alias("incoming"), verdict(F.col(a), F.col(b)).alias("status")) for n, (a, b) in names.items()]
     return pairs.withColumn("_e", F.explode(F.array(*rows))).select("*", "_e.*").drop("_e")
+
+
+def segment_of(row: Column, segments: Column) -> Column:
+    """The number of the one segment that shares the most identity fields with the row; null without any, and in a tie."""
+    from ..functions.identity import overlap
+    from ..functions.text import let
+
+    def of(scores: Column) -> Column:
+        best = F.array_max(scores)
+        return F.when((best > 0) & (F.size(F.filter(scores, lambda s: s == best)) == 1), F.array_position(scores, best) - 1)
+
+    return let(F.transform(segments, lambda s: overlap(row, s)), of)
+
+
+def join_texts(events: DataFrame, key: str, seq: str, text: str) -> DataFrame:
+    """The different texts of a key's events, each with its number among all of them."""
+    w = Window.partitionBy(key).orderBy(seq)
+    numbered = events.select(key, seq, F.trim(F.coalesce(text, F.lit(""))).alias("t"), F.row_number().over(w).alias("n"))
+    first = numbered.where("t <> ''").groupBy(key, "t").agg(F.min("n").alias("n"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: F.concat(F.lit("Order Susulan #"), x["n"].cast("string"), F.lit("\n"), x["t"]))
+    return first.groupBy(key).agg(F.array_join(said, "\n\n").alias("texts"))
+
+
+#: Rows of a truth table that are compared by likeness at most; a fixture of labelled pairs is far smaller.
+MOST_TRUTHS = 5_000
+
+
+def truth_labels(pairs: DataFrame, truth: DataFrame, a: str = "text_a", b: str = "text_b", least: float = 0.95) -> DataFrame:
+    """Adds truth: the label of the truth's pair of the same texts, either way round, without white space and in lower case; else that of
+    the most like pair, if the mean of difflib's ratios reaches `least`; else the empty text. The truth is a fixture of checked size."""
+    from difflib import SequenceMatcher
+
+    from ..functions.text import compact
+
+    known = truth.select(compact(F.col("text_a")).alias("_a"), compact(F.col("text_b")).alias("_b"), F.upper(F.trim("label")).alias("_l")).limit(MOST_TRUTHS + 1).collect()
+    if len(known) > MOST_TRUTHS:
+        raise ValueError(f"more than {MOST_TRUTHS} labelled pairs")
+    rows = [(r["_a"], r["_b"], r["_l"]) for r in known]
+    exact = {k: r[2] for r in reversed(rows) for k in ((r[0], r[1]), (r[1], r[0]))}
+
+    @F.pandas_udf("string")
+    def label(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p: str, q: str) -> str:
+            if not p or not q:
+                return ""
+            if (p, q) in exact:
+                return exact[p, q]
+            best, found = 0.0, ""
+            for u, v, name in rows:
+                for s, t in ((u, v), (v, u)):
+                    score = (SequenceMatcher(None, s, p).ratio() + SequenceMatcher(None, t, q).ratio()) / 2
+                    if score > best:
+                        best, found = score, name
+            return found if best >= least else ""
+
+        return pd.Series([one(p or "", q or "") for p, q in zip(x, y)])
+
+    return pairs.withColumn("truth", label(compact(F.col(a)), compact(F.col(b))))

@@ -201,6 +201,23 @@ def test_preview_and_proof(spark):
     assert [r.status for r in matching.proof_rows(p, {"one": ("c1", "i1"), "two": ("c2", "i2")}, text.norm_text).collect()] == ["Cocok", "-"]
 
 
+def test_revision_lines(spark):
+    t = "halo\nrevisi nopol lama B 12 XY\nganti no hp +62 811-222-333\nubah plat D 9 Z"
+    a = ask(spark, fields.old_anchors, t, "nopol B 1 X")
+    assert (a[0].no_plat, a[0].kontak_driver, a[1].no_plat) == ("D9Z", "0811222333", None)
+    assert ask(spark, fields.has_revision_marker, t, "ada update driver", "update saja kah", "nopol") == [True, True, True, False]
+    rows = spark.createDataFrame([(("ani", "B1", ""), [("ani", "", ""), ("x", "B1", "")]), (("ani", "B1", ""), [("ani", "B1", ""), ("x", "B1", "")]), (("", "", ""), [("", "", "")])], "r struct<driver:string,no_plat:string,kontak_driver:string>, s array<struct<driver:string,no_plat:string,kontak_driver:string>>")
+    assert [r.v for r in rows.select(matching.segment_of(F.col("r"), F.col("s")).alias("v")).collect()] == [None, 0, None]
+
+
+def test_truth_and_texts(spark):
+    truth = spark.createDataFrame([("Order A", "order b", "match"), ("x" * 60, "y" * 60, "NO_MATCH")], "text_a string, text_b string, label string")
+    pairs = spark.createDataFrame([("ORDERb", "order a"), ("x" * 59 + "z", "y" * 60), ("q", "r"), ("", None)], "text_a string, text_b string")
+    assert [r.truth for r in matching.truth_labels(pairs, truth).collect()] == ["MATCH", "NO_MATCH", "", ""]
+    e = spark.createDataFrame([("k", 1, "a"), ("k", 2, ""), ("k", 3, "a"), ("k", 4, "b")], "key string, seq int, t string")
+    assert matching.join_texts(e, "key", "seq", "t").first().texts == "Order Susulan #1\na\n\nOrder Susulan #4\nb"
+
+
 def test_datasets(spark):
     t = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 3, 5), (1, 2, 6, 9)], "id int, token_no int, start int, stop int")
     s = spark.createDataFrame([(1, 0, 5, "DRIVER")], "id int, start int, stop int, label string")
