@@ -7,25 +7,22 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at a time, which bounds a Python worker's memory.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Bytes of a batch that goes to a Python worker (a session setting, as long texts would make batches of many rows large).
 BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests) one of our own."""
-    if place := spark.conf.get("spark.checkpoint.dir", None):
-        return place
-    sc = spark.sparkContext
+    sc, place = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallyloom-"))
+    return place or sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -116,8 +113,8 @@ def in_id_order(docs: DataFrame, id_col: str = "doc_id", buckets: int | None = N
     cuts = docs.select(F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] if n > 1 else None
     cuts = spark.sparkContext.broadcast(np.unique(np.array(cuts or [], np.int64)))
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts.value, ids.to_numpy(), "right").astype(np.int32))
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts.value, ids.to_numpy(zero_copy_only=False), "right").astype(np.int32))
 
     return docs.withColumn("bucket", bucket(F.coalesce(F.col(id_col), F.lit(-(1 << 63))))), len(cuts.value) + 1

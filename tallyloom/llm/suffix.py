@@ -26,11 +26,11 @@ SIZE = 400
 #: Bytes of an anchor: long enough to be rare by chance, short enough to leave few anchors (one in (SIZE - GRAM) / 2 bytes).
 GRAM = 64
 #: Bytes of a text that are looked at together.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Occurrences of an anchor to a task; more are dealt out over several, each with its share of the hashes.
 HOT = 50_000
-#: Suffixes of a batch.
-BATCH = 1 << 18
+#: Bytes of spans that make a batch.
+BATCH = 1 << 19
 _PLACE_BITS = 24
 
 
@@ -257,7 +257,7 @@ def _scan(size: int):
                     pending.append(flush())
                 spans.append((eid, lo))
                 waiting.append((raw, len(spans) - 1, salt, salts, known))
-                amount += len(raw) - size + 1
+                amount += len(raw)
         pending.append(flush())
         if out := intervals(np.concatenate([*pending, family.repeated()]), spans):
             yield out
