@@ -27,7 +27,7 @@ def features(texts: list[bytes], gaps: bool = False) -> tuple[np.ndarray, np.nda
 
     A stem is a longer word's first STEM bytes, as inflected words share it.
 
-    gaps: what stands between two words, such as stops and junk, is a feature too.
+    gaps: what stands behind a word, up to the next one or the text's end, such as stops and junk, is a feature too.
     """
     words = Words([t.translate(LOWER) for t in texts], BREAKS)
     h = words.hashes
@@ -40,9 +40,10 @@ def features(texts: list[bytes], gaps: bool = False) -> tuple[np.ndarray, np.nda
             pair = combine(np.stack([h[:-gap], h[gap:] ^ U64(salt)], 1).ravel(), 2)[::2]
             same = owner[:-gap] == owner[gap:]
             parts.append(pair[same]), owners.append(owner[:-gap][same])
-    if gaps and len(h) > 1:
-        same = owner[:-1] == owner[1:]
-        parts.append(mix(range_hash(words.sums, words.ends[:-1], words.starts[1:]))[same]), owners.append(owner[:-1][same])
+    if gaps and len(h):
+        last = np.append(owner[1:] != owner[:-1], True)
+        until = np.where(last, words.at[owner + 1] - 1, np.append(words.starts[1:], 0))
+        parts.append(mix(range_hash(words.sums, words.ends, until))), owners.append(owner)
     f = (np.concatenate(parts) >> U64(44)).astype(np.int64) % DIMS
     return np.concatenate(owners), f, np.diff(words.bounds)
 

@@ -65,7 +65,7 @@ class Words:
 
     def __init__(self, texts: list[bytes], stops: np.ndarray = SPACES):
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.at = at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.starts, self.ends = runs(~stops[data])
         self.sums = prefix_sums(data)
         self.hashes = range_hash(self.sums, self.starts, self.ends)
