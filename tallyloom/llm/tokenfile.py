@@ -255,7 +255,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             sink.close()
             return {"file": [name], "part": [part], "n_docs": [len(out.ids)], "n_tokens": [sum(out.counts)]}
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=1 << 20):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             for bucket, doc_id, ids in zip(column(batch, "bucket").to_pylist(), column(batch, "doc_id").to_pylist(), encoder(tokenizer).encode(texts)):
                 if bucket != part:
