@@ -374,7 +374,19 @@ SELECT CAST(l_orderkey AS VARCHAR) AS scope, l_orderkey * 10 + l_linenumber AS e
 """)
 def registered_unit_match(spark, sf_dir):
     """Each existing unit finds the incoming one of its plate; plates are unique, so no ties."""
-    li = lines(spark, sf_dir).where("l_linenumber <= 3").select("l_orderkey", "l_linenumber")
+    return _same_plates(lines(spark, sf_dir).where("l_linenumber <= 3"))
+
+
+@query("""
+SELECT CAST(l_orderkey AS VARCHAR) AS scope, l_orderkey * 10 + l_linenumber AS existing_seq, l_orderkey * 10 + l_linenumber + 5 AS incoming_seq, CAST(CASE WHEN l_linenumber = 2 THEN 4 ELSE 9 END AS INTEGER) AS score FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+""")
+def registered_unit_match_all(spark, sf_dir):
+    """As registered_unit_match, over every line of every order."""
+    return _same_plates(lines(spark, sf_dir))
+
+
+def _same_plates(li):
+    """Units of the lines against the same units told again, line 2 with another driver and phone."""
     ok, n = F.col("l_orderkey"), F.col("l_linenumber")
     old = li.select("l_orderkey", (ok * 10 + n).alias("seq"), F.concat(F.lit("S"), n.cast("string")).alias("driver"), plate(ok, n).alias("no_plat"), phone(ok, n).alias("kontak_driver"))
     changed = lambda c, v: F.when(n == 2, v).otherwise(c)

@@ -194,6 +194,13 @@ def test_units_are_matched_greedily(spark):
     assert sorted((r.existing_seq, r.incoming_seq, r.score) for r in matching.match_units(old, new, "k").collect()) == [(1, 13, 6), (2, 12, 9)]
 
 
+def test_every_line_is_matched(spark):
+    """Plainly: the unit of every line of every order is found by its plate, also those of lines 4 to 7."""
+    li = {(r.l_orderkey, r.l_linenumber) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()}
+    got = sorted((r.existing_seq, r.incoming_seq, r.score) for r in entry.queries()["registered_unit_match_all"](spark, SF).collect())
+    assert max(n for _, n in li) == 7 and got == sorted((10 * k + n, 10 * k + n + 5, 4 if n == 2 else 9) for k, n in li)
+
+
 def test_preview_and_proof(spark):
     df = spark.createDataFrame([(1, "TIDAK_COCOK", False, 0.1), (2, "SIAP_ISI_SLOT", False, 0.9), (3, "CONFLICT", True, 0.5)], "seq int, decision_status string, date_conflict boolean, p_match double")
     assert [r.seq for r in matching.preview_order(df).collect()] == [3, 2, 1]
