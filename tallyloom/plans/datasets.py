@@ -99,12 +99,21 @@ def pick(seed: Column, *values: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(seed), F.lit(len(values))) + 1).cast("int"))
 
 
+#: Fixed value: parts in which templates are numbered side by side.
+BUCKETS = 1024
+
+
 def augmented(templates: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """n rows: a template each, by hash, its dates, clock times, plates and phones replaced by others that depend on the row alone."""
-    w = Window.orderBy("template_id")
-    known = templates.withColumn("_k", F.row_number().over(w) - 1)  # templates are some hundred rows of a fixture
+    """n rows: a template each, by hash, its dates, clock times, plates and phones replaced by others that depend on the row alone. The
+    templates may be many: they are numbered within BUCKETS of a hash, each after the sum of those before, and meet the rows by number."""
+    dealt = templates.withColumn("_b", F.pmod(F.xxhash64("template_id"), F.lit(BUCKETS)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # BUCKETS rows at most
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("template_id", text)) - 1
+    known = dealt.withColumn("_place", place).join(F.broadcast(sizes), "_b").withColumn("_k", F.col("_before") + F.col("_place"))
     size = F.broadcast(templates.agg(F.count("*").alias("_size")))
-    rows = templates.sparkSession.range(n).crossJoin(size).withColumn("_k", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_size")).cast("int"))
+    rows = templates.sparkSession.range(n).crossJoin(size).withColumn("_k", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_size")))
     h = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))
     date = F.format_string("%02d/%02d/%04d", h(2, 28) + 1, h(3, 12) + 1, h(4, 3) + 2024)
     clock = F.format_string("%02d:%02d", h(5, 24), h(6, 60))
@@ -113,7 +122,7 @@ def augmented(templates: DataFrame, n: int, text: str = "text") -> DataFrame:
     out = F.col(text)
     for pattern, new in ((r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", date), (r"\b\d{1,2}[:.]\d{2}\b", clock), (r"\b[A-Z]{1,2}\s?\d{3,4}\s?[A-Z]{1,3}\b", plate), (r"\b08\d{8,11}\b", phone)):
         out = F.regexp_replace(out, F.lit(pattern), new)
-    return rows.join(F.broadcast(known), "_k").select(F.format_string("aug_spc_%05d", F.col("id") + 1).alias("pair_id"), "template_id", out.alias(text))
+    return rows.join(known, "_k").select(F.format_string("aug_spc_%05d", F.col("id") + 1).alias("pair_id"), "template_id", out.alias(text))
 
 
 def sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:

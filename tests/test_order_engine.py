@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +241,38 @@ def test_datasets(spark):
     assert datasets.sample(n, 5, 1, "record_id").collect() == datasets.sample(n.repartition(7), 5, 1, "record_id").collect()
 
 
+def plain_augmented(spark, templates, n):
+    """(pair_id, template_id, text) of n rows, from the hashes alone."""
+    h = lambda *x: F.xxhash64(*x)
+    ids = [F.col("id")]
+    cols = [h(*ids, F.lit(k)).alias(f"h{k}") for k in range(1, 9)] + [h(F.concat("id", F.lit(c))).alias(c) for c in "pq"]
+    hashes = spark.range(n).select("id", *cols).collect()
+    of = {r.t: r.h for r in spark.createDataFrame([(t,) for t, _ in templates], "t long").select("t", h("t").alias("h")).collect()}
+    known, out = sorted(templates, key=lambda t: (of[t[0]] % datasets.BUCKETS, t)), []
+    for r in hashes:
+        t, s = known[r.h1 % len(known)]
+        plate = f"{'BDFL'[r.p % 4]} {r.h7 % 9000 + 1000} {('AB', 'KQ', 'UXS', 'TEY')[r.q % 4]}"
+        for pattern, new in (
+            (r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", f"{r.h2 % 28 + 1:02}/{r.h3 % 12 + 1:02}/{r.h4 % 3 + 2024:04}"), (r"\b\d{1,2}[:.]\d{2}\b", f"{r.h5 % 24:02}:{r.h6 % 60:02}"),
+            (r"\b[A-Z]{1,2}\s?\d{3,4}\s?[A-Z]{1,3}\b", plate), (r"\b08\d{8,11}\b", "08" + str(r.h8 % 10**10).rjust(10, "1")),
+        ):
+            s = re.sub(pattern, new, s)
+        out.append((f"aug_spc_{r.id + 1:05}", t, s))
+    return out
+
+
+def test_augmented(spark):
+    templates = [(k, f"no {k}: 08:00 1/2/2024 B 1234 XY 081234567890") for k in range(3000)]
+    df = spark.createDataFrame(templates, "template_id long, text string")
+    got = datasets.augmented(df.repartition(5), 700)
+    assert sorted(map(tuple, got.collect())) == plain_augmented(spark, templates, 700)
+    assert datasets.augmented(df.where("false"), 5).count() == 0
+    parts = [(r.p_partkey, f"REQUEST 1/2/2024 08:00 B 1234 XY 081234567890 {r.p_name}") for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    rows = entry.queries()["augmented_templates"](spark, SF).collect()
+    assert sorted(map(tuple, rows)) == sorted(plain_augmented(spark, parts, 25 * len(parts)))
+    assert max(r.template_id for r in rows) > 20
+
+
 def test_blocks_helpers(spark):
     rows = spark.createDataFrame([(1, 1, "2 unit", None), (1, 2, "", "X"), (1, 3, "", None)], "b int, seq int, unit_qty string, origin string")
     assert [r.origin for r in blocks.repair_headers(rows, "b", "seq", ("origin",)).orderBy("seq").collect()] == ["X", "X", None]
