@@ -1,10 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with templates; DataFrame functions only.
 
-A block is a line or sentence.  A template is found in a block when the block's words hold at least the share THRESHOLD of the
+A block is a line or sentence, or as many words in a row as the template has, whatever stands between them: notices are often
+hard-wrapped.  A template is found in a block when the block's words hold at least the share THRESHOLD of the
 template's distinct words.  The words are ordered by their number of places in the whole table, rare ones first.  A template must
 then meet a block on one of its first n - ceil(THRESHOLD * n) + 1 words (prefix filter); the block needs as many words as the
 threshold asks (length filter); what both have left from the place of the first meeting on must suffice (positional filter); the
-rest is verified.  The templates are a constant of some hundred words, so they are broadcast.
+rest is verified.  Words in a row are compared, without a join, where a text holds enough words of the template.  The templates are a constant of some hundred words, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -76,6 +77,30 @@ def _templates(spark: SparkSession, counts: dict[str, int], templates: dict[str,
     return spark.createDataFrame(rows, "token string, label string, t array<string>, size int, need int, at int")
 
 
+def _in_a_row(text: Column, templates: dict[str, str], vocabulary: list[str], threshold: float) -> Column:
+    """array<struct<label, share>>: the templates found in windows of their own length over all words of a text. Windows start at a word
+    of the template, as any other finds no more than the next of these. (Arrays are bound by lambdas, so that each is made once.)"""
+    once = lambda c, body: F.get(F.transform(F.array(c), body), 0)
+    heard = F.transform(F.split(lowered(spaced(text)), " "), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+
+    def one(hits: Column, own: Column, t: str, label: str) -> Column:
+        width, words = len(t.split()), sorted(set(t.split()))
+        need, wanted = ceil(threshold * len(words) - 1e-9), F.array(*map(F.lit, words))
+
+        def window(x, j):
+            near = F.filter(F.slice(hits, j + 1, F.lit(width)), lambda y: y["i"] < x["i"] + width)
+            shared = F.size(F.array_intersect(F.transform(near, lambda y: y["w"]), wanted))
+            return F.when(x["w"].isin(words), once(shared, lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / len(words)).alias("share")))))
+
+        none = F.array().cast("array<struct<label:string,share:double>>")
+        return F.when(F.size(F.array_intersect(own, wanted)) >= need, F.array_distinct(F.array_compact(F.transform(hits, window)))).otherwise(none)
+
+    def every(hits: Column) -> Column:
+        return once(F.array_distinct(F.transform(hits, lambda x: x["w"])), lambda own: F.flatten(F.array(*(one(hits, own, t, label) for t, label in templates.items()))))
+
+    return once(F.filter(heard, lambda x: x["w"].isin(vocabulary)), every)
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs: doc_id long, text string, any other columns. Returns a row for each row: doc_id, n_words, n_base (long: places of the phrases),
     first_word, last_word (long: their least and greatest start, else null), base_labels, labels (string: distinct, sorted, joined by
@@ -97,7 +122,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
     # a text without any word of a prefix has no block to look at
     rare = sorted({r.token for r in prefixes.select("token").distinct().collect()})  # a constant's words
-    blocks = keyed.where(F.col("text").rlike(_any_of(rare))).select("id", "h", F.explode(F.split("text", BLOCKS)).alias("block")).where(F.length("block") >= 2 * least - 1)
+    likely = keyed.where(F.col("text").rlike(_any_of(rare)))
+    blocks = likely.select("id", "h", F.explode(F.split("text", BLOCKS)).alias("block")).where(F.length("block") >= 2 * least - 1)
     words = blocks.select("id", "h", "block", F.array_distinct(F.split(lowered(spaced(F.col("block"))), " ")).alias("words")).where(F.size("words") >= least)
     met = words.select("id", "h", "block", "words", F.explode("words").alias("token")).join(F.broadcast(prefixes), "token").where(F.size("words") >= F.col("need"))
     exact = F.split(lowered(spaced(F.col("block"))), " ")
@@ -107,6 +133,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     near = met.where((place > 0) & (F.size("mine") - place + 1 >= F.col("need")) & (F.col("size") - F.col("at") >= F.col("need")))
     shared = F.size(F.array_intersect("mine", "t"))
     found = near.select("id", "h", "label", (shared / F.col("size")).alias("share"), shared.alias("shared"), "need").where("shared >= need")
+    wrapped = likely.select("id", "h", F.explode(_in_a_row(F.col("text"), templates, vocabulary, threshold)).alias("x"))
+    found = found.select("id", "h", "label", "share").union(wrapped.select("id", "h", "x.label", "x.share"))
     found = found.groupBy("id", "h").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
     plain = keyed.select("id", "h", "doc_id", spaced("text").alias("line"))
@@ -130,7 +158,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
 
 def oracle(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same result by plain comparison of every block with every template, in DuckDB's SQL."""
+    """The same result by plain comparison of every line and sentence with every template, in DuckDB's SQL: of texts without wrapped notices."""
     rows = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))})" for i, (t, label) in enumerate(templates.items()))
     said = ", ".join(f"('{label}', {p.split()})" for p, label in phrases.items())
     lower = f"translate(text, '{UPPER}', '{LOWER}')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -316,6 +317,41 @@ def test_licenses(spark, tmp_path):
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
+def plain_licenses(text):
+    """The templates' labels and the largest share, by every line, sentence and run of words against every template."""
+    words = lambda t: [w for w in re.split(licenses.GAPS, t.translate(str.maketrans(licenses.UPPER, licenses.LOWER))) if w]
+    whole, labels, share = words(text), set(), 0.0
+    blocks = [set(words(b)) for b in re.split(licenses.BLOCKS, text)]
+    for t, label in licenses.TEMPLATES.items():
+        n, want = len(t.split()), set(t.split())
+        for block in blocks + [set(whole[i : i + n]) for i in range(len(whole))]:
+            if len(block & want) >= math.ceil(licenses.THRESHOLD * len(want) - 1e-9):
+                labels.add(label)
+                share = max(share, len(block & want) / len(want))
+    return ",".join(sorted(labels)), share
+
+
+def test_wrapped_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"
+    gpl = "This work is licensed under the GNU General Public\nLicense, version 3"
+    texts = [bsd, gpl, f"x {bsd}\nprovided that\n{gpl}. The end", gpl.replace("\n", " one two three four five six seven eight nine ten eleven\n"), "Mozilla\nPublic\nLicense\nVersion\n2.0", None, ""]
+    r = random.Random(4)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.split()})
+    for _ in range(120):
+        w = []
+        for _ in range(r.randint(1, 4)):
+            t = [x for x in r.choice(list(licenses.TEMPLATES)).split() if r.random() > 0.12]
+            w += [r.choice(vocabulary + ["é", "other"]) for _ in range(r.randint(0, 6))] + [x.upper() if r.random() < 0.1 else x for x in t]
+        texts.append("".join(x + r.choice([" ", " ", " ", "\n", ". ", ", "]) for x in w))
+    got = {x.doc_id: x for x in licenses.scan_licenses(table(spark, enumerate(texts))).collect()}
+    assert [got[i].labels for i in range(7)] == ["bsd", "gpl-3", "bsd,gpl-3", "", "mpl-2", "", ""]
+    for i, text in enumerate(texts):
+        labels, share = plain_licenses(text or "")
+        base = got[i].base_labels.split(",") if got[i].base_labels else []
+        assert got[i].labels == ",".join(sorted({*base, *labels.split(",")} - {""}))
+        assert got[i].score == (1.0 if base else share)
+
+
 def labelled_corpus(n=1200, seed=8):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
