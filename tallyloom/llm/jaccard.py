@@ -296,23 +296,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     doc_id keep a null component and link nothing.  An empty table gives an empty result.  Equality of shingles is that of their
     64-bit hashes.
     """
-    return _labelled(keep_columns(docs, "doc_id", "text").withColumn("h", F.lit(0).cast("long")), words, num, den).drop("h")
+    return _labelled(keep_columns(docs, "doc_id", "text").withColumn("h", F.lit(0).cast("long")), words, num, den).drop("h", "root")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, by_text: bool = False) -> DataFrame:
     """The rows of docs, with all columns, without near duplicates: of each component the document with the least doc_id stays, once.
-    Wordless texts and rows without doc_id are in no component and stay."""
+    Wordless texts and rows without doc_id are in no component and stay.
+
+    Where one doc_id carries several texts, each the least of a component of its own, one of them stays; by_text keeps each of them.
+    """
     names = docs.columns
     docs = docs.withColumn("_h", F.xxhash64("text"))
     found = _labelled(docs.select("doc_id", "text", F.col("_h").alias("h")), words, num, den)
-    chosen = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("_h"))
+    chosen = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", *["root"] * by_text).agg(F.min("h").alias("_h"))
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     one = docs.where(~alone).join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
     return one.unionByName(docs.where(alone)).select(*(F.col(f"`{c}`") for c in names))
 
 
 def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """docs: doc_id, text, h (handed through). Returns doc_id, n_shingles, component_id, h."""
+    """docs: doc_id, text, h (handed through). Returns doc_id, n_shingles, component_id, h, root (the component, also where ids repeat)."""
     spark, n = docs.sparkSession, width(docs.sparkSession)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
     sets = arrow_map(docs, _sets(words, num, den, frequent), "doc_id long, n int, light int, key binary, prefix array<long>")
@@ -381,9 +384,9 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     # the least document of a component, for every set's key
     named = entities.select("eid", "key", "doc_id").join(labels.withColumnRenamed("id", "eid"), "eid", "left").withColumn("root", F.coalesce("root", "eid"))
-    named = named.withColumn("component_id", F.min("doc_id").over(Window.partitionBy("root"))).select("key", "component_id")
+    named = named.withColumn("component_id", F.min("doc_id").over(Window.partitionBy("root"))).select("key", "component_id", "root")
     plain = arrow_map(docs, _keys(words), "doc_id long, n_shingles long, key binary, h long")
-    return plain.join(named, "key", "left").select("doc_id", "n_shingles", "h", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return plain.join(named, "key", "left").select("doc_id", "n_shingles", "h", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _keys(words: int):

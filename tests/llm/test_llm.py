@@ -120,6 +120,16 @@ def test_keep_one(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, [*want, *alone]))
 
 
+def test_keep_one_text_of_each_component(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    near = lambda t: t + " end"
+    rows = [(1, one), (1, two), (2, near(one)), (3, near(two)), (4, two), (1, one), (5, "c d e f g h"), (5, "c d e f g h"), (6, ""), (None, one)]
+    got = corpus_pipeline.without_near_copies(spark, table(spark, rows), "")
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(1, one), (1, two), (5, "c d e f g h"), (6, ""), (None, one)], key=str)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300, 300)] + [(400 + i, 401 + i) for i in range(50)] + [(999, i) for i in range(1000, 1100)]
