@@ -273,6 +273,26 @@ def test_augmented(spark):
     assert max(r.template_id for r in rows) > 20
 
 
+def test_random_negatives(spark):
+    """Plainly: in each bucket of a hash every record meets the next signature, in a ring; a bucket of one gives none."""
+    from tallyloom import queries
+
+    records = queries._records(spark, SF)
+    sig = F.col("signature")
+    rows = records.select("record_id", "signature", F.xxhash64(sig, F.lit(7)).alias("b"), F.xxhash64(sig).alias("h"), datasets.candidate_text().alias("t")).collect()
+    assert len({r.signature for r in rows}) == len(rows)
+    rings, want = {}, []
+    for r in sorted(rows, key=lambda r: (r.h, r.signature)):
+        rings.setdefault(r.b % 64, []).append(r)
+    for ring in rings.values():
+        want += [(a.record_id, b.t) for a, b in zip(ring, ring[1:] + ring[:1]) if len(ring) > 1]
+    got = datasets.pair_dataset(records).where("pair_kind = 'random'").collect()
+    assert sorted((r.source_id, r.text_b) for r in got) == sorted(want) and {r.label for r in got} == {"NO_MATCH"}
+    counts = {r.pair_kind: r.n for r in entry.queries()["pair_dataset_all"](spark, SF).collect()}
+    assert counts["random"] == len(want) > 0
+    assert {k: n for k, n in counts.items() if k != "random"} == {r.pair_kind: r.n for r in entry.queries()["pair_dataset"](spark, SF).collect()}
+
+
 def test_blocks_helpers(spark):
     rows = spark.createDataFrame([(1, 1, "2 unit", None), (1, 2, "", "X"), (1, 3, "", None)], "b int, seq int, unit_qty string, origin string")
     assert [r.origin for r in blocks.repair_headers(rows, "b", "seq", ("origin",)).orderBy("seq").collect()] == ["X", "X", None]
