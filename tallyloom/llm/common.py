@@ -18,13 +18,22 @@ BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests) one of our own."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset and all is one machine (tests), one of our
+    own; on a cluster that is an error, as no executor would see another's files."""
     sc, place = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not sc.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallyloom-"))
     return place or sc._jsc.sc().getCheckpointDir().get()
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours on whatever file system it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so that later jobs neither compute it anew nor lose it with an executor.
 
@@ -52,7 +61,8 @@ def tidied(fn: Callable) -> Callable:
 
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, 1 << 20)  # arrays of a MB and more are mapped, and so go back at once
+            libc.mallopt(-3, 4 << 20)  # arrays of 4 MB and more are mapped, and so go back at once
+            libc.mallopt(-1, 16 << 20)  # up to 16 MB stay for the next arrays: to map and clear them anew takes longer than to fill them
         try:
             yield from fn(batches)
         finally:

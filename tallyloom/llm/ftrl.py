@@ -72,12 +72,13 @@ class Ftrl:
 def fit(docs: DataFrame, labelled: DataFrame, classes: int, gaps: bool = False, max_rows: int = MAX_ROWS, epochs: int = EPOCHS):
     """docs: doc_id, text. labelled: doc_id, y (array of `classes` doubles), one row an id. Returns a broadcast (biases, coordinates, weights).
 
-    The rows stream through one task in the order of a hash, `epochs` times over; their number is bounded by max_rows.
+    The rows stream through one task in the order of a hash, `epochs` times over; their number is bounded by max_rows. Of several texts
+    of one id the least counts, so that every run learns alike.
     """
     spark = docs.sparkSession
     order = F.xxhash64("doc_id")
     sample = labelled.where("doc_id is not null").select("doc_id", "y", order.alias("at")).orderBy("at", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "at", "y").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for batch in sliced(batches):

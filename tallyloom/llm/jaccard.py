@@ -305,13 +305,12 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 
     Where one doc_id carries several texts, each the least of a component of its own, one of them stays; by_text keeps each of them.
     """
-    names = docs.columns
-    docs = docs.withColumn("_h", F.xxhash64("text"))
-    found = _labelled(docs.select("doc_id", "text", F.col("_h").alias("h")), words, num, den)
-    chosen = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", *["root"] * by_text).agg(F.min("h").alias("_h"))
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("h", F.xxhash64("text"))
+    found = _labelled(rows.select("doc_id", "text", "h"), words, num, den)
+    chosen = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", *["root"] * by_text).agg(F.min("h").alias("h"))
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = docs.where(~alone).join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
-    return one.unionByName(docs.where(alone)).select(*(F.col(f"`{c}`") for c in names))
+    one = rows.where(~alone).join(chosen, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return one.select("row").union(rows.where(alone).select("row")).select("row.*")
 
 
 def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:

@@ -49,9 +49,14 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def range_value(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers that agree where ranges of one length agree."""
+    return (sums[ends] - sums[starts]) * _inverse[starts]
+
+
 def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end] that depend on the bytes alone, not on where they stand."""
-    return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(U64))
+    return mix(range_value(sums, starts, ends) + (ends - starts).astype(U64))
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -147,9 +147,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_wh
 
 
 def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as mix() says; all columns."""
+    """The rows of docs, each as often as mix() says; all columns, of whatever name."""
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    chosen = mixed.select(key.alias("_k"), F.col("th").alias("_th"), F.col("copies").alias("_n")).dropDuplicates(["_k", "_th"]).where("_n > 0")
-    names = docs.columns
-    keyed = docs.withColumn("_k", key).withColumn("_th", F.md5(F.coalesce("text", F.lit(""))))
-    return keyed.join(chosen, ["_k", "_th"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(F.col(f"`{c}`") for c in names))
+    chosen = mixed.select(key.alias("id"), "th", "copies").dropDuplicates(["id", "th"]).where("copies > 0")
+    rows = docs.select(key.alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(chosen, ["id", "th"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

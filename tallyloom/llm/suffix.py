@@ -1,77 +1,236 @@
 """Removal of every byte under a string of `size` bytes that also starts anywhere else, by a logarithmic family of suffix arrays.
 
-The suffixes are the places where a whole string of `size` bytes starts; an array holds them in the order of the 64-bit hashes of
-those first `size` bytes, so that equal strings are neighbours (a longer order is of no use here: what counts is whether `size`
-bytes agree).  A batch of suffixes gets an array, is merge-scanned against the levels there are, and levels of like size merge.
-
-No array of the whole corpus is made.  Winnowing picks in each string of `size` bytes one anchor of GRAM bytes by the bytes alone,
-so equal strings have equal anchors at equal places, and only anchors that occur twice can stand in repeated strings.  For these
-the strings around them are sent to the anchor's task, which keeps the family of arrays.  Equal strings are those of equal hash.
+1. Winnowing picks in each string of `size` bytes one anchor of GRAM bytes by the bytes alone, so equal strings have equal anchors at
+   equal places.  The places of the anchors are the sampled suffixes: each run of string starts that share an anchor is one span.
+2. The corpus comes in batches.  A batch's sampled suffixes, in the order of their anchors and then of their whole spans, are its
+   array; it is merge-scanned against the levels that RepeatIndex keeps in the shared folder.  What a batch has in common with itself
+   or a level comes out: spans that agree as a whole, and anchors that stand in unlike spans.  Levels of like size then merge.
+3. Spans that agree as a whole repeat at all their places; their texts need not be looked at again.  Of unlike spans with one anchor
+   each distinct one goes once to the anchor's task, where a family of full suffix arrays (every start, in the order of the bytes)
+   tells by the longest common prefixes which strings stand in several.
+4. An anchor with more than HOT distinct spans would fill one task: its strings are dealt by their own hashes and counted instead.
+
+A suffix is told from another by its first `size` bytes: what counts is whether these agree.  Equality of ranges of bytes is that of
+64-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, cut, keep_columns, sliced, tidied, width
-from .kernels import U64, encode, prefix_sums, range_hash, runs
+from .common import arrow_map, clear, column, cut, keep_columns, shared_dir, sliced, tidied, width
+from .kernels import U64, encode, prefix_sums, range_hash, range_value
 
 SIZE = 400
 #: Bytes of an anchor: long enough to be rare by chance, short enough to leave few anchors (one in (SIZE - GRAM) / 2 bytes).
 GRAM = 64
 #: Bytes of a text that are looked at together.
-PIECE = 1 << 18
-#: Occurrences of an anchor to a task; more are dealt out over several, each with its share of the hashes.
-HOT = 50_000
-#: Bytes of spans that make a batch.
+PIECE = 1 << 15
+#: Distinct spans of an anchor that are compared in one task.
+HOT = 1_000
+#: Bytes of spans that make a batch of the family inside a task.
 BATCH = 1 << 19
+#: Batches in which a whole table is fed to the index.
+BATCHES = 3
 _PLACE_BITS = 24
 
 
+class Suffixes:
+    """The suffixes of `data` that start at `starts` and have `size` bytes or more, in the order of those bytes.
+
+    Of suffixes that agree one stands in the array, with the owner of the first; `seen` tells whether it has been met again.
+    """
+
+    def __init__(self, data: np.ndarray, size: int, at: np.ndarray, owners: np.ndarray, seen: np.ndarray, sums: np.ndarray | None = None):
+        self.data, self.size, self.at, self.owners, self.seen = data, size, at, owners, seen
+        self.sums = prefix_sums(data) if sums is None else sums
+        self.keys = self._first(at)
+
+    def _first(self, at: np.ndarray) -> np.ndarray:
+        return self.words(at) >> U64(8 * max(0, 8 - self.size))
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes at each place as a number that sorts as they do; zeros stand beyond the end."""
+        if not hasattr(self, "_words"):
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._words = sum((padded[k : k + len(self.data) + 1].astype(U64) << U64(56 - 8 * k) for k in range(8)), np.zeros(len(self.data) + 1, U64))
+        return self._words[at]
+
+    @classmethod
+    def of(cls, data: np.ndarray, size: int, starts: np.ndarray, owners: np.ndarray, known: np.ndarray) -> tuple[Suffixes, np.ndarray]:
+        """The array, and the owners of suffixes that agree with an earlier one. known: met elsewhere already."""
+        sums = prefix_sums(data)
+        _, first, group = np.unique(range_value(sums, starts, starts + size), return_index=True, return_inverse=True)
+        seen = np.zeros(len(first), bool)
+        np.logical_or.at(seen, group, known)
+        seen |= np.bincount(group, minlength=len(first)) > 1
+        rest = np.ones(len(starts), bool)
+        rest[first] = False
+        out = cls(data, size, starts[first], owners[first], seen, sums)
+        order = out._sorted()
+        out.at, out.owners, out.seen, out.keys = out.at[order], out.owners[order], out.seen[order], out.keys[order]
+        return out, owners[rest]
+
+    def _sorted(self) -> np.ndarray:
+        """Order by eight bytes; then, while some are tied, by the eight bytes behind what all of a tied group have in common."""
+        order = np.argsort(self.keys, kind="stable")
+        key = self.keys[order]
+        place = np.arange(len(order))
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+        head = np.maximum.accumulate(np.where(new, place, 0)) if len(key) else place
+        tied = place[np.bincount(head, minlength=len(head))[head] > 1] if len(head) else place
+        while len(tied):
+            group, at = head[tied], self.at[order[tied]]
+            depth = common(self, at, self, self.at[order[group]])
+            heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            depth = np.repeat(np.minimum.reduceat(depth, heads), np.diff(heads, append=len(tied)))
+            key = self.words(at + depth)
+            sub = np.lexsort((key, group))
+            order[tied], key = order[tied][sub], key[sub]
+            new = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+            heads = np.flatnonzero(new)
+            times = np.diff(heads, append=len(tied))
+            head[tied] = np.repeat(tied[heads], times)
+            tied = tied[np.repeat(times > 1, times)]
+        return order
+
+    def locate(self, other: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of another array the place in this one before which it belongs, and whether the one there agrees with it."""
+        low, high = np.searchsorted(self.keys, other.keys, "left"), np.searchsorted(self.keys, other.keys, "right")
+        found = np.zeros(len(low), bool)
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            mid = (low[todo] + high[todo]) // 2
+            mine, theirs = self.at[mid], other.at[todo]
+            depth = common(self, mine, other, theirs)
+            same = depth == self.size
+            here = np.minimum(depth, self.size - 1)
+            less = ~same & (self.data[mine + here] < other.data[theirs + here])
+            found[todo[same]] = True
+            low[todo] = np.where(less, mid + 1, np.where(same, mid, low[todo]))
+            high[todo] = np.where(less, high[todo], mid)
+            todo = todo[~same & (low[todo] < high[todo])]
+        return low, found
+
+    def only(self, sel: np.ndarray) -> Suffixes:
+        out = Suffixes.__new__(Suffixes)
+        out.__dict__.update(self.__dict__)
+        out.at, out.owners, out.seen, out.keys = self.at[sel], self.owners[sel], self.seen[sel], self.keys[sel]
+        return out
+
+    def merged(self, other: Suffixes) -> Suffixes:
+        """Both arrays' suffixes, none of which agree, in one array."""
+        at, _ = self.locate(other)
+        return Suffixes(
+            np.concatenate([self.data, other.data]), self.size, np.insert(self.at, at, other.at + len(self.data)), np.insert(self.owners, at, other.owners), np.insert(self.seen, at, other.seen)
+        )
+
+
+def common(a: Suffixes, i: np.ndarray, b: Suffixes, j: np.ndarray) -> np.ndarray:
+    """Longest common prefixes, up to `size`, of the suffixes that start at i and j."""
+    out = np.zeros(len(i), np.int64)
+    step = 1 << (a.size.bit_length() - 1)
+    while step:
+        todo = np.flatnonzero(out + step <= a.size)
+        x, y = i[todo] + out[todo], j[todo] + out[todo]
+        out[todo[range_value(a.sums, x, x + step) == range_value(b.sums, y, y + step)]] += step
+        step >>= 1
+    return out
+
+
 class SuffixLevels:
-    """Suffix arrays of geometrically growing sizes; each distinct key stands in one of them, with whether it has been met again."""
+    """Suffix arrays of geometrically growing sizes; each distinct string stands in one of them."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, owners: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Takes in a batch; returns those of its owners that repeat and are not kept (a key's first one is kept, see repeated()).
+        self.levels: list[Suffixes] = []
 
-        known: the key is known to stand elsewhere too.
-        """
-        if not len(keys):
+    def add(self, data: np.ndarray, size: int, starts: np.ndarray, owners: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Takes in a batch; returns those of its owners that repeat and are not kept (a string's first one is kept, see repeated())."""
+        if not len(starts):
             return owners
-        order = np.argsort(keys, kind="stable")
-        keys, owners, known = keys[order], owners[order], known[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        heads = np.flatnonzero(first)
-        again = np.logical_or.reduceat(known, heads) | (np.diff(heads, append=len(keys)) > 1)
-        out = [owners[~first]]
-        keys, owners = keys[heads], owners[heads]
-        for k, _, seen in self.levels:  # the merge scan
-            at = np.searchsorted(k, keys)
-            at[at == len(k)] = 0
-            hit = k[at] == keys
-            seen[at[hit]] = True
-            out.append(owners[hit])
-            keys, owners, again = keys[~hit], owners[~hit], again[~hit]
-        if len(keys):
-            self.levels.append((keys, owners, again))
-        while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
-            merged = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1])]
-            order = np.argsort(merged[0], kind="stable")
-            self.levels[-2:] = [tuple(x[order] for x in merged)]
+        batch, again = Suffixes.of(data, size, starts, owners, known)
+        out = [again]
+        for level in self.levels:  # the merge scan
+            at, hit = level.locate(batch)
+            level.seen[at[hit]] = True
+            out.append(batch.owners[hit])
+            batch = batch.only(~hit)
+        if len(batch.at):
+            self.levels.append(batch)
+        while len(self.levels) > 1 and len(self.levels[-1].at) * 2 > len(self.levels[-2].at):
+            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1])]
         return np.concatenate(out)
 
     def repeated(self) -> np.ndarray:
-        """The owners that are kept and whose keys have been met again."""
-        return np.concatenate([np.empty(0, np.int64), *(o[s] for _, o, s in self.levels)])
+        """The owners that are kept and whose strings have been met again."""
+        return np.concatenate([np.empty(0, np.int64), *(x.owners[x.seen] for x in self.levels)])
+
+
+class RepeatIndex:
+    """The logarithmic family over batches: levels of sampled suffixes, written to a folder that driver and executors share.
+
+    A level is a table of (fp, sh, n, own), one row for each distinct span: its anchor's hash, its own, how often it stood there, and
+    the first place of it (entity, first and last start); it is sorted by fp and sh within partitions dealt by both.  add() takes in a
+    batch, merge-scans it against all levels and writes what it met; what is new there (fresh) is a level.  Before a batch comes, levels merge as long as the
+    last one has more than half the rows of the one before, so that there are logarithmically many.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder or f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
+        self.levels: list[tuple[str, int]] = []
+        self.scans: list[str] = []
+        self.unlike: list[str] = []
+        self._serial = 0
+
+    def _write(self, rows: DataFrame) -> str:
+        self._serial += 1
+        path = f"{self.folder}/{self._serial}"
+        rows.write.parquet(path)
+        return path
+
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema("fp long, sh long, n long, own struct<eid:long,lo:int,hi:int>, fresh boolean").parquet(*paths).where("fresh")
+
+    def _merge(self) -> None:
+        while len(self.levels) > 1 and self.levels[-1][1] * 2 > self.levels[-2][1]:
+            (a, m), (b, n) = self.levels[-2:]
+            both = self._read(a, b).repartition(width(self.spark), "fp", "sh").sortWithinPartitions("fp", "sh")
+            self.levels[-2:] = [(self._write(both), m + n)]
+
+    def add(self, spans: DataFrame) -> None:
+        """spans: fp, sh, n (copies of it), eid, lo, hi."""
+        self._merge()
+        new = spans.groupBy("fp", "sh").agg(F.sum("n").alias("n"), F.min(F.struct("eid", "lo", "hi")).alias("own"), F.lit(True).alias("fresh"))
+        if self.levels:
+            new = new.union(self._read(*(p for p, _ in self.levels)).withColumn("fresh", F.lit(False)))
+        scan = new.groupBy("fp", "sh").agg(F.sum("n").alias("n"), F.min("own").alias("own"), F.min("fresh").alias("fresh"), F.max("fresh").alias("met"))
+        level = self._write(scan.where("met").drop("met").sortWithinPartitions("fp", "sh"))
+        unlike = new.groupBy("fp").agg(F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("fresh").alias("met"))
+        self.unlike.append(self._write(unlike.where("met and a < b").select("fp")))
+        self.scans.append(level)
+        if count := self._read(level).count():
+            self.levels.append((level, count))
+
+    def matches(self) -> tuple[DataFrame, DataFrame]:
+        """Spans (fp, sh) that stand at several places, and anchors (fp) that stand in several unlike spans; each once."""
+        again = self.spark.read.schema("fp long, sh long, n long").parquet(*self.scans).where("n > 1").select("fp", "sh").distinct()
+        return again, self.spark.read.schema("fp long").parquet(*self.unlike).distinct()
+
+    def spans(self) -> DataFrame:
+        """All distinct spans: fp, sh, own."""
+        if not self.levels:
+            return self.spark.createDataFrame([], "fp long, sh long, own struct<eid:long,lo:int,hi:int>")
+        return self._read(*(p for p, _ in self.levels)).select("fp", "sh", "own")
+
+    def close(self) -> None:
+        clear(self.spark, self.folder)
 
 
 def pieces(texts: list[bytes], size: int, limit: int = PIECE) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -138,128 +297,101 @@ def _texts(batch) -> list[bytes]:
 
 
 def _anchors(size: int, gram: int):
+    """Of each text the spans: their anchors' hashes, their own, and their first and last starts."""
+
     def run(batches):
         for batch in sliced(batches):
             texts = _texts(batch)
-            fps: list[list] = [[] for _ in texts]
-            for who, _, parts in pieces(texts, size):
+            out: list[list[list]] = [[[] for _ in texts] for _ in range(4)]
+            for who, where, parts in pieces(texts, size):
                 a = Anchored(parts, size, gram)
+                own = range_hash(a.sums, a.lo, a.hi + size)
+                shift = np.array(where)[a.part] - a.at[a.part]
                 cuts = np.searchsorted(a.part, np.arange(len(parts) + 1))
                 for k, i in enumerate(who):
-                    fps[i].append(a.fp[cuts[k] : cuts[k + 1]])
-            yield {"id": column(batch, "id"), "th": column(batch, "th"), "n_bytes": [len(t) for t in texts], "fps": [np.concatenate(f).view(np.int64) if f else [] for f in fps]}
+                    s = slice(cuts[k], cuts[k + 1])
+                    for to, x in zip(out, (a.fp.view(np.int64), own.view(np.int64), a.lo + shift, a.hi + shift)):
+                        to[i].append(x[s])
+            fps, shs, los, his = ([np.concatenate(x).astype(kind) if x else [] for x in side] for side, kind in zip(out, (np.int64, np.int64, np.int32, np.int32)))
+            yield {"id": column(batch, "id"), "th": column(batch, "th"), "n_bytes": [len(t) for t in texts], "fps": fps, "shs": shs, "los": los, "his": his}
 
     return run
 
 
-def _spans(size: int, gram: int):
-    """Around each anchor that occurs twice: the strings as one span of bytes. Spans that agree within a batch go out once, and the
-    others' strings are known to repeat (kind 1: an interval of removed bytes)."""
+def _spans(size: int):
+    """Rows of texts with the spans that are to be compared. Yields them (kind 0) or, where the anchor is hot, their strings (kind 1: fp is
+    the string's hash, lo where it starts)."""
 
     def run(batches):
         for batch in sliced(batches):
-            texts, eids, dups = _texts(batch), column(batch, "eid").to_pylist(), column(batch, "copied").to_pylist()
-            wanted, counts = column(batch, "fps").to_pylist(), column(batch, "counts").to_pylist()
-            for who, where, parts in pieces(texts, size):
-                a = Anchored(parts, size, gram)
-                who, where = np.array(who), np.array(where)
-                cuts = np.searchsorted(a.part, np.arange(len(parts) + 1))
-                keep, count = np.zeros(len(a.fp), bool), np.zeros(len(a.fp), np.int64)
-                for k, i in enumerate(who):
-                    s = slice(cuts[k], cuts[k + 1])
-                    w = np.array(wanted[i], np.int64).view(U64)
-                    order = np.argsort(w)
-                    w, c = w[order], np.array(counts[i], np.int64)[order]
-                    at = np.searchsorted(w, a.fp[s])
-                    at[at == len(w)] = 0
-                    keep[s] = w[at] == a.fp[s]
-                    count[s] = c[at]
-                lo, hi, fp, part, count = (x[keep] for x in (a.lo, a.hi, a.fp, a.part, count))
-                if not len(lo):
-                    continue
-                eid = np.array([eids[i] for i in who], np.int64)[part]
-                shift = where[part] - a.at[part]
-                same = range_hash(a.sums, lo, hi + size) ^ fp
-                _, first, group, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
-                repeated = (times > 1)[group]
-                out = {k: [] for k in ("kind", "eid", "lo", "hi", "fp", "salts", "known", "span")}
-
-                def put(kind, sel, span, salts, known):
-                    for name, value in (("kind", np.full(len(sel), kind, np.int32)), ("eid", eid[sel]), ("fp", fp[sel].view(np.int64)), ("salts", salts), ("known", known), ("span", span), ("lo", (lo + shift)[sel])):
-                        out[name].extend(value.tolist() if isinstance(value, np.ndarray) else value)
-                    out["hi"].extend(((hi + shift)[sel] + (0 if kind == 0 else size)).tolist())
-
-                one = np.zeros(len(lo), bool)
-                one[first] = True
-                sel = np.flatnonzero(one)
-                copied = np.array([bool(dups[i]) for i in who])[part[sel]]
-                put(0, sel, [a.data[lo[s] : hi[s] + size].tobytes() for s in sel], np.maximum(1, -(-count[sel] // HOT)), repeated[sel] | copied)
-                done = np.flatnonzero(repeated)
-                for k in np.unique(part[done]):  # intervals of one part, joined
-                    s, e = merged(lo[done][part[done] == k] + shift[done][part[done] == k], hi[done][part[done] == k] + size + shift[done][part[done] == k])
-                    m = len(s)
-                    for name, value in (("kind", [1] * m), ("eid", [int(eids[who[k]])] * m), ("lo", s.tolist()), ("hi", e.tolist()), ("fp", [None] * m), ("salts", [1] * m), ("known", [True] * m), ("span", [None] * m)):
-                        out[name].extend(value)
-                yield out
+            for raw, eid, wanted in zip(_texts(batch), column(batch, "eid").to_pylist(), column(batch, "wanted").to_pylist()):
+                cold = [w for w in wanted if not w["hot"]]
+                n = len(cold)
+                yield {
+                    "kind": [0] * n, "eid": [eid] * n, "lo": [w["lo"] for w in cold], "hi": [w["hi"] for w in cold], "fp": [w["fp"] for w in cold],
+                    "known": [w["known"] for w in cold], "span": [raw[w["lo"] : w["hi"] + size] for w in cold],
+                }
+                for w in wanted:
+                    if w["hot"]:
+                        sums = prefix_sums(np.frombuffer(raw, np.uint8, w["hi"] + size - w["lo"], w["lo"]))
+                        at = np.arange(w["hi"] - w["lo"] + 1)
+                        n = len(at)
+                        yield {
+                            "kind": np.ones(n, np.int32), "eid": np.full(n, eid), "lo": at + w["lo"], "hi": at + w["lo"], "fp": range_hash(sums, at, at + size).view(np.int64),
+                            "known": np.full(n, w["known"]), "span": pa.nulls(n, pa.binary()),
+                        }
 
     return run
 
 
 def _scan(size: int):
-    """Rows of anchors, in the order of fp and salt: yields the intervals under strings that repeat."""
+    """Rows of spans, in the order of fp: yields the intervals under strings that repeat."""
 
     def run(batches):
-        def intervals(owners, spans):
+        def intervals(owners):
             """owners: span number << 32 | start in the span."""
-            if not len(owners):
-                return None
             owners = np.unique(owners)
             who, start = owners >> 32, owners & 0xFFFFFFFF
-            eid = np.array([s[0] for s in spans], np.int64)
-            base = np.array([s[1] for s in spans], np.int64)
+            keep = ~np.array([s[2] for s in spans], bool)[who]  # known ones go as a whole
+            who, start = who[keep], start[keep]
+            if not len(who):
+                return None
+            eid, base = np.array([s[0] for s in spans], np.int64), np.array([s[1] for s in spans], np.int64)
             new = np.concatenate(([True], (who[1:] != who[:-1]) | (start[1:] > start[:-1] + size)))
             heads = np.flatnonzero(new)
-            lasts = np.append(heads[1:], len(owners)) - 1
+            lasts = np.append(heads[1:], len(who)) - 1
             return {"eid": eid[who[heads]], "lo": (base[who] + start)[heads], "hi": (base[who] + start)[lasts] + size}
 
-        family, spans, key, waiting, amount = SuffixLevels(), [], None, [], 0
+        family, spans, key, waiting, amount, pending = SuffixLevels(), [], None, [], 0, []
 
         def flush():
             nonlocal waiting, amount
-            if not waiting:
-                return np.empty(0, np.int64)
-            data = np.frombuffer(b"".join(w[0] for w in waiting), np.uint8)
-            sums, keys, owners, known, at = prefix_sums(data), [], [], [], 0
-            for raw, number, salt, salts, flag in waiting:
-                starts = np.arange(at, at + len(raw) - size + 1)
-                h = range_hash(sums, starts, starts + size)
-                mine = slice(None) if salts == 1 else np.flatnonzero(h % U64(salts) == U64(salt))
-                keys.append(h[mine])
-                owners.append((np.int64(number) << 32) | (starts - at)[mine])
-                known.append(np.full(len(keys[-1]), flag))
-                at += len(raw)
-            waiting, amount = [], 0
-            return family.add(np.concatenate(keys), np.concatenate(owners), np.concatenate(known))
-
-        pending = []
+            if waiting:
+                sizes = np.array([len(raw) for raw, _ in waiting])
+                at = np.cumsum(sizes) - sizes
+                many = sizes - size + 1
+                number = np.repeat([k for _, k in waiting], many)
+                offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                known = np.array([spans[k][2] for _, k in waiting], bool)
+                owners = (number.astype(np.int64) << 32) | offset
+                pending.append(family.add(np.frombuffer(b"".join(raw for raw, _ in waiting), np.uint8), size, np.repeat(at, many) + offset, owners, np.repeat(known, many)))
+                waiting, amount = [], 0
+
         for batch in batches:
-            rows = zip(*(column(batch, c).to_pylist() for c in ("fp", "salt", "salts", "eid", "lo", "known", "span")))
-            for fp, salt, salts, eid, lo, known, raw in rows:
-                if (fp, salt) != key:
-                    # strings of other anchors cannot agree with these: a new family, once enough has gathered
-                    if amount > BATCH:
-                        pending.append(flush())
-                        if out := intervals(np.concatenate([*pending, family.repeated()]), spans):
-                            yield out
-                        family, spans, pending = SuffixLevels(), [], []
-                    key = (fp, salt)
-                elif amount > BATCH:
-                    pending.append(flush())
-                spans.append((eid, lo))
-                waiting.append((raw, len(spans) - 1, salt, salts, known))
+            for fp, eid, lo, known, raw in zip(*(column(batch, c).to_pylist() for c in ("fp", "eid", "lo", "known", "span"))):
+                if amount > BATCH:
+                    flush()
+                if fp != key and pending:  # strings of other anchors cannot agree with these: a new family
+                    flush()
+                    if out := intervals(np.concatenate([*pending, family.repeated()])):
+                        yield out
+                    family, spans, pending = SuffixLevels(), [], []
+                key = fp
+                spans.append((eid, lo, known))
+                waiting.append((raw, len(spans) - 1))
                 amount += len(raw)
-        pending.append(flush())
-        if out := intervals(np.concatenate([*pending, family.repeated()]), spans):
+        flush()
+        if pending and (out := intervals(np.concatenate([*pending, family.repeated()]))):
             yield out
 
     return run
@@ -284,31 +416,43 @@ def _digests(batches):
         }
 
 
-def _decide(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """docs with whole, lo, hi: whether all of a text goes, else the intervals that go; all columns stay."""
-    n = width(docs.sparkSession)
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_th", F.md5(F.coalesce("text", F.lit(""))))
-    texts = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), "text")
-    seen = arrow_map(texts, _anchors(size, gram), "id long, th string, n_bytes long, fps array<long>")
+def _decide(docs: DataFrame, size: int, gram: int, batches: int = BATCHES) -> DataFrame:
+    """docs (doc_id, text) with whole, lo, hi: whether all of a text goes, else the intervals that go; a row for each row."""
+    spark, n = docs.sparkSession, width(docs.sparkSession)
+    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.md5(F.coalesce("text", F.lit(""))))
+    texts = keyed.select("id", "th", "text")
+    seen = arrow_map(texts, _anchors(size, gram), "id long, th string, n_bytes long, fps array<long>, shs array<long>, los array<int>, his array<int>")
     # one entity for all rows of one text
-    entities = cut(seen.groupBy("th").agg(F.count("*").alias("times"), F.min("id").alias("id"), F.any_value("n_bytes").alias("n_bytes"), F.any_value("fps").alias("fps")))
-    entities = entities.withColumn("eid", F.monotonically_increasing_id())
-    anchors = entities.select("eid", F.explode("fps").alias("fp"))
-    twice = anchors.groupBy("fp").count().where("count > 1")
-    wanted = anchors.distinct().join(twice, "fp").groupBy("eid").agg(F.collect_list("fp").alias("fps"), F.collect_list("count").alias("counts"))
-    sources = wanted.join(entities.select("eid", "id", "th", (F.col("times") > 1).alias("copied")), "eid").select("id", "th", "eid", "copied", "fps", "counts")
+    of_first = [F.any_value(c).alias(c) for c in ("n_bytes", "fps", "shs", "los", "his")]
+    entities = cut(seen.groupBy("th").agg(F.count("*").alias("times"), F.min("id").alias("id"), *of_first)).withColumn("eid", F.monotonically_increasing_id())
+    places = entities.select("th", "eid", F.col("times").alias("n"), F.inline(F.arrays_zip(F.col("fps").alias("fp"), F.col("shs").alias("sh"), F.col("los").alias("lo"), F.col("his").alias("hi"))))
+    index = RepeatIndex(spark)
+    for k in range(batches):
+        index.add(places.where(F.pmod(F.xxhash64("th"), F.lit(batches)) == k).drop("th"))
+    again, unlike = index.matches()
+    agree = places.join(again, ["fp", "sh"], "left_semi").select("eid", "lo", (F.col("hi") + size).alias("hi"))
+
+    compared = index.spans().join(unlike, "fp").join(again.withColumn("known", F.lit(True)), ["fp", "sh"], "left")
+    counts = compared.groupBy("fp").agg((F.count("*") > HOT).alias("hot"))
+    wanted = compared.join(counts, "fp").select("fp", "own.*", F.coalesce("known", F.lit(False)).alias("known"), "hot")
+    wanted = wanted.groupBy("eid").agg(F.collect_list(F.struct("lo", "hi", "fp", "known", "hot")).alias("wanted"))
+    sources = wanted.join(entities.select("eid", "id", "th"), "eid")
     dealt = texts.join(sources, ["id", "th"]).dropDuplicates(["id", "th"])
-    spans = cut(arrow_map(dealt, _spans(size, gram), "kind int, eid long, lo long, hi long, fp long, salts int, known boolean, span binary"))
-    strings = spans.where("kind = 0").select("fp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "eid", "lo", "known", "span")
-    found = arrow_map(strings.repartition(n, "fp", "salt").sortWithinPartitions("fp", "salt"), _scan(size), "eid long, lo long, hi long")
-    found = found.union(spans.where("kind = 1").select("eid", "lo", "hi"))
-    intervals = found.groupBy("eid").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("eid", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
+    spans = cut(arrow_map(dealt, _spans(size), "kind int, eid long, lo long, hi long, fp long, known boolean, span binary"))
+    cold = spans.where("kind = 0").select("fp", "eid", "lo", "known", "span").repartition(n, "fp").sortWithinPartitions("fp")
+    found = arrow_map(cold, _scan(size), "eid long, lo long, hi long")
+    hot = spans.where("kind = 1").select("fp", "eid", "lo", "known")
+    twice = hot.groupBy("fp").count().where("count > 1")
+    found = found.union(hot.where("not known").join(twice, "fp", "left_semi").select("eid", "lo", (F.col("lo") + size).alias("hi")))
+    found = found.union(agree.select("eid", F.col("lo").cast("long"), F.col("hi").cast("long")))
+    intervals = cut(found.groupBy("eid").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("eid", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")))
+    index.close()
     decided = entities.join(intervals, "eid", "left").select("th", ((F.col("times") > 1) & (F.col("n_bytes") >= size)).alias("whole"), "lo", "hi")
     decided = decided.where("whole or lo is not null")
     decided = decided.withColumns({c: F.when(~F.col("whole"), F.col(c)) for c in ("lo", "hi")})
     # by document and not by text, so that a text of very many documents is no hot key of the large join
-    decided = texts.select("id", "th").distinct().join(decided, "th").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "whole", "lo", "hi")
-    return keyed.join(decided, ["_id", "_th"], "left").drop("_id", "_th")
+    decided = texts.select("id", "th").distinct().join(decided, "th").select("id", "th", "whole", "lo", "hi")
+    return keyed.join(decided, ["id", "th"], "left").drop("id", "th")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -317,22 +461,23 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
 
     Each byte goes that is covered by a string of `size` bytes that also starts at another place of any row's text, the same one
     included; strings are judged on the input.  Null texts count as empty; texts under `size` bytes stay whole; rows that repeat
-    (also of one doc_id) are texts of their own and so repeat each other; null doc_ids are kept.
+    (also of one doc_id) are texts of their own and so repeat each other; null doc_ids are kept.  An empty table gives an empty result.
     """
     decided = _decide(keep_columns(docs, "doc_id", "text"), size, gram)
     return arrow_map(decided, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """docs (doc_id, text, n_chars and others) with what remove_repeats() leaves of the texts, characters that a cut has halved left out,
-    and n_chars of that; all columns and rows stay, and null texts stay null."""
-    names, schema = docs.columns, docs.schema
+    """docs (doc_id, text, n_chars and any others, of whatever name) with what remove_repeats() leaves of the texts, characters that a cut
+    has halved left out, and n_chars of that; all columns and rows stay, and null texts stay null."""
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    decided = _decide(docs.select("doc_id", "text", rows.alias("row")), size, gram)
 
     def run(batches):
         for batch in sliced(batches):
             raw = column(batch, "text").to_pylist()
             kept = [None if r is None else _cut(encode(r), *x)[0].decode("utf-8", "ignore") for r, *x in zip(raw, *(column(batch, c).to_pylist() for c in ("whole", "lo", "hi")))]
-            new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([len(k or "") for k in kept], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, column(batch, c)) for c in names], names)
+            new, row = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([len(k or "") for k in kept], pa.int64())}, column(batch, "row")
+            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else x for f, x in zip(row.type, row.flatten())], [f.name for f in row.type])
 
-    return _decide(docs, size, gram).mapInArrow(tidied(run), schema)
+    return decided.mapInArrow(tidied(run), docs.schema)

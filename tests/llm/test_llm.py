@@ -21,7 +21,7 @@ from tallyloom.llm.kernels import shingle_sets
 from tallyloom.llm.mixing import fit_rates, mix, rates, take_mix
 from tallyloom.llm.search import exact_top_k
 from tallyloom.llm.sketch import compare_versions, digests, likeness
-from tallyloom.llm.suffix import SuffixLevels, cut_repeats, remove_repeats
+from tallyloom.llm.suffix import RepeatIndex, SuffixLevels, common, cut_repeats, remove_repeats
 from tallyloom.llm.tokenfile import read_tokens, write_tokens
 from tallyloom.llm.toxicity import drop_toxic, held_out, score_toxicity
 
@@ -170,24 +170,104 @@ def test_suffix(docs, rows, empty):
     got = [tuple(r) for r in remove_repeats(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(w[2] for w in want) > 0 and remove_repeats(empty).count() == 0
-    shorter = cut_repeats(docs)
-    assert shorter.columns == docs.columns and shorter.count() == len(rows)
+    gone = plain_repeats(texts, 250)
+    shorter = cut_repeats(docs, 250)
+    assert shorter.columns == docs.columns
     kept = {(d, t and bytes(np.frombuffer(t.encode(), np.uint8)[~g]).decode("utf-8", "ignore")) for (d, t), g in zip(rows, gone)}
-    assert {(r.doc_id, r.text) for r in shorter.collect()} == kept
+    got = shorter.collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.text) for r in got} == kept
 
 
 def test_suffix_levels():
-    r = np.random.default_rng(2)
-    family, seen, out = SuffixLevels(), [], []
-    for _ in range(20):
-        keys = r.integers(0, 400, r.integers(1, 60)).astype(np.uint64)
-        owners = np.arange(len(seen), len(seen) + len(keys))
-        seen += keys.tolist()
-        out.append(family.add(keys, owners, np.zeros(len(keys), bool)))
-    got = set(np.concatenate([*out, family.repeated()]).tolist())
-    assert got == {i for i, k in enumerate(seen) if seen.count(k) > 1}
-    sizes = [len(k) for k, _, _ in family.levels]
-    assert all(b * 2 <= a for a, b in zip(sizes, sizes[1:]))
+    """Against plain comparison: batches of byte strings with long common parts, ordered and merged."""
+    r = random.Random(2)
+    for size in (5, 16, 100):
+        family, texts, out, owners = SuffixLevels(), [], [], {}
+        base = bytes(r.choice(b"ab\0") for _ in range(400))
+        for _ in range(12):
+            starts, at, own, parts = [], 0, [], []
+            for _ in range(r.randint(1, 4)):
+                i, n = r.randrange(200), r.randint(size, 2 * size + 60)
+                t = bytearray(base[i : i + n].ljust(n, b"z"))
+                for _ in range(r.randint(0, 2)):
+                    t[r.randrange(n)] = r.choice(b"abc")
+                texts.append(bytes(t)), parts.append(bytes(t))
+                for k in range(n - size + 1):
+                    owners[len(owners)] = (len(texts) - 1, k)
+                    starts.append(at + k), own.append(len(owners) - 1)
+                at += n
+            data = np.frombuffer(b"".join(parts), np.uint8)
+            out.append(family.add(data, size, np.array(starts), np.array(own), np.zeros(len(own), bool)))
+        got = {owners[i] for i in np.concatenate([*out, family.repeated()]).tolist()}
+        said = [texts[i][k : k + size] for i, k in owners.values()]
+        assert got == {o for o, x in zip(owners.values(), said) if said.count(x) > 1}
+        sizes = [len(x.at) for x in family.levels]
+        assert all(b * 2 <= a for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(set(said))
+        for level in family.levels:
+            strings = [level.data[a : a + size].tobytes() for a in level.at.tolist()]
+            assert strings == sorted(strings)
+            depth = common(level, level.at[:-1], level, level.at[1:]).tolist()
+            assert depth == [next(k for k in range(size) if x[k] != y[k]) for x, y in zip(strings, strings[1:])]
+
+
+def test_repeat_index(spark):
+    """Batches come one after the other: what a batch has in common with an earlier one is found, and levels of like size merge."""
+    row = "fp long, sh long, n long, eid long, lo int, hi int"
+    batch = lambda rows: spark.createDataFrame(rows, row)
+    index, sizes = RepeatIndex(spark), []
+    for rows in (
+        [(1, 10, 1, 0, 0, 5), (2, 20, 1, 0, 6, 9), (3, 30, 1, 1, 0, 4), (3, 31, 1, 1, 5, 6)],  # 3 is unlike within the batch
+        [(4, 40, 1, 2, 0, 5), (4, 40, 1, 3, 0, 5), (2, 21, 1, 3, 6, 9), (6, 60, 1, 3, 10, 12)],  # 4 agrees within, 2 is unlike the first batch's
+        [(1, 10, 1, 4, 7, 12)],  # agrees with the first batch's: nothing new
+        [(5, 50, 2, 5, 0, 1)],  # an exact copy of a text
+        [(7, 70, 1, 6, 0, 1), (8, 80, 1, 6, 2, 3)],
+    ):
+        index.add(batch(rows))
+        sizes.append([n for _, n in index.levels])
+    assert sizes == [[4], [4, 3], [7], [7, 1], [7, 1, 2]]
+    index.add(batch([(9, 90, 1, 7, 0, 1)]))
+    assert [n for _, n in index.levels] == [7, 3, 1]
+    again, unlike = index.matches()
+    assert sorted(map(tuple, again.collect())) == [(1, 10), (4, 40), (5, 50)] and sorted(r.fp for r in unlike.collect()) == [2, 3]
+    assert {(r.fp, r.sh, r.own.eid) for r in index.spans().collect()} == {(1, 10, 0), (2, 20, 0), (3, 30, 1), (3, 31, 1), (4, 40, 2), (2, 21, 3), (6, 60, 3), (5, 50, 5), (7, 70, 6), (8, 80, 6), (9, 90, 7)}
+    index.close()
+
+
+def test_hot_anchors(spark, monkeypatch):
+    """A passage among unlike neighbours, by the path of anchors with very many spans."""
+    from tallyloom.llm import suffix
+
+    r = random.Random(6)
+    noise = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage, short = noise(700), noise(390)
+    rows = [(i, noise(r.randint(0, 300)) + passage[r.randint(0, 50) :] + noise(50) + short + noise(r.randint(0, 300))) for i in range(30)]
+    rows += [(100, rows[0][1]), (101, "q" + rows[1][1] + "q")]
+    gone = plain_repeats([t.encode() for _, t in rows], 400)
+    want = {d: (int(g.sum()), int((np.diff(g.astype(int), prepend=0) == 1).sum())) for (d, _), g in zip(rows, gone)}
+    for hot in (2, 1000):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        assert {x.doc_id: (x.n_removed, x.n_spans) for x in remove_repeats(table(spark, rows)).collect()} == want
+
+
+CLASHES = "_h long, _id string, _th string, _n int, _k int, _i int, lo long, hi long, whole boolean, th string, row string, copies int, root long, shard int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, len(t or ""), 7, "a", "b", 3, 4, 5, 6, 8, True, "c", "r", 9, 10, 11) for i, t in rows], "doc_id long, text string, n_chars long, " + CLASHES)
+
+
+def test_clashing_columns(spark, rows):
+    """Columns of the operators' own names come through as they were."""
+    some = [r for r in rows if r[0] is not None][:70] + [(0, rows[0][1])]
+    df, own = clashing(spark, some), ["_h", "_id", "_th", "_n", "_k", "_i", "lo", "hi", "whole", "th", "row", "copies", "root", "shard"]
+    domain = spark.createDataFrame([(i, "good" if i % 2 else "poor") for i, _ in some], "doc_id long, domain string")
+    marks = spark.createDataFrame([(i, i % 2, 0) for i, _ in some], "doc_id long, quality int, toxic int")
+    for out in (cut_repeats(df, 250), keep_one_of_each(df), keep_one_of_each(df, by_text=True), take_mix(df, mix(df, domain, {"good": 0.5, "poor": 0.5})), drop_toxic(df, marks)):
+        assert out.columns == df.columns and out.schema == df.schema
+        got = out.collect()
+        assert got and all(tuple(r[c] for c in own) == (7, "a", "b", 3, 4, 5, 6, 8, True, "c", "r", 9, 10, 11) for r in got)
+    for out in (remove_repeats(df), jaccard_components(df), score_toxicity(df, marks), licenses.scan_licenses(df), compare_versions(df)):
+        assert out.count() == len(some)
 
 
 def test_bpe(docs, rows, empty):
