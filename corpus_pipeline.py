@@ -15,6 +15,9 @@ from tallyloom.llm.queries import MIXTURE, domains
 from tallyloom.llm.suffix import cut_repeats
 from tallyloom.llm.toxicity import drop_toxic
 
+#: Bytes of a passage that may stand but once in the corpus: some 50 words of four letters and a space.
+PASSAGE = 250
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,7 +28,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cut_repeats(docs)
+    return cut_repeats(docs, PASSAGE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
