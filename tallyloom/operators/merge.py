@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from ..functions import rules
+from ..functions import fields, rules
+from ..functions.dates import norm_date
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, base_key, chat_scope, complete_identity, has_payload, norm_phone, row_context_key, row_hash
-from ..functions.text import chat_hash, filled, norm_text
+from ..functions.text import any_filled, chat_hash, filled, norm_text
 
 
 def new_chats(incoming: DataFrame, existing: DataFrame, text: str = "chat_text", seq: str = "seq") -> DataFrame:
@@ -67,89 +71,275 @@ def fill_slots(table: DataFrame, incoming: DataFrame, key: str, seq: str = "seq"
 
 
 def exact_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Incoming rows that no stored row equals in all eight fields, compared by letters and digits."""
+    """Incoming rows that no stored row equals in all eight fields, compared by letters and digits, phones by their country code too."""
     keys = [f"_k{i}" for i in range(len(ROW_FIELDS))]
-    with_keys = lambda df: df.withColumns({k: norm_text(F.col(c)) for k, c in zip(keys, ROW_FIELDS)})
+    with_keys = lambda df: df.withColumns({k: (norm_phone if c == "kontak_driver" else norm_text)(F.col(c)) for k, c in zip(keys, ROW_FIELDS)})
     return with_keys(incoming).join(with_keys(existing).select(*keys).distinct(), keys, "left_anti").drop(*keys)
 
 
-#: What the merge kernel returns: the table's rows, with what became of them.
-MERGED = "scope string, origin string, seq long, " + ", ".join(f"{c} string" for c in ROW_FIELDS) + ", status_unit string, outcome string"
-
-
-def smart_merge(table: DataFrame, incoming: DataFrame, revision: bool = False) -> DataFrame:
-    """Merges incoming rows one after the other into the stored rows of their context key; later rows see what earlier ones changed.
-
-    Of each scope (candidate key), for every incoming row with payload, in order: a stored row that it equals in all filled identity
-    fields is updated; else, if it has an identity and duplicates no stored unit, the open row that lacks most takes it (identity
-    fields only where they are blank; with revision, differing values give way); else, if nothing fits, it is inserted. Stored rows are
-    updated at most once a call. Columns of both tables: seq, ROW_FIELDS, status_unit. The order decides, so a kernel runs a scope
-    at a time; scopes are orders, whose rows are few.
+#: What the merge kernel returns: the table's rows and those that were inserted, with what became of them (kept, updated, inserted).
+MERGED = "scope string, origin string, seq long, " + ", ".join(f"{c} string" for c in ROW_FIELDS) + ", status_unit string, outcome string, row_hash string"
+#: Context scores: from which a stored row can be what an incoming row repeats (with a date only, if it is no more), takes it in, is
+#: found by its position, and gives way to a revision.
+REPEATS, FITS, IN_PLACE, GIVES_WAY = 2, 3, 5, 7
+#: What a context field adds where both rows say the same, and what it costs where they differ.
+WEIGHTS = {"tgl_muat": (3, 3), "tgl_ro": (2, 2), "pickup": (2, 3), "tujuan": (2, 3), "type_truck": (1, 2)}
+
+
+def chat_hints(text: Column) -> dict[str, Column]:
+    """What a chat's text says of how its rows are to be merged: whether it is a revision, which of its loading segments are marked as
+    one, the segments' identities, the quantity declared, and the old plate and phone that it names."""
+    from ..plans.parse import marked_segments, segment_identities
+
+    old = fields.old_anchors(text)
+    return {
+        "revision": F.coalesce(text.rlike(fields.REVISION), F.lit(False)), "marked": marked_segments(text), "segments": segment_identities(text), "declared": fields.declared_units(text),
+        "old_plate": F.coalesce(old["no_plat"], F.lit("")), "old_phone": F.coalesce(old["kontak_driver"], F.lit("")),
+    }
+
+
+class Unit:
+    """A row in the merge: its values, by field whether it is blank and the form in which it is compared, and the days of the two dates."""
+
+    __slots__ = ("seq", "raw", "norm", "blank", "days", "said", "status", "touched", "changed", "base")
+
+    def __init__(self, row: dict):
+        self.seq, self.said, self.status = row["seq"], row["said_status"], row["status_unit"]
+        self.raw = {c: row[c] for c in ROW_FIELDS}
+        self.norm, self.blank, self.days, self.base = dict(zip(ROW_FIELDS, row["norm"])), dict(zip(ROW_FIELDS, row["blank"])), dict(zip(("tgl_ro", "tgl_muat"), row["days"])), row["base_key"]
+        self.touched = self.changed = False
+
+    def has(self, fields_) -> bool:
+        return not all(self.blank[c] for c in fields_)
+
+    def lacks(self) -> int:
+        return sum(self.blank[c] for c in IDENTITY)
+
+    def state(self) -> str:
+        if self.said:
+            return self.said
+        n = len(ROW_FIELDS) - sum(self.blank.values())
+        return "ASSIGNED" if n == len(ROW_FIELDS) else "PARTIAL" if n >= 3 else "UNASSIGNED"
+
+    def open(self) -> bool:
+        return self.state() != "ASSIGNED"
+
+    def likeness(self, other: Unit) -> int:
+        """The context score of two rows; fields that either leaves blank count nothing."""
+        total = 0
+        for c, (gain, loss) in WEIGHTS.items():
+            if not self.blank[c] and not other.blank[c]:
+                mine, theirs = (u.days[c] if c in u.days else u.norm[c] for u in (self, other))
+                total += gain if mine == theirs else -loss
+        return total
+
+    def differs(self, other: Unit) -> bool:
+        """Both say something in an identity field, and not the same."""
+        return any(self.norm[c] and other.norm[c] and self.norm[c] != other.norm[c] for c in IDENTITY)
+
+    def take(self, other: Unit, overwrite: bool) -> bool:
+        """Blanks take the other's values; with overwrite, all that differ do. A row that changed is done with for this save."""
+        given = [c for c in ROW_FIELDS if not other.blank[c] and (self.blank[c] or (overwrite and self.norm[c] != other.norm[c]))]
+        for c in given:
+            self.raw[c], self.norm[c], self.blank[c] = other.raw[c].strip(), other.norm[c], False
+            if c in self.days:
+                self.days[c] = other.days[c]
+        if given:
+            self.touched = self.changed = True
+            self.said = ""
+            self.status = self.said = self.state()
+        return bool(given)
+
+
+def _revise(stored: list[Unit], x: Unit, hints: dict, segment: int | None) -> bool | None:
+    """A revision's own ways to its row: the old plate or phone that it names, then its segment's place among the rows of its context.
+    None: neither leads anywhere."""
+    named = [u for u in stored if not u.touched and ((hints["old_plate"] and u.norm["no_plat"] == hints["old_plate"]) or (hints["old_phone"] and u.norm["kontak_driver"] == hints["old_phone"]))]
+    if x.has(WEIGHTS):
+        named = [u for u in named if u.likeness(x) >= FITS]
+    if len(named) == 1:
+        return named[0].take(x, True)
+    if segment is not None:
+        there = [u for u in stored if u.likeness(x) >= IN_PLACE]
+        if hints["declared"]:
+            there = there[-hints["declared"] :]
+        if 0 <= segment < len(there):
+            return there[segment].take(x, True)
+    return None
+
+
+def place_unit(stored: list[Unit], x: Unit, hints: dict, segment: int | None = None) -> bool:
+    """Merges an incoming row with an identity into one stored row, if one is fit: the row that it repeats; else, of the fit rows, that
+    with its plate, then (revisions only) its driver and phone, then one that lacks what it brings or gives way; of equals the likest, then
+    the emptiest, then the first. False: it is none of theirs."""
+    revision = hints["revision"]
+    if not x.has(IDENTITY):
+        return False
+    if revision and (done := _revise(stored, x, hints, segment)) is not None:
+        return done
+    scores = [u.likeness(x) for u in stored]
+    dated = x.has(("tgl_ro", "tgl_muat"))
+    said = [c for c in IDENTITY if x.norm[c]]
+    for u, s in zip(stored, scores):
+        if s >= REPEATS + (not dated) and said and all(u.norm[c] == x.norm[c] for c in said):
+            u.touched = True
+            return True
+    gives_way = [u for u, s in zip(stored, scores) if revision and not u.touched and s >= GIVES_WAY and u.state() == "ASSIGNED" and u.differs(x)]
+    best = None
+    for u, s in zip(stored, scores):
+        if u.touched or s < FITS:
+            continue
+        if x.norm["no_plat"] and u.norm["no_plat"] == x.norm["no_plat"]:
+            rank = 3 if revision or u.open() else 0
+        elif revision and x.norm["driver"] and x.norm["kontak_driver"] and all(u.norm[c] == x.norm[c] for c in ("driver", "kontak_driver")):
+            rank = 2
+        elif gives_way == [u]:
+            rank = 1
+        else:
+            rank = int(u.open() and (any(x.norm[c] and u.blank[c] for c in IDENTITY) or (revision and u.differs(x))))
+        if rank and (best is None or (rank, 10 * s + u.lacks()) > best[0]):
+            best = ((rank, 10 * s + u.lacks()), u)
+    return best is not None and best[1].take(x, revision)
+
+
+def hold_placeholder(stored: list[Unit], x: Unit) -> bool:
+    """An incoming row without identity stands for an open slot of its context that lacks something, if there is one."""
+    fit = [(10 * u.likeness(x) + u.lacks(), -k, u) for k, u in enumerate(stored) if not u.touched and u.open() and u.lacks() and u.likeness(x) >= FITS]
+    if x.has(IDENTITY) or not fit:
+        return False
+    max(fit, key=lambda f: f[:2])[2].touched = True
+    return True
+
+
+def _segment(x: Unit, hints: dict) -> int | None:
+    """The one segment that shares the most of a row's identity."""
+    shared = [sum(bool(x.norm[c]) and x.norm[c] == s[c] for c in IDENTITY) for s in hints["segments"] or ()]
+    top = max(shared, default=0)
+    return shared.index(top) if top and shared.count(top) == 1 else None
+
+
+def merge_scope(stored: list[Unit], incoming: list[tuple[int, Unit]], hints: dict, hashes: set[str], chat_scope: str) -> list[tuple[Unit, str]]:
+    """The rows that are to be inserted, with their hashes, after each incoming row (numbered from 0 within its chat), one after the other,
+    has gone into the stored rows."""
+    from hashlib import sha256
+
+    out, times, revised = [], {}, set()
+    for number, x in incoming:
+        if not x.has(ROW_FIELDS):
+            continue
+        if hints["revision"] and hints["marked"]:
+            segment = number if (s := _segment(x, hints)) is None else s
+            if segment in hints["marked"] and segment not in revised and place_unit(stored, x, hints, segment):
+                revised.add(segment)
+            continue
+        if place_unit(stored, x, hints) or hold_placeholder(stored, x):
+            continue
+        if x.has(IDENTITY) and any(u.norm == x.norm for u in stored):
+            continue
+        times[x.base] = times.get(x.base, 0) + 1
+        h = sha256(f"{chat_scope}|{x.base}|occ:{times[x.base]}".encode()).hexdigest()
+        if h not in hashes:
+            hashes.add(h)
+            x.status = x.status or x.state()
+            out.append((x, h))
+    return out
+
+
+def _compared(rows: DataFrame, origin: str) -> DataFrame:
+    """The kernel's columns: values, and the forms that they are compared in."""
+    form = {c: norm_phone if c == "kontak_driver" else norm_text for c in ROW_FIELDS}
+    norm, blanks = F.array(*(form[c](F.col(c)) for c in ROW_FIELDS)), F.array(*(~filled(F.col(c)) for c in ROW_FIELDS))
+    days = F.array(*(F.when(filled(F.col(c)), norm_date(F.col(c))) for c in ("tgl_ro", "tgl_muat")))
+    said = F.coalesce("status_unit", F.lit(""))
+    return rows.select(
+        "scope", F.lit(origin).alias("origin"), F.col("seq").cast("long").alias("seq"), *(F.coalesce(c, F.lit("")).alias(c) for c in ROW_FIELDS), said.alias("status_unit"), rules.known_status(said).alias("said_status"),
+        norm.alias("norm"), blanks.alias("blank"), days.alias("days"), base_key().alias("base_key"), (F.col("row_hash") if "row_hash" in rows.columns else F.lit(None).cast("string")).alias("row_hash"),
+    )
+
+
+def smart_merge(table: DataFrame, incoming: DataFrame, chats: DataFrame | None = None) -> DataFrame:
+    """Saves incoming rows into the stored rows of their scope, one after the other; later rows see what earlier ones changed.
+
+    table, incoming: scope string (rows of different scopes never meet: a session, a customer), seq long (the order), ROW_FIELDS,
+    status_unit and, in the table, row_hash if it has one. chats: scope, chat_text, the chat that a scope's incoming rows come from;
+    without it they revise nothing. A stored row changes at most once a call. Rows without payload are left out. An inserted row gets
+    its hash from the occurrence's number among the incoming rows, so that a replay inserts nothing twice.
+
+    Which row takes an incoming one depends on all before it, so a kernel runs a scope at a time over a stream of sorted rows: it holds one
+    scope's rows. See save_chat() for one chat against a table of any size.
+    """
+    rows = _compared(table, "stored").unionByName(_compared(incoming, "incoming"))
+    hints = chat_hints(F.col("chat_text"))
+    plain = {"revision": False, "marked": None, "segments": None, "declared": 0, "old_plate": "", "old_phone": ""}
+    if chats is not None:
+        told = chats.groupBy("scope").agg(F.min("chat_text").alias("chat_text")).select("scope", F.struct(*(c.alias(n) for n, c in hints.items())).alias("hints"))
+        rows = rows.join(told, "scope", "left")
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.withColumn("late", F.col("origin") == "incoming").repartition(n, "scope").sortWithinPartitions("scope", "late", "seq")
+
+    schema = to_arrow_schema(_parse_datatype_string(MERGED))
+
+    def run(batches):
+        key, stored, new, hashes, told = None, [], [], set(), plain
+
+        def finished():
+            added = merge_scope(stored, list(enumerate(new)), told, hashes, key or "global")
+            made = [dict(u.raw, scope=key, origin="stored", seq=u.seq, status_unit=u.status, outcome="updated" if u.changed else "kept", row_hash=h) for u, h in zip(stored, stored_hashes)]
+            made += [dict(u.raw, scope=key, origin="incoming", seq=u.seq, status_unit=u.status, outcome="inserted", row_hash=h) for u, h in added]
+            return pa.RecordBatch.from_pylist(made, schema=schema)
+
+        stored_hashes: list = []
+        begun = False
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not begun or row["scope"] != key:
+                    if begun:
+                        yield finished()
+                    begun, key, stored, new, hashes, stored_hashes, told = True, row["scope"], [], [], set(), [], row.get("hints") or plain
+                if row["origin"] == "stored":
+                    stored.append(Unit(row)), stored_hashes.append(row["row_hash"]), hashes.add(row["row_hash"])
+                else:
+                    new.append(Unit(row))
+        if begun:
+            yield finished()
+
+    return ordered.mapInArrow(run, MERGED)
+
+
+def save_chat(table: DataFrame, incoming: DataFrame, raw_chat_id: str, chat_text: str, most: int = 10_000) -> DataFrame:
+    """The save of one chat's rows (some hundreds; more than `most` is an error) into a table of any size: smart_merge() over those stored
+    rows that can have to do with the chat, the others as they are. No scope column is needed.
+
+    A stored row can if it agrees with an incoming one in a context field other than the type (no score reaches 2 without), also once
+    other incoming rows have filled its blanks; if it holds the plate or phone that a revision names; if neither it nor an
+    incoming row of its plate has a context; or if its hash can meet an incoming row's, that is, if it comes from the chat.
     """
-    import pandas as pd
-
-    from ..plans.matching import in_buckets
-
-    blanks = {"", "-", "null", "none", "nan", "undefined"}
-
-    def merge_scope(scope: str, old: list[dict], new: list[dict]) -> list[dict]:
-        is_blank = lambda v: str(v if v is not None else "").strip().lower() in blanks
-        norm = lambda v: "".join(ch for ch in str(v or "").upper() if ch.isascii() and ch.isalnum())
-        rows = [dict(r, outcome="kept", origin="stored") for r in old]
-        touched: set[int] = set()
-
-        def finish(r):
-            n = sum(not is_blank(r[c]) for c in ROW_FIELDS)
-            r["status_unit"] = "ASSIGNED" if n >= len(ROW_FIELDS) else "PARTIAL" if n >= 3 else "UNASSIGNED"
-
-        for x in new:
-            if all(is_blank(x[c]) for c in ROW_FIELDS):
-                continue
-            said = [c for c in IDENTITY if not is_blank(x[c])]
-            same = [i for i, r in enumerate(rows) if said and all(norm(r[c]) == norm(x[c]) for c in said)]
-            if same:
-                target = next((i for i in same if i not in touched), None)
-                if target is None:
-                    continue
-            else:
-                dup = any(
-                    (norm(x["no_plat"]) and norm(r["no_plat"]) == norm(x["no_plat"])) or sum(bool(norm(x[c])) and norm(r[c]) == norm(x[c]) for c in IDENTITY) >= 2 for r in rows
-                )
-                open_ = [i for i, r in enumerate(rows) if i not in touched and r["status_unit"] in ("PARTIAL", "UNASSIGNED") and all(is_blank(r[c]) for c in said)]
-                if dup and not revision:
-                    continue
-                if not open_:
-                    r = dict(x, outcome="inserted", origin="incoming")
-                    finish(r)
-                    rows.append(r)
-                    touched.add(len(rows) - 1)
-                    continue
-                target = max(open_, key=lambda i: (sum(is_blank(rows[i][c]) for c in IDENTITY), -i))
-            r = rows[target]
-            touched.add(target)
-            for c in ROW_FIELDS:
-                if not is_blank(x[c]) and (is_blank(r[c]) or (revision and norm(r[c]) != norm(x[c]))):
-                    r[c], r["outcome"] = x[c], "updated" if r["origin"] == "stored" else r["outcome"]
-            finish(r)
-        return rows
-
-    def kernel(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        scopes: dict[str, tuple[list, list]] = {}
-        for k, side_rows in enumerate((old, new)):
-            for r in side_rows.sort_values("seq").to_dict("records"):
-                scopes.setdefault(r["scope"], ([], []))[k].append(r)
-        out = [r for scope, (a, b) in scopes.items() for r in merge_scope(scope, a, b)]
-        return pd.DataFrame(out, columns=["scope", "origin", "seq", *ROW_FIELDS, "status_unit", "outcome"])
-
-    side = lambda df: in_buckets(df.select(row_context_key().alias("scope"), F.col("seq").cast("long").alias("seq"), *(F.coalesce(c, F.lit("")).alias(c) for c in ROW_FIELDS), F.coalesce("status_unit", F.lit("")).alias("status_unit")))
-    return side(table).groupBy("bucket").cogroup(side(incoming).groupBy("bucket")).applyInPandas(kernel, MERGED)
-
-
-def save_rows(table: DataFrame, incoming: DataFrame, raw_chat_id: str, revision: bool = False) -> DataFrame:
-    """The save of a chat's rows: payload filter, exact duplicates left out, merge, and the row hash of what was inserted."""
-    fresh = exact_duplicates(incoming.where(has_payload()), table)
-    merged = smart_merge(table, fresh, revision)
-    return number_repeats(merged, "seq", F.lit(raw_chat_id).cast("string"))
+    new = incoming.withColumn("scope", F.lit(raw_chat_id))
+    form = {"tgl_muat": norm_date, "tgl_ro": norm_date, "pickup": norm_text, "tujuan": norm_text}
+    bare = any_filled(*(F.col(c) for c in form))
+    said = new.select(*(F.collect_set(F.when(filled(F.col(c)), f(F.col(c)))).alias(c) for c, f in form.items()), F.count("*").alias("n"), F.collect_set(F.when(~bare, norm_text(F.col("no_plat")))).alias("bare")).first()
+    if said["n"] > most:
+        raise ValueError(f"a chat of {said['n']} rows; at most {most}")
+    spark = table.sparkSession
+    chat = spark.createDataFrame([(raw_chat_id, chat_text)], "scope string, chat_text string")
+    old = chat.select(fields.old_anchors(F.col("chat_text")).alias("x")).select("x.*").first()
+    near = F.lit(False)
+    for c, f in form.items():
+        if said[c]:
+            near = near | (filled(F.col(c)) & f(F.col(c)).isin(*said[c]))
+    for c, f in (("no_plat", norm_text), ("kontak_driver", norm_phone)):
+        if old[c]:
+            near = near | (f(F.col(c)) == old[c])
+    if said["bare"]:  # rows without context may be exact duplicates of such rows
+        near = near | (~bare & norm_text(F.col("no_plat")).isin(*said["bare"]))
+    if "raw_chat_id" in table.columns:
+        near = near | (F.col("raw_chat_id") == raw_chat_id)
+    marked = table.withColumn("_near", F.coalesce(near, F.lit(False))).withColumn("scope", F.lit(raw_chat_id))
+    merged = smart_merge(marked.where("_near"), new, chat)
+    rest = marked.where("not _near")
+    hashes = F.col("row_hash") if "row_hash" in table.columns else F.lit(None).cast("string")
+    rest = rest.select("scope", F.lit("stored").alias("origin"), F.col("seq").cast("long").alias("seq"), *(F.coalesce(c, F.lit("")).alias(c) for c in ROW_FIELDS), F.coalesce("status_unit", F.lit("")).alias("status_unit"), F.lit("kept").alias("outcome"), hashes.alias("row_hash"))
+    return merged.unionByName(rest)
 
 
 def last_revision(revisions: DataFrame, key: str, seq: str, columns: tuple[str, ...]) -> DataFrame:

@@ -99,8 +99,22 @@ def carry_pickups(rows: DataFrame, chat: str, order: str) -> DataFrame:
 
 
 def loading_segments(chunk: Column) -> Column:
-    """The parts of a block that start at its loading times."""
-    return F.filter(F.split(F.coalesce(chunk, F.lit("")), r"(?im)(?=^[^\S\n]*waktu\s*loading)", -1), lambda x: x.rlike(r"(?i)^\s*waktu\s*loading"))
+    """The parts of a block that start at its loading times, or at the last place named between the loading time before and its own."""
+    pieces = F.split(strip(F.replace(F.coalesce(chunk, F.lit("")), F.lit("\r"), F.lit(""))), r"(?im)(?=^[^\S\n]*waktu\s*loading\s*:)", -1)
+    place = r"(?is)^(.*?)((?:(?<=\n)|^)[^\S\n]*lokasi\s*:(?:(?!\n[^\S\n]*lokasi\s*:).)*)$"
+
+    def of(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        begins = lambda x: x.rlike(r"(?i)^\s*waktu\s*loading\s*:")
+
+        def whole(x: Column, i: Column) -> Column:
+            ahead = F.coalesce(F.get(parts, i - 1), F.lit(""))
+            tail = F.when(i > 0, F.regexp_extract(ahead, place, 2)).otherwise("")
+            return F.when(begins(x), F.concat(tail, F.when((i < last) & x.rlike(place), F.regexp_extract(x, place, 1)).otherwise(x)))
+
+        return F.array_compact(F.transform(parts, whole))
+
+    return let(pieces, of)
 
 
 def segment_identities(chunk: Column) -> Column:
@@ -108,7 +122,7 @@ def segment_identities(chunk: Column) -> Column:
 
 
 def marked_segments(chunk: Column) -> Column:
-    """Numbers of the segments whose lines open with a revision's word, where there are several."""
-    parts = loading_segments(chunk)
-    marks = F.transform(parts, lambda x, i: F.when(x.rlike(r"(?im)^\s*(?:rev|revisi|update|ubah|ganti)\b"), i))
-    return F.when(F.size(parts) > 1, F.array_compact(marks)).otherwise(F.array().cast("array<int>"))
+    """Numbers of the segments that a line marks as a revision, where the chat is one and there are several."""
+    marks = lambda parts: F.array_compact(F.transform(parts, lambda x, i: F.when(fields.has_revision_marker(x), i)))
+    none = F.array().cast("array<int>")
+    return let(loading_segments(chunk), lambda parts: F.when((F.size(parts) > 1) & F.coalesce(chunk.rlike(fields.REVISION), F.lit(False)), marks(parts)).otherwise(none))

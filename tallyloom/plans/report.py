@@ -31,7 +31,11 @@ def format_chat(c: Column) -> Column:
     return let(F.when(strip(kept) == "", F.coalesce(c, F.lit(""))).otherwise(kept), lambda t: F.array_join(F.transform(lines(t), line), "\n"))
 
 
-def driver_name(c: Column, refused: tuple[str, ...] = ("segera", "driver", "nopol", "belum", "none")) -> Column:
+#: Words that no driver's name holds; the reference's list also has two persons' names, which are left out here.
+NO_NAMES = ("admin", "jne", "logistik", "expedisi", "pengirim", "oncall", "request")
+
+
+def driver_name(c: Column, refused: tuple[str, ...] = NO_NAMES) -> Column:
     """A name with capitals after everything that is no letter; empty if a word that is no name is in it."""
     text = strip(c)
     parts = F.split(F.lower(text), r"(?<=[^a-z])(?=[a-z])", -1)

@@ -523,12 +523,28 @@ def union_first_wins(spark, sf_dir):
     return merge.union_first_wins(c, s, "k")
 
 
-@query()
+@query(f"""
+WITH {ROWS_SQL}, t AS (SELECT *, l_linestatus = 'F' AS done FROM rows), old AS (
+  SELECT l_orderkey, 'stored' AS origin, seq, plate AS no_plat, 'ASSIGNED' AS status_unit, CASE WHEN done THEN 'kept' ELSE 'updated' END AS outcome FROM t
+), more AS (SELECT l_orderkey, max(seq) AS seq FROM t GROUP BY 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS scope, origin, seq, no_plat, status_unit, outcome FROM old
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'incoming', seq + 1000000000, 'Z ' || l_orderkey, 'ASSIGNED', 'inserted' FROM more
+""")
 def smart_merge_kernel(spark, sf_dir):
-    """The sequential merge of follow-up rows into stored ones, scope by scope."""
-    rows = order_rows(spark, sf_dir)
-    inc = rows.where("l_linenumber <= 2").withColumns({"seq": F.col("seq") + 7, "no_plat": F.concat(F.lit("Z"), F.col("seq").cast("string")), "driver": F.concat(F.lit("D"), F.col("seq").cast("string")), "kontak_driver": F.lit("-"), "status_unit": F.lit("")})
-    return merge.smart_merge(rows, inc)
+    """The sequential merge of a follow-up into the rows of its order: it repeats the units that are there, with plates and phones spelled
+    otherwise, fills each open slot of its loading date, and adds a unit that fits none."""
+    li = lines(spark, sf_dir)
+    own = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"), F.min("l_suppkey").alias("s"))
+    rows = order_rows(spark, sf_dir).join(own, ["l_orderkey", "l_linenumber"]).withColumn("scope", F.col("l_orderkey").cast("string")).withColumn("tgl_muat", F.date_format("l_shipdate", "d/M/yyyy"))
+    ok, n = F.col("l_orderkey"), F.col("l_linenumber")
+    said = rows.withColumns({
+        "no_plat": F.lower(F.replace(plate(ok, n), F.lit(" "), F.lit("-"))), "driver": F.concat(F.lit("sopir "), F.col("s").cast("string")), "kontak_driver": F.replace(phone(ok, n), F.lit("+62 "), F.lit("0")),
+        "status_unit": F.lit(""),
+    })
+    last = said.groupBy("scope").agg(F.max_by(F.struct(*said.columns), "seq").alias("x")).select("x.*")
+    extra = last.withColumns({"seq": F.col("seq") + 1000000000, "no_plat": F.concat(F.lit("Z "), ok.cast("string")), "driver": F.lit("TAMBAHAN"), "kontak_driver": F.concat(F.lit("09"), ok.cast("string"))})
+    merged = merge.smart_merge(rows, said.unionByName(extra))
+    return merged.select("scope", "origin", "seq", F.regexp_replace(F.upper("no_plat"), "-", " ").alias("no_plat"), "status_unit", "outcome")
 
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------------------

@@ -113,56 +113,184 @@ def order_rows(spark, rows):
     return spark.createDataFrame([(i, *(r.get(c, "") for c in FIELDS), r.get("status_unit", "PARTIAL")) for i, r in rows], "seq long, " + ", ".join(f"{c} string" for c in FIELDS) + ", status_unit string")
 
 
-def plain_merge(stored, incoming, revision):
-    """The merge rules in plain Python, one scope."""
+IDENT = ("driver", "no_plat", "kontak_driver")
+
+
+def plain_merge(stored, incoming, chat):
+    """The save of a chat's rows in plain Python, on dictionaries of raw values: the stored rows as they end, and what is inserted."""
     blank = lambda v: (v or "").strip().lower() in text.BLANKS
-    norm = lambda v: "".join(c for c in (v or "").upper() if c.isalnum())
-    ident = ("driver", "no_plat", "kontak_driver")
-    rows, done = [dict(r, origin="stored") for r in stored], set()
-    for x in incoming:
-        given = {c: x[c] for c in FIELDS if not blank(x[c])}
-        if not given:
-            continue
-        said = [c for c in ident if c in given]
-        same = [i for i, r in enumerate(rows) if said and all(norm(r[c]) == norm(x[c]) for c in said)]
-        if same:
-            free = [i for i in same if i not in done]
-            if not free:
+    key = lambda c, v: plain_phone(v) if c == "kontak_driver" else re.sub("[^A-Z0-9]", "", (v or "").upper())
+    eq = lambda c, r, x: key(c, r[c]) == key(c, x[c])
+    said = lambda c, x: key(c, x[c]) != ""
+    clash = lambda r, x: any(said(c, r) and said(c, x) and not eq(c, r, x) for c in IDENT)
+    missing = lambda r: sum(blank(r[c]) for c in IDENT)
+    rows, used, new, seen_segments = [dict(r) for r in stored], set(), [], set()
+    revision = bool(re.search(r"(?i)\b(rev|revisi|update)\b", chat["text"]))
+
+    def state(r):
+        if r["status_unit"] in ("ASSIGNED", "PARTIAL", "UNASSIGNED"):
+            return r["status_unit"]
+        n = sum(not blank(r[c]) for c in FIELDS)
+        return "ASSIGNED" if n == 8 else "PARTIAL" if n >= 3 else "UNASSIGNED"
+
+    def score(r, x):
+        out = 0
+        for c, plus, minus in (("tgl_muat", 3, 3), ("tgl_ro", 2, 2), ("pickup", 2, 3), ("tujuan", 2, 3), ("type_truck", 1, 2)):
+            if not blank(r[c]) and not blank(x[c]):
+                same = plain_day(r[c]) == plain_day(x[c]) if c.startswith("tgl") else eq(c, r, x)
+                out += plus if same else -minus
+        return out
+
+    def write(i, x, over):
+        r = rows[i]
+        now = {c: x[c].strip() for c in FIELDS if not blank(x[c]) and (blank(r[c]) or (over and not eq(c, r, x)))}
+        r.update(now)
+        if now:
+            r["status_unit"] = ""
+            r["status_unit"] = state(r)
+            used.add(i)
+        return bool(now)
+
+    def match(x, segment):
+        if missing(x) == 3:
+            return False
+        every, free = list(range(len(rows))), [i for i in range(len(rows)) if i not in used]
+        if revision:
+            old = [i for i in free if (chat["plate"] and key("no_plat", rows[i]["no_plat"]) == chat["plate"]) or (chat["phone"] and plain_phone(rows[i]["kontak_driver"]) == chat["phone"])]
+            if not all(blank(x[c]) for c in ("tgl_ro", "tgl_muat", "pickup", "tujuan", "type_truck")):
+                old = [i for i in old if score(rows[i], x) >= 3]
+            if len(old) == 1:
+                return write(old[0], x, True)
+            if segment is not None:
+                fit = [i for i in every if score(rows[i], x) >= 5]
+                fit = fit[-chat["declared"] :] if chat["declared"] else fit
+                if segment < len(fit):
+                    return write(fit[segment], x, True)
+        for i in every:
+            s = score(rows[i], x)
+            if (s > 2 or (s == 2 and not (blank(x["tgl_ro"]) and blank(x["tgl_muat"])))) and any(said(c, x) for c in IDENT) and all(eq(c, rows[i], x) for c in IDENT if said(c, x)):
+                used.add(i)
+                return True
+        over = [i for i in free if revision and state(rows[i]) == "ASSIGNED" and score(rows[i], x) >= 7 and clash(rows[i], x)]
+        options = []
+        for i in free:
+            r, s = rows[i], score(rows[i], x)
+            is_open = state(r) != "ASSIGNED"
+            if s < 3:
                 continue
-            i = free[0]
-        else:
-            equal = [[c for c in ident if norm(x[c]) and norm(r[c]) == norm(x[c])] for r in rows]
-            if any("no_plat" in e or len(e) >= 2 for e in equal) and not revision:
-                continue
-            free = [i for i, r in enumerate(rows) if i not in done and r["status_unit"] != "ASSIGNED" and all(blank(r[c]) for c in said)]
-            if not free:
-                done.add(len(rows))
-                rows.append(dict(x, origin="incoming"))
-                rows[-1]["status_unit"] = status(rows[-1], blank)
+            if said("no_plat", x) and eq("no_plat", r, x):
+                level = 3 * (is_open or revision)
+            elif revision and said("driver", x) and said("kontak_driver", x) and eq("driver", r, x) and eq("kontak_driver", r, x):
+                level = 2
+            else:
+                level = 1 * (over == [i] or (is_open and (any(said(c, x) and blank(r[c]) for c in IDENT) or (revision and clash(r, x)))))
+            if level:
+                options.append((level, 10 * s + missing(r), -i))
+        return bool(options) and write(-max(options)[2], x, revision)
+
+    for k, x in enumerate(incoming):
+        if all(blank(x[c]) for c in FIELDS):
+            continue
+        if revision and chat["marked"]:
+            share = [sum(said(c, x) and key(c, x[c]) == s[c] for c in IDENT) for s in chat["segments"]]
+            seg = share.index(max(share)) if share and max(share) and share.count(max(share)) == 1 else k
+            if seg in chat["marked"] and seg not in seen_segments and match(x, seg):
+                seen_segments.add(seg)
+            continue
+        if match(x, None):
+            continue
+        if missing(x) == 3:
+            hold = [(10 * score(r, x) + missing(r), -i) for i, r in enumerate(rows) if i not in used and state(r) != "ASSIGNED" and missing(r) and score(r, x) >= 3]
+            if hold:
+                used.add(-max(hold)[1])
                 continue
-            i = max(free, key=lambda k: (sum(blank(rows[k][c]) for c in ident), -k))
-        done.add(i)
-        for c, v in given.items():
-            if blank(rows[i][c]) or (revision and norm(rows[i][c]) != norm(v)):
-                rows[i][c] = v
-        rows[i]["status_unit"] = status(rows[i], blank)
-    return sorted((r["origin"], *(r[c] for c in FIELDS), r["status_unit"]) for r in rows)
-
-
-def status(row, blank):
-    n = sum(not blank(row[c]) for c in FIELDS)
-    return "ASSIGNED" if n == 8 else "PARTIAL" if n >= 3 else "UNASSIGNED"
-
-
-@pytest.mark.parametrize("revision", [False, True])
-def test_merge_against_plain_model(spark, revision):
-    r = random.Random(11)
-    scope = {"tgl_ro": "1/2/2024", "pickup": "A", "tujuan": "B", "type_truck": "CDD"}
-    unit = lambda: {"driver": r.choice(["", "ani", "budi", "-"]), "no_plat": r.choice(["", "B 1 X", "B 2 Y", "b1x"]), "kontak_driver": r.choice(["", "0811", "0822"]), "tgl_muat": r.choice(["", "2/2/2024"])}
-    stored = [scope | unit() | {"status_unit": "PARTIAL"} for _ in range(4)] + [scope | {"driver": "cici", "no_plat": "B 9 Z", "kontak_driver": "0899", "tgl_muat": "3/2/2024", "status_unit": "ASSIGNED"}]
-    incoming = [scope | unit() | {"status_unit": ""} for _ in range(8)]
-    got = merge.smart_merge(order_rows(spark, enumerate(stored)), order_rows(spark, enumerate(incoming, 100)), revision).collect()
-    assert sorted((x.origin, *(x[c] for c in FIELDS), x.status_unit) for x in got) == plain_merge(stored, incoming, revision)
+        elif any(all(eq(c, r, x) for c in FIELDS) for r in rows):
+            continue
+        new.append(dict(x, status_unit=x["status_unit"] or state(x)))
+    return sorted((o, *(r[c] for c in FIELDS), r["status_unit"]) for o, side in (("stored", rows), ("incoming", new)) for r in side)
+
+
+def plain_phone(v):
+    d = re.sub(r"\D", "", v or "")
+    return "0" + d[3:] if d.startswith("620") else "0" + d[2:] if d.startswith("62") else "0" + d if d.startswith("8") else d
+
+
+def plain_day(v):
+    """Of the test's spellings: d/m/yyyy and d MONTH yyyy."""
+    m = re.match(r"(\d+)[ /](\w+)[ /](\d+)", v.strip())
+    return (int(m[1]), {"FEB": 2, "FEBRUARI": 2, "MARET": 3}.get(m[2].upper()) or int(m[2]), int(m[3])) if m else re.sub("[^A-Z0-9]", "", v.upper())
+
+
+def merge_cases(n, seed):
+    """Scopes with mismatches, blanks, other spellings, plain and revised chats."""
+    r = random.Random(seed)
+    pick = lambda *x: r.choice(x)
+    row = lambda: {
+        "tgl_ro": pick("1/2/2024", "01 FEB 2024", "1 FEBRUARI 2024", "2/2/2024", "", "-"), "tgl_muat": pick("3/2/2024", "3 FEB 2024", "4/3/2024", "4 MARET 2024", "", "null"), "pickup": pick("GUDANG A", "gudang-a", "GUDANG A", "B", ""),
+        "tujuan": pick("KOTA 1", "kota 1", "KOTA 1", "KOTA 2", ""), "type_truck": pick("CDD", "CDD", "cdd ", "FUSO", ""), "driver": pick("ani", "ANI", "budi", "cici", "", "-"),
+        "no_plat": pick("B 1 X", "b1x", "B 2 Y", "B 3 Z", "", "none"), "kontak_driver": pick("0811", "+62811", "62 811", "08220000", "0833", ""), "status_unit": pick("", "", "", "PARTIAL", "ASSIGNED", "partial"),
+    }
+    full = lambda: row() | {"tgl_ro": "1/2/2024", "tgl_muat": pick("3/2/2024", "4/3/2024"), "pickup": "GUDANG A", "tujuan": "KOTA 1", "type_truck": "CDD"}
+    for k in range(n):
+        make = full if k % 2 else row
+        stored, incoming = ([make() for _ in range(r.randint(1, m))] for m in (6, 5))
+        stored = [x | {"status_unit": x["status_unit"].upper()} for x in stored]
+        incoming = [x | {"status_unit": ""} for x in incoming] + [{c: "" for c in (*FIELDS, "status_unit")}]
+        r.shuffle(incoming)
+        chat = {"text": "request", "plate": "", "phone": "", "declared": 0, "marked": [], "segments": []}
+        if k % 4 >= 2:
+            lines = ["revisi nopol : B 1 X" if k % 3 == 0 else "update"] + (["revisi no hp : 08220000"] if k % 5 == 0 else [])
+            chat |= {"plate": "B1X" if k % 3 == 0 else "", "phone": "08220000" if k % 5 == 0 else ""}
+            if k % 7 < 3:
+                chat["declared"] = r.randint(1, 4)
+                lines.insert(0, f"{chat['declared']} UNIT CDD")
+            if k % 3 != 0 and k % 5 != 0 and k % 2:  # loading segments, some of them marked
+                for i in range(r.randint(2, 4)):
+                    s = {"driver": pick("ani", "budi"), "no_plat": pick("B 1 X", "B 2 Y"), "kontak_driver": pick("0811", "08220000")}
+                    lines += ["Lokasi : GUDANG A"] * r.randint(0, 1) + ["Waktu loading : 08:00", f"Driver : {s['driver']}", f"Nopol : {s['no_plat']}", f"No hp : {s['kontak_driver']}"]
+                    if r.random() < 0.6:
+                        lines.append("revisi")
+                        chat["marked"] = [*chat["marked"], i]
+                    chat["segments"] = [*chat["segments"], {"driver": s["driver"].upper(), "no_plat": s["no_plat"].replace(" ", ""), "kontak_driver": s["kontak_driver"]}]
+            chat["text"] = "\n".join(lines)
+        yield f"s{k}", stored, incoming, chat
+
+
+def test_merge_against_plain_model(spark):
+    cases = list(merge_cases(400, 11))
+    schema = "scope string, seq long, " + ", ".join(f"{c} string" for c in FIELDS) + ", status_unit string"
+    side = lambda k: spark.createDataFrame([(c[0], 1000 * k + i, *(x[f] for f in FIELDS), x["status_unit"]) for c in cases for i, x in enumerate(c[k])], schema)
+    chats = spark.createDataFrame([(c[0], c[3]["text"]) for c in cases], "scope string, chat_text string")
+    got = {}
+    for x in merge.smart_merge(side(1), side(2), chats).collect():
+        got.setdefault(x.scope, []).append((x.origin, *(x[c] for c in FIELDS), x.status_unit))
+    changed = 0
+    for scope, stored, incoming, chat in cases:
+        want = plain_merge(stored, incoming, chat)
+        assert sorted(got[scope]) == want, (scope, chat, stored, incoming)
+        changed += want != plain_merge(stored, [], chat)
+    assert changed > 200
+
+
+def test_save_chat(spark):
+    """One chat against a large table: the same as over all rows; a replay inserts no row that it had inserted."""
+    (_, stored, incoming, chat), other = list(merge_cases(8, 5))[5], {"tgl_ro": "9/9/2023", "pickup": "X", "status_unit": "PARTIAL"}
+    table = order_rows(spark, [*enumerate(stored), *((100 + i, other | {"tujuan": str(i)}) for i in range(50))])
+    new = order_rows(spark, enumerate(incoming, 1000)).withColumn("status_unit", F.lit(""))
+    got = merge.save_chat(table, new, "chat-1", chat["text"])
+    rows = sorted((x.origin, *(x[c] for c in FIELDS), x.status_unit) for x in got.collect())
+    assert rows == sorted([*plain_merge(stored, incoming, chat), *(("stored", *((other | {"tujuan": str(i)}).get(c, "") for c in FIELDS), "PARTIAL") for i in range(50))])
+    again = merge.save_chat(got.select("seq", *FIELDS, "status_unit", "row_hash").withColumn("raw_chat_id", F.lit("chat-1")), new, "chat-1", chat["text"])
+    hashes = [r.row_hash for r in again.collect() if r.row_hash]
+    assert len(hashes) == len({*hashes}) and {r.row_hash for r in got.collect()} <= {None, *hashes}
+
+
+def test_loading_segments(spark):
+    text_ = "REQUEST\nLokasi : A\nWaktu loading : 1\nNopol : B 1 X\nLokasi : B\nx\nLokasi : C\nWaktu loading : 2\nrevisi nopol : B 2 Y\nLokasi : D"
+    df = spark.createDataFrame([(text_,), ("no segments",), (None,)], "t string")
+    got = [r.s for r in df.select(parse.loading_segments(F.col("t")).alias("s")).collect()]
+    assert [[x.strip() for x in s] for s in got] == [["Lokasi : A\nWaktu loading : 1\nNopol : B 1 X\nLokasi : B\nx", "Lokasi : C\nWaktu loading : 2\nrevisi nopol : B 2 Y\nLokasi : D"], [], []]
+    assert df.select(parse.marked_segments(F.col("t")).alias("m")).first().m == [1]
 
 
 def test_save_is_idempotent_on_hashes(spark):
@@ -309,7 +437,7 @@ def test_metrics_of_nothing(spark):
 def test_report_cells(spark):
     two = "driver 1: ani wati nopol B 1\ndriver 2: budi\nno hp 081234567 dan no hp 628987654321"
     assert ask(spark, lambda c: report.driver_pair(c)["first"], two, "x") == ["Ani Wati", ""]
-    assert ask(spark, report.driver_name, "m.rizki o'neil-budi", "driver baru", None) == ["M.Rizki O'Neil-Budi", "", ""]
+    assert ask(spark, report.driver_name, "m.rizki o'neil-budi", "sopir jne", None) == ["M.Rizki O'Neil-Budi", "", ""]
     assert ask(spark, lambda c: report.with_driver_pair(c, F.lit(two)), "", "budi", "cici") == ["Ani Wati & Budi", "Ani Wati & Budi", "cici"]
     assert ask(spark, lambda c: report.with_phone_pair(c, F.lit(two)), "", "081234567", "0800") == ["081234567 & 08987654321", "081234567 & 08987654321", "0800"]
     got = ask(spark, report.format_chat, "a\nWaktu loading : 08:00 1/2/2024\nb", "[08.00, 1/2/2024] A: contoh chat x[09.00, 1/2/2024] B: ya")
