@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, cut, width
+from .common import arrow_map, column, cut
 
 
 def _contract(batches):
@@ -37,48 +36,25 @@ def _contract(batches):
     yield from stars()
 
 
-def _star(larger: bool):
-    """Rows (u, v) come sorted by u and v; each group's least node takes over the group's larger (or not larger) neighbours."""
-
-    def run(batches):
-        last, least = None, None
-        for batch in batches:
-            u, v = (column(batch, c).to_numpy(zero_copy_only=False) for c in "uv")
-            if not len(u):
-                continue
-            first = np.concatenate(([last is None or u[0] != last], u[1:] != u[:-1]))
-            heads = np.flatnonzero(first)
-            group = np.cumsum(first) - 1
-            low = np.minimum(u[heads], v[heads])
-            m = low[group] if len(heads) else np.full(len(u), least)
-            if len(heads):
-                m = np.where(group < 0, least if least is not None else 0, m)
-            last, least = u[-1], m[-1]
-            if larger:
-                keep = (v > u) & (v != m)
-                yield {"u": v[keep], "v": m[keep]}
-            else:
-                keep = v != m
-                yield {"u": np.concatenate([v[keep], u[first & (u != m)]]), "v": np.concatenate([m[keep], m[first & (u != m)]])}
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v long, not null.  Returns id, root (long): every node of an edge that isn't its component's least node, and that least node.
 
-    Each round moves every edge a constant number of times; the rounds are few (logarithmic).  A node with very many edges is
-    streamed, never held.  Loops and repeated edges do no harm; without edges the result is empty.
+    Each round moves every edge a constant number of times; the rounds are few (logarithmic).  A node's least neighbour is found by an
+    aggregation, which gathers before it shuffles, and joined back, so that a node with very many edges fills no task.  Loops and
+    repeated edges do no harm; without edges the result is empty.
     """
-    n = width(edges.sparkSession)
-    edges = cut(arrow_map(edges.select("u", "v").where("u <> v"), _contract, "u long, v long").distinct())
+    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"))
+    edges = cut(arrow_map(edges.select("u", "v").where("u <> v"), _contract, "u long, v long").distinct())  # u > v
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = state
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        large = arrow_map(both.repartition(n, "u").sortWithinPartitions("u", "v"), _star(True), "u long, v long").distinct()
-        small = arrow_map(large.repartition(n, "u").sortWithinPartitions("u", "v"), _star(False), "u long, v long").distinct()
-        edges = cut(small)
+        # each node's larger neighbours go over to its least neighbour, if that is less than itself
+        lower = least(edges).withColumnRenamed("u", "v")
+        large = edges.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # then its smaller neighbours, and itself
+        small = least(large)
+        moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(moved.union(small.select("u", F.col("m").alias("v"))).distinct())

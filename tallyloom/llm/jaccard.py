@@ -9,9 +9,11 @@ the first n - ceil(t * n) + 1 shingles of either.
    (that with the fewest rare shingles, as a template has beside its copies) and, in small groups, with all.  The number of pairs is
    linear in the rows.
 3. Distinct pairs are verified once against the whole sets; verified links make components.
-4. A group that still holds several components may hide links that step 2 did not pair.  Such groups make families; within a family
-   every entity outside the largest component is compared with all entities of other components, block by block, through one matrix
-   product a pair of blocks.  No link between components is lost and no pair is emitted unless it links.
+4. A group that still holds several components may hide links that step 2 did not pair.  Groups with the same least entity, their hub,
+   are looked at together (a template's many shingles have one); they are not joined further.  Within a hub's group every entity outside
+   the largest component is compared with the entities of other components whose sizes can fit: entities are ranged by size, each
+   range is compared with itself and its neighbours, block by block of BLOCK entities, through one matrix product a pair of blocks.
+   No link between components is lost and no pair is emitted unless it links.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, column, cut, keep_columns, sliced, width
@@ -118,7 +120,7 @@ def _sets(words: int, num: int, den: int, frequent):
 
 def _pair_up(num: int, den: int):
     """Rows sorted by token, light, n, eid. Yields pairs (kind 0: a, b, their sizes, shingles met on in groups paired in full, whether the
-    first-shingle filters let them pass anywhere) and the rows of groups larger than SMALL (kind 1: token, eid)."""
+    first-shingle filters let them pass anywhere) and the rows of groups larger than SMALL (kind 1: token, eid, size)."""
     names = ("token", "light", "n", "eid", "pos")
 
     def fits(n1, p1, n2, p2):
@@ -196,7 +198,7 @@ def _pair_up(num: int, den: int):
                 yield {"kind": np.zeros(len(at), np.int32), "a": a[at], "b": b[at], "na": rows["n"][x[at]], "nb": rows["n"][y[at]], "shared": shared, "fit": fit}
             if m := int(opened.sum()):
                 zero = np.zeros(m, np.int32)
-                yield {"kind": zero + 1, "a": token[opened], "b": rows["eid"][opened], "na": zero, "nb": zero, "shared": zero, "fit": zero > 0}
+                yield {"kind": zero + 1, "a": token[opened], "b": rows["eid"][opened], "na": rows["n"][opened], "nb": zero, "shared": zero, "fit": zero > 0}
             # what the next batch needs of the last group: its first rows and its pivot in force
             tail = np.flatnonzero(group == group[-1])
             keep_rows = tail[: SMALL]
@@ -243,8 +245,32 @@ def _verify(num: int, den: int):
     return run
 
 
+def _block_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """placed: hub, eid, comp, n. The entities of the blocks that are to be compared: hub, stray_block, block (string), stray, eid, comp.
+
+    Strays are those outside their hub's largest component. Sizes are ranged by powers of den / num, so that those that can link are in one
+    range or neighbouring ones; a hub's range is dealt by hash into blocks of some BLOCK entities. Pairs of blocks without strays do not
+    come up.
+    """
+    main = placed.groupBy("hub", "comp").count().groupBy("hub").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    ranged = placed.join(main, "hub").withColumn("stray", F.col("comp") != F.col("main")).withColumn("range", F.floor(F.log(den / num, F.col("n"))).cast("int"))
+    sizes = ranged.groupBy("hub", "range").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("stray_blocks"))
+    near = sizes.withColumn("there", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))  # these blocks are met from the ranges beside
+    name = lambda at, number: F.concat_ws(":", at, number)
+    deal = lambda count: F.pmod(F.xxhash64("eid"), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    own = ranged.join(sizes, ["hub", "range"])
+    there = near.select("hub", F.col("there").alias("range"), F.col("range").alias("beside"), F.col("blocks").alias("blocks_there"), F.col("stray_blocks").alias("strays_there"))
+    met = own.join(there, ["hub", "range"])
+    members = met.where("strays_there > 0").select("hub", F.lit(False).alias("stray"), "eid", "comp", "beside", name(F.col("range"), deal(F.col("blocks"))).alias("block"), every(F.col("strays_there")).alias("k"))
+    strays = met.where("stray").select("hub", F.lit(True).alias("stray"), "eid", "comp", "beside", name(F.col("range"), deal(F.col("stray_blocks"))).alias("stray_block"), every(F.col("blocks_there")).alias("k"))
+    columns = ("hub", "stray_block", "block", "stray", "eid", "comp")
+    members = members.withColumn("stray_block", name(F.col("beside"), F.col("k"))).select(*columns)
+    return members.union(strays.withColumn("block", name(F.col("beside"), F.col("k"))).select(*columns))
+
+
 def _block_links(num: int, den: int):
-    """For groups (family, block of strays, block of members): links between different components, one for each stray and component at most."""
+    """For groups (hub, block of strays, block of members): links between different components, one for each stray and component at most."""
 
     def run(batches):
         key, strays, members = None, [], []
@@ -277,11 +303,11 @@ def _block_links(num: int, den: int):
                 yield {"u": eids[0][i[first]], "v": eids[1][j[first]]}
 
         for batch in batches:
-            rows = zip(*(column(batch, c).to_pylist() for c in ("family", "sb", "mb", "stray", "eid", "comp")), column(batch, "hashes"))
-            for family, sb, mb, stray, eid, comp, raw in rows:
-                if key != (family, sb, mb):
+            rows = zip(*(column(batch, c).to_pylist() for c in ("hub", "stray_block", "block", "stray", "eid", "comp")), column(batch, "hashes"))
+            for hub, theirs, mine, stray, eid, comp, raw in rows:
+                if key != (hub, theirs, mine):
                     yield from links()
-                    key, strays, members = (family, sb, mb), [], []
+                    key, strays, members = (hub, theirs, mine), [], []
                 (strays if stray else members).append((eid, comp, np.frombuffer(raw.as_buffer(), U64).copy()))
         yield from links()
 
@@ -324,7 +350,7 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     rows = entities.select("eid", "n", "light", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.repartition(n, "token").sortWithinPartitions("token", "light", "n", "eid")
     met = cut(arrow_map(rows, _pair_up(num, den), "kind int, a long, b long, na int, nb int, shared int, fit boolean"))
-    opened = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("eid"))
+    opened = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("eid"), F.col("na").alias("n"))
     # the positional filter at the end of the prefixes: what they share, counted, and all that stands behind the shorter of them
     hidden = opened.groupBy("eid").count()
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("fit").alias("fit")).where("fit")
@@ -365,25 +391,16 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     # groups that still hold several components
     labelled = opened.join(labels.withColumnRenamed("id", "eid"), "eid", "left").withColumn("comp", F.coalesce("root", "eid"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("eid").alias("hub")).where("low < high")
-    open_rows = cut(labelled.join(mixed.select("token", "hub"), "token").select("hub", "eid", "comp").distinct())
-    if open_rows.isEmpty():
-        edges = links
-    else:
-        family = components(open_rows.select(F.col("hub").alias("u"), F.col("eid").alias("v")))
-        placed = open_rows.select("eid", "comp").distinct().join(family.withColumnRenamed("id", "eid"), "eid", "left").select("eid", "comp", F.coalesce("root", "eid").alias("family"))
-        largest = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", F.col("comp").alias("main"))).alias("x"), F.sum("count").alias("size")).select("family", "x.main", "size")
-        placed = placed.join(largest, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("eid"), F.col("blocks")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        members = placed.select("family", F.explode(every).alias("sb"), F.col("block").alias("mb"), F.lit(False).alias("stray"), "eid", "comp")
-        strays = placed.where("comp <> main").select("family", F.col("block").alias("sb"), F.explode(every).alias("mb"), F.lit(True).alias("stray"), "eid", "comp")
-        work = members.union(strays).join(whole_sets(placed.select("eid").distinct()), "eid").repartition(n, "family", "sb", "mb").sortWithinPartitions("family", "sb", "mb")
-        edges = links.union(arrow_map(work, _block_links(num, den), "u long, v long"))
-        labels = components(edges)
+    placed = cut(labelled.join(mixed.select("token", "hub"), "token").select("hub", "eid", "comp", "n").distinct())
+    if not placed.isEmpty():
+        work = _block_pairs(placed, num, den).join(whole_sets(placed.select("eid").distinct()), "eid")
+        work = work.repartition(n, "hub", "stray_block", "block").sortWithinPartitions("hub", "stray_block", "block")
+        labels = components(links.union(arrow_map(work, _block_links(num, den), "u long, v long")))
 
     # the least document of a component, for every set's key
     named = entities.select("eid", "key", "doc_id").join(labels.withColumnRenamed("id", "eid"), "eid", "left").withColumn("root", F.coalesce("root", "eid"))
-    named = named.withColumn("component_id", F.min("doc_id").over(Window.partitionBy("root"))).select("key", "component_id", "root")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "root").select("key", "component_id", "root")
     plain = arrow_map(docs, _keys(words), "doc_id long, n_shingles long, key binary, h long")
     return plain.join(named, "key", "left").select("doc_id", "n_shingles", "h", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

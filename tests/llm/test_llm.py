@@ -111,6 +111,24 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == plain_components(rows)
 
 
+def test_links_between_unlike_members_of_a_group(spark, monkeypatch):
+    """Documents of one template in several components, of several sizes: all links come out of the blocks of step 4."""
+    from tallyloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(9)
+    common, rows = [f"c{i}" for i in range(40)], []
+    for k in range(40):  # kinds with endings of their own and of several lengths; two or three of each kind are near
+        own = [f"k{k}w{i}" for i in range(r.choice([9, 14, 30]))]
+        for _ in range(r.randint(1, 3)):
+            w = common[r.randint(0, 2) :] + own
+            if r.random() < 0.5:
+                w = w[: -r.randint(1, 3)]
+            rows.append((len(rows), " ".join(w)))
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_components(table(spark, rows)).collect()), key=str)
+    assert got == plain_components(rows)
+
+
 def test_keep_one(docs, rows):
     kept = keep_one_of_each(docs)
     assert kept.columns == docs.columns
