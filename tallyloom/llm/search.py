@@ -1,9 +1,10 @@
 """Exact top-k search by Fagin's threshold algorithm over sorted lists, one a dimension.
 
 Candidates are dealt into shards and queries into blocks; each shard meets each block.  A shard sorts its vectors along each dimension.
-For a query the lists are read from the end that its component favours; what they bring up is scored in full (the random access), and
-the sum of the components at the depth reached bounds every vector not yet seen.  Reading stops when that bound cannot beat, nor tie
-with, the k-th score.  Queries that have not stopped at the last depth read their lists to the end, together, as one matrix product.
+For a query the lists are read in step, each from the end that its component favours, to growing depths; what they bring up is scored
+in full (the random access), once, and the sum of the components at the depth reached bounds every vector not yet seen.  Reading stops
+when that bound can neither beat nor tie with the k-th score.  While it is above what the lengths of the vectors allow any score to be,
+it cannot stop, so what the lists bring up till then is scored together.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from .common import arrow_map, column, width
 
 SHARD = 16_384
 QUERIES = 1_024
-DEPTHS = (8, 32)
+#: The first depth to which lists are read; each next one is twice as deep.
+DEPTH = 8
 
 
 class Shard:
@@ -48,33 +50,47 @@ class Shard:
         return ids[order], scores[order]
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int):
-        """Yields query number, ids and scores of its k best."""
+        """Yields query number, ids and scores of its k best, and the depth at which reading stopped (the lists' length: at their end)."""
         m, d = self.vectors.shape
-        exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(d, 1) < 2**53
-        kind = np.float64 if exact else np.int64
-        vectors, queries = self.vectors.astype(kind), queries.astype(kind)
-        todo = np.arange(len(queries))
-        columns = np.arange(d)
-        for depth in DEPTHS:
-            if not len(todo) or not d or depth * d >= m:
-                break
-            high, low = vectors[self.lists[m - depth], columns], vectors[self.lists[depth - 1], columns]
-            bounds = np.maximum(queries[todo], 0) @ high + np.minimum(queries[todo], 0) @ low
-            left = []
-            for q, bound in zip(todo.tolist(), bounds):
-                up, down = self.lists[m - depth :, queries[q] > 0], self.lists[:depth, queries[q] < 0]
-                seen = np.unique(np.concatenate([up.ravel(), down.ravel()]))
-                ids, scores = self.best(own[q], seen, vectors[seen] @ queries[q], k)
-                if len(ids) >= k and scores[-1] > bound:
-                    yield q, ids, scores
+        most = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(d, 1)
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # sums are exact
+        vectors, queries = np.ascontiguousarray(self.vectors.astype(kind)), queries.astype(kind)
+        place = np.int16 if m < 2**15 else np.int32
+        ranks = np.empty((d, m), place)  # each vector's place in each list
+        np.put_along_axis(ranks, self.lists.T, np.arange(m, dtype=place)[None], axis=1)
+        depths = [DEPTH << j for j in range(max(0, m.bit_length())) if DEPTH << j < m]
+        ends = [vectors[self.lists[at], np.arange(d)] for depth in depths for at in (m - depth, depth - 1)]
+        high, low = (np.stack(ends[k::2]) if ends else np.zeros((0, d), kind) for k in (0, 1))
+        bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+        length = lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(1))
+        reach = length(queries) * length(vectors).max(initial=0) + 1
+        for q, query in enumerate(queries):
+            up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+            seen, comes, at, scores = np.zeros(m, bool), None, np.empty(0, np.int64), np.empty(0, kind)
+            for depth, bound in [*zip(depths, bounds[q]), (m, None)]:
+                if bound is not None and bound > reach[q]:
+                    continue
+                if bound is None:
+                    new = ~seen
+                elif depth * d < m:
+                    new = np.zeros(m, bool)
+                    new[self.lists[m - depth :, up].ravel()] = new[self.lists[:depth, down].ravel()] = True
+                    new &= ~seen
                 else:
-                    left.append(q)
-            todo = np.array(left, np.int64)
-        for a in range(0, len(todo), 128):
-            part = todo[a : a + 128]
-            every = queries[part] @ vectors.T
-            for q, scores in zip(part.tolist(), every):
-                yield q, *self.best(own[q], np.arange(m), scores, k)
+                    if comes is None:  # the depth at which each vector comes up
+                        comes = np.minimum(m - 1 - ranks[up].max(0, initial=-1).astype(np.int32), ranks[down].min(0, initial=np.iinfo(place).max))
+                    new = (comes < depth) & ~seen
+                seen |= new
+                new = np.flatnonzero(new)
+                found = (vectors @ query)[new] if 2 * len(new) > m else vectors[new] @ query
+                at, scores = np.concatenate([at, new]), np.concatenate([scores, found])
+                if len(at) > k + 1:  # one more than k, as the query's own row takes no part; all that tie with the last
+                    least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                    at, scores = at[scores >= least], scores[scores >= least]
+                ids, top = self.best(own[q], at, scores, k)
+                if bound is not None and len(ids) >= k and top[-1] > bound:
+                    break
+            yield q, ids, top, depth
 
 
 def _matrix(batch, dims: int) -> np.ndarray:
@@ -104,7 +120,7 @@ def _search(k: int):
                 return
             shard, own = Shard(ids[~asks], v[~asks], k), ids[asks]
             out = {c: [] for c in ("query_id", "vec_id", "score")}
-            for q, found, scores in shard.search(own, v[asks], k):
+            for q, found, scores, _ in shard.search(own, v[asks], k):
                 out["query_id"].append(np.full(len(found), own[q])), out["vec_id"].append(found), out["score"].append(scores.astype(np.int64))
             yield {c: np.concatenate([np.empty(0, np.int64), *x]) for c, x in out.items()}
 

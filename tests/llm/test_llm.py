@@ -374,16 +374,33 @@ def test_top_k(spark):
 
 
 def test_threshold_stops_early():
+    """Reading stops at the first of the growing depths at which the bound allows it; on vectors that stand out that is early."""
     from tallyloom.llm.search import Shard
 
     r = np.random.default_rng(0)
     v = r.integers(-5, 5, (3000, 4))
     v[17] = v[18] = [900, 900, 900, 900]
-    shard, calls = Shard(np.arange(3000), v, 1), []
-    best = shard.best
-    shard.best = lambda own, at, scores, k: calls.append(len(at)) or best(own, at, scores, k)
-    assert [(q, i.tolist()) for q, i, _ in shard.search(np.array([18]), v[[18]], 1)] == [(0, [17])]
-    assert calls == [min(calls)] and calls[0] <= 4 * 8
+    shard = Shard(np.arange(3000), v, 1)
+    assert [(q, i.tolist(), d) for q, i, _, d in shard.search(np.array([18]), v[[18]], 1)] == [(0, [17], 8)]
+    # a few directions with most of the weight, as trained vectors have them, and none, as the test tables' vectors have
+    kinds = {"decaying": r.normal(0, 1, (4000, 64)) * 0.5 ** np.arange(64), "even": r.normal(0, 1, (4000, 64))}
+    depths = {}
+    for name, x in kinds.items():
+        x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+        shard, ids = Shard(np.arange(4000), x, 20), np.arange(0, 4000, 100)
+        depths[name] = []
+        for q, found, scores, depth in shard.search(ids, x[ids], 20):
+            every = x @ x[ids[q]]
+            order = [i for i in np.lexsort((np.arange(4000), -every)) if i != ids[q]][:20]
+            assert found.tolist() == order and scores.tolist() == every[order].tolist()
+            depths[name].append(depth)
+            if depth < 4000:  # the depth before did not allow it
+                half, query = depth // 2, x[ids[q]]
+                lists = np.sort(x, 0)
+                seen = ((x >= lists[-half]) & (query > 0) | (x <= lists[half - 1]) & (query < 0)).any(1)
+                bound = np.maximum(query, 0) @ lists[-half] + np.minimum(query, 0) @ lists[half - 1]
+                assert half < 8 or np.sort(np.where(seen & (np.arange(4000) != ids[q]), every, -(10**9)))[-20] <= bound
+    assert np.mean(np.array(depths["decaying"]) <= 1024) > 0.5 and np.mean(np.array(depths["even"]) < 4000) > 0.9
 
 
 def test_chat(spark):
