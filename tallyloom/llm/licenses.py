@@ -31,6 +31,15 @@ TEMPLATES = {
     "this work is licensed under the gnu general public license version 3": "gpl-3",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "mozilla public license version 2 0": "mpl-2",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software": "mit",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain "
+    "the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+    "appear in all copies": "isc",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
 }
 #: What stands between words, either case; what stands between blocks.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -158,8 +167,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
 
 def oracle(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same result by plain comparison of every line and sentence with every template, in DuckDB's SQL: of texts without wrapped notices."""
-    rows = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))})" for i, (t, label) in enumerate(templates.items()))
+    """The same result by plain comparison of every line, sentence and run of words with every template, in DuckDB's SQL."""
+    rows = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))}, {len(t.split())})" for i, (t, label) in enumerate(templates.items()))
     said = ", ".join(f"('{label}', {p.split()})" for p, label in phrases.items())
     lower = f"translate(text, '{UPPER}', '{LOWER}')"
     return rf"""
@@ -167,7 +176,7 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
 ), w AS (
   SELECT r, doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d
-), phrases(label, p) AS (VALUES {said}), templates(k, label, t) AS (VALUES {rows}), places AS (
+), phrases(label, p) AS (VALUES {said}), templates(k, label, t, width) AS (VALUES {rows}), places AS (
   SELECT r, label, i - 1 AS place FROM (SELECT r, words, label, p, unnest(range(1, len(words) - len(p) + 2)) AS i FROM w, phrases)
   WHERE words[i] = p[1] AND words[i : i + len(p) - 1] = p
 ), base AS (
@@ -175,11 +184,13 @@ WITH d AS (
 ), blocks AS (
   SELECT r, list_distinct(regexp_extract_all(translate(block, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
   FROM (SELECT r, unnest(regexp_split_to_array(text, '\n|[.!?] ')) AS block FROM d)
-), found AS (
-  SELECT r, list(DISTINCT label) AS labels, max(share) AS share
-  FROM (SELECT r, label, len(list_intersect(words, t)) / len(t) AS share, len(list_intersect(words, t)) AS n, len(t) AS size FROM blocks, templates)
-  WHERE n >= ceil({threshold} * size - 1e-9) GROUP BY r
-)
+), said AS (SELECT k, width, len(t) AS size, label, unnest(t) AS word FROM templates), heard AS (
+  SELECT r, i, words[i] AS word FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w)
+), hits AS (SELECT r, k, i, word, width, size, label FROM heard JOIN said USING (word)
+), met AS (
+  SELECT r, label, len(list_intersect(words, t)) AS n, len(t) AS size FROM blocks, templates
+  UNION ALL SELECT a.r, a.label, count(DISTINCT b.word), a.size FROM hits a JOIN hits b ON a.r = b.r AND a.k = b.k AND b.i BETWEEN a.i AND a.i + a.width - 1 GROUP BY a.r, a.k, a.i, a.label, a.size
+), found AS (SELECT r, list(DISTINCT label) AS labels, max(n / size) AS share FROM met WHERE n >= ceil({threshold} * size - 1e-9) GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.a AS BIGINT) AS first_word, CAST(base.b AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,

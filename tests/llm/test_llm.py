@@ -427,6 +427,7 @@ def test_licenses(spark, tmp_path):
 
     texts = ["Released under the MIT License.", "x\nLicensed under the Apache License, Version 2.0! y", "CC-BY-NC and cc by nc cc by nc", None, "", "under the mit licensed", "Under\nthe, MIT*license", "é under the mit license é"]
     texts += ["this work is licensed under the GNU general public license version", "redistribution and use in source and binary forms, with or without modification, are permitted", "this work is licensed", "word " * 20000 + "cc by nc"]
+    texts += ["# Redistribution and use in source and binary forms,\n# with or without modification,\n# are permitted", "under the\nMIT. License", "Permission is hereby granted, free of charge, to any person\nobtaining a copy"]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])]
     df = table(spark, rows)
     df.write.parquet(str(tmp_path / "d"))
