@@ -126,3 +126,20 @@ def marked_segments(chunk: Column) -> Column:
     marks = lambda parts: F.array_compact(F.transform(parts, lambda x, i: F.when(fields.has_revision_marker(x), i)))
     none = F.array().cast("array<int>")
     return let(loading_segments(chunk), lambda parts: F.when((F.size(parts) > 1) & F.coalesce(chunk.rlike(fields.REVISION), F.lit(False)), marks(parts)).otherwise(none))
+
+
+def header_starts(chat: Column) -> Column:
+    """Numbers of the lines at which requests begin: the header's own line, or the line of metadata that stands before it (blank lines
+    between do not count)."""
+
+    def of(ls: Column) -> Column:
+        head = rf"(?i)^[^\S\n]*(?:\[[^\]]+\]\s*[^:\n]+:\s*)?(?:{REQUEST}|oncall|unit\s+on\s+call|on\s+call)\b"
+        written = F.array_compact(F.transform(ls, lambda x, i: F.when(strip(x) != "", i)))
+
+        def start(i: Column) -> Column:
+            before = F.array_max(F.filter(written, lambda j: j < i))
+            return F.when(fields.is_metadata(F.coalesce(F.get(ls, before), F.lit(""))) & (strip(F.regexp_replace(F.coalesce(F.get(ls, before), F.lit("")), fields.METADATA + r"\s*(?:[^:\n]{1,60}:)?", "")) == ""), before).otherwise(i)
+
+        return F.transform(F.array_compact(F.transform(ls, lambda x, i: F.when(x.rlike(head), i))), start)
+
+    return let(F.split(tidy(chat), "\n", -1), of)

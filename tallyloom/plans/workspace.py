@@ -22,11 +22,26 @@ def schema_name(session_id: str) -> str:
     return name
 
 
+def require_test_database(spark: SparkSession, expected: str = "logistic_parser_session_test") -> str:
+    """The guard of session workspaces: spark.tallyloom.session.test must be on, and spark.tallyloom.session.database end in
+    _session_test and be the one expected. Returns its name; raises otherwise."""
+    name = spark.conf.get("spark.tallyloom.session.database", "")
+    if spark.conf.get("spark.tallyloom.session.test", "").lower() not in ("1", "true", "on") or not name.endswith("_session_test") or name != expected:
+        raise RuntimeError("session workspaces work only on an isolated test database")
+    return name
+
+
+def first_setting(spark: SparkSession, *names: str, default: str = "") -> str:
+    """The first of some settings that is set and not blank."""
+    return next((v for v in (spark.conf.get(n, "").strip() for n in names) if v), default)
+
+
 class Workspace:
     """Sessions in a catalog. The registry is rewritten as a whole at each change; it holds a row a session."""
 
     def __init__(self, spark: SparkSession, registry: str = "default.extraction_sessions"):
         self.spark, self.registry = spark, registry
+        self._recover()
         if not spark.catalog.tableExists(registry):
             spark.createDataFrame([], REGISTRY).write.format("parquet").saveAsTable(registry)
 
@@ -36,10 +51,23 @@ class Workspace:
         return rows.orderBy(F.desc("updated_at"), F.desc("created_at"), F.desc("session_id"))
 
     def _rewrite(self, rows: DataFrame) -> None:
-        kept = rows.collect()  # the registry: a row a session
+        """The registry anew. The table as it is stays beside it under another name until the new one stands, and _recover() takes it back
+        if a crash came between."""
+        kept, old = rows.collect(), self.registry + "_old"  # the registry: a row a session
         self.spark.createDataFrame(kept, REGISTRY).write.format("parquet").mode("overwrite").saveAsTable(self.registry + "_new")
-        self.spark.sql(f"DROP TABLE {self.registry}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+        self.spark.sql(f"ALTER TABLE {self.registry} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {self.registry}_new RENAME TO {self.registry}")
+        self.spark.sql(f"DROP TABLE {old}")
+
+    def _recover(self) -> None:
+        exists, (new, old) = self.spark.catalog.tableExists, (self.registry + k for k in ("_new", "_old"))
+        if not exists(self.registry) and exists(new) and exists(old):  # it broke off between the two renames: the new table is whole
+            self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.registry}")
+        elif not exists(self.registry) and exists(old):
+            self.spark.sql(f"ALTER TABLE {old} RENAME TO {self.registry}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {new}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
 
     def create(self, name: str | None = None) -> str:
         session_id, now = str(uuid.uuid4()), datetime.now()

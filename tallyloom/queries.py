@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, fields, identity, rules, text
 from .operators import merge
-from .plans import annotate, blocks, datasets, evaluate, evidence, matching, parse, report
+from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, report, sync
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
 from .sources import io
 
@@ -70,14 +70,14 @@ def unit_slot_explode(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(count(*) AS BIGINT) AS lines, count(*) FILTER (WHERE event_id % 4 = 0) AS labelled, count(*) FILTER (WHERE event_id % 4 = 1) AS noise, count(*) FILTER (WHERE event_id % 4 IN (0, 3)) AS kept_lines FROM events
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Nopol : B ' || event_id || ' X' WHEN 3 THEN 'order ' || event_id ELSE '' END AS clean, event_id % 4 = 1 AS noise FROM events
 """)
 def clean_message_lines(spark, sf_dir):
     """Heads of messages and courtesies go; label misspellings get their one spelling."""
-    kind = F.col("event_id") % 4
-    line = F.when(kind == 0, "NOPL: B 1 X").when(kind == 1, "mohon bantu pak").when(kind == 2, "").otherwise(F.concat(F.lit("[08.15, 1/2/2024] Budi: order "), F.col("event_id").cast("string")))
-    e = table(spark, sf_dir, "events").select("event_id", line.alias("line")).withColumn("clean", fields.prepared(F.col("line")))
-    return e.agg(F.count("*").alias("lines"), F.count_if(F.col("clean") == "Nopol : B 1 X").alias("labelled"), F.count_if(fields.is_noise(F.col("line"))).alias("noise"), F.count_if((F.col("clean") != "") & ~F.col("clean").contains("[")).alias("kept_lines"))
+    kind, n = F.col("event_id") % 4, F.col("event_id").cast("string")
+    line = F.when(kind == 0, F.concat(F.lit("NOPL: B "), n, F.lit(" X"))).when(kind == 1, "mohon bantu pak").when(kind == 2, "").otherwise(F.concat(F.lit("[08.15, 1/2/2024] Budi: order "), n))
+    e = table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    return e.select("event_id", fields.prepared(F.col("line")).alias("clean"), fields.is_noise(F.col("line")).alias("noise"))
 
 
 @query("""
@@ -91,13 +91,16 @@ def timestamp_carry(spark, sf_dir):
 
 
 @query("""
-SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS marked, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS segments FROM orders
+SELECT o_orderkey, o_orderkey % 3 = 0 AS marked, CASE WHEN o_orderkey % 3 = 0 THEN 'B' || o_orderkey || 'X,B' || (o_orderkey + 1) || 'Y' ELSE 'B' || o_orderkey || 'X' END AS plates FROM orders
 """)
 def revision_segments(spark, sf_dir):
-    seg = F.lit("Waktu loading : 08:00\nNopol : B 1 X\n")
-    t = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("REQUEST\n"), seg, seg, F.lit("revisi nopol : B 2 Y\n"))).otherwise(F.concat(F.lit("REQUEST\n"), seg))
+    """The loading segments of a chat with their plates, and whether one is marked as a revision."""
+    k = F.col("o_orderkey")
+    seg = lambda n, c: F.concat(F.lit("Waktu loading : 08:00\nNopol : B "), n.cast("string"), F.lit(f" {c}\n"))
+    t = F.when(k % 3 == 0, F.concat(F.lit("REQUEST\n"), seg(k, "x"), F.lit("Lokasi : A\n"), seg(k + 1, "y"), F.lit("revisi nopol : B 2 Y\n"))).otherwise(F.concat(F.lit("REQUEST\nLokasi : A\n"), seg(k, "x")))
     o = table(spark, sf_dir, "orders").select("o_orderkey", t.alias("chunk"))
-    return o.agg(F.count("*").alias("n"), F.count_if(F.size(parse.marked_segments(F.col("chunk"))) > 0).alias("marked"), F.sum(F.size(parse.segment_identities(F.col("chunk"))).cast("long")).alias("segments"))
+    plates = F.array_join(F.transform(parse.segment_identities(F.col("chunk")), lambda x: x["no_plat"]), ",")
+    return o.select("o_orderkey", (F.size(parse.marked_segments(F.col("chunk"))) > 0).alias("marked"), plates.alias("plates"))
 
 
 # ---- scalars ---------------------------------------------------------------------------------------------------------------------
@@ -795,3 +798,123 @@ def office_report(spark, sf_dir):
         "date": F.when(i % 4 == 0, "5 mei").when(i % 4 == 1, "10.00").otherwise("1/2/2024"), "text": F.when(i % 9 == 0, "revisi jam").otherwise("driver 1: ani\ndriver 2: budi"),
     })
     return report.office_report(rows, "user_id", "event_id", 2026)
+
+
+# ---- cards, plans and generated messages ---------------------------------------------------------------------------------------------
+
+
+def _match_events(spark, sf_dir):
+    """An event an order: the customer is the candidate, whose chat is that of the first order."""
+    o = table(spark, sf_dir, "orders")
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    chat = lambda c: F.concat(F.lit("Chat  nomor-"), c.cast("string"))
+    state = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("ORDER_STATE | "), F.col("o_custkey").cast("string"))).otherwise(chat(F.col("first")))
+    return o.join(first, "o_custkey").select(
+        F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("candidate_key"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("candidate_summary"), chat(F.col("o_orderkey")).alias("incoming_text"),
+        state.alias("candidate_chat_text"), F.lit("ORDER_STATE | x").alias("order_state_text"), F.when(F.col("o_orderkey") % 5 == 0, "NO_MATCH").otherwise("MATCH").alias("predicted"), F.when(F.col("o_orderkey") % 7 == 0, "NO_MATCH").otherwise("MATCH").alias("truth"),
+        ((F.col("o_orderkey") % 100) / 100).alias("p_match"), (F.col("o_orderkey") % 2 == 0).alias("ready"), F.lit(0).alias("applied"), "first",
+    )
+
+
+@query("""
+WITH f AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1), e AS (
+  SELECT o_orderkey, o.o_custkey, first FROM orders o JOIN f USING (o_custkey) WHERE o_orderkey % 5 <> 0 AND o_orderkey % 100 >= 85 AND o_orderkey % 2 = 0
+), t AS (SELECT o_custkey, o_orderkey AS k, o_orderkey AS seq FROM e UNION ALL SELECT o_custkey, first, o_orderkey FROM e WHERE o_orderkey % 4 <> 0)
+SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, 'order ' || max(seq) AS summary, count(DISTINCT k) AS n_cards FROM t GROUP BY o_custkey HAVING count(DISTINCT k) >= 2
+""")
+def card_groups(spark, sf_dir):
+    """Evaluation cards that belong to one order, by the texts of its confident merges."""
+    o = table(spark, sf_dir, "orders")
+    own = o.select(F.concat(F.lit("chat nomor "), F.col("o_orderkey").cast("string")).alias("source"), F.col("o_orderkey").alias("chunk"), F.lit("b").alias("batch_id"), F.lit(1).alias("batch_index"))
+    e = _match_events(spark, sf_dir).withColumn("candidate_summary", F.col("seq"))
+    return cards.card_groups(own, e).select("candidate_key", F.concat(F.lit("order "), F.col("summary").cast("string")).alias("summary"), "n_cards")
+
+
+@query("""
+WITH f AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1), r AS (SELECT o_orderkey, o_custkey, first, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders JOIN f USING (o_custkey))
+SELECT o_custkey AS event_id, rank, 'Chat  nomor-' || first AS order_state_text FROM r WHERE rank <= 5
+""")
+def match_previews(spark, sf_dir):
+    """The five best rows of each preview as they are audited, with the candidate's chat in place of its state."""
+    e = _match_events(spark, sf_dir)
+    p = e.withColumn("event_id", F.col("candidate_key").cast("long")).withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy("seq")))
+    orders = e.select("candidate_key", "seq", F.when(F.col("seq") % 4 == 0, F.lit("ORDER_STATE | y")).otherwise("").alias("raw_chat_text")).union(e.select("candidate_key", F.lit(10**12), F.concat(F.lit("Chat  nomor-"), F.col("first").cast("string"))))
+    return cards.audit_rows(p, orders).select("event_id", "rank", "order_state_text")
+
+
+@query("""
+SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 7 <> 0 THEN 'TP' ELSE 'FP' END ELSE 'FN' END AS bucket FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 7 = 0)
+""")
+def pair_detail_rows(spark, sf_dir):
+    """Matches found, and all errors."""
+    return cards.detail_rows(_match_events(spark, sf_dir), "MATCH benar + Semua Kesalahan").select("seq", "bucket")
+
+
+@query(f"""
+WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn FROM labels),
+k AS (SELECT 'MATCH' AS class, tp, fp, fn FROM c UNION ALL SELECT 'NO_MATCH', tn, fn, fp FROM c),
+r AS (SELECT *, {_RATIO.format(a='tp', b='tp + fp')} AS precision, {_RATIO.format(a='tp', b='tp + fn')} AS recall FROM k), f AS (SELECT *, {_RATIO.format(a='2 * precision * recall', b='precision + recall')} AS f1 FROM r)
+SELECT class, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM f
+UNION ALL SELECT 'macro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9) FROM f
+""")
+def official_metrics(spark, sf_dir):
+    m = evaluate.binary_metrics(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+    out = cards.official_metrics(m)
+    return out.select("class", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey % 50 AS v FROM lineitem), t AS (SELECT DISTINCT l_orderkey, l_suppkey % 50 AS v FROM lineitem WHERE l_linenumber <> 2), f AS (SELECT DISTINCT l_orderkey, l_suppkey % 50 AS v FROM lineitem WHERE l_linenumber <> 1),
+g AS (SELECT l_orderkey, count(*) FILTER (WHERE t.v IS NOT NULL AND f.v IS NOT NULL) AS tp, count(*) FILTER (WHERE t.v IS NULL AND f.v IS NOT NULL) AS fp, count(*) FILTER (WHERE t.v IS NOT NULL AND f.v IS NULL) AS fn FROM l LEFT JOIN t USING (l_orderkey, v) LEFT JOIN f USING (l_orderkey, v) GROUP BY 1)
+SELECT l_orderkey AS "group", tp, fp, fn, CASE WHEN tp + fp + fn = 0 THEN 'EMPTY' WHEN fp = 0 AND fn = 0 THEN 'CORRECT' WHEN tp = 0 AND fp = 0 THEN 'MISSING' WHEN tp = 0 AND fn = 0 THEN 'SPURIOUS' WHEN tp > 0 AND fn = 0 THEN 'OVEREXTRACTED' WHEN tp > 0 AND fp = 0 THEN 'UNDEREXTRACTED' WHEN tp > 0 THEN 'MIXED' ELSE 'WRONG' END AS status FROM g
+""")
+def merged_attributes(spark, sf_dir):
+    """An order's chunks evaluated as one: values that differ once normalised, of the truth and of the extraction."""
+    li = table(spark, sf_dir, "lineitem")
+    value = lambda spelled: F.concat(F.lit(f"B {spelled}"), (F.col("l_suppkey") % 50).cast("string"), F.lit(" x"))
+    rows = li.select(F.col("l_orderkey").alias("group"), F.lit("PLATE").alias("attribute"), F.when(F.col("l_linenumber") != 2, F.array(value(""), value("- "))).otherwise(F.array().cast("array<string>")).alias("truth_items"),
+                     F.when(F.col("l_linenumber") != 1, F.array(F.upper(value("")), F.lit("-"))).otherwise(F.array(F.lit(""))).alias("found_items"), F.lit(False).alias("label_swap"))
+    return cards.merged_attributes(rows).select("group", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")), "status")
+
+
+@query(f"""
+WITH {ROWS_SQL}, s AS (SELECT l_orderkey, seq, l_linestatus = 'F' AS done, row_number() OVER (PARTITION BY l_orderkey, l_linestatus = 'F' ORDER BY seq) AS k FROM rows)
+SELECT l_orderkey, seq, CASE WHEN NOT done AND k <= 2 THEN 'BARU' ELSE '' END AS marker, CASE WHEN NOT done AND k <= 2 THEN l_orderkey * 10 + k END AS filled_from FROM s
+""")
+def after_snapshots(spark, sf_dir):
+    """What orders would look like after a follow-up with two new units and a repeated one."""
+    rows = order_rows(spark, sf_dir).withColumn("candidate_key", F.col("l_orderkey").cast("string"))
+    ok = F.col("l_orderkey")
+    heads = rows.groupBy("l_orderkey", "candidate_key").agg(F.min("l_linenumber").alias("n"), F.min("l_suppkey").alias("s"))
+    known = rows.where("status_unit = 'ASSIGNED'").groupBy("candidate_key").agg(F.min(F.struct("seq", "no_plat", "driver", "kontak_driver")).alias("x"))
+    units = heads.join(known, "candidate_key", "left").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    said = lambda c, new: F.when(F.col("k") == 0, F.coalesce(F.col("x")[c], F.lit(""))).otherwise(new)
+    k = F.col("k").cast("string")
+    new = {"no_plat": F.concat(F.lit("Z "), ok.cast("string"), F.lit(" "), k), "driver": F.concat(F.lit("BARU "), k), "kontak_driver": F.concat(F.lit("09"), ok.cast("string"), k)}
+    blank = {c: F.lit("") for c in identity.ROW_FIELDS if c not in new}
+    inc = units.select((ok * 10 + F.col("k")).alias("seq"), "candidate_key", *(said(c, v).alias(c) for c, v in new.items()), *(v.alias(c) for c, v in blank.items()))
+    return sync.after_snapshot(rows, inc).select("l_orderkey", "seq", "marker", "filled_from")
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS path, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
+SELECT path, CAST(place AS INTEGER) AS place, 'ORDER_STATE | RO=5 MARET 2026; target=2; complete=1; empty=1; truck=CDD; pickup=GUDANG ' || o_orderkey || '; route=A - B; existing_driver=08:00 ANI B 1 X 0811' AS text_a, 'REQUEST susulan ' || o_orderkey || ' Nopol : B 2 Y' AS text_b, 'MATCH' AS label FROM p
+""")
+def pairs_from_text(spark, sf_dir):
+    """Files of parents and as many follow-ups as training pairs."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    parent = F.concat(F.lit("REQUEST ON CALL 5 MARET 2026\n2 UNIT CDD\nLokasi : GUDANG "), k, F.lit("\nWaktu loading : 08:00\nRute/tujuan : A - B\nDriver : ANI\nNopol : B 1 X\nNo hp : 0811"))
+    follow = F.concat(F.lit("REQUEST susulan "), k, F.lit("\nNopol : B 2 Y"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", c.alias("t")))), lambda x: x["t"]), "\n")
+    files = o.groupBy(F.col("o_custkey").alias("path")).agg(F.concat(joined(parent), F.lit("\n"), joined(follow)).alias("chat_text"))
+    return generate.pairs_from_text(files)
+
+
+@query("SELECT month, CAST(n AS BIGINT) AS pairs, CAST(n AS BIGINT) AS parents, CAST(n AS BIGINT) AS follow_ups FROM (VALUES (1, 2000), (2, 3000), (3, 5000)) AS t(month, n)")
+def generated_pairs(spark, sf_dir):
+    """Made-up parents and follow-ups by month, and how many are read back with the quantities and units that were put in."""
+    p = generate.order_pairs(spark, {1: 2000, 2: 3000, 3: 5000})
+    listed = lambda c: F.size(F.filter(fields.slot_values(F.col(c), "nopol"), lambda v: text.filled(v)))
+    right = lambda c, n: F.count_if((listed(c) == n) & (fields.unit_quantity(F.col(c)) == F.col("total")))
+    return p.groupBy("month").agg(F.count("*").alias("pairs"), right("parent_text", F.col("filled")).alias("parents"), right("follow_text", F.col("total")).alias("follow_ups"))

@@ -148,3 +148,98 @@ def export_bundle(session: dict, orders: DataFrame, chats: DataFrame, audit: Dat
             counts[name] = n
         z.writestr("manifest.json", json.dumps(counts))
     return out.getvalue()
+
+
+def to_rows(spark: SparkSession, rows) -> DataFrame:
+    """A DataFrame as it is; a list of dictionaries as a table of texts whose columns are all their keys, in order of first appearance."""
+    if isinstance(rows, DataFrame):
+        return rows
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    return spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows], ", ".join(f"`{n}` string" for n in names) or "empty string")
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def checkpoint_of_step(spark: SparkSession, root: str, step: int | None) -> str | None:
+    """The folder of a training step, if it is there; on any file system that Spark reads."""
+    if step is None or step < 0:
+        return None
+    path = f"{root.rstrip('/')}/checkpoint-{int(step)}"
+    fs, where = _files(spark, path)
+    return path if fs.exists(where) else None
+
+
+METRICS = "ner_cumulative_ms double, match_cumulative_ms double"
+
+
+def record_metrics(spark: SparkSession, path: str, ner_ms: float, match_ms: float = 0.0) -> None:
+    """Keeps the last two timings; each call replaces them."""
+    spark.createDataFrame([(float(ner_ms), float(match_ms))], METRICS).coalesce(1).write.mode("overwrite").json(path)
+
+
+def cumulative_metrics(spark: SparkSession, path: str) -> tuple[float, float]:
+    """The timings kept, zeros where there are none or they cannot be read."""
+    fs, where = _files(spark, path)
+    row = spark.read.schema(METRICS).json(path).first() if fs.exists(where) else None
+    return (row[0] or 0.0, row[1] or 0.0) if row else (0.0, 0.0)
+
+
+def reset_metrics(spark: SparkSession, path: str) -> None:
+    fs, where = _files(spark, path)
+    fs.delete(where, True)
+
+
+#: Rows of a spreadsheet at most, by its format.
+SHEET_ROWS = 1_048_576
+
+
+def spreadsheet(rows: DataFrame, sheet: str = "Sheet1") -> bytes:
+    """A report as the bytes of an .xlsx file: upper-case cells, a bold head, widths by the longest cell. Rows stream to the driver, as a
+    spreadsheet is one file; more than the format holds is an error."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    shown = upper_cells(rows)
+    widths = column_widths(shown).first() if shown.columns else ()
+    out, main = io.BytesIO(), "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    package, office = "http://schemas.openxmlformats.org/package/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    link = lambda k, kind, target: f'<Relationship Id="rId{k}" Type="{office}/{kind}" Target="{target}"/>'
+    xml = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+
+    def line(n: int, cells, style: str = "") -> bytes:
+        body = "".join(f'<c t="inlineStr"{style}><is><t xml:space="preserve">{escape("".join(ch for ch in str(v) if ch >= " " or ch in "\t\n"))}</t></is></c>' for v in cells)
+        return f'<row r="{n}">{body}</row>'.encode()
+
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = (("/xl/workbook.xml", "sheet.main"), ("/xl/worksheets/sheet1.xml", "worksheet"), ("/xl/styles.xml", "styles"))
+        parts = "".join(f'<Override PartName="{p}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{k}+xml"/>' for p, k in kinds)
+        z.writestr("[Content_Types].xml", f'{xml}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'{xml}<Relationships xmlns="{package}/relationships">{link(1, "officeDocument", "xl/workbook.xml")}</Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{xml}<Relationships xmlns="{package}/relationships">{link(1, "worksheet", "worksheets/sheet1.xml")}{link(2, "styles", "styles.xml")}</Relationships>')
+        z.writestr("xl/workbook.xml", f'{xml}<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name={quoteattr(sheet[:31])} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        fonts = '<fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
+        z.writestr("xl/styles.xml", f'{xml}<styleSheet xmlns="{main}">{fonts}<cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            cols = "".join(f'<col min="{i}" max="{i}" width="{max(w or 0, len(c) + 2)}" customWidth="1"/>' for i, (w, c) in enumerate(zip(widths, shown.columns), 1))
+            f.write(f'{xml}<worksheet xmlns="{main}">{f"<cols>{cols}</cols>" if cols else ""}<sheetData>'.encode())
+            f.write(line(1, shown.columns, ' s="1"'))
+            for n, row in enumerate(shown.toLocalIterator(), 2):
+                if n > SHEET_ROWS:
+                    raise ValueError(f"more than {SHEET_ROWS - 1} rows")
+                f.write(line(n, row))
+            f.write(b"</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def operational(rows: DataFrame, enabled: bool = False) -> DataFrame:
+    """The export's rules, which are off unless asked for: canonical request and loading dates, and all cells in upper case."""
+    from ..functions import dates
+
+    if not enabled:
+        return rows
+    day = dates.canonical_date(F.col("tgl_ro"))
+    dated = rows.withColumns({"tgl_ro": day, "tgl_muat": dates.loading_date(F.col("tgl_muat"), day)})
+    return dated.withColumns({c: F.upper(F.coalesce(c, F.lit(""))) for c in ROW_FIELDS if c in rows.columns})

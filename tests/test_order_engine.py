@@ -570,7 +570,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", ["smart_merge_kernel", "augmented_templates", "pair_scores", "office_report"])
+@pytest.mark.parametrize("name", ["augmented_templates", "pair_scores", "office_report"])
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
