@@ -38,7 +38,7 @@ HOT = 1_000
 #: Bytes of spans that make a batch of the family inside a task.
 BATCH = 1 << 19
 #: Batches in which a whole table is fed to the index.
-BATCHES = 3
+BATCHES = 2
 _PLACE_BITS = 24
 
 
@@ -207,12 +207,12 @@ class RepeatIndex:
     def add(self, spans: DataFrame) -> None:
         """spans: fp, sh, n (copies of it), eid, lo, hi."""
         self._merge()
-        new = spans.groupBy("fp", "sh").agg(F.sum("n").alias("n"), F.min(F.struct("eid", "lo", "hi")).alias("own"), F.lit(True).alias("fresh"))
+        rows = spans.select("fp", "sh", "n", F.struct("eid", "lo", "hi").alias("own"), F.lit(True).alias("fresh"))
         if self.levels:
-            new = new.union(self._read(*(p for p, _ in self.levels)).withColumn("fresh", F.lit(False)))
-        scan = new.groupBy("fp", "sh").agg(F.sum("n").alias("n"), F.min("own").alias("own"), F.min("fresh").alias("fresh"), F.max("fresh").alias("met"))
+            rows = rows.union(self._read(*(p for p, _ in self.levels)).withColumn("fresh", F.lit(False)))
+        scan = rows.groupBy("fp", "sh").agg(F.sum("n").alias("n"), F.min("own").alias("own"), F.min("fresh").alias("fresh"), F.max("fresh").alias("met"))
         level = self._write(scan.where("met").drop("met").sortWithinPartitions("fp", "sh"))
-        unlike = new.groupBy("fp").agg(F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("fresh").alias("met"))
+        unlike = rows.groupBy("fp").agg(F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("fresh").alias("met"))
         self.unlike.append(self._write(unlike.where("met and a < b").select("fp")))
         self.scans.append(level)
         if count := self._read(level).count():
