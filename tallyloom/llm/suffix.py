@@ -219,9 +219,11 @@ class RepeatIndex:
             self.levels.append((level, count))
 
     def matches(self) -> tuple[DataFrame, DataFrame]:
-        """Spans (fp, sh) that stand at several places, and anchors (fp) that stand in several unlike spans; each once."""
+        """Spans (fp, sh) that stand at several places, and anchors (fp) that stand in several unlike spans; each once. Both are written, so
+        that what joins them can split keys of very many places."""
         again = self.spark.read.schema("fp long, sh long, n long").parquet(*self.scans).where("n > 1").select("fp", "sh").distinct()
-        return again, self.spark.read.schema("fp long").parquet(*self.unlike).distinct()
+        unlike = self.spark.read.schema("fp long").parquet(*self.unlike).distinct()
+        return self.spark.read.schema("fp long, sh long").parquet(self._write(again)), self.spark.read.schema("fp long").parquet(self._write(unlike))
 
     def spans(self) -> DataFrame:
         """All distinct spans: fp, sh, own."""
@@ -312,8 +314,15 @@ def _anchors(size: int, gram: int):
                     s = slice(cuts[k], cuts[k + 1])
                     for to, x in zip(out, (a.fp.view(np.int64), own.view(np.int64), a.lo + shift, a.hi + shift)):
                         to[i].append(x[s])
-            fps, shs, los, his = ([np.concatenate(x).astype(kind) if x else [] for x in side] for side, kind in zip(out, (np.int64, np.int64, np.int32, np.int32)))
-            yield {"id": column(batch, "id"), "th": column(batch, "th"), "n_bytes": [len(t) for t in texts], "fps": fps, "shs": shs, "los": los, "his": his}
+            rows = [[np.concatenate(x[i]).astype(kind) if x[i] else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.int32, np.int32))] for i in range(len(texts))]
+            # spans that repeat within a text, as in periodic ones, go out once, and their places as intervals
+            once = [np.unique(sh, return_index=True, return_inverse=True, return_counts=True) for _, sh, _, _ in rows]
+            gone = [merged(lo[m].astype(np.int64), hi[m].astype(np.int64) + size) for (_, _, lo, hi), (_, _, group, times) in zip(rows, once) for m in [(times > 1)[group]]]
+            yield {
+                "id": column(batch, "id"), "th": column(batch, "th"), "n_bytes": [len(t) for t in texts],
+                **{c: [r[k][first] for r, (_, first, _, _) in zip(rows, once)] for k, c in enumerate(("fps", "shs", "los", "his"))},
+                "reps": [times.astype(np.int32) for *_, times in once], "gone_lo": [lo for lo, _ in gone], "gone_hi": [hi for _, hi in gone],
+            }
 
     return run
 
@@ -421,14 +430,15 @@ def _decide(docs: DataFrame, size: int, gram: int, batches: int = BATCHES) -> Da
     spark, n = docs.sparkSession, width(docs.sparkSession)
     keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.md5(F.coalesce("text", F.lit(""))))
     texts = keyed.select("id", "th", "text")
-    seen = arrow_map(texts, _anchors(size, gram), "id long, th string, n_bytes long, fps array<long>, shs array<long>, los array<int>, his array<int>")
+    seen = arrow_map(texts, _anchors(size, gram), "id long, th string, n_bytes long, fps array<long>, shs array<long>, los array<int>, his array<int>, reps array<int>, gone_lo array<long>, gone_hi array<long>")
     # one entity for all rows of one text
-    of_first = [F.any_value(c).alias(c) for c in ("n_bytes", "fps", "shs", "los", "his")]
+    of_first = [F.any_value(c).alias(c) for c in ("n_bytes", "fps", "shs", "los", "his", "reps", "gone_lo", "gone_hi")]
     entities = cut(seen.groupBy("th").agg(F.count("*").alias("times"), F.min("id").alias("id"), *of_first)).withColumn("eid", F.monotonically_increasing_id())
-    places = entities.select("th", "eid", F.col("times").alias("n"), F.inline(F.arrays_zip(F.col("fps").alias("fp"), F.col("shs").alias("sh"), F.col("los").alias("lo"), F.col("his").alias("hi"))))
+    arrays = [F.col(f"{c}s").alias(c) for c in ("fp", "sh", "lo", "hi", "rep")]
+    places = entities.select("th", "eid", "times", F.inline(F.arrays_zip(*arrays))).withColumn("n", F.col("times") * F.col("rep"))
     index = RepeatIndex(spark)
     for k in range(batches):
-        index.add(places.where(F.pmod(F.xxhash64("th"), F.lit(batches)) == k).drop("th"))
+        index.add(places.where(F.pmod(F.xxhash64("th"), F.lit(batches)) == k).select("fp", "sh", "n", "eid", "lo", "hi"))
     again, unlike = index.matches()
     agree = places.join(again, ["fp", "sh"], "left_semi").select("eid", "lo", (F.col("hi") + size).alias("hi"))
 
@@ -442,9 +452,10 @@ def _decide(docs: DataFrame, size: int, gram: int, batches: int = BATCHES) -> Da
     cold = spans.where("kind = 0").select("fp", "eid", "lo", "known", "span").repartition(n, "fp").sortWithinPartitions("fp")
     found = arrow_map(cold, _scan(size), "eid long, lo long, hi long")
     hot = spans.where("kind = 1").select("fp", "eid", "lo", "known")
-    twice = hot.groupBy("fp").count().where("count > 1")
+    twice = cut(hot.groupBy("fp").count().where("count > 1"))  # so that a join splits a string of very many places
     found = found.union(hot.where("not known").join(twice, "fp", "left_semi").select("eid", "lo", (F.col("lo") + size).alias("hi")))
     found = found.union(agree.select("eid", F.col("lo").cast("long"), F.col("hi").cast("long")))
+    found = found.union(entities.select("eid", F.inline(F.arrays_zip(F.col("gone_lo").alias("lo"), F.col("gone_hi").alias("hi")))))
     intervals = cut(found.groupBy("eid").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("eid", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")))
     index.close()
     decided = entities.join(intervals, "eid", "left").select("th", ((F.col("times") > 1) & (F.col("n_bytes") >= size)).alias("whole"), "lo", "hi")
