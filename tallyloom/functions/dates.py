@@ -67,9 +67,13 @@ def normalize_dates(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")).rlike(DATED), replace_matches(replace_matches(strip(c), WORD_DATE, word), NUMBER_DATE, numeric)).otherwise(strip(c))
 
 
+def _key(rewritten: Column) -> Column:
+    return F.regexp_replace(F.lower(rewritten), "[^a-z0-9]+", "")
+
+
 def norm_key(c: Column) -> Column:
     """The key that texts are compared by: dates rewritten, lower case, letters a-z and digits."""
-    return F.regexp_replace(F.lower(normalize_dates(c)), "[^a-z0-9]+", "")
+    return _key(normalize_dates(c))
 
 
 def date_tokens(c: Column) -> Column:
@@ -108,10 +112,14 @@ def month_without_day(c: Column) -> Column:
     return ~full & text.rlike(rf"\b(?:{_ANY})\s+\d{{2,4}}\b")
 
 
+def _month_year(text: Column) -> Column:
+    pattern = rf"\b(?:\d{{1,2}}\s+)?({_ANY})\s+(\d{{2,4}})\b"
+    return F.struct(month_id(extract(text, pattern, 1)).alias("month"), full_year(extract(text, pattern, 2)).alias("year"))
+
+
 def month_year(c: Column) -> Column:
     """struct(month, year), both null where the text has none."""
-    pattern = rf"\b(?:\d{{1,2}}\s+)?({_ANY})\s+(\d{{2,4}})\b"
-    return let(F.upper(normalize_dates(c)), lambda text: F.struct(month_id(extract(text, pattern, 1)).alias("month"), full_year(extract(text, pattern, 2)).alias("year")))
+    return let(F.upper(normalize_dates(c)), _month_year)
 
 
 def display_date(iso: Column) -> Column:
@@ -132,8 +140,7 @@ def repair_request_date(ro_date: Column, chunk: Column) -> Column:
     return F.when(month_without_day(ro_date), let(request_date(chunk), repaired)).otherwise(strip(ro_date))
 
 
-def norm_date(c: Column) -> Column:
-    """DDMM or DDMMYYYY of the first date, else the text's letters and digits."""
+def _norm_date(c: Column, upper: Column) -> Column:
     numeric, word = r"\b(\d{1,2})[/-](\d{1,2})(?:[/-](\d{2,4}))?\b", r"\b(\d{1,2})\s+([A-Z]+)(?:\s+(\d{2,4}))?\b"
 
     def written(day: Column, month: Column, year: Column) -> Column:
@@ -147,18 +154,36 @@ def norm_date(c: Column) -> Column:
         by_name = let(month_id(w[1]), lambda month: written(w[0].try_cast("int"), month, w[2]))
         return F.when(n[0].isNotNull(), written(n[0].try_cast("int"), n[1].try_cast("int"), n[2])).when(w[0].isNotNull(), by_name).otherwise(norm_text(c))
 
-    return let(F.upper(normalize_dates(c)), of)
+    return of(upper)
+
+
+def norm_date(c: Column) -> Column:
+    """DDMM or DDMMYYYY of the first date, else the text's letters and digits."""
+    return let(F.upper(normalize_dates(c)), lambda upper: _norm_date(c, upper))
+
+
+def _canonical(c: Column, iso: Column) -> Column:
+    day, month, year = (F.substring(iso, a, n) for a, n in ((9, 2), (6, 2), (1, 4)))
+    name = F.substring(month_name(month.try_cast("int")), 1, 3)
+    return F.when(iso != "", F.concat_ws("-", day.try_cast("int").cast("string"), name, year)).otherwise(F.upper(strip(c)))
 
 
 def canonical_date(c: Column) -> Column:
     """d-MON-yyyy of the first date (three letters of the month's name), else the text in upper case."""
+    return let(first_date(c), lambda iso: _canonical(c, iso))
+
+
+def date_forms(c: Column) -> Column:
+    """struct(spelled, iso, ddmmyyyy, norm_key, month, year, canonical): normalize_dates(), first_date(), norm_date(), norm_key(),
+    month_year() and canonical_date() of one text, which is rewritten and searched once for all of them."""
 
-    def of(iso: Column) -> Column:
-        day, month, year = (F.substring(iso, a, n) for a, n in ((9, 2), (6, 2), (1, 4)))
-        name = F.substring(month_name(month.try_cast("int")), 1, 3)
-        return F.when(iso != "", F.concat_ws("-", day.try_cast("int").cast("string"), name, year)).otherwise(F.upper(strip(c)))
+    def of(x: Column) -> Column:
+        both = _month_year(x["upper"])
+        forms = {"spelled": x["text"], "iso": x["iso"], "ddmmyyyy": _norm_date(c, x["upper"]), "norm_key": _key(x["text"]), "month": both["month"], "year": both["year"], "canonical": _canonical(c, x["iso"])}
+        return F.struct(*(v.alias(n) for n, v in forms.items()))
 
-    return let(first_date(c), of)
+    once = let(normalize_dates(c), lambda t: F.struct(t.alias("text"), F.upper(t).alias("upper"), first_date(c).alias("iso")))
+    return let(once, of)
 
 
 def loading_date(raw: Column, ro_date: Column) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import rules
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, candidate_score, complete_identity, context_key, has_payload, row_context_key, same_unit, signature
@@ -13,15 +16,23 @@ from ..functions.text import filled
 
 def candidates(orders: DataFrame, seq: str = "seq") -> DataFrame:
     """One row an order with open slots: its key, quantity, filled and empty slots, the first filled value of each context field and
-    a snapshot of its rows. Rows whose key is all blank are no order."""
+    a snapshot of its rows. Rows whose key is all blank are no order.
+
+    Rows are counted by their contexts as written, so that keys, with their date rewriting, are made once for each spelling; only rows of
+    orders with open slots are gathered into snapshots.
+    """
     status = rules.status_or_derived(F.col("status_unit"), rules.status(*(F.col(c) for c in ROW_FIELDS)))
-    rows = orders.withColumn("candidate_key", row_context_key()).where(F.col("candidate_key") != "|||").withColumn("_open", rules.is_open(F.col("status_unit"), status))
-    first = [F.min_by(c, F.when(filled(F.col(c)), F.col(seq))).alias(c) for c in CONTEXT]
-    grouped = rows.groupBy("candidate_key").agg(
-        F.count("*").alias("qty"), F.count_if(~F.col("_open")).alias("filled"), F.count_if("_open").alias("empty"), F.min(seq).alias("first_seq"), *first,
-        F.sort_array(F.collect_list(F.struct(seq, *ROW_FIELDS))).alias("snapshot"),
-    )
-    return grouped.where("empty > 0")
+    written = [f"_w_{c}" for c in CONTEXT]
+    rows = orders.withColumns({w: F.coalesce(c, F.lit("")) for w, c in zip(written, CONTEXT)}).withColumn("_open", rules.is_open(F.col("status_unit"), status))
+    spelled = rows.groupBy(*written).agg(F.count("*").alias("qty"), F.count_if("_open").alias("empty"), F.min(seq).alias("first_seq"))
+    spelled = spelled.withColumn("candidate_key", context_key(*map(F.col, written))).where(F.col("candidate_key") != "|||")
+    first = [F.min_by(w, F.when(filled(F.col(w)), F.col("first_seq"))).alias(c) for w, c in zip(written, CONTEXT)]
+    open_ = spelled.groupBy("candidate_key").agg(
+        F.sum("qty").alias("qty"), (F.sum("qty") - F.sum("empty")).alias("filled"), F.sum("empty").alias("empty"), F.min("first_seq").alias("first_seq"), *first
+    ).where("empty > 0")
+    mine = rows.join(spelled.join(open_.select("candidate_key"), "candidate_key").select("candidate_key", *written), written)
+    snapshots = mine.groupBy("candidate_key").agg(F.sort_array(F.collect_list(F.struct(seq, *ROW_FIELDS))).alias("snapshot"))
+    return open_.join(snapshots, "candidate_key")
 
 
 def state_text(c: DataFrame) -> DataFrame:
@@ -37,12 +48,17 @@ def top_candidates(incoming: DataFrame, orders: DataFrame, block: str, k: int =
     """The k best candidates of each incoming batch by context score, of equals the earliest.
 
     incoming: incoming_id and in_ context columns; orders: candidate_key, first_seq and ca_ context columns. Both carry `block`, an
-    equi-join key (the normalised pickup, say), so that no batch meets every order.
+    equi-join key (the normalised pickup, say), so that no batch meets every order. Scores depend on contexts alone: of each context of a
+    block the k earliest orders take part, and each different incoming context meets them once, for all batches that have it.
     """
-    met = incoming.join(orders, block)
-    scored = met.withColumn("context_score", candidate_score("ca_", "in_"))
-    w = Window.partitionBy("incoming_id").orderBy(F.desc("context_score"), "first_seq")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    theirs, own = ([p + c for c in CONTEXT] for p in ("ca_", "in_"))
+    early = orders.withColumn("_n", F.row_number().over(Window.partitionBy(block, *theirs).orderBy("first_seq"))).where(F.col("_n") <= k).drop("_n")
+    asked = incoming.select(block, *own).distinct()
+    scored = asked.join(early, block).withColumn("context_score", candidate_score("ca_", "in_"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy(block, *own).orderBy(F.desc("context_score"), "first_seq"))).where(F.col("rank") <= k)
+    best = best.select(F.col(block).alias("_block"), *(F.col(c).alias(f"_{c}") for c in own), *(c for c in orders.columns if c != block), "context_score", "rank")
+    same = [F.col(block) == F.col("_block")] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own]
+    return incoming.join(best, same).drop("_block", *(f"_{c}" for c in own))
 
 
 def duplicates_anti(incoming: DataFrame, existing: DataFrame, scope: list[str]) -> DataFrame:
@@ -101,30 +117,40 @@ def preview_order(pairs: DataFrame) -> DataFrame:
 
 def match_units(existing: DataFrame, incoming: DataFrame, scope: str) -> DataFrame:
     """Registered units found again: each complete existing unit, in order, takes the best incoming one not yet taken (plate 4, phone 3,
-    driver 2; the first of equals). The choice is sequential within a scope, so a kernel runs a scope at a time."""
-    def kernel(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        rows, free = [], {}
-        for x in new[new["ok"]].sort_values("seq").itertuples():
-            free.setdefault(x.scope, []).append(x)
-        for o in old[old["ok"]].sort_values("seq").itertuples():
-            best, top, here = None, 0, free.get(o.scope, [])
-            for i, x in enumerate(here):
-                s = 4 * (o.no_plat == x.no_plat) + 3 * (o.kontak_driver == x.kontak_driver) + 2 * (o.driver == x.driver)
-                if s > top:
-                    best, top = i, s
-            if best is not None:
-                rows.append((o.scope, o.seq, here.pop(best).seq, top))
-        return pd.DataFrame(rows, columns=["scope", "existing_seq", "incoming_seq", "score"])
-
-    side = lambda df: in_buckets(df.select(F.col(scope).cast("string").alias("scope"), "seq", complete_identity().alias("ok"), *(signature()[c].alias(c) for c in IDENTITY)))
+    driver 2; the first of equals). The choice is sequential within a scope, so a kernel runs a scope at a time over a stream of sorted
+    rows; it looks only at units that share a field."""
     schema = "scope string, existing_seq long, incoming_seq long, score int"
-    return side(existing).groupBy("bucket").cogroup(side(incoming).groupBy("bucket")).applyInPandas(kernel, schema)
-
-
-def in_buckets(rows: DataFrame, scope: str = "scope") -> DataFrame:
-    """Adds `bucket`: scopes dealt by hash, some to each shuffle partition, so that a kernel takes many small scopes at a time."""
-    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(scope), F.lit(n)))
+    weights = {"no_plat": 4, "kontak_driver": 3, "driver": 2}
+    side = lambda df, old: df.where(complete_identity()).select(F.col(scope).cast("string").alias("scope"), F.lit(old).alias("old"), F.col("seq").cast("long").alias("seq"), *(signature()[c].alias(c) for c in IDENTITY))
+    n = int(existing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = side(existing, True).unionByName(side(incoming, False)).repartition(n, "scope").sortWithinPartitions("scope", "old", "seq")
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        key, units, found, taken = None, [], {}, set()
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                if x["scope"] != key:
+                    key, units, found, taken = x["scope"], [], {}, set()
+                if not x["old"]:
+                    for c in weights:
+                        found.setdefault((c, x[c]), []).append(len(units))
+                    units.append(x["seq"])
+                    continue
+                scores: dict[int, int] = {}
+                for c, w in weights.items():
+                    if near := [i for i in found.get((c, x[c]), ()) if i not in taken]:
+                        found[c, x[c]] = near
+                        for i in near:
+                            scores[i] = scores.get(i, 0) + w
+                if scores:
+                    best = min(scores, key=lambda i: (-scores[i], i))
+                    taken.add(best)
+                    out.append({"scope": key, "existing_seq": x["seq"], "incoming_seq": units[best], "score": scores[best]})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def history(orders: DataFrame, chats: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.fields import phones
 from ..functions.identity import clean_plate, report_phone, route_text
 from ..functions.text import extract, filled, let, lines, strip
 from . import blocks
+from .numbering import numbered
 
 #: Words that make a chat a prompt and no order.
 PROMPTS = ("contoh chat", "latih ai", "minta contoh")
@@ -134,6 +135,6 @@ def office_report(rows: DataFrame, batch: str, seq: str, as_of_year: int, job: s
 def number_batches(rows: DataFrame, chat: str, created: str, chunk: str, slot: str) -> DataFrame:
     """A replay's numbers: batch_index over all chats by time and id, chunk and row numbers that run on within a chat."""
     chats = rows.select(chat, created).distinct()
-    index = chats.withColumn("batch_index", F.row_number().over(Window.orderBy(created, chat)))  # a row a chat; the numbers are one sequence
+    index = numbered(chats, created, chat, name="batch_index")
     w = Window.partitionBy(chat).orderBy(chunk, slot)
     return rows.join(index.select(chat, "batch_index"), chat).withColumn("row_no", F.row_number().over(w))

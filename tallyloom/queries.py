@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import dates, fields, identity, rules, text
 from .operators import merge
 from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, report, sync
+from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
 from .sources import io
 
@@ -132,8 +133,7 @@ FROM orders
 """)
 def date_normalise(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", _spellings(F.col("o_orderdate"), F.col("o_orderkey")).alias("t"))
-    t, my = F.col("t"), dates.month_year(F.col("t"))
-    return o.select("o_orderkey", dates.normalize_dates(t).alias("spelled"), dates.first_date(t).alias("iso"), dates.norm_date(t).alias("ddmmyyyy"), dates.norm_key(t).alias("norm_key"), my["month"].alias("month"), my["year"].alias("year"), dates.canonical_date(t).alias("canonical"))
+    return o.select("o_orderkey", dates.date_forms(F.col("t")).alias("x")).select("o_orderkey", "x.*")
 
 
 @query(f"""
@@ -310,7 +310,7 @@ def history_left_join(spark, sf_dir):
     seen = o.where("o_custkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("t"))
     chat = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("raw_chat_id"), F.col("c_name").alias("chat_text"), F.lit(None).cast("timestamp").alias("created_at"))
     joined = matching.history(rows, chat).join(seen, F.col("id") == F.col("k"), "left")
-    return joined.select(F.col("id").alias("o_orderkey"), "chat_text", F.row_number().over(Window.orderBy(F.asc_nulls_first("t"), "id")).alias("place"))
+    return numbered(joined, F.asc_nulls_first("t"), "id").select(F.col("id").alias("o_orderkey"), "chat_text", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""
@@ -373,18 +373,10 @@ def duplicate_unit_anti(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(l_orderkey AS VARCHAR) AS scope, l_orderkey * 10 + l_linenumber AS existing_seq, l_orderkey * 10 + l_linenumber + 5 AS incoming_seq, CAST(CASE WHEN l_linenumber = 2 THEN 4 ELSE 9 END AS INTEGER) AS score FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber <= 3
+SELECT CAST(l_orderkey AS VARCHAR) AS scope, l_orderkey * 10 + l_linenumber AS existing_seq, l_orderkey * 10 + l_linenumber + 5 AS incoming_seq, CAST(CASE WHEN l_linenumber = 2 THEN 4 ELSE 9 END AS INTEGER) AS score FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
 """)
 def registered_unit_match(spark, sf_dir):
     """Each existing unit finds the incoming one of its plate; plates are unique, so no ties."""
-    return _same_plates(lines(spark, sf_dir).where("l_linenumber <= 3"))
-
-
-@query("""
-SELECT CAST(l_orderkey AS VARCHAR) AS scope, l_orderkey * 10 + l_linenumber AS existing_seq, l_orderkey * 10 + l_linenumber + 5 AS incoming_seq, CAST(CASE WHEN l_linenumber = 2 THEN 4 ELSE 9 END AS INTEGER) AS score FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
-""")
-def registered_unit_match_all(spark, sf_dir):
-    """As registered_unit_match, over every line of every order."""
     return _same_plates(lines(spark, sf_dir))
 
 
@@ -758,7 +750,7 @@ SELECT r.user_id, event_id, CAST(b.i AS INTEGER) AS batch_index, CAST(n AS INTEG
 def replay_numbers(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     first = e.groupBy("user_id").agg(F.min("ts").alias("created"))
-    return report.number_batches(e.join(first, "user_id"), "user_id", "created", "event_id", "event_id").select("user_id", "event_id", "batch_index", "row_no")
+    return report.number_batches(e.join(first, "user_id"), "user_id", "created", "event_id", "event_id").select("user_id", "event_id", F.col("batch_index").cast("int").alias("batch_index"), "row_no")
 
 
 @query("""

@@ -63,11 +63,10 @@ def training_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def to_display(rows: DataFrame, order: str) -> DataFrame:
-    """Stored names as shown ones, with a running number; a report is one ordered list, so its rows are numbered in one task."""
-    from pyspark.sql import Window
+    """Stored names as shown ones, with a running number."""
+    from ..plans.numbering import numbered
 
-    numbered = rows.withColumn("_no", F.row_number().over(Window.orderBy(order)))
-    return numbered.select(F.col("_no").alias("No."), *(F.col(a).alias(b) for a, b in DISPLAY.items()))
+    return numbered(rows, order, name="_no").select(F.col("_no").alias("No."), *(F.col(a).alias(b) for a, b in DISPLAY.items()))
 
 
 def to_stored(rows: DataFrame) -> DataFrame:

@@ -308,6 +308,45 @@ def test_fill_slots(spark):
     assert got == {1: ("B 2", 12), 2: ("", None), 3: ("B 1", None)}
 
 
+def test_numbered(spark):
+    from tallyloom.plans.numbering import numbered
+
+    r = random.Random(3)
+    values = [(r.choice([None, r.randint(0, 50)]), i) for i in range(500)]
+    df = spark.createDataFrame(values, "a int, b int").repartition(7)
+    got = sorted((x.place, x.a, x.b) for x in numbered(df, F.asc_nulls_first("a"), F.desc("b")).collect())
+    assert got == [(k, *v) for k, v in enumerate(sorted(values, key=lambda v: (v[0] is not None, v[0] or 0, -v[1])), 1)]
+    assert numbered(df.where("false"), "a").count() == 0
+
+
+def test_date_forms(spark):
+    said = ["tgl 5 Mar 26 pagi", "05/03/2026", "MARET 2026", "31-12-24 dan 1 jan 2025", "", None, "x 99/99/2024", "2 FEBUARY 2025"]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, c string")
+    c = F.col("c")
+    my = dates.month_year(c)
+    one = df.orderBy("i").select(dates.date_forms(c).alias("x")).select("x.*").collect()
+    each = df.orderBy("i").select(dates.normalize_dates(c).alias("spelled"), dates.first_date(c).alias("iso"), dates.norm_date(c).alias("ddmmyyyy"), dates.norm_key(c).alias("norm_key"), my["month"].alias("month"), my["year"].alias("year"), dates.canonical_date(c).alias("canonical")).collect()
+    assert one == each and one[0].iso == "2026-03-05"
+
+
+def test_top_candidates_by_context(spark):
+    """Against all pairs, with ties, nulls and more than k orders of one context."""
+    r = random.Random(8)
+    pick = lambda: [r.choice([None, "", "1/2/2024"]), r.choice(["a", "b"]), r.choice(["x", "y", None]), r.choice(["CDD", "FUSO"])]
+    inc, old = [(i, r.choice("pq"), *pick()) for i in range(30)], [(f"k{i}", i, r.choice("pq"), *pick()) for i in range(60)]
+    names = ("tgl_ro", "pickup", "tujuan", "type_truck")
+    a = spark.createDataFrame(inc, "incoming_id int, block string, " + ", ".join(f"in_{c} string" for c in names))
+    b = spark.createDataFrame(old, "candidate_key string, first_seq long, block string, " + ", ".join(f"ca_{c} string" for c in names))
+    got = sorted((x.incoming_id, x["rank"], x.candidate_key, x.context_score) for x in matching.top_candidates(a, b, "block", 3).collect())
+    w = {"tgl_ro": 2, "pickup": 3, "tujuan": 3, "type_truck": 2}
+    score = lambda x, y: sum(v * (1 if p == q else -1) for (c, v), p, q in zip(w.items(), x, y) if p and q)
+    want = []
+    for i, block, *x in inc:
+        best = sorted((-score(x, y), n, k) for k, n, z, *y in old if z == block)[:3]
+        want += [(i, j, k, -s) for j, (s, n, k) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 def test_update_where_given(spark):
     t = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y")], "id string, ms double, run string")
     u = spark.createDataFrame([("a", 0.0, "new"), ("b", 5.0, "-")], "id string, ms double, run string")
@@ -326,7 +365,7 @@ def test_units_are_matched_greedily(spark):
 def test_every_line_is_matched(spark):
     """Plainly: the unit of every line of every order is found by its plate, also those of lines 4 to 7."""
     li = {(r.l_orderkey, r.l_linenumber) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()}
-    got = sorted((r.existing_seq, r.incoming_seq, r.score) for r in entry.queries()["registered_unit_match_all"](spark, SF).collect())
+    got = sorted((r.existing_seq, r.incoming_seq, r.score) for r in entry.queries()["registered_unit_match"](spark, SF).collect())
     assert max(n for _, n in li) == 7 and got == sorted((10 * k + n, 10 * k + n + 5, 4 if n == 2 else 9) for k, n in li)
 
 
