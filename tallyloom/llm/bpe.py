@@ -5,8 +5,8 @@
 2. All blocks' lists meet by hash: each distinct word is encoded once, and the ids go back to every block that has it.
 3. A block's ids and documents meet, and the documents are put together by position.
 
-Words and ids travel packed and compressed, some bytes each.  Decoding looks the ids up in the table of token bytes, which is as large
-as the vocabulary (some 0.5 MB) and so broadcast.
+Words and ids travel packed and compressed, some bytes each.  Decoding joins the ids with the table of token bytes, which is as large
+as the vocabulary (some 0.5 MB) and so broadcast: an id is its row's number.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@cache
 def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """All tokens' bytes in a row, and where the token of each id starts (one more at the end)."""
     with open(path, "rb") as f:
@@ -61,8 +60,9 @@ def gather(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndar
     return values[np.arange(ends[-1]) + np.repeat(bounds[which] - (ends - sizes), sizes)]
 
 
-def decode(ids: np.ndarray, path: str) -> bytes:
-    return gather(*token_table(path), ids.astype(np.int64)).tobytes()
+def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """The bytes of all ids, each joined with its row of the token table."""
+    return gather(*table, ids.astype(np.int64)).tobytes()
 
 
 def _pack(data: bytes) -> bytes:
@@ -182,8 +182,8 @@ def _encode_words(path: str, pattern: str):
     return run
 
 
-def _assemble(path: str):
-    """Rows sorted by block, kind, bucket: the ids of the block's words, the words' buckets, then the documents."""
+def _assemble(tokens):
+    """tokens: the broadcast token table. Rows sorted by block, kind, bucket: the ids of the block's words, the words' buckets, then the documents."""
 
     def run(batches):
         block = None
@@ -208,7 +208,7 @@ def _assemble(path: str):
                     while done < len(doc_ids):  # some documents at a time, a long one alone
                         to = max(done + 1, int(np.searchsorted(ends, (cuts[done - 1] if done else 0) + OUT, "right")))
                         ids = [gather(flat, bounds, places[a:b]) for a, b in zip((ends - counts)[done:to].tolist(), cuts[done:to])]
-                        yield {"doc_id": doc_ids[done:to], "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids], "decoded": [decode(x, path) for x in ids]}
+                        yield {"doc_id": doc_ids[done:to], "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids], "decoded": [decode(x, tokens.value) for x in ids]}
                         done = to
 
     return run
@@ -229,11 +229,13 @@ def encode_corpus(docs: DataFrame, path: str, pattern: str, digests: bool = Fals
     ids = ids.select("block", F.lit(0).alias("kind"), "bucket", F.lit(None).cast("array<bigint>").alias("doc_ids"), "payload")
     whole = ids.union(parts.where("kind > 0")).repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
 
+    tokens = docs.sparkSession.sparkContext.broadcast(token_table(path))
+
     def assemble(batches):
         if not digests:
-            yield from _assemble(path)(batches)
+            yield from _assemble(tokens)(batches)
             return
-        for x in _assemble(path)(batches):
+        for x in _assemble(tokens)(batches):
             yield {"doc_id": x["doc_id"], "n_tokens": x["n_tokens"], "ids_sha256": [sha256(b).hexdigest() for b in x["ids"]], "decoded_sha256": [sha256(b).hexdigest() for b in x["decoded"]]}
 
     return arrow_map(whole, assemble, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"))
