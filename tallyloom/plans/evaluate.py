@@ -43,10 +43,10 @@ def attribute_scores(cards: DataFrame, attribute: str, order: dict[str, int]) ->
     return all_.select(attribute, "position", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
-def durations(cards: DataFrame, run: str, elapsed: str) -> DataFrame:
-    """The longest time of each run, then their number, sum and mean."""
-    runs = cards.groupBy(run).agg(F.max(elapsed).alias("ms"))
-    return runs.agg(F.count("*").alias("runs"), F.sum("ms").alias("total_ms"), F.avg("ms").alias("mean_ms"))
+def durations(cards: DataFrame, run: str, elapsed: str, *by: str) -> DataFrame:
+    """The longest time of each run, then their number, sum and mean, of all or by some columns."""
+    runs = cards.groupBy(*by, run).agg(F.max(elapsed).alias("ms"))
+    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.sum("ms").alias("total_ms"), F.avg("ms").alias("mean_ms"))
 
 
 def coverage(rows: DataFrame, by: str, status: str, p: str) -> DataFrame:
