@@ -208,38 +208,41 @@ def join_texts(events: DataFrame, key: str, seq: str, text: str) -> DataFrame:
     return first.groupBy(key).agg(F.array_join(said, "\n\n").alias("texts"))
 
 
-#: Rows of a truth table that are compared by likeness at most; a fixture of labelled pairs is far smaller.
-MOST_TRUTHS = 5_000
-
-
 def truth_labels(pairs: DataFrame, truth: DataFrame, a: str = "text_a", b: str = "text_b", least: float = 0.95) -> DataFrame:
     """Adds truth: the label of the truth's pair of the same texts, either way round, without white space and in lower case; else that of
-    the most like pair, if the mean of difflib's ratios reaches `least`; else the empty text. The truth is a fixture of checked size."""
+    the most like pair (of equals the first by its texts), if the mean of difflib's ratios reaches `least`; else the empty text.
+
+    Equal pairs meet by an equi-join. Others meet by the classes of both texts' lengths: a mean of `least` needs ratios of 2 * least - 1 or
+    more, and so lengths in a proportion that keeps them in one class or neighbouring ones. What can then still reach the ratio by the
+    characters that both have is compared in Arrow batches. Neither table is collected.
+    """
     from difflib import SequenceMatcher
 
     from ..functions.text import compact
 
-    known = truth.select(compact(F.col("text_a")).alias("_a"), compact(F.col("text_b")).alias("_b"), F.upper(F.trim("label")).alias("_l")).limit(MOST_TRUTHS + 1).collect()
-    if len(known) > MOST_TRUTHS:
-        raise ValueError(f"more than {MOST_TRUTHS} labelled pairs")
-    rows = [(r["_a"], r["_b"], r["_l"]) for r in known]
-    exact = {k: r[2] for r in reversed(rows) for k in ((r[0], r[1]), (r[1], r[0]))}
-
-    @F.pandas_udf("string")
-    def label(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p: str, q: str) -> str:
-            if not p or not q:
-                return ""
-            if (p, q) in exact:
-                return exact[p, q]
-            best, found = 0.0, ""
-            for u, v, name in rows:
-                for s, t in ((u, v), (v, u)):
-                    score = (SequenceMatcher(None, s, p).ratio() + SequenceMatcher(None, t, q).ratio()) / 2
-                    if score > best:
-                        best, found = score, name
-            return found if best >= least else ""
-
-        return pd.Series([one(p or "", q or "") for p, q in zip(x, y)])
-
-    return pairs.withColumn("truth", label(compact(F.col(a)), compact(F.col(b))))
+    low = 2 * least - 1
+    step = (2 - low) / low  # the longer text's length over the shorter one's, at most
+    klass = lambda c: F.floor(F.log(step, F.greatest(F.length(c), F.lit(1)))).cast("int")
+    known = truth.select(compact(F.col("text_a")).alias("_x"), compact(F.col("text_b")).alias("_y"), F.upper(F.trim("label")).alias("_l")).where("_x <> '' and _y <> ''")
+    both = known.unionByName(known.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"), "_l")).groupBy("_x", "_y").agg(F.min("_l").alias("_l"))
+    keyed = pairs.withColumns({"_p": compact(F.col(a)), "_q": compact(F.col(b))})
+    texts = keyed.where("_p <> '' and _q <> ''").select("_p", "_q").distinct()
+    exact = texts.join(both, (F.col("_p") == F.col("_x")) & (F.col("_q") == F.col("_y"))).select("_p", "_q", "_l")
+    rest = texts.join(exact.select("_p", "_q"), ["_p", "_q"], "left_anti")
+    beside = lambda c: F.explode(F.array(klass(c) - 1, klass(c), klass(c) + 1))
+    near = rest.withColumn("_i", beside(F.col("_p"))).withColumn("_j", beside(F.col("_q"))).join(both.withColumns({"_i": klass(F.col("_x")), "_j": klass(F.col("_y"))}), ["_i", "_j"])
+
+    fits = lambda c, d: 2 * F.least(F.length(c), F.length(d)) >= low * (F.length(c) + F.length(d))
+    near = near.where(fits("_p", "_x") & fits("_q", "_y"))
+
+    @F.pandas_udf("double")
+    def likeness(p: pd.Series, q: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s: str, t: str) -> float:
+            m = SequenceMatcher(None, t, s)
+            return 0.0 if m.quick_ratio() < low else m.ratio()
+
+        return pd.Series([(u + one(h, k)) / 2 if (u := one(g, j)) >= low else 0.0 for g, h, j, k in zip(p, q, x, y)])
+
+    scored = near.withColumn("_s", likeness("_p", "_q", "_x", "_y")).where(F.col("_s") >= least)
+    best = scored.groupBy("_p", "_q").agg(F.min_by("_l", F.struct(-F.col("_s"), "_x", "_y")).alias("_l"))
+    return keyed.join(exact.unionByName(best), ["_p", "_q"], "left").withColumn("truth", F.coalesce("_l", F.lit(""))).drop("_p", "_q", "_l")

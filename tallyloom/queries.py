@@ -927,3 +927,28 @@ def generated_pairs(spark, sf_dir):
     listed = lambda c: F.size(F.filter(fields.slot_values(F.col(c), "nopol"), lambda v: text.filled(v)))
     right = lambda c, n: F.count_if((listed(c) == n) & (fields.unit_quantity(F.col(c)) == F.col("total")))
     return p.groupBy("month").agg(F.count("*").alias("pairs"), right("parent_text", F.col("filled")).alias("parents"), right("follow_text", F.col("total")).alias("follow_ups"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'MATCH' WHEN p_partkey % 3 = 1 THEN 'NO_MATCH' ELSE '' END AS truth FROM part
+""")
+def truth_lookup(spark, sf_dir):
+    """Labels of pairs by a truth table: a third stand there turned round and spelled otherwise, a third with a letter changed, the others not."""
+    k = F.col("p_partkey")
+    text_ = lambda n, size: F.substring(F.repeat(F.sha2(n.cast("string"), 256), 8), F.lit(1), size.cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", text_(k, 40 + k % 400).alias("a"), text_(k + 10**9, 40 + k * 7 % 400).alias("b"))
+    truth = p.where(k % 3 == 0).select(F.upper("b").alias("text_a"), F.concat(F.lit(" "), F.col("a")).alias("text_b"), F.lit("match ").alias("label"))
+    truth = truth.union(p.where(k % 3 == 1).select(F.concat(F.substring("a", F.lit(1), F.length("a") - 1), F.lit("x")), "b", F.lit("NO_MATCH")))
+    return matching.truth_labels(p.withColumnsRenamed({"a": "text_a", "b": "text_b"}), truth).select("p_partkey", "truth")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(p_name || ', ' || p_type), '[a-z0-9]+')) AS b FROM part),
+s AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END AS p FROM w)
+SELECT p_partkey, round(p, 9) AS p_match, CASE WHEN p >= 0.5 THEN 'MATCH' ELSE 'NO_MATCH' END AS predicted FROM s
+""")
+def word_scores(spark, sf_dir):
+    """The default pair scorer: the share of the words that both texts have; a blank side never matches."""
+    p = table(spark, sf_dir, "part")
+    pairs = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text_a"), F.when(F.col("p_partkey") % 10 == 0, "-").otherwise(F.concat_ws(", ", "p_name", "p_type")).alias("text_b"))
+    return matching.score_pairs(pairs).select("p_partkey", F.round("p_match", 9).alias("p_match"), "predicted")

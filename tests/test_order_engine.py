@@ -388,7 +388,7 @@ def test_revision_lines(spark):
 def test_truth_and_texts(spark):
     truth = spark.createDataFrame([("Order A", "order b", "match"), ("x" * 60, "y" * 60, "NO_MATCH")], "text_a string, text_b string, label string")
     pairs = spark.createDataFrame([("ORDERb", "order a"), ("x" * 59 + "z", "y" * 60), ("q", "r"), ("", None)], "text_a string, text_b string")
-    assert [r.truth for r in matching.truth_labels(pairs, truth).collect()] == ["MATCH", "NO_MATCH", "", ""]
+    assert {r.text_a: r.truth for r in matching.truth_labels(pairs, truth).collect()} == {"ORDERb": "MATCH", "x" * 59 + "z": "NO_MATCH", "q": "", "": ""}
     e = spark.createDataFrame([("k", 1, "a"), ("k", 2, ""), ("k", 3, "a"), ("k", 4, "b")], "key string, seq int, t string")
     assert matching.join_texts(e, "key", "seq", "t").first().texts == "Order Susulan #1\na\n\nOrder Susulan #4\nb"
 
