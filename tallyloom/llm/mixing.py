@@ -10,6 +10,8 @@ documents' posteriors returns sums of a few numbers.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +61,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, passes: int = PASSES) ->
     """members: n_tokens, p. The steps whose rates bring the domains' expected tokens as near to the targets as can be.
 
     Steps scaled by the Gram matrix of the positive rates solve the squares at once where no rate meets its bound; when one does not
-    bring them down, plain projected gradient steps with momentum follow, whose limit is the least of the squares, and then another.
+    bring them down, plain projected gradient steps with momentum follow, whose limit is the least of the squares, and then another. That
+    `passes` do not suffice is warned of.
     """
     d = len(targets)
 
@@ -117,6 +120,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, passes: int = PASSES) ->
             curvature = min(bound, 4 * curvature)
         else:
             break
+    else:
+        warnings.warn(f"{passes} passes did not bring the domains' tokens to their targets or to the least of the squares", stacklevel=2)
     return steps
 
 
