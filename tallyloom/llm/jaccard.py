@@ -252,9 +252,9 @@ def _block_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
     range or neighbouring ones; a hub's range is dealt by hash into blocks of some BLOCK entities. Pairs of blocks without strays do not
     come up.
     """
-    main = placed.groupBy("hub", "comp").count().groupBy("hub").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    main = cut(placed.groupBy("hub", "comp").count().groupBy("hub").agg(F.max(F.struct("count", "comp"))["comp"].alias("main")))  # written, so that joins split a hub of very many
     ranged = placed.join(main, "hub").withColumn("stray", F.col("comp") != F.col("main")).withColumn("range", F.floor(F.log(den / num, F.col("n"))).cast("int"))
-    sizes = ranged.groupBy("hub", "range").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("stray_blocks"))
+    sizes = cut(ranged.groupBy("hub", "range").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("stray_blocks")))
     near = sizes.withColumn("there", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))  # these blocks are met from the ranges beside
     name = lambda at, number: F.concat_ws(":", at, number)
     deal = lambda count: F.pmod(F.xxhash64("eid"), count).cast("int")

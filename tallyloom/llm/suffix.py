@@ -443,8 +443,8 @@ def _decide(docs: DataFrame, size: int, gram: int, batches: int = BATCHES) -> Da
     agree = places.join(again, ["fp", "sh"], "left_semi").select("eid", "lo", (F.col("hi") + size).alias("hi"))
 
     compared = index.spans().join(unlike, "fp").join(again.withColumn("known", F.lit(True)), ["fp", "sh"], "left")
-    counts = compared.groupBy("fp").agg((F.count("*") > HOT).alias("hot"))
-    wanted = compared.join(counts, "fp").select("fp", "own.*", F.coalesce("known", F.lit(False)).alias("known"), "hot")
+    many = cut(compared.groupBy("fp").count().where(F.col("count") > HOT).select("fp", F.lit(True).alias("hot")))  # written, so that a join splits it
+    wanted = compared.join(many, "fp", "left").select("fp", "own.*", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = wanted.groupBy("eid").agg(F.collect_list(F.struct("lo", "hi", "fp", "known", "hot")).alias("wanted"))
     sources = wanted.join(entities.select("eid", "id", "th"), "eid")
     dealt = texts.join(sources, ["id", "th"]).dropDuplicates(["id", "th"])
