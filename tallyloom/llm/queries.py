@@ -9,6 +9,7 @@ from . import chat, licenses
 from .bpe import encode_corpus
 from .jaccard import jaccard_components
 from .mixing import mix
+from .ranking import rank_sale_lines
 from .search import exact_top_k
 from .sketch import compare_versions
 from .suffix import remove_repeats
@@ -99,6 +100,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_license_scan"] = licenses.oracle()
 
+@query
+def op13_grouped_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_sale_lines(table(spark, sf_dir, "sale_lines"))
+
+
+# crc32 bit by bit over the digits of sale_id
+ORACLES["op13_grouped_ranking_ties"] = """
+WITH t AS (
+  SELECT *, CASE WHEN sale_id IS NULL THEN FALSE ELSE xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)],
+    flatten(list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: [CAST(1000 + ascii(x) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: CASE WHEN x > 0 THEN xor(a, x - 1000) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS UBIGINT)) ELSE a >> 1 END), CAST(4294967295 AS UBIGINT)) % 5 = 0 END AS one FROM sale_lines
+), k AS (
+  SELECT CASE WHEN one THEN -1 ELSE vendor_id END AS vendor_id, CAST(CASE WHEN one THEN -1 ELSE coalesce(item_id % 10, -1) END AS BIGINT) AS part,
+    CAST(CASE WHEN one THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS BIGINT) AS month,
+    CAST(floor(quantity / 10) AS BIGINT) AS tens, CAST(floor(100 * discount + 0.5) AS BIGINT) AS percent, sale_id, CAST(line_no AS BIGINT) AS line_no, CAST(quantity AS BIGINT) AS quantity,
+    CAST(floor(100 * amount + 0.5) AS BIGINT) AS amount_cents FROM t
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS FIRST, percent NULLS FIRST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos,
+    rank() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS FIRST, percent NULLS FIRST) AS place, count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM k
+)
+SELECT vendor_id, part, month, pos, place, sale_id, line_no, quantity, percent, amount_cents, tied FROM r WHERE place <= 3
+"""
+
 ORACLES["op5_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
