@@ -9,6 +9,8 @@ from . import chat, licenses
 from .bpe import encode_corpus
 from .jaccard import jaccard_components
 from .mixing import mix
+from .phrases import collocations
+from .quality import score_quality
 from .ranking import rank_sale_lines
 from .search import exact_top_k
 from .sketch import compare_versions
@@ -100,6 +102,35 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_license_scan"] = licenses.oracle()
 
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+# brute force in SQL: all runs of one to four words
+ORACLES["op12_phrase_collocations"] = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+runs AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, p, len(p) AS size, count(*) AS f FROM (SELECT lang, w[i : i + k - 1] AS p FROM runs) GROUP BY 1, 2 HAVING count(*) >= 30),
+cuts AS (SELECT lang, p, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+scored AS (
+  SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 :]
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nr FROM scored),
+longer AS (SELECT lang, q, max(f) AS f FROM (SELECT lang, f, unnest([p[2 :], p[: size - 1], p[3 :], p[: size - 2], p[2 : size - 1]]) AS q FROM f WHERE size > 2) GROUP BY 1, 2),
+kept AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.q = b.p WHERE nr = 1 AND (o.f IS NULL OR 100 * CAST(o.f AS HUGEINT) < 80 * CAST(a AS HUGEINT))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op13_grouped_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_sale_lines(table(spark, sf_dir, "sale_lines"))
