@@ -49,25 +49,16 @@ def union_first_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame
 
 
 def fill_slots(table: DataFrame, incoming: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """The k-th complete incoming unit of a key goes into the k-th open slot of that key, if it duplicates nothing; a slot's own values
-    stay. Returns the table with what was filled, and `filled_from`, the incoming row's seq.
-
-    Incoming units are compared with the stored ones by four equi anti-joins (plans.matching.duplicates_anti), then both sides are
-    numbered and joined: no pair of rows is looked at that does not belong together.
-    """
-    from ..plans.matching import duplicates_anti
-
-    fresh = duplicates_anti(incoming.where(complete_identity()), table.where(complete_identity()), [key])
-    fresh = fresh.withColumn("_plate", norm_text(F.col("no_plat")))
-    fresh = fresh.withColumn("_first", F.row_number().over(Window.partitionBy(key, "_plate").orderBy(seq))).where("_first = 1")
-    k = lambda part: F.row_number().over(Window.partitionBy(part).orderBy(seq))
-    fresh = fresh.withColumn("_k", k(key)).select(key, "_k", F.col(seq).alias("filled_from"), *(F.col(c).alias(f"_in_{c}") for c in ROW_FIELDS))
-    open_ = F.upper(F.coalesce("status_unit", F.lit(""))).isin("PARTIAL", "UNASSIGNED")
-    slots = table.where(open_).withColumn("_k", k(key))
-    names = table.columns
-    done = slots.join(fresh, [key, "_k"], "left").withColumns({c: rules.fill_or_overwrite(F.col(c), F.coalesce(f"_in_{c}", F.lit("")), F.lit(False)) for c in ROW_FIELDS})
+    """The complete incoming units of a key that are new to it go into its open rows, one after the other (distinct.fill_outcomes has the
+    rules); a row's own values stay. Returns the table with what was filled, and `filled_from`, the incoming row's seq."""
+    from .distinct import FILLED, fill_outcomes
+
+    given = fill_outcomes(table, incoming, key, seq).where(F.col("outcome") == FILLED)
+    given = given.select(F.col(key).alias("_in_key"), F.col("slot").alias("_in_slot"), "filled_from", *(F.col(c).alias(f"_in_{c}") for c in ROW_FIELDS))
+    done = table.join(given, (F.col(key) == F.col("_in_key")) & (F.col(seq).cast("long") == F.col("_in_slot")), "left")
+    done = done.withColumns({c: rules.fill_or_overwrite(F.col(c), F.coalesce(f"_in_{c}", F.lit("")), F.lit(False)) for c in ROW_FIELDS})
     done = done.withColumn("status_unit", F.when(F.col("filled_from").isNotNull(), rules.status(*map(F.col, ROW_FIELDS))).otherwise(F.col("status_unit")))
-    return table.where(~open_).withColumn("filled_from", F.lit(None).cast("long")).select(*names, "filled_from").unionByName(done.select(*names, "filled_from"))
+    return done.select(*table.columns, "filled_from")
 
 
 def exact_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:

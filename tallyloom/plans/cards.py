@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules
 from ..functions.dates import norm_key
-from ..functions.identity import IDENTITY, complete_identity, entity_value
-from ..functions.text import clean_cell, distinct_filled, filled, metric_text, strip
+from ..functions.identity import IDENTITY, ROW_FIELDS, complete_identity, entity_value
+from ..functions.text import clean_cell, distinct_by, distinct_filled, filled, metric_text, strip
+from ..operators.distinct import first_told
 from .evaluate import entity_counts
 from .matching import duplicates_anti
 
@@ -228,24 +229,53 @@ def needs_border(attribute: str, value: Column) -> Column:
 # ---- stages of a fill ------------------------------------------------------------------------------------------------------------
 
 
+def complete_units(rows: DataFrame, key: str = "candidate_key", *order: str) -> DataFrame:
+    """An order's complete units, each once."""
+    return first_told(rows.where("false"), rows, [key], list(order or ("seq",)))
+
+
 def stage_units(candidate: DataFrame, stages: DataFrame, key: str = "candidate_key") -> DataFrame:
     """Complete units of the stages (key, stage, seq) that the order did not have before: not its own, nor one of an earlier row."""
-    fresh = duplicates_anti(stages.where(complete_identity()), candidate.where(complete_identity()), [key])
-    first = Window.partitionBy(key, norm_key(F.col("no_plat"))).orderBy("stage", "seq")
-    return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1 or no_plat = ''").drop("_n")
+    return first_told(candidate.where(complete_identity()), stages, [key], ["stage", "seq"])
 
 
-def cumulative_units(candidate: DataFrame, stages: DataFrame, column: str, key: str = "candidate_key") -> DataFrame:
-    """A line a stage: the values of a column of all units that the order has by then, each once, its own first."""
-    own = candidate.where(complete_identity()).select(key, F.lit(0).alias("stage"), "seq", column)
-    every = own.unionByName(stage_units(candidate, stages, key).select(key, "stage", "seq", column))
-    so_far = stages.select(key, "stage").distinct().withColumnRenamed("stage", "_upto").join(every, key)
-    rows = so_far.where("stage <= _upto").groupBy(key, "_upto").agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "seq", column))), lambda x: x[column]).alias("v"))
-    return rows.select(key, F.col("_upto").alias("stage"), F.concat(F.format_string("Susulan #%d: ", "_upto"), F.array_join(distinct_filled(F.col("v")), ", ")).alias("line"))
+def final_units(candidate: DataFrame, stages: DataFrame, unmatched: DataFrame, key: str = "candidate_key") -> DataFrame:
+    """The order's complete units after its stages (key, stage, seq), its own first; those without stages take the unmatched units (key,
+    seq). Columns: key, stage (0: its own, null: unmatched), seq and the units' fields."""
+    fields_ = [c for c in ROW_FIELDS if c in candidate.columns]
+    of = lambda df, stage: df.select(key, stage.alias("stage"), "seq", *fields_)
+    late = of(unmatched.join(stages.select(key).distinct(), key, "left_anti"), F.lit(None).cast("int"))
+    every = of(candidate, F.lit(0)).unionByName(of(stages, F.col("stage").cast("int"))).unionByName(late)
+    return complete_units(every.withColumn("_late", F.coalesce("stage", F.lit(1 << 30))), key, "_late", "seq").drop("_late")
 
 
-def unit_label() -> Column:
-    return F.concat_ws(" / ", *(F.when(filled(F.col(c)), strip(F.col(c))) for c in ("driver", "no_plat")))
+def _joined(values: Column) -> Column:
+    """The filled values, each once by its key, or a dash."""
+    shown = distinct_by(F.filter(F.transform(values, strip), lambda v: filled(v)), norm_key)
+    return F.when(F.size(shown) > 0, F.array_join(shown, " | ")).otherwise("-")
+
+
+def cumulative_units(candidate: DataFrame, stages: DataFrame, column: str, key: str = "candidate_key") -> DataFrame:
+    """A line a stage: the values of a column of all units that the order has by then, each once, its own first; of an order with a single
+    stage, the values alone. An order's lines are made from one array of its units, so stages meet no units of others."""
+    own = complete_units(candidate, key).select(key, F.lit(0).alias("stage"), "seq", column)
+    every = own.unionByName(stage_units(candidate, stages, key).select(key, F.col("stage").cast("int").alias("stage"), "seq", column))
+    units = every.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stage", "seq", F.col(column).alias("v")))).alias("units"))
+    told = stages.groupBy(key).agg(F.array_sort(F.collect_set(F.col("stage").cast("int"))).alias("stages")).join(units, key, "left")
+    rows = told.select(key, F.size("stages").alias("n"), F.explode("stages").alias("stage"), "units")
+    text = F.when(F.col("units").isNull(), "-").otherwise(_joined(F.transform(F.filter(F.col("units"), lambda u: u["stage"] <= F.col("stage")), lambda u: u["v"])))
+    return rows.select(key, "stage", F.when(F.col("n") > 1, F.concat(F.format_string("Susulan #%d: ", "stage"), text)).otherwise(text).alias("line"))
+
+
+def unit_label(*columns: str) -> Column:
+    """A unit's driver and plate, or the given columns, as far as they say something."""
+    return F.concat_ws(" | ", *(F.when(filled(F.col(c)), strip(F.col(c))) for c in columns or ("driver", "no_plat")))
+
+
+def unit_list(rows: DataFrame, key: str = "candidate_key", seq: str = "seq") -> DataFrame:
+    """An order's complete units as a numbered list of driver, plate and phone."""
+    labels = F.transform(F.array_sort(F.collect_list(F.struct(seq, unit_label("driver", "no_plat", "kontak_driver").alias("l")))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["l"]))
+    return rows.where(complete_identity()).groupBy(key).agg(F.array_join(labels, "\n").alias("units"))
 
 
 def progress_labels(stages: DataFrame, fallback: DataFrame, key: str = "candidate_key") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import rules
-from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, candidate_score, complete_identity, context_key, has_payload, row_context_key, same_unit, signature
+from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, candidate_score, complete_identity, context_key, has_identity, has_payload, row_context_key, same_unit, signature
 from ..functions.text import filled
 
 
@@ -74,9 +74,10 @@ def duplicates_anti(incoming: DataFrame, existing: DataFrame, scope: list[str])
 
 
 def unit_counts(pairs: DataFrame, incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """pairs: incoming_id, candidate_key. Adds complete, duplicates and new: how many complete incoming units the candidate has or lacks."""
+    """pairs: incoming_id, candidate_key. Adds complete, duplicates and new: how many complete incoming units the candidate has, in any of
+    its rows, or lacks."""
     units = incoming.where(complete_identity()).select("incoming_id", "unit_no", signature().alias("sig"))
-    old = existing.where(complete_identity()).select("candidate_key", signature().alias("old"))
+    old = existing.where(has_identity()).select("candidate_key", signature().alias("old"))
     met = pairs.select("incoming_id", "candidate_key").join(units, "incoming_id", "left").join(old, "candidate_key", "left")
     each = met.groupBy("incoming_id", "candidate_key", "unit_no").agg(F.max(F.coalesce(same_unit(F.col("sig"), F.col("old")), F.lit(False))).alias("dup"))
     counts = each.groupBy("incoming_id", "candidate_key").agg(F.count("unit_no").alias("complete"), F.count_if("dup").alias("duplicates"))

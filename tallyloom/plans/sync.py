@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.dates import norm_key
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, complete_identity, context_key, row_context_key
-from ..functions.text import filled, norm_text
+from ..functions.text import filled
 from ..operators.merge import fill_slots
 from .evidence import compare
-from .matching import candidates, decide, duplicates_anti, incoming_key, score_pairs, select_output, state_text, unit_counts
+from .matching import candidates, decide, duplicates_anti, incoming_key, match_units, score_pairs, select_output, state_text, unit_counts
 
 #: The reasons that go with decisions.
 REASONS = {
@@ -29,9 +29,9 @@ REASONS = {
 
 def after_snapshot(orders: DataFrame, incoming: DataFrame, key: str = "candidate_key", seq: str = "seq") -> DataFrame:
     """The rows of orders as a follow-up would leave them: the k-th complete incoming unit that is new to the order goes into its k-th row
-    without a complete identity, with all that it says. Adds marker (BARU where that happened, else empty) and filled_from."""
-    fresh = duplicates_anti(incoming.where(complete_identity()), orders.where(complete_identity()), [key])
-    fresh = fresh.withColumn("_p", norm_text(F.col("no_plat"))).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_p").orderBy(seq))).where("_n = 1")
+    without a complete identity, with all that it says. A preview: units that repeat each other are shown each. Adds marker (BARU where that
+    happened, else empty) and filled_from."""
+    fresh = duplicates_anti(incoming.where(complete_identity()), orders, [key])
     k = F.row_number().over(Window.partitionBy(key).orderBy(seq))
     new = fresh.withColumn("_k", k).select(key, "_k", F.col(seq).alias("filled_from"), *(F.col(c).alias(f"_in_{c}") for c in ROW_FIELDS))
     names, open_ = orders.columns, orders.where(~complete_identity()).withColumn("_k", k)
@@ -108,9 +108,10 @@ def sync_blocks(orders: DataFrame, units: DataFrame, block: str = "chunk_no", mo
 
 
 def unmatched_units(units: DataFrame, orders: DataFrame, key: str = "candidate_key") -> DataFrame:
-    """Complete units of messages that no stored unit of their order repeats, with the number of identity fields that they share with the
-    nearest one."""
-    return duplicates_anti(units.where(complete_identity()), orders.where(complete_identity()), [key])
+    """Complete units of messages that no registered unit of their order has found again: matching.match_units pairs them one to one, so a
+    unit that is told twice is left over once. units and orders: key, seq and the identity fields; seq is unique within a key."""
+    found = match_units(orders, units, key).select(F.col("scope").alias("_scope"), F.col("incoming_seq").alias("_seq"))
+    return units.where(complete_identity()).join(found, (F.col(key).cast("string") == F.col("_scope")) & (F.col("seq").cast("long") == F.col("_seq")), "left_anti")
 
 
 def context_of(rows: DataFrame) -> DataFrame:

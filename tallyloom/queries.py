@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, fields, identity, rules, text
-from .operators import merge
+from .operators import distinct, merge
 from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, report, sync
 from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
@@ -424,6 +424,78 @@ def slot_fill_zip(spark, sf_dir):
     return merge.fill_slots(rows, inc, "l_orderkey").select("seq", "no_plat", "status_unit", "filled_from")
 
 
+#: The lines of an order as units that repeat each other, in turn: whether one is new, and the units taken so far.
+_TOLD_SQL = """u AS (
+  SELECT l_orderkey, l_linenumber AS n, l_orderkey * 10 + l_linenumber AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k,
+    {'d': min(l_suppkey) % 4, 'p': CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_linenumber END, 't': l_linenumber % 2} AS unit FROM lineitem GROUP BY l_orderkey, l_linenumber
+)"""
+_IS_TAKEN = "len(list_filter(taken, lambda x: x.p = unit.p OR (x.d = unit.d AND x.t = unit.t))) > 0"
+
+
+def _told(spark, sf_dir):
+    """_TOLD_SQL's units as rows."""
+    li = lines(spark, sf_dir)
+    ok, n = F.col("l_orderkey"), F.col("l_linenumber")
+    said = {"driver": F.concat(F.lit("Sopir "), (F.col("l_suppkey") % 4).cast("string")), "no_plat": F.concat(F.lit("B "), F.when(n % 3 == 0, F.lit("0")).otherwise(n.cast("string")), F.lit(" X")), "kontak_driver": F.concat(F.lit("08"), (n % 2).cast("string"), F.lit("1234567"))}
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    blank = {c: F.lit("") for c in identity.ROW_FIELDS if c not in said}
+    return li.select("l_orderkey", "l_linenumber", (ok * 10 + n).alias("seq"), k.alias("k"), *(c.alias(a) for a, c in {**said, **blank}.items()))
+
+
+@query(f"""
+WITH RECURSIVE {_TOLD_SQL}, r AS (
+  SELECT l_orderkey, seq, k, TRUE AS new, [unit] AS taken FROM u WHERE k = 1
+  UNION ALL SELECT l_orderkey, seq, k, NOT dup, CASE WHEN dup THEN taken ELSE list_append(taken, unit) END FROM (SELECT u.*, taken, {_IS_TAKEN} AS dup FROM r JOIN u ON u.l_orderkey = r.l_orderkey AND u.k = r.k + 1)
+)
+SELECT l_orderkey, seq FROM r WHERE new AND k > 1
+""")
+def units_told_once(spark, sf_dir):
+    """The units of an order that are neither its first one nor one told before, by plate or two of three fields; each is compared with those
+    that were taken."""
+    u = _told(spark, sf_dir)
+    return distinct.first_told(u.where("k = 1"), u.where("k > 1"), ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "seq")
+
+
+@query(f"""
+WITH RECURSIVE {_TOLD_SQL}, r AS (
+  SELECT l_orderkey, seq, k, '' AS outcome, 0 AS used, [unit] AS taken FROM u WHERE k = 1
+  UNION ALL SELECT l_orderkey, seq, k, outcome, CASE WHEN outcome = 'filled' THEN used + 1 ELSE used END, CASE WHEN outcome = 'filled' THEN list_append(taken, unit) ELSE taken END FROM (
+    SELECT u.*, used, taken, CASE WHEN {_IS_TAKEN} THEN 'duplicate' WHEN used < u.l_orderkey % 4 THEN 'filled' ELSE 'skipped' END AS outcome FROM r JOIN u ON u.l_orderkey = r.l_orderkey AND u.k = r.k + 1)
+)
+SELECT l_orderkey, seq AS filled_from, outcome, CASE WHEN outcome = 'filled' THEN l_orderkey * 10 + used END AS slot FROM r WHERE k > 1
+""")
+def slot_fill_repeats(spark, sf_dir):
+    """Units that repeat drivers, plates and phones go into the open slots of their order (none to three), one after the other."""
+    u = _told(spark, sf_dir)
+    heads = u.where("k = 1").drop("l_linenumber", "k")
+    slots = heads.select("l_orderkey", F.explode(F.sequence(F.lit(0), (F.col("l_orderkey") % 4).cast("int"))).alias("j"), *(c for c in heads.columns if c not in ("l_orderkey", "seq")))
+    stored = slots.select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("j")).alias("seq"), *(F.when(F.col("j") == 0, F.col(c)).otherwise("").alias(c) for c in identity.ROW_FIELDS), F.when(F.col("j") == 0, "ASSIGNED").otherwise("UNASSIGNED").alias("status_unit"))
+    return distinct.fill_outcomes(stored, u.where("k > 1"), "l_orderkey").select("l_orderkey", "filled_from", "outcome", "slot")
+
+
+@query(f"""
+WITH RECURSIVE {_TOLD_SQL}, r AS (
+  SELECT l_orderkey, n, k, TRUE AS new, [unit] AS taken FROM u WHERE k = 1
+  UNION ALL SELECT l_orderkey, n, k, NOT dup, CASE WHEN dup THEN taken ELSE list_append(taken, unit) END FROM (SELECT u.*, taken, {_IS_TAKEN} AS dup FROM r JOIN u ON u.l_orderkey = r.l_orderkey AND u.k = r.k + 1)
+), s AS (SELECT DISTINCT l_orderkey, n // 2 AS stage FROM r WHERE k > 1), c AS (SELECT l_orderkey, count(*) AS stages FROM s GROUP BY 1),
+t AS (SELECT s.l_orderkey, s.stage, string_agg('B ' || (CASE WHEN n % 3 = 0 THEN 0 ELSE n END) || ' X', ' | ' ORDER BY k) AS v FROM s JOIN r ON r.l_orderkey = s.l_orderkey AND new AND (k = 1 OR n // 2 <= s.stage) GROUP BY 1, 2)
+SELECT l_orderkey, CAST(stage AS INTEGER) AS stage, CASE WHEN stages > 1 THEN 'Susulan #' || stage || ': ' || v ELSE v END AS line FROM t JOIN c USING (l_orderkey)
+""")
+def stage_texts(spark, sf_dir):
+    """The plates that an order has after each of its follow-ups."""
+    u = _told(spark, sf_dir).withColumn("stage", F.floor(F.col("l_linenumber") / 2).cast("int"))
+    return cards.cumulative_units(u.where("k = 1"), u.where("k > 1"), "no_plat", "l_orderkey")
+
+
+@query(f"""
+WITH {_TOLD_SQL} SELECT u.l_orderkey, u.seq FROM u WHERE k % 2 = 0
+""")
+def unmatched_after_registration(spark, sf_dir):
+    """Of a follow-up that tells each registered unit and a new one after each, what the pairing of registered units leaves over."""
+    u = _told(spark, sf_dir).withColumn("no_plat", plate(F.col("l_orderkey"), F.col("l_linenumber"))).withColumn("driver", F.col("no_plat")).withColumn("kontak_driver", F.concat(F.lit("08"), F.col("seq").cast("string")))
+    return sync.unmatched_units(u, u.where("k % 2 = 1"), "l_orderkey").select("l_orderkey", "seq")
+
+
 _LADDER = """l AS (
   SELECT o_orderkey, o_orderkey % 11 = 0 AS date_conflict, o_orderkey % 5 AS complete, o_orderkey % 3 AS dup0, o_orderkey % 7 / 6.0 AS p, o_orderkey % 13 = 0 AS conflict, o_orderkey % 4 AS empty FROM orders
 ), l2 AS (SELECT *, least(dup0, complete) AS duplicates, complete - least(dup0, complete) AS new, CASE WHEN p >= 0.5 THEN 'MATCH' ELSE 'NO_MATCH' END AS predicted FROM l),
@@ -913,17 +985,18 @@ def pairs_from_text(spark, sf_dir):
     """Files of parents and as many follow-ups as training pairs."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey").cast("string")
-    parent = F.concat(F.lit("REQUEST ON CALL 5 MARET 2026\n2 UNIT CDD\nLokasi : GUDANG "), k, F.lit("\nWaktu loading : 08:00\nRute/tujuan : A - B\nDriver : ANI\nNopol : B 1 X\nNo hp : 0811"))
+    parent = F.concat(F.lit("REQUEST ON CALL 5 MARET 2026\n2 UNIT CDD\nLokasi : GUDANG "), k, F.lit("\nRute/tujuan : A - B\nWaktu loading : 08:00\nDriver : ANI\nNopol : B 1 X\nNo hp : 0811"))
     follow = F.concat(F.lit("REQUEST susulan "), k, F.lit("\nNopol : B 2 Y"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", c.alias("t")))), lambda x: x["t"]), "\n")
     files = o.groupBy(F.col("o_custkey").alias("path")).agg(F.concat(joined(parent), F.lit("\n"), joined(follow)).alias("chat_text"))
     return generate.pairs_from_text(files)
 
 
-@query("SELECT month, CAST(n AS BIGINT) AS pairs, CAST(n AS BIGINT) AS parents, CAST(n AS BIGINT) AS follow_ups FROM (VALUES (1, 2000), (2, 3000), (3, 5000)) AS t(month, n)")
+@query("SELECT CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS pairs, count(*) AS parents, count(*) AS follow_ups FROM orders GROUP BY 1")
 def generated_pairs(spark, sf_dir):
-    """Made-up parents and follow-ups by month, and how many are read back with the quantities and units that were put in."""
-    p = generate.order_pairs(spark, {1: 2000, 2: 3000, 3: 5000})
+    """A made-up parent and follow-up for each order, by month, and how many are read back with the quantities and units that were put in."""
+    o = table(spark, sf_dir, "orders").select(F.month("o_orderdate").alias("month"), F.col("o_orderkey").alias("k"))
+    p = generate.order_pairs(o)
     listed = lambda c: F.size(F.filter(fields.slot_values(F.col(c), "nopol"), lambda v: text.filled(v)))
     right = lambda c, n: F.count_if((listed(c) == n) & (fields.unit_quantity(F.col(c)) == F.col("total")))
     return p.groupBy("month").agg(F.count("*").alias("pairs"), right("parent_text", F.col("filled")).alias("parents"), right("follow_text", F.col("total")).alias("follow_ups"))

@@ -70,9 +70,14 @@ def test_stages(spark):
     own = df((*order(1, **unit(1)), 0), (*order(2), 0))
     stages = df((*order(3, **unit(1)), 1), (*order(4, **unit(2)), 1), (*order(5, **unit(3)), 2), (*order(6, **unit(2)), 2))
     lines = {r.stage: r.line for r in cards.cumulative_units(own, stages, "no_plat").collect()}
-    assert lines == {1: "Susulan #1: B 1 X, B 2 X", 2: "Susulan #2: B 1 X, B 2 X, B 3 X"}
-    assert cards.progress_labels(stages, own).first().labels == ["sopir 1 / B 1 X", "sopir 2 / B 2 X", "sopir 3 / B 3 X", "sopir 2 / B 2 X"]
-    assert cards.progress_labels(stages.where("false"), own).first().labels == ["sopir 1 / B 1 X"]
+    assert lines == {1: "Susulan #1: B 1 X | B 2 X", 2: "Susulan #2: B 1 X | B 2 X | B 3 X"}
+    assert [r.line for r in cards.cumulative_units(own, stages.where("stage = 1"), "no_plat").collect()] == ["B 1 X | B 2 X"]
+    assert [r.line for r in cards.cumulative_units(own.where("false"), stages.where("false").union(df((*order(9), 1))), "no_plat").collect()] == ["-"]
+    assert cards.progress_labels(stages, own).first().labels == ["sopir 1 | B 1 X", "sopir 2 | B 2 X", "sopir 3 | B 3 X", "sopir 2 | B 2 X"]
+    assert cards.progress_labels(stages.where("false"), own).first().labels == ["sopir 1 | B 1 X"]
+    assert [(r.stage, r.seq) for r in cards.final_units(own, stages, stages.where("false")).orderBy("stage", "seq").collect()] == [(0, 1), (1, 4), (2, 5)]
+    assert [(r.stage, r.seq) for r in cards.final_units(own, stages.where("false"), stages.drop("stage")).orderBy("stage", "seq").collect()] == [(None, 4), (None, 5), (0, 1)]
+    assert cards.unit_list(own).first().units.startswith("1. sopir 1 | B 1 X | ")
     chats = spark.createDataFrame([("e", "c2", 3, "x"), ("e", "c1", 1, "y"), ("e", "c1", 2, "z"), ("f", "c", 1, "w")], "event string, chat string, seq int, v string")
     assert [[[(r.seq, r.v) for r in chat] for chat in x.chats] for x in cards.context_chats(chats, "event", "chat", "seq", "v").collect()] == [[[(1, "y"), (2, "z")], [(3, "x")]]]
 
@@ -160,7 +165,7 @@ def test_sync_of_blocks(spark, tmp_path):
 
 
 def test_generated_pairs(spark):
-    rows = generate.order_pairs(spark, {1: 60, 2: 80}, seed=3).collect()
+    rows = generate.order_pairs(generate.month_numbers(spark, {1: 60, 2: 80}), seed=3).collect()
     assert len(rows) == 140 and {r.month for r in rows} == {1, 2} and {r.total for r in rows} == set(range(1, 9))
     value = lambda t, label: re.findall(rf"(?im)^{label}[ ]*:[ ]*(.*)$", t)
     for r in rows:
@@ -168,9 +173,9 @@ def test_generated_pairs(spark):
         assert len(drivers) == len({*drivers}) == r.total and 1 <= r.day <= 31 and (r.month != 2 or r.day <= 28)
         known = [d for d in value(r.parent_text, "driver") if d]
         assert known == drivers[: r.filled] and (0 < r.filled < r.total or r.total == 1 and r.filled == 0)
-        assert all(re.fullmatch(r"(\+62 8\d\d-\d{3}-\d{4}|62\d{11}|08\d{9,11})", p) for p in value(r.follow_text, "no hp"))
-    again = generate.order_pairs(spark.newSession(), {1: 60, 2: 80}, seed=3).collect()
-    assert sorted(map(str, again)) == sorted(map(str, rows)) != sorted(map(str, generate.order_pairs(spark, {1: 60, 2: 80}, seed=4).collect()))
+        assert all(re.fullmatch(r"(08\d{10}|08\d\d-\d{4}-\d{4}|\+62 8\d\d-\d{4}-\d{4}|628\d{10})", p) for p in value(r.follow_text, "no hp"))
+    again = generate.order_pairs(generate.month_numbers(spark, {1: 60, 2: 80}).repartition(5), seed=3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows)) != sorted(map(str, generate.order_pairs(generate.month_numbers(spark, {1: 60, 2: 80}), seed=4).collect()))
 
 
 def test_varied_pairs(spark):
