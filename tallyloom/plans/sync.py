@@ -12,6 +12,7 @@ from ..functions.text import filled
 from ..operators.merge import fill_slots
 from .evidence import compare
 from .matching import candidates, decide, duplicates_anti, incoming_key, match_units, score_pairs, select_output, state_text, unit_counts
+from .ranking import ranked_candidates
 
 #: The reasons that go with decisions.
 REASONS = {
@@ -49,16 +50,17 @@ def reason(plan: DataFrame) -> Column:
     return F.coalesce(F.try_element_at(known, F.col("action")), F.when(F.col("action") == "TAHAN_AUDIT_CONFLICT", F.col("conflicts")).when(F.col("action") == "REVIEW_MANUAL", review).otherwise(new_order))
 
 
-def plans(orders: DataFrame, incoming: DataFrame, event: str = "incoming_id", scorer=None) -> DataFrame:
-    """One row a message and a candidate order of its place: scores, unit counts, decision, reason, and whether it can be applied.
+def plans(orders: DataFrame, incoming: DataFrame, event: str = "incoming_id", scorer=None, top: int = 8) -> DataFrame:
+    """One row a message and each of its `top` best candidate orders by context: scores, unit counts, decision, reason, and whether it can
+    be applied.
 
-    orders: seq, ROW_FIELDS, status_unit. incoming: event, seq, unit_no, text, ROW_FIELDS. Candidates meet messages by the normalised
-    pickup; a message without one has no candidates.
+    orders: seq, ROW_FIELDS, status_unit. incoming: event, seq, unit_no, text, ROW_FIELDS. The model scores the best candidates only
+    (ranking.ranked_candidates); a message that leaves fields blank is ranked by the others.
     """
-    place = norm_key(F.col("pickup"))
-    found = state_text(candidates(orders)).withColumn("_place", place)
-    of = incoming_key(incoming, event, "seq").join(incoming.groupBy(event).agg(F.min_by("text", "seq").alias("text")), event).withColumn("_place", place).where("_place <> ''")
-    met = found.select(*found.columns).join(of.select(event, "_place", "text", *(F.col(c).alias(f"in_{c}") for c in CONTEXT)), "_place")
+    found = state_text(candidates(orders))
+    of = incoming_key(incoming, event, "seq").join(incoming.groupBy(event).agg(F.min_by("text", "seq").alias("text")), event)
+    best = ranked_candidates(of, found, event, top)
+    met = best.join(found, "candidate_key").join(of.select(event, "text", *(F.col(c).alias(f"in_{c}") for c in CONTEXT)), event)
     scored = score_pairs(met, "state_text", "text", scorer=scorer)
     own = orders.withColumn("candidate_key", row_context_key())
     counted = unit_counts(scored.withColumnRenamed(event, "incoming_id"), incoming.withColumnRenamed(event, "incoming_id"), own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, fields, identity, rules, text
 from .operators import distinct, merge
-from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, report, sync
+from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, sync
 from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
 from .sources import io
@@ -356,6 +356,30 @@ def context_score_topk(spark, sf_dir):
     return matching.top_candidates(inc, old, "block").select(F.col("incoming_id").alias("s_suppkey"), F.col("first_seq").alias("c_custkey"), "context_score", "rank")
 
 
+@query("""
+WITH i AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN 'd' || s_suppkey % 5 ELSE '' END AS a, CASE WHEN s_suppkey % 3 > 0 THEN 'n' || s_nationkey ELSE '' END AS b,
+    CASE WHEN s_suppkey % 7 > 1 THEN 'k' || s_suppkey % 7 ELSE '' END AS c, CASE WHEN s_suppkey % 5 > 1 THEN 't' || s_suppkey % 3 ELSE '' END AS d FROM supplier),
+o AS (SELECT c_custkey, CASE WHEN c_custkey % 6 > 0 THEN 'd' || c_custkey % 5 ELSE '' END AS a, CASE WHEN c_custkey % 11 > 0 THEN 'n' || c_nationkey ELSE '' END AS b,
+    CASE WHEN c_custkey % 8 > 0 THEN 'k' || c_custkey % 7 ELSE '' END AS c, CASE WHEN c_custkey % 9 > 1 THEN 't' || c_custkey % 3 ELSE '' END AS d FROM customer),
+s AS (SELECT s_suppkey, c_custkey, CASE WHEN i.a = '' OR o.a = '' THEN 0 WHEN i.a = o.a THEN 2 ELSE -2 END + CASE WHEN i.b = '' OR o.b = '' THEN 0 WHEN i.b = o.b THEN 3 ELSE -3 END
+    + CASE WHEN i.c = '' OR o.c = '' THEN 0 WHEN i.c = o.c THEN 3 ELSE -3 END + CASE WHEN i.d = '' OR o.d = '' THEN 0 WHEN i.d = o.d THEN 2 ELSE -2 END AS score FROM i CROSS JOIN o),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c_custkey) AS rank FROM s)
+SELECT s_suppkey, c_custkey, CAST(score AS INTEGER) AS context_score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8
+""")
+def ranked_candidates(spark, sf_dir):
+    """The eight best of all candidates of each batch, where either side leaves fields blank; brute force in the SQL."""
+
+    def said(key, nation, blanks):
+        some = lambda m, least, v: F.when(F.col(key) % m > least, v).otherwise("")
+        part = lambda letter, m: F.concat(F.lit(letter), (F.col(key) % m).cast("string"))
+        values = (part("d", 5), F.concat(F.lit("n"), F.col(nation).cast("string")), part("k", 7), part("t", 3))
+        return [some(*b, v).alias(c) for b, v, c in zip(blanks, values, identity.CONTEXT)]
+
+    i = table(spark, sf_dir, "supplier").select("s_suppkey", *said("s_suppkey", "s_nationkey", ((4, 0), (3, 0), (7, 1), (5, 1))))
+    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_key"), F.col("c_custkey").alias("first_seq"), *said("c_custkey", "c_nationkey", ((6, 0), (11, 0), (8, 0), (9, 1))))
+    return ranking.ranked_candidates(i, o, "s_suppkey").withColumnRenamed("candidate_key", "c_custkey")
+
+
 @query("""
 SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, CAST(l_quantity AS INTEGER) % 5 DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1
 """)
