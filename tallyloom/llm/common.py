@@ -48,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Asks the JVM's collector to run, so that Spark deletes the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,8 +5,9 @@ strings that stands at more places. The links form a tree: that of the reversed
 left. Of automata of bounded depth that tree is built directly, a depth at a time, over all places of a shard at once: `Automaton`.
 Counts of places go up the links; a state stands for all endings of its longest string that are longer than the link's.
 
-Counts of shards meet by sums. A first pass counts pairs of words only, by hashes; pieces are then cut between words whose pair is rare,
-as no frequent phrase goes over such a place. What tells frequent pairs is a bitmap of fixed size, which only ever lets more through.
+Counts of shards meet by sums. As a frequent phrase has frequent parts, passes before count words and pairs, then each longer size short of
+the last, by hashes, each only where the sizes before are frequent; the automata then hold no context that cannot be frequent. What tells
+frequent hashes is a bitmap of fixed size a pass, which only ever lets more through, so counts are exact at every size of the table.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, arrow_map, column, cut, keep_columns, sliced, width
+from .common import CHUNK, arrow_map, column, cut, drop_shuffles, keep_columns, sliced, width
 from .kernels import LOWER, U64, combine, encode, mix, prefix_sums, range_hash, runs
 
-#: Bits of the bitmap of frequent pairs, and of one of the blocks in which it is put together.
+#: Bits of a pass's bitmap, and of one of the blocks in which it is put together.
 BITS, BLOCK = 1 << 26, 32768
 #: What ends a piece, and what ends a word beside that.
 ENDS = np.zeros(256, bool)
@@ -38,12 +39,26 @@ class Shard:
         self.hashes = range_hash(prefix_sums(data), self.starts, self.ends) if len(self.starts) else np.empty(0, U64)
         self.salt = mix(np.array([hash_of(lang)], U64))[0]
         piece = np.cumsum(ENDS[data])[self.starts] if len(self.starts) else np.empty(0, np.int64)
-        self.joined = np.zeros(len(self.starts), bool)  # to the word before
-        self.joined[1:] = piece[1:] == piece[:-1]
-
-    def pairs(self) -> np.ndarray:
-        """For each word but the first the hash of the pair that it ends, whether or not a piece ends within."""
-        return combine(self.hashes ^ self.salt, 2) & U64((1 << 63) - 1)
+        first = np.ones(len(piece), bool)
+        first[1:] = piece[1:] != piece[:-1]
+        at = np.arange(len(piece))
+        self.nth = at - np.maximum.accumulate(np.where(first, at, 0)) + 1 if len(piece) else at  # of its piece
+
+    def grams(self, size: int) -> np.ndarray:
+        """Hashes of every `size` words in a row, whether or not a piece ends within; the i-th ends at word i + size - 1."""
+        return combine(self.hashes ^ self.salt, size) & U64((1 << 63) - 1)
+
+    def reach(self, depth: int, known: dict) -> np.ndarray:
+        """Of each word the most words, at most depth, that end with it in its piece and whose runs of a known size are all set in its bitmap."""
+        reach, fits = np.zeros(len(self.nth), np.int64), np.ones(len(self.nth), bool)
+        for d in range(1, depth + 1):
+            before = np.append(False, fits[:-1]) if d > 1 else fits
+            fits = fits & before & (self.nth >= d)
+            if d in known and len(fits) >= d:
+                slot = (self.grams(d) % U64(8 * len(known[d].value))).astype(np.int64)
+                fits[d - 1 :] &= (known[d].value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+            reach[fits] = d
+        return reach
 
     def numbers(self) -> tuple[np.ndarray, list[str]]:
         """Numbers of the words in some order, by their bytes, and the words by number."""
@@ -57,17 +72,15 @@ def hash_of(lang: str) -> int:
 
 
 class Automaton:
-    """The generalised suffix automaton of sequences of numbers, for strings of at most `depth`.
+    """The generalised suffix automaton of sequences of numbers, bounded in depth.
 
-    words: numbers of at least 0; joined[i]: place i continues the sequence of place i - 1. Of each state but the root: longest and
+    words: numbers of at least 0; reach: of each place the length of its longest context. Of each state but the root: longest and
     shortest, the lengths of its strings; end, a place where they end; count, of such places; link, a state's number or -1 for the root.
     """
 
-    def __init__(self, words: np.ndarray, joined: np.ndarray, depth: int):
-        n = len(words)
-        at, last = np.arange(n), np.maximum.accumulate(np.where(joined, 0, np.arange(n))) if n else np.arange(0)
-        reach = np.minimum(at - last + 1, depth)  # the longest context of a place
-        node = np.full(n, -1, np.int64)  # of the context of the depth so far
+    def __init__(self, words: np.ndarray, reach: np.ndarray):
+        depth = int(reach.max(initial=0))
+        node = np.full(len(words), -1, np.int64)  # of the context of the depth so far
         context, ends, lengths, parents, counts, total = words.copy(), [], [], [], [], 0
         for d in range(1, depth + 1):
             here = np.flatnonzero(reach >= d)
@@ -126,38 +139,44 @@ def _shards(batches):
             yield lang, Shard(texts, lang)
 
 
-def frequent_pairs(docs: DataFrame, least: int):
-    """A broadcast of BITS bits: those of the hashes of (lang, pair of words) that occur `least` times or more are set."""
+def probable(docs: DataFrame, least: int, sizes: tuple[int, ...], known: dict, bits: int = BITS):
+    """A broadcast of so many bits: those of the hashes of (lang, words in a row), of the given sizes, that occur `least` times or more are set.
+    known: such broadcasts of smaller sizes, which tell where to count."""
     spark = docs.sparkSession
 
     def run(batches):
         for _, shard in _shards(batches):
-            pairs, counts = np.unique(shard.pairs()[shard.joined[1:]], return_counts=True)
-            yield {"pair": pairs.astype(np.int64), "n": counts}
-
-    often = arrow_map(docs, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.col("pair") % BITS
+            reach = shard.reach(max(sizes), known)
+            hashes = [shard.grams(d)[reach[d - 1 :] >= d] for d in sizes if len(reach) >= d]
+            if hashes:
+                gram, n = np.unique(np.concatenate(hashes), return_counts=True)
+                yield {"gram": gram.astype(np.int64), "n": n}
+
+    often = arrow_map(docs, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    bit = F.col("gram") % bits
     blocks = often.groupBy(F.floor(bit / BLOCK).alias("block")).agg(F.bitmap_construct_agg(bit % BLOCK).alias("bits")).collect()
-    bits = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for block, part in blocks:
-        bits[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(part, np.uint8)
-    return spark.sparkContext.broadcast(bits)
+        here = out[block * BLOCK // 8 : (block + 1) * BLOCK // 8]
+        here[:] = np.frombuffer(part, np.uint8)[: len(here)]
+    del often
+    drop_shuffles(spark)
+    return spark.sparkContext.broadcast(out)
 
 
-def phrase_counts(docs: DataFrame, depth: int, least: int) -> DataFrame:
+def phrase_counts(docs: DataFrame, depth: int, least: int, bits: int = BITS) -> DataFrame:
     """docs: lang (not null), text. Returns lang, phrase, size, f: phrases of at most `depth` words that occur `least` times or more,
     joined by spaces; and a row of size 0 a language, whose f is the number of all its words."""
-    often = frequent_pairs(docs, least)
+    known = dict.fromkeys((1, 2), probable(docs, least, (1, 2), {}, bits))
+    for d in range(3, depth):
+        known[d] = probable(docs, least, (d,), known, bits)
 
     def run(batches):
         for lang, shard in _shards(batches):
             if not len(shard.starts):
                 continue
-            slot = (shard.pairs() % U64(BITS)).astype(np.int64)
-            joined = shard.joined.copy()
-            joined[1:] &= (often.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
             numbers, words = shard.numbers()
-            ends, sizes, counts = Automaton(numbers, joined, depth).strings()
+            ends, sizes, counts = Automaton(numbers, shard.reach(depth, known)).strings()
             ids = numbers.tolist()
             phrases = [words[ids[e]] if k == 1 else " ".join([words[i] for i in ids[e - k + 1 : e + 1]]) for e, k in zip(ends.tolist(), sizes.tolist())]
             yield {"lang": [lang] * (len(phrases) + 1), "phrase": ["", *phrases], "size": np.append(0, sizes), "f": np.append(len(numbers), counts)}
@@ -166,7 +185,7 @@ def phrase_counts(docs: DataFrame, depth: int, least: int) -> DataFrame:
     return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= least))
 
 
-def collocations(docs: DataFrame, depth: int = 4, least: int = 30, top: int = 2000, share: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, depth: int = 4, least: int = 30, top: int = 2000, share: int = 80, bits: int = BITS) -> DataFrame:
     """docs: text, lang, any other columns; a null text is empty, a null lang is `und`; rows that repeat count again.
 
     Phrases of 2 to `depth` words that occur at least `least` times, of each cut into two the one with the least score, but those that lie
@@ -176,7 +195,7 @@ def collocations(docs: DataFrame, depth: int = 4, least: int = 30, top: int = 20
     A phrase's f is at most that of its parts, so all of them are among the counted ones.
     """
     docs = keep_columns(docs, "lang", "text").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    counted = cut(phrase_counts(docs, depth, least))
+    counted = cut(phrase_counts(docs, depth, least, bits))
     phrases = counted.where("size > 0")
     words = F.split("phrase", " ")
     found = phrases.where("size > 1")

@@ -76,7 +76,8 @@ def test_states_are_classes_of_end_places():
         for s, ends in places.items():
             classes.setdefault(frozenset(ends), []).append(s)
         want = {max(c, key=len): (len(min(c, key=len)), len(ends)) for ends, c in classes.items()}
-        a = Automaton(words, joined, depth)
+        reach = np.array([min(i - max(j for j in range(i + 1) if not joined[j]) + 1, depth) for i in range(n)], np.int64)
+        a = Automaton(words, reach)
         name = lambda j: tuple(words[a.end[j] - a.longest[j] + 1 : a.end[j] + 1])
         assert {name(j): (a.shortest[j], a.count[j]) for j in range(len(a.end))} == want
         for j, up in enumerate(a.link):
@@ -84,3 +85,9 @@ def test_states_are_classes_of_end_places():
             assert (up == -1 and not tail) or name(up) == tail
         e, k, c = a.strings()
         assert {tuple(words[x - y + 1 : x + 1]): z for x, y, z in zip(e, k, c)} == {s: len(p) for s, p in places.items()}
+
+
+def test_a_crowded_bitmap_lets_more_through_but_counts_right(spark):
+    rows = texts(7)
+    got = [tuple(r) for r in collocations(of(spark, rows), least=6, depth=5, bits=64).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").orderBy("lang", "rank").collect()]
+    assert got == plain(rows, 5, 6, 2000, 80)
