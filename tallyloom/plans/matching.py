@@ -213,28 +213,29 @@ def truth_labels(pairs: DataFrame, truth: DataFrame, a: str = "text_a", b: str =
     """Adds truth: the label of the truth's pair of the same texts, either way round, without white space and in lower case; else that of
     the most like pair (of equals the first by its texts), if the mean of difflib's ratios reaches `least`; else the empty text.
 
-    Equal pairs meet by an equi-join. Others meet by the classes of both texts' lengths: a mean of `least` needs ratios of 2 * least - 1 or
-    more, and so lengths in a proportion that keeps them in one class or neighbouring ones. What can then still reach the ratio by the
-    characters that both have is compared in Arrow batches. Neither table is collected.
+    Equal pairs meet by an equi-join. Of others a mean of `least` needs a side whose own ratio reaches it, and ratios of 2 * least - 1 on
+    both: candidates come from an index of q-grams of either side (likeness.candidate_pairs), and are compared in Arrow batches. Neither
+    table is collected.
     """
     from difflib import SequenceMatcher
 
     from ..functions.text import compact
+    from .likeness import candidate_pairs, fits
 
     low = 2 * least - 1
-    step = (2 - low) / low  # the longer text's length over the shorter one's, at most
-    klass = lambda c: F.floor(F.log(step, F.greatest(F.length(c), F.lit(1)))).cast("int")
     known = truth.select(compact(F.col("text_a")).alias("_x"), compact(F.col("text_b")).alias("_y"), F.upper(F.trim("label")).alias("_l")).where("_x <> '' and _y <> ''")
     both = known.unionByName(known.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"), "_l")).groupBy("_x", "_y").agg(F.min("_l").alias("_l"))
     keyed = pairs.withColumns({"_p": compact(F.col(a)), "_q": compact(F.col(b))})
     texts = keyed.where("_p <> '' and _q <> ''").select("_p", "_q").distinct()
     exact = texts.join(both, (F.col("_p") == F.col("_x")) & (F.col("_q") == F.col("_y"))).select("_p", "_q", "_l")
     rest = texts.join(exact.select("_p", "_q"), ["_p", "_q"], "left_anti")
-    beside = lambda c: F.explode(F.array(klass(c) - 1, klass(c), klass(c) + 1))
-    near = rest.withColumn("_i", beside(F.col("_p"))).withColumn("_j", beside(F.col("_q"))).join(both.withColumns({"_i": klass(F.col("_x")), "_j": klass(F.col("_y"))}), ["_i", "_j"])
-
-    fits = lambda c, d: 2 * F.least(F.length(c), F.length(d)) >= low * (F.length(c) + F.length(d))
-    near = near.where(fits("_p", "_x") & fits("_q", "_y"))
+    near = None
+    for own, theirs in (("_p", "_x"), ("_q", "_y")):
+        like = candidate_pairs(rest, both, own, theirs, least)
+        part = rest.join(like, own).join(both, theirs).select("_p", "_q", "_x", "_y", "_l")
+        near = part if near is None else near.unionByName(part)
+    size = F.length
+    near = near.where(fits(size("_p"), size("_x"), low) & fits(size("_q"), size("_y"), low)).distinct()
 
     @F.pandas_udf("double")
     def likeness(p: pd.Series, q: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
