@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -10,8 +10,10 @@ from ..functions.dates import norm_key
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, complete_identity, context_key, row_context_key
 from ..functions.text import filled
 from ..operators.merge import fill_slots
+from ..sources.store import TableStore
 from .evidence import compare
 from .matching import candidates, decide, duplicates_anti, incoming_key, match_units, score_pairs, select_output, state_text, unit_counts
+from .numbering import kept
 from .ranking import ranked_candidates
 
 #: The reasons that go with decisions.
@@ -72,20 +74,50 @@ def plans(orders: DataFrame, incoming: DataFrame, event: str = "incoming_id", sc
     return judged.withColumn("policy_reason", reason(judged)).withColumn("ready", ready).withColumnRenamed("incoming_id", event)
 
 
-def apply_block(orders: DataFrame, units: DataFrame, scorer=None) -> tuple[DataFrame, DataFrame]:
-    """One block's unit rows (seq, unit_no, text, ROW_FIELDS) against the orders: fills the slots of the order that its best plan may be
-    applied to, or else is stored as an order of its own. Returns the orders afterwards and the plans."""
+def block_changes(orders: DataFrame, units: DataFrame, scorer=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What one block's unit rows (seq, unit_no, text, ROW_FIELDS) change in the orders: the rows of the order that its best plan may be
+    applied to, with its slots filled; or else the block's own rows, a new order. Returns the order's rows afterwards, the new rows, and the
+    plans."""
     one = units.withColumn("incoming_id", F.lit("block"))
     plan = plans(orders, one, scorer=scorer)
     best = select_output(plan.withColumn("seq", F.col("first_seq")), "incoming_id").where("ready").select("candidate_key").limit(1)
-    keyed = orders.withColumn("candidate_key", row_context_key())
-    chosen = keyed.join(best, "candidate_key", "left_semi")
+    chosen = orders.withColumn("candidate_key", row_context_key()).join(best, "candidate_key", "left_semi")
     new = units.crossJoin(best)  # at most one key
-    filled_ = fill_slots(chosen, new.select("seq", "candidate_key", *ROW_FIELDS), "candidate_key").select(*orders.columns)
-    rest = keyed.join(best, "candidate_key", "left_anti").select(*orders.columns)
+    filled_ = fill_slots(chosen, new.select("seq", "candidate_key", *ROW_FIELDS), "candidate_key")
     stored = units.join(best.select(F.lit(1).alias("_applied")), F.lit(True), "left").where("_applied is null")
-    stored = stored.withColumn("status_unit", rules.status(*(F.col(c) for c in ROW_FIELDS))).select(*(c for c in orders.columns if c in (*ROW_FIELDS, "seq", "status_unit")))
-    return rest.unionByName(filled_).unionByName(stored, allowMissingColumns=True), plan
+    stored = stored.withColumn("status_unit", rules.status(*(F.col(c) for c in ROW_FIELDS)))
+    return filled_, stored, plan
+
+
+def apply_block(orders: DataFrame, units: DataFrame, scorer=None) -> tuple[DataFrame, DataFrame]:
+    """One block against the orders: the orders afterwards, and the plans."""
+    filled_, stored, plan = block_changes(orders, units, scorer)
+    stored = stored.select(*(c for c in orders.columns if c in (*ROW_FIELDS, "seq", "status_unit")))
+    rest = orders.withColumn("candidate_key", row_context_key()).join(filled_.select("candidate_key").distinct(), "candidate_key", "left_anti").select(*orders.columns)
+    return rest.unionByName(filled_.select(*orders.columns)).unionByName(stored, allowMissingColumns=True), plan
+
+
+#: The rows of a store of orders; order_key is the order's context when it was stored, which later fills do not change.
+STORED = "order_key string, seq long, " + ", ".join(f"{c} string" for c in ROW_FIELDS) + ", status_unit string"
+
+
+def order_store(spark: SparkSession, folder: str, buckets: int = 64) -> TableStore:
+    return TableStore(spark, folder, STORED, by="order_key", key="seq", buckets=buckets)
+
+
+def sync_store(store: TableStore, units: DataFrame, block: str = "chunk_no", most: int = 500, scorer=None) -> list[DataFrame]:
+    """sync_blocks() into a store: each block reads the orders as the one before has left them, and writes only the buckets of the rows that
+    it changes. Returns the plans, a table a block. A crash leaves the blocks so far; a block that is applied again finds its units there."""
+    numbers = [r[0] for r in units.select(block).distinct().orderBy(block).limit(most + 1).collect()]
+    if len(numbers) > most:
+        raise ValueError(f"more than {most} blocks in one text")
+    shown, names = [], [f.name for f in store.schema]
+    for n in numbers:
+        filled_, stored, plan = block_changes(store.read(), units.where(F.col(block) == n).drop(block), scorer)
+        changed = filled_.where("filled_from is not null").select(*names).unionByName(stored.withColumn("order_key", row_context_key()).select(*names))
+        shown.append(kept(plan.drop("snapshot").withColumn(block, F.lit(n))))
+        store.upsert(kept(changed))
+    return shown
 
 
 def sync_blocks(orders: DataFrame, units: DataFrame, block: str = "chunk_no", most: int = 500, scorer=None) -> tuple[DataFrame, DataFrame]:

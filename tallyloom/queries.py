@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from .operators import distinct, merge
 from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, sync
 from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
-from .sources import io
+from .sources import io, store, versions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -380,6 +382,24 @@ def ranked_candidates(spark, sf_dir):
     return ranking.ranked_candidates(i, o, "s_suppkey").withColumnRenamed("candidate_key", "c_custkey")
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'F' WHEN o_orderkey % 3 = 1 THEN o_orderstatus || '2' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 2 THEN 3 WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END AS last_change
+FROM orders WHERE o_orderkey % 5 > 0 OR o_orderkey % 3 = 2
+""")
+def stored_orders(spark, sf_dir):
+    """A store of orders after four changes: all are put in, a third changes, a fifth goes, a third is put in or changed, and some are put in
+    again that are there."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kept_ = store.TableStore(spark, f"{versions.shared_folder(spark)}/orders-{uuid.uuid4().hex}", "o_custkey long, o_orderkey long, status string, last_change int", by="o_custkey", key="o_orderkey", buckets=16)
+    rows = lambda status, n: o.select("o_custkey", "o_orderkey", status.alias("status"), F.lit(n).alias("last_change"))
+    kept_.upsert(rows(F.col("o_orderstatus"), 1))
+    kept_.upsert(rows(F.concat("o_orderstatus", F.lit("2")), 2).where(k % 3 == 1))
+    kept_.delete(o.where(k % 5 == 0))
+    kept_.upsert(rows(F.lit("F"), 3).where(k % 3 == 2))
+    kept_.insert(rows(F.lit("never"), 4).where((k % 3 == 2) | (k % 7 == 0) & (k % 5 > 0)))
+    return kept_.read().select("o_orderkey", "status", "last_change")
+
+
 @query("""
 SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, CAST(l_quantity AS INTEGER) % 5 DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1
 """)

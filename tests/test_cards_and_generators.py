@@ -136,8 +136,11 @@ def test_stores(spark, tmp_path):
     with pytest.raises(RuntimeError):
         workspace.require_test_database(spark)
     spark.conf.set("spark.tallyloom.session.test", "on")
-    spark.conf.set("spark.tallyloom.session.database", "logistic_parser_session_test")
-    assert workspace.require_test_database(spark) == "logistic_parser_session_test"
+    spark.conf.set("spark.tallyloom.session.database", "orders_session_test")
+    with pytest.raises(RuntimeError):
+        workspace.require_test_database(spark)
+    spark.conf.set("spark.tallyloom.session.expected", "orders_session_test")
+    assert workspace.require_test_database(spark) == "orders_session_test"
     assert workspace.first_setting(spark, "spark.tallyloom.none", "spark.tallyloom.session.test") == "on"
     df = spark.createDataFrame([("5/3/2026", "08:00", "a")], "tgl_ro string, tgl_muat string, pickup string")
     assert io.operational(df).first().pickup == "a" and tuple(io.operational(df, True).first())[0::2] == ("5-MAR-2026", "A")

@@ -538,7 +538,9 @@ def test_sources(spark, tmp_path):
 
 
 def test_workspace(spark):
-    w = workspace.Workspace(spark, "default.sessions_test")
+    import uuid
+
+    w = workspace.Workspace(spark, f"default.sessions_test_{uuid.uuid4().hex}")
     a = w.create("  My   session ")
     b = w.create()
     assert {r.name for r in w.sessions().collect()} == {"My session", "Session 2"}
@@ -556,7 +558,6 @@ def test_workspace(spark):
     spark.catalog.setCurrentDatabase("default")
     w.delete(a), w.delete(b)
     assert w.sessions(True).count() == 0
-    spark.sql("DROP TABLE default.sessions_test")
 
 
 def test_streams(spark, tmp_path):
