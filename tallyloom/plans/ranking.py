@@ -8,7 +8,7 @@ A candidate among the message's k best is in the list of the fields in which it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import norm_key
@@ -20,22 +20,19 @@ WEIGHTS = {"tgl_ro": 2, "pickup": 3, "tujuan": 3, "type_truck": 2}
 MASKS = range(1 << len(CONTEXT))
 
 
-def _fields(mask: int) -> list[str]:
-    return [c for i, c in enumerate(CONTEXT) if mask >> i & 1]
-
-
-def _weight(mask: int) -> int:
-    return sum(WEIGHTS[c] for c in _fields(mask))
+def _fields(mask: int) -> list[int]:
+    return [i for i in range(len(CONTEXT)) if mask >> i & 1]
 
 
 def _keyed(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns, _has (the mask of filled context fields) and _k_ columns, the forms in which fields are compared."""
-    has = sum((F.when(filled(F.col(c)), 1 << i).otherwise(0) for i, c in enumerate(CONTEXT)), F.lit(0))
-    return df.select(*columns, has.alias("_has"), *(norm_key(F.col(c)).alias(f"_k_{c}") for c in CONTEXT))
+    """The columns, _has (the mask of filled context fields) and _k, the forms in which the fields are compared."""
+    has = F.zip_with(F.array(*map(F.col, CONTEXT)), F.array(*(F.lit(1 << i) for i in range(len(CONTEXT)))), lambda c, bit: F.when(filled(c), bit).otherwise(0))
+    return df.select(*columns, F.aggregate(has, F.lit(0), lambda a, x: a + x).alias("_has"), F.transform(F.array(*map(F.col, CONTEXT)), lambda c: norm_key(c)).alias("_k"))
 
 
-def _values(mask: int) -> Column:
-    return F.concat_ws("|", *(F.col(f"_k_{c}") for c in _fields(mask)))
+def _values(mask: int) -> str:
+    """SQL: the values of the named fields."""
+    return "concat_ws('|'" + "".join(f", _k[{i}]" for i in _fields(mask)) + ")"
 
 
 def context_index(orders: DataFrame, k: int = 8) -> DataFrame:
@@ -43,7 +40,7 @@ def context_index(orders: DataFrame, k: int = 8) -> DataFrame:
     earliest candidates, of equals those of the lesser key. The limit goes before the shuffle, so that a list that all orders belong to
     gathers k rows a task."""
     keyed = _keyed(orders, "candidate_key", "first_seq")
-    own = F.filter(F.array(*(F.struct(F.lit(m).alias("agrees"), _values(m).alias("values")) for m in MASKS)), lambda x: F.col("_has").bitwiseAND(x["agrees"]) == x["agrees"])
+    own = F.expr(f"filter(array({', '.join(f'struct({m} AS agrees, {_values(m)} AS values)' for m in MASKS)}), x -> _has & x.agrees = x.agrees)")
     entries = keyed.select(F.col("_has").alias("fills"), F.explode(own).alias("x"), "first_seq", "candidate_key").select("fills", "x.*", "first_seq", "candidate_key")
     by = Window.partitionBy("fills", "agrees", "values").orderBy("first_seq", "candidate_key")
     first = entries.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k)
@@ -58,19 +55,19 @@ def ranked_candidates(incoming: DataFrame, orders: DataFrame, event: str, k: int
     promise less than the best list of k candidates are left out before their lists are opened.
     """
     told = _keyed(incoming, event)
-    names = ["_has", *(f"_k_{c}" for c in CONTEXT)]
-    asked = told.select(*names).distinct().withColumn("_m", F.struct(*names))
-    ways = F.array(*(F.struct(F.lit(fills).alias("fills"), F.lit(agrees).alias("agrees"), _values(agrees).alias("values"), _cost(fills, agrees).alias("score")) for fills in MASKS for agrees in MASKS if fills & agrees == agrees))
-    lookups = asked.select("_m", F.explode(F.filter(ways, lambda w: F.col("_has").bitwiseAND(w["agrees"]) == w["agrees"])).alias("w")).select("_m", "w.*")
+    asked = told.select(F.struct("_has", "_k").alias("_m")).distinct().select("_m", "_m.*")
+    ways = ", ".join(f"struct({fills} AS fills, {agrees} AS agrees, {_values(agrees)} AS values, {_promise(fills, agrees)} AS score)" for fills in MASKS for agrees in MASKS if fills & agrees == agrees)
+    lookups = asked.select("_m", F.expr(f"explode(filter(array({ways}), w -> _has & w.agrees = w.agrees))").alias("w")).select("_m", "w.*")
     met = lookups.join(context_index(orders, k), ["fills", "agrees", "values"])
     floor = F.max(F.when(F.size("candidates") >= k, F.col("score"))).over(Window.partitionBy("_m"))
     opened = met.withColumn("_floor", floor).where("_floor is null or score >= _floor").select("_m", "score", F.explode("candidates").alias("c"))
     best = opened.groupBy("_m", "c").agg(F.max("score").alias("context_score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("_m").orderBy(F.desc("context_score"), "c.first_seq", "c.candidate_key"))).where(F.col("rank") <= k)
-    return told.withColumn("_m", F.struct(*names)).join(ranked, "_m").select(event, "c.candidate_key", "context_score", "rank")
+    return told.select(event, F.struct("_has", "_k").alias("_m")).join(ranked, "_m").select(event, "c.candidate_key", "context_score", "rank")
 
 
-def _cost(fills: int, agrees: int) -> Column:
-    """What a lookup promises: the weights of the fields that agree, less those of the others that both sides fill."""
-    other = sum((F.when(F.col("_has").bitwiseAND(F.lit(1 << i)) != 0, -WEIGHTS[c]).otherwise(0) for i, c in enumerate(CONTEXT) if (fills & ~agrees) >> i & 1), F.lit(0))
-    return F.lit(_weight(agrees)) + other
+def _promise(fills: int, agrees: int) -> str:
+    """SQL: what a lookup promises: the weights of the fields that agree, less those of the others that both sides fill."""
+    weights = list(WEIGHTS.values())
+    gains = sum(weights[i] for i in _fields(agrees))
+    return " - ".join([str(gains), *(f"if(_has & {1 << i} > 0, {weights[i]}, 0)" for i in _fields(fills & ~agrees))])

@@ -79,8 +79,8 @@ def block_changes(orders: DataFrame, units: DataFrame, scorer=None) -> tuple[Dat
     applied to, with its slots filled; or else the block's own rows, a new order. Returns the order's rows afterwards, the new rows, and the
     plans."""
     one = units.withColumn("incoming_id", F.lit("block"))
-    plan = plans(orders, one, scorer=scorer)
-    best = select_output(plan.withColumn("seq", F.col("first_seq")), "incoming_id").where("ready").select("candidate_key").limit(1)
+    plan = kept(plans(orders, one, scorer=scorer).drop("snapshot"))  # written: all that follows reads it
+    best = kept(select_output(plan.withColumn("seq", F.col("first_seq")), "incoming_id").where("ready").select("candidate_key").limit(1))
     chosen = orders.withColumn("candidate_key", row_context_key()).join(best, "candidate_key", "left_semi")
     new = units.crossJoin(best)  # at most one key
     filled_ = fill_slots(chosen, new.select("seq", "candidate_key", *ROW_FIELDS), "candidate_key")
@@ -115,7 +115,7 @@ def sync_store(store: TableStore, units: DataFrame, block: str = "chunk_no", mos
     for n in numbers:
         filled_, stored, plan = block_changes(store.read(), units.where(F.col(block) == n).drop(block), scorer)
         changed = filled_.where("filled_from is not null").select(*names).unionByName(stored.withColumn("order_key", row_context_key()).select(*names))
-        shown.append(kept(plan.drop("snapshot").withColumn(block, F.lit(n))))
+        shown.append(plan.withColumn(block, F.lit(n)))
         store.upsert(kept(changed))
     return shown
 
@@ -135,7 +135,7 @@ def sync_blocks(orders: DataFrame, units: DataFrame, block: str = "chunk_no", mo
     shown = None
     for n in numbers:
         after, plan = apply_block(orders, units.where(F.col(block) == n).drop(block), scorer)
-        plan = plan.drop("snapshot").withColumn(block, F.lit(n)).checkpoint()
+        plan = plan.withColumn(block, F.lit(n))
         shown = plan if shown is None else shown.unionByName(plan)
         orders = after.checkpoint()
     return orders, shown
