@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, clear, column, cut, keep_columns, shared_dir, sliced, tidied, width
+from .common import arrow_map, clear, column, cut, drop_shuffles, keep_columns, shared_dir, sliced, tidied, width
 from .kernels import U64, encode, prefix_sums, range_hash, range_value
 
 SIZE = 400
@@ -37,15 +37,16 @@ PIECE = 1 << 15
 HOT = 1_000
 #: Bytes of spans that make a batch of the family inside a task.
 BATCH = 1 << 19
-#: Batches in which a whole table is fed to the index.
-BATCHES = 2
+#: Batches in which a whole table is fed to the index: enough for levels to merge.
+BATCHES = 4
 _PLACE_BITS = 24
 
 
 class Suffixes:
     """The suffixes of `data` that start at `starts` and have `size` bytes or more, in the order of those bytes.
 
-    Of suffixes that agree one stands in the array, with the owner of the first; `seen` tells whether it has been met again.
+    Of suffixes that agree, which stand side by side then, one stays in the array, with the owner of the first; `seen` tells whether it has
+    been met again.
     """
 
     def __init__(self, data: np.ndarray, size: int, at: np.ndarray, owners: np.ndarray, seen: np.ndarray, sums: np.ndarray | None = None):
@@ -66,17 +67,18 @@ class Suffixes:
     @classmethod
     def of(cls, data: np.ndarray, size: int, starts: np.ndarray, owners: np.ndarray, known: np.ndarray) -> tuple[Suffixes, np.ndarray]:
         """The array, and the owners of suffixes that agree with an earlier one. known: met elsewhere already."""
-        sums = prefix_sums(data)
-        _, first, group = np.unique(range_value(sums, starts, starts + size), return_index=True, return_inverse=True)
-        seen = np.zeros(len(first), bool)
-        np.logical_or.at(seen, group, known)
-        seen |= np.bincount(group, minlength=len(first)) > 1
-        rest = np.ones(len(starts), bool)
-        rest[first] = False
-        out = cls(data, size, starts[first], owners[first], seen, sums)
+        out = cls(data, size, starts, owners, known.astype(bool))
         order = out._sorted()
-        out.at, out.owners, out.seen, out.keys = out.at[order], out.owners[order], out.seen[order], out.keys[order]
-        return out, owners[rest]
+        out = out.only(order)
+        # the scan: neighbours whose longest common prefix is the whole string are one
+        new = np.ones(len(order), bool)
+        new[1:] = common(out, out.at[1:], out, out.at[:-1]) < size
+        heads = np.flatnonzero(new)
+        seen = np.logical_or.reduceat(out.seen, heads) | (np.diff(heads, append=len(order)) > 1) if len(heads) else out.seen
+        again = out.owners[~new]
+        out = out.only(heads)
+        out.seen = seen
+        return out, again
 
     def _sorted(self) -> np.ndarray:
         """Order by eight bytes; then, while some are tied, by the eight bytes behind what all of a tied group have in common."""
@@ -91,7 +93,11 @@ class Suffixes:
             depth = common(self, at, self, self.at[order[group]])
             heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             depth = np.repeat(np.minimum.reduceat(depth, heads), np.diff(heads, append=len(tied)))
-            key = self.words(at + depth)
+            apart = depth < self.size  # of the other groups all agree: the first one stays first
+            tied, group, depth = tied[apart], group[apart], depth[apart]
+            if not len(tied):
+                break
+            key = self.words(self.at[order[tied]] + depth) >> (8 * np.maximum(0, depth + 8 - self.size)).astype(U64)  # no byte beyond the string
             sub = np.lexsort((key, group))
             order[tied], key = order[tied][sub], key[sub]
             new = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
@@ -439,6 +445,7 @@ def _decide(docs: DataFrame, size: int, gram: int, batches: int = BATCHES) -> Da
     index = RepeatIndex(spark)
     for k in range(batches):
         index.add(places.where(F.pmod(F.xxhash64("th"), F.lit(batches)) == k).select("fp", "sh", "n", "eid", "lo", "hi"))
+        drop_shuffles(spark)  # what the batch has to tell is written
     again, unlike = index.matches()
     agree = places.join(again, ["fp", "sh"], "left_semi").select("eid", "lo", (F.col("hi") + size).alias("hi"))
 

@@ -662,3 +662,35 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in final.collect()} == seen[-1] <= seen[2]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/3").collect()}
     assert all(bytes(r.decoded).decode() == (texts[r.doc_id] or "") for r in final.collect())
+
+
+def test_repeats_are_found_among_neighbours_in_the_array():
+    """Equal strings stand side by side in the sorted suffixes; one of each stays, with the first one's owner."""
+    from tallyloom.llm.suffix import Suffixes
+
+    r = random.Random(1)
+    for _ in range(150):
+        size, letters = r.choice([1, 3, 8, 9, 16, 20]), r.choice([b"a", b"ab"])
+        data = np.frombuffer(bytes(r.choice(letters) for _ in range(r.randint(size, 200))), np.uint8)
+        starts = np.array(sorted(r.sample(range(len(data) - size + 1), r.randint(1, len(data) - size + 1))))
+        known = np.array([r.random() < 0.1 for _ in starts])
+        array, again = Suffixes.of(data, size, starts, np.arange(len(starts)), known)
+        strings, met = [data[a : a + size].tobytes() for a in starts], {}
+        for i, s in enumerate(strings):
+            met.setdefault(s, []).append(i)
+        assert [data[a : a + size].tobytes() for a in array.at] == sorted(met)
+        assert array.owners.tolist() == [met[s][0] for s in sorted(met)] and sorted(again) == sorted(i for x in met.values() for i in x[1:])
+        assert array.seen.tolist() == [len(met[s]) > 1 or bool(known[met[s]].any()) for s in sorted(met)]
+
+
+def test_levels_merge_within_the_query(docs, monkeypatch):
+    merges, merge = [], RepeatIndex._merge
+
+    def counted(index):
+        before = len(index.levels)
+        merge(index)
+        merges.append(before - len(index.levels))
+
+    monkeypatch.setattr(RepeatIndex, "_merge", counted)
+    remove_repeats(docs, 40, 16).count()
+    assert len(merges) == 4 and sum(merges) > 0
