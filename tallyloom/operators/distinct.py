@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..functions.identity import IDENTITY, ROW_FIELDS, complete_identity, signature
-from ..functions.rules import known_status
+from ..functions.rules import known_status, status
 from ..functions.text import filled
 
 
@@ -80,6 +80,42 @@ def first_told(known: DataFrame, rows: DataFrame, scope: list[str], order: list[
 FILLED, DUPLICATE, SKIPPED, INCOMPLETE = "filled", "duplicate", "skipped", "incomplete"
 
 
+class Filling:
+    """One order's slots and what it has taken, as its stored rows and then its incoming ones come in sequence."""
+
+    def __init__(self):
+        self.taken, self.slots, self.used = Taken(), [], 0
+
+    def stored(self, seq: int, unit: tuple[str, str, str], says: list[bool], is_open: bool) -> None:
+        self.taken.take(unit)
+        if is_open:
+            self.slots.append((seq, says))
+
+    def incoming(self, unit: tuple[str, str, str], says: list[bool], whole: bool) -> tuple[str, int | None]:
+        """The outcome, and the slot that it fills."""
+        if not whole:
+            return INCOMPLETE, None
+        if self.taken.has(unit):
+            return DUPLICATE, None
+        if self.used < len(self.slots) and any(a and not b for a, b in zip(says, self.slots[self.used][1])):
+            self.used += 1
+            self.taken.take(unit)
+            return FILLED, self.slots[self.used - 1][0]
+        return SKIPPED, None
+
+
+def shaped(rows: DataFrame, key: str, told: Column, seq: str = "seq") -> DataFrame:
+    """What filling looks at: _key, _told (incoming or stored), _seq, _sig, _says (which fields are filled), _open, _whole, and the fields."""
+    said = status(*map(F.col, ROW_FIELDS))
+    if "status_unit" in rows.columns:
+        said = F.coalesce(F.nullif(known_status(F.coalesce("status_unit", F.lit(""))), F.lit("")), said)
+    brings = F.array(*(filled(F.col(c)) for c in ROW_FIELDS))
+    return rows.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), told.alias("_told"), F.col(seq).cast("long").alias("_seq"), signature().alias("_sig"), brings.alias("_says"),
+        (~told & said.isin("PARTIAL", "UNASSIGNED")).alias("_open"), complete_identity().alias("_whole"), *(F.col(c).cast("string").alias(c) for c in ROW_FIELDS),
+    )
+
+
 def fill_outcomes(table: DataFrame, incoming: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """What becomes of each incoming row of a key, in sequence: `key`, filled_from (its seq), outcome, slot (the seq of the row that it fills,
     else null) and its ROW_FIELDS.
@@ -89,40 +125,23 @@ def fill_outcomes(table: DataFrame, incoming: DataFrame, key: str, seq: str = "s
     that it brings; without such a row it is skipped. Rows that say less than driver, plate and phone are incomplete. Rows without a key
     take no part. A key streams through one task, which holds its open slots and its units' keys.
     """
-    from ..functions.rules import status
-
-    brings = F.array(*(filled(F.col(c)) for c in ROW_FIELDS))
-    said = F.coalesce(F.nullif(known_status(F.coalesce("status_unit", F.lit(""))), F.lit("")), status(*map(F.col, ROW_FIELDS))) if "status_unit" in table.columns else status(*map(F.col, ROW_FIELDS))
-    shape = lambda df, told, open_: df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.lit(told).alias("_told"), F.col(seq).cast("long").alias("_seq"), signature().alias("_sig"), brings.alias("_says"), open_.alias("_open"), complete_identity().alias("_whole"), *(F.col(c).cast("string").alias(c) for c in ROW_FIELDS))
-    both = shape(table, False, said.isin("PARTIAL", "UNASSIGNED")).unionByName(shape(incoming, True, F.lit(False)))
+    both = shaped(table, key, F.lit(False), seq).unionByName(shaped(incoming, key, F.lit(True), seq))
     schema = f"`{key}` {table.schema[key].dataType.simpleString()}, filled_from long, outcome string, slot long, " + ", ".join(f"{c} string" for c in ROW_FIELDS)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        at, taken, slots, used = None, Taken(), [], 0
+        at, order = None, Filling()
         for batch in batches:
             get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n.startswith("_")}
             numbers, outcomes, into = [], [], []
             for i, (k, told, s, sig, says, is_open, whole) in enumerate(zip(*(get[n] for n in ("_key", "_told", "_seq", "_sig", "_says", "_open", "_whole")))):
                 if k != at:
-                    at, taken, slots, used = k, Taken(), [], 0
+                    at, order = k, Filling()
                 unit = (sig["driver"], sig["no_plat"], sig["kontak_driver"])
                 if not told:
-                    taken.take(unit)
-                    if is_open:
-                        slots.append((s, says))
+                    order.stored(s, unit, says, is_open)
                     continue
-                slot = None
-                if not whole:
-                    what = INCOMPLETE
-                elif taken.has(unit):
-                    what = DUPLICATE
-                elif used < len(slots) and any(a and not b for a, b in zip(says, slots[used][1])):
-                    what, slot = FILLED, slots[used][0]
-                    used += 1
-                    taken.take(unit)
-                else:
-                    what = SKIPPED
+                what, slot = order.incoming(unit, says, whole)
                 numbers.append(i), outcomes.append(what), into.append(slot)
             rows = batch.take(pa.array(numbers, pa.int64()))
             pick = lambda n: rows.column(rows.schema.get_field_index(n))
@@ -135,7 +154,7 @@ def fill_counts(table: DataFrame, incoming: DataFrame, key: str, seq: str = "seq
     """By key of the incoming rows: filled, duplicates, skipped. Of a key without complete units all rows count as skipped; of a key that the
     table has not, all complete ones; incomplete rows beside complete ones count nowhere."""
     of = lambda *what: F.count_if(F.col("outcome").isin(*what))
-    done = fill_outcomes(table, incoming, key, seq).groupBy(key).agg(of(FILLED).alias("filled"), of(DUPLICATE).alias("duplicates"), of(SKIPPED).alias("_s"), of(INCOMPLETE).alias("_i"), F.count("*").alias("_n"), )
+    done = fill_outcomes(table, incoming, key, seq).groupBy(key).agg(of(FILLED).alias("filled"), of(DUPLICATE).alias("duplicates"), of(SKIPPED).alias("_s"), of(INCOMPLETE).alias("_i"), F.count("*").alias("_n"))
     here = table.select(key).distinct().withColumn("_here", F.lit(True))
     done = done.join(here, key, "left").withColumn("_here", F.coalesce("_here", F.lit(False)))
     skipped = F.when(F.col("_i") == F.col("_n"), F.col("_n")).when(~F.col("_here"), F.col("_n") - F.col("_i")).otherwise(F.col("_s"))

@@ -13,6 +13,7 @@ from .plans import annotate, blocks, cards, datasets, evaluate, evidence, genera
 from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
 from .sources import io, store, versions
+from .streaming import fills
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -510,11 +511,32 @@ SELECT l_orderkey, seq AS filled_from, outcome, CASE WHEN outcome = 'filled' THE
 """)
 def slot_fill_repeats(spark, sf_dir):
     """Units that repeat drivers, plates and phones go into the open slots of their order (none to three), one after the other."""
+    stored, told = _slots_and_units(spark, sf_dir)
+    return distinct.fill_outcomes(stored, told, "l_orderkey").select("l_orderkey", "filled_from", "outcome", "slot")
+
+
+def _slots_and_units(spark, sf_dir):
     u = _told(spark, sf_dir)
     heads = u.where("k = 1").drop("l_linenumber", "k")
     slots = heads.select("l_orderkey", F.explode(F.sequence(F.lit(0), (F.col("l_orderkey") % 4).cast("int"))).alias("j"), *(c for c in heads.columns if c not in ("l_orderkey", "seq")))
     stored = slots.select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("j")).alias("seq"), *(F.when(F.col("j") == 0, F.col(c)).otherwise("").alias(c) for c in identity.ROW_FIELDS), F.when(F.col("j") == 0, "ASSIGNED").otherwise("UNASSIGNED").alias("status_unit"))
-    return distinct.fill_outcomes(stored, u.where("k > 1"), "l_orderkey").select("l_orderkey", "filled_from", "outcome", "slot")
+    return stored, u.where("k > 1")
+
+
+@query(ORACLES["slot_fill_repeats"])
+def slot_fill_stream(spark, sf_dir):
+    """The same fills from a stream of files: odd units come first, then the even ones, late, then some again; the stream is started twice on
+    one checkpoint."""
+    stored, told = _slots_and_units(spark, sf_dir)
+    folder, columns = f"{versions.shared_folder(spark)}/fills-{uuid.uuid4().hex}", ["l_orderkey", "told", "seq", *identity.ROW_FIELDS, "status_unit"]
+    units = told.withColumns({"told": F.lit(True), "status_unit": F.lit("")})
+    first = stored.withColumn("told", F.lit(False)).select(*columns).unionByName(units.where("l_linenumber % 2 = 1").select(*columns))
+    stream_of = lambda: spark.readStream.schema(first.schema).parquet(f"{folder}/in")
+    first.write.parquet(f"{folder}/in")
+    fills.run_fills(stream_of(), "l_orderkey", folder)
+    units.where("l_linenumber % 2 = 0 or l_orderkey % 3 = 0").select(*columns).write.mode("append").parquet(f"{folder}/in")
+    fills.run_fills(stream_of(), "l_orderkey", folder)
+    return fills.filled_so_far(spark, folder, "l_orderkey")
 
 
 @query(f"""

@@ -9,6 +9,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else streams with timeouts never end on availableNow
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
