@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, fields, identity, rules, text
 from .operators import distinct, merge
-from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, sync
+from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, splits, sync
 from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
 from .sources import io, store, versions
@@ -1081,6 +1081,18 @@ def truth_lookup(spark, sf_dir):
     return matching.truth_labels(p.withColumnsRenamed({"a": "text_a", "b": "text_b"}), truth).select("p_partkey", "truth")
 
 
+@query("""
+WITH t AS (SELECT event_id, upper(event_type) AS label, md5('42/' || event_id) AS h FROM events), c AS (SELECT label, count(*) AS n FROM t GROUP BY 1), a AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(sum(n) / 5) AS BIGINT) AS tests FROM c),
+q AS (SELECT label, n * tests // total AS whole, n * tests % total AS rest, tests FROM c, a), k AS (SELECT label, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= tests - (SELECT sum(whole) FROM q) THEN 1 ELSE 0 END AS k FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, event_id) AS nth FROM t), i AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM c)
+SELECT event_id, label, label_id, CASE WHEN nth <= k THEN 'test' ELSE 'train' END AS split FROM r JOIN k USING (label) JOIN i USING (label)
+""")
+def stratified_split(spark, sf_dir):
+    """Events as labelled rows, a fifth of each class for tests."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("text"), F.concat(F.lit(" "), F.col("event_type")).alias("label"))
+    return splits.stratified_split(splits.labelled(e), "label", "event_id").select("event_id", "label", "label_id", "split")
+
+
 @query("""
 WITH w AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(p_name || ', ' || p_type), '[a-z0-9]+')) AS b FROM part),
 s AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END AS p FROM w)
