@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, fields, identity, rules, text
 from .operators import distinct, merge
-from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, splits, sync
+from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, spans, splits, sync
 from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
 from .sources import io, store, versions
@@ -1081,6 +1081,26 @@ def truth_lookup(spark, sf_dir):
     return matching.truth_labels(p.withColumnsRenamed({"a": "text_a", "b": "text_b"}), truth).select("p_partkey", "truth")
 
 
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS r, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey, side ORDER BY l_linenumber) AS pos, side, CASE WHEN side = 1 AND s % 5 = 0 THEN 'O' WHEN side = 1 AND s % 7 = 0 THEN 'I-A' WHEN r = 'N' THEN 'O' WHEN l_linenumber % 2 = 1 THEN 'B-' || r ELSE 'I-' || r END AS tag FROM l, (VALUES (0), (1)) v(side)),
+b AS (SELECT *, CASE WHEN tag <> 'O' THEN substr(tag, 3) END AS type, lag(tag) OVER (PARTITION BY l_orderkey, side ORDER BY pos) AS prev FROM t),
+n AS (SELECT *, sum(CASE WHEN tag = 'O' OR tag LIKE 'B-%' OR prev IS NULL OR prev = 'O' OR substr(prev, 3) <> type THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, side ORDER BY pos) AS k FROM b),
+e AS (SELECT l_orderkey, side, any_value(type) AS type, min(pos) AS a, max(pos) AS z FROM n WHERE type IS NOT NULL GROUP BY l_orderkey, side, k),
+m AS (SELECT type, l_orderkey, a, z, sum(side) AS f, sum(1 - side) AS t FROM e GROUP BY 1, 2, 3, 4), c AS (SELECT coalesce(type, 'micro') AS type, CAST(sum(t * f) AS BIGINT) AS tp, CAST(sum(f - t * f) AS BIGINT) AS fp, CAST(sum(t - t * f) AS BIGINT) AS fn FROM m GROUP BY GROUPING SETS ((type), ()))
+SELECT type, tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c
+""")
+def entity_metric(spark, sf_dir):
+    """Entities with exact boundaries: an order's lines as tagged tokens, against tags of which some are lost or broken."""
+    li, r, s_, n = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey"), F.col("r"), F.col("l_suppkey"), F.col("l_linenumber")
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("r"))
+    told = F.when(r == "N", "O").when(n % 2 == 1, F.concat(F.lit("B-"), r)).otherwise(F.concat(F.lit("I-"), r))
+    seen = F.when(s_ % 5 == 0, "O").when(s_ % 7 == 0, "I-A").otherwise(told)
+    tags = F.array_sort(F.collect_list(F.struct("l_linenumber", told.alias("t"), seen.alias("f"))))
+    rows = li.join(flags, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey").agg(tags.alias("x")).select("l_orderkey", F.col("x.t").alias("truth"), F.col("x.f").alias("found"))
+    return spans.entity_metric(rows, "l_orderkey", "truth", "found").select("type", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
 @query("""
 WITH t AS (SELECT event_id, upper(event_type) AS label, md5('42/' || event_id) AS h FROM events), c AS (SELECT label, count(*) AS n FROM t GROUP BY 1), a AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(sum(n) / 5) AS BIGINT) AS tests FROM c),
 q AS (SELECT label, n * tests // total AS whole, n * tests % total AS rest, tests FROM c, a), k AS (SELECT label, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= tests - (SELECT sum(whole) FROM q) THEN 1 ELSE 0 END AS k FROM q),
