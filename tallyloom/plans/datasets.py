@@ -26,19 +26,35 @@ def revision_text() -> Column:
     return F.concat_ws("\n", F.lit("REVISI"), *(F.when(filled(F.col(c)), F.concat(F.lit(f"{label} : "), strip(F.col(c)))) for label, c in _LINES))
 
 
-def hard_negatives(records: DataFrame, route: str, sig: str, record: str = "record_id") -> DataFrame:
-    """Of each record another record of its route with another signature: the next one in the order of a hash, in a ring. One window a
-    route and no pairs; a route with one signature gives none."""
-    one = records.groupBy(route, sig).agg(F.min(record).alias("_r")).withColumn("_h", F.xxhash64(sig))
-    w = Window.partitionBy(route).orderBy("_h", sig)
+#: Ranges of the hash that a ring of records is cut into.
+RING = 1 << 12
+
+
+def _ring(records: DataFrame, by: list[str], sig: str, record: str, negative: str = "negative_id", salt: int | None = None) -> DataFrame:
+    """by, sig and negative: of each signature the record of the next one of its group, in the order of a hash; the last one meets the
+    first. A group is not one window: it is cut into RING ranges of the hash, and the last signature of a range takes the first one of the
+    next range that has any, which is looked for among a group's at most RING ranges."""
+    h = F.xxhash64(sig) if salt is None else F.xxhash64(sig, F.lit(salt))
+    one = records.groupBy(*by, sig).agg(F.min(record).alias("_r")).withColumn("_h", h).withColumn("_b", F.shiftright("_h", 52))
+    firsts = one.groupBy(*by, "_b").agg(F.min(F.struct("_h", sig, "_r")).alias("_f"))
+    w = Window.partitionBy(*by).orderBy("_b")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = one.withColumn("negative_id", F.coalesce(F.lead("_r").over(w), F.first("_r").over(whole)))
-    return records.join(nxt.where(F.col("negative_id") != F.col("_r")).select(route, sig, "negative_id"), [route, sig])
+    after = firsts.select(*by, "_b", F.coalesce(F.lead("_f").over(w), F.first("_f").over(whole))["_r"].alias("_next"))
+    within = F.lead("_r").over(Window.partitionBy(*by, "_b").orderBy("_h", sig))
+    met = one.withColumn("_w", within).join(after, [*by, "_b"]).withColumn(negative, F.coalesce("_w", "_next"))
+    return met.where(F.col(negative) != F.col("_r")).select(*by, sig, negative)
+
+
+def hard_negatives(records: DataFrame, route: str, sig: str, record: str = "record_id") -> DataFrame:
+    """Of each record another record of its route with another signature: the next one in the order of a hash, in a ring, without pairs; a
+    route with one signature gives none."""
+    return records.join(_ring(records, [route], sig, record), [route, sig])
 
 
-def random_negatives(records: DataFrame, sig: str, record: str = "record_id", buckets: int = 64) -> DataFrame:
-    """As hard_negatives(), within buckets of a hash instead of routes."""
-    return hard_negatives(records.withColumn("_b", F.pmod(F.xxhash64(sig, F.lit(7)), F.lit(buckets))), "_b", sig, record).drop("_b")
+def random_negatives(records: DataFrame, sig: str, record: str = "record_id") -> DataFrame:
+    """As hard_negatives(), in one ring of all records, whatever their number: each gets one, if there is a second signature at all."""
+    all_ = records.withColumn("_all", F.lit(0))
+    return records.join(_ring(all_, ["_all"], sig, record, salt=7).drop("_all"), sig)
 
 
 def pair_dataset(records: DataFrame, route: str = "route_key", sig: str = "signature") -> DataFrame:
@@ -65,15 +81,6 @@ def zip_halves(rows: DataFrame, batch: str, seq: str, text: str) -> DataFrame:
     return a.join(b, [batch, "_k"]).withColumnRenamed("_k", "place")
 
 
-def align_labels(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Tokens (key, token_no, start, stop) with the tag of the span (key, start, stop, label) that holds them: B- for a span's first token,
-    I- for its others, O outside. Both meet on the text, whose tokens are few."""
-    s = spans.select(key, F.col("start").alias("_a"), F.col("stop").alias("_b"), "label")
-    met = tokens.join(s, (tokens[key] == s[key]) & (F.col("start") >= F.col("_a")) & (F.col("stop") <= F.col("_b")) & (F.col("stop") > F.col("start")), "left").drop(s[key])
-    first = F.row_number().over(Window.partitionBy(key, "_a", "_b", "label").orderBy("token_no")) == 1
-    return met.withColumn("tag", F.when(F.col("label").isNull(), "O").when(first, F.concat(F.lit("B-"), "label")).otherwise(F.concat(F.lit("I-"), "label"))).drop("_a", "_b", "label")
-
-
 def clean_tags(rows: DataFrame, tokens: str = "tokens", tags: str = "ner_tags") -> DataFrame:
     """Long 08 numbers are cut to 12 digits and tagged as phones, 08 numbers are no dates, stuttered tokens lose a half."""
     zipped = F.arrays_zip(F.col(tokens).alias("t"), F.col(tags).alias("g"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import dates, fields, identity, rules, text
 from .operators import distinct, merge
-from .plans import annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, spans, splits, sync
+from .plans import alignment, annotate, blocks, cards, datasets, evaluate, evidence, generate, matching, parse, ranking, report, spans, splits, sync, vary
 from .plans.numbering import numbered
 from .render import ROWS_SQL, chats, lines, order_messages, order_rows, phone, plate, table, word_date
-from .sources import io, store, versions
+from .sources import gate, io, store, versions
 from .streaming import fills
 
 QUERIES: dict = {}
@@ -838,16 +838,24 @@ def _records(spark, sf_dir):
 @query("""
 WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), k AS (SELECT count(*) AS n FROM part)
 SELECT 'MATCH' AS label, 'original' AS pair_kind, n FROM k UNION ALL SELECT 'MATCH', 'revision', n FROM k UNION ALL SELECT 'NO_MATCH', 'hard', CAST(sum(n) AS BIGINT) FROM n WHERE n > 1
+UNION ALL SELECT 'NO_MATCH', 'random', n FROM k WHERE n > 1
 """)
 def pair_dataset(spark, sf_dir):
-    """Positive and negative pairs, counted by label and kind (random negatives, whose number depends on a hash, left out of the count)."""
-    return datasets.label_counts(datasets.pair_dataset(_records(spark, sf_dir)).where("pair_kind <> 'random'"), "label", "pair_kind")
+    """Positive and negative pairs, counted by label and kind."""
+    return datasets.label_counts(datasets.pair_dataset(_records(spark, sf_dir)), "label", "pair_kind")
 
 
-@query()
+@query("""
+WITH n AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n, count(*) OVER () AS k FROM part), r AS (
+  SELECT p_partkey, unnest(['original', 'revision', 'hard', 'random']) AS pair_kind, n, k FROM n
+)
+SELECT pair_kind || '-' || p_partkey AS pair_id, CASE WHEN pair_kind IN ('hard', 'random') THEN 'NO_MATCH' ELSE 'MATCH' END AS label, pair_kind, p_partkey AS source_id, true AS differs
+FROM r WHERE pair_kind IN ('original', 'revision') OR (pair_kind = 'hard' AND n > 1) OR (pair_kind = 'random' AND k > 1)
+""")
 def pair_dataset_all(spark, sf_dir):
-    """As pair_dataset, with the random negatives, whose number depends on a hash that SQL cannot express."""
-    return datasets.label_counts(datasets.pair_dataset(_records(spark, sf_dir)), "label", "pair_kind")
+    """Every pair by its id; the texts of both sides differ in each."""
+    p = datasets.pair_dataset(_records(spark, sf_dir))
+    return p.select("pair_id", "label", "pair_kind", "source_id", (F.col("text_a") != F.col("text_b")).alias("differs"))
 
 
 @query()
@@ -1123,3 +1131,54 @@ def word_scores(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     pairs = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text_a"), F.when(F.col("p_partkey") % 10 == 0, "-").otherwise(F.concat_ws(", ", "p_name", "p_type")).alias("text_b"))
     return matching.score_pairs(pairs).select("p_partkey", F.round("p_match", 9).alias("p_match"), "predicted")
+
+
+@query("""
+WITH u AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1),
+g AS (SELECT o_orderkey, n, split('O O O O B-RO_DATE I-RO_DATE I-RO_DATE O B-UNIT_QTY O B-UNIT_TYPE O O B-ORIGIN I-ORIGIN', ' ')
+  || flatten(list_transform(range(n), lambda i: split('O O O B-TIME B-LOAD_DATE O O B-DESTINATION I-DESTINATION I-DESTINATION I-DESTINATION O O B-DRIVER I-DRIVER O O B-PLATE I-PLATE I-PLATE O O O B-PHONE I-PHONE', ' '))) AS tags
+  FROM orders JOIN u ON o_orderkey = l_orderkey),
+v AS (SELECT list(t ORDER BY t <> 'O', t) AS names FROM (SELECT DISTINCT unnest(tags) AS t FROM g))
+SELECT o_orderkey, len(tags) AS n_tokens, array_to_string(list_slice(list_transform(tags, lambda t: CAST(list_position(names, t) - 1 AS VARCHAR)) || list_transform(range(128), lambda i: '-100'), 1, 128), ' ') AS labels FROM g, v
+""")
+def label_alignment(spark, sf_dir):
+    """The annotator's spans of every message as tags of its words, and as label ids of one length."""
+    rows = annotate.annotate(order_messages(spark, sf_dir).select("o_orderkey", F.col("message").alias("text")))
+    a = alignment.aligned(alignment.tokenized(rows)).select("o_orderkey", "ner_tags")
+    labels = alignment.label_ids(F.col("ner_tags"), alignment.vocabulary(a))
+    return a.select("o_orderkey", F.size("ner_tags").cast("long").alias("n_tokens"), F.array_join(labels.cast("array<string>"), " ").alias("labels"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS k, unnest([0, 1, 2]) AS v FROM part), d AS (SELECT *, CAST('0x' || substr(md5('42/' || k || '/' || v || '/1'), 1, 8) AS BIGINT) AS a, CAST('0x' || substr(md5('42/' || k || '/' || v || '/5'), 1, 8) AS BIGINT) AS b FROM r),
+w AS (SELECT *, CASE WHEN v > 0 AND a % 2 = 1 THEN (['muat di', 'dari', 'posisi', 'ambil di', 'loading di'])[a // 2 % 5 + 1] ELSE ':' END AS x, CASE WHEN v > 0 AND b % 2 = 1 THEN (['driver', 'sopir', 'sama pak', 'drivernya', 'supir'])[b // 2 % 5 + 1] ELSE ':' END AS y,
+  CASE WHEN v > 0 THEN k + 9000 ELSE k END AS id FROM d)
+SELECT id, v AS variant, row_number() OVER (ORDER BY md5('42/' || id || '/' || v)) AS place, 'Lokasi ' || x || ' GUDANG ' || k || ' driver ' || y || ' SOPIR : akhir' AS text,
+  'O ' || regexp_replace(x, '[^ ]+', 'O', 'g') || ' B-ORIGIN I-ORIGIN O ' || regexp_replace(y, '[^ ]+', 'O', 'g') || ' B-DRIVER O O' AS tags,
+  '0 ' || regexp_replace(x, '[^ ]+', '1', 'g') || ' 2 3 4 ' || regexp_replace(y, '[^ ]+', '5', 'g') || ' 6 7 8' AS from_places FROM w
+""")
+def varied_tags(spark, sf_dir):
+    """Every part as a tagged text with its two variants, shuffled."""
+    k = F.col("p_partkey")
+    t = F.array(F.lit("Lokasi"), F.lit(":"), F.lit("GUDANG"), k.cast("string"), *map(F.lit, ("driver", ":", "SOPIR", ":", "akhir")))
+    g = F.array(*map(F.lit, "O O B-ORIGIN I-ORIGIN O O B-DRIVER O O".split()))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), t.alias("tokens"), g.alias("ner_tags")).withColumn("original_text", F.array_join("tokens", " "))
+    v = vary.shuffled(vary.varied(rows), ["id", "variant"])
+    return v.select("id", "variant", F.col("place").cast("long").alias("place"), F.col("original_text").alias("text"), F.array_join("ner_tags", " ").alias("tags"), F.array_join(F.col("from_places").cast("array<string>"), " ").alias("from_places"))
+
+
+@query("""
+WITH g AS (SELECT sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS chat_hash, doc_id, CASE WHEN doc_id % 10 = 0 THEN 'first' WHEN doc_id % 10 < 6 THEN 'second' ELSE 'third' END AS batch FROM documents),
+b AS (SELECT chat_hash, min(batch) AS batch FROM g GROUP BY 1)
+SELECT chat_hash, batch, CAST(min(doc_id) AS VARCHAR) AS id FROM g JOIN b USING (chat_hash, batch) GROUP BY 1, 2
+""")
+def hash_gate(spark, sf_dir):
+    """The gate as a lookup: three batches of documents, and what each of them has brought."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = gate.HashGate(spark, f"{versions.shared_folder(spark)}/gate-{uuid.uuid4().hex}", expected=1 << 20)
+    last = F.col("doc_id") % 10
+    out = None
+    for batch, these in (("first", last == 0), ("second", last.between(1, 5)), ("third", last > 5)):
+        brought = held.admit(d.where(these), batch, "text", "doc_id").withColumn("batch", F.lit(batch))
+        out = brought if out is None else out.unionByName(brought)
+    return out

@@ -394,9 +394,6 @@ def test_truth_and_texts(spark):
 
 
 def test_datasets(spark):
-    t = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 3, 5), (1, 2, 6, 9)], "id int, token_no int, start int, stop int")
-    s = spark.createDataFrame([(1, 0, 5, "DRIVER")], "id int, start int, stop int, label string")
-    assert [r.tag for r in datasets.align_labels(t, s, "id").orderBy("token_no").collect()] == ["B-DRIVER", "I-DRIVER", "O"]
     rows = spark.createDataFrame([(["O", "B-A"],), (["I-A"],)], "ner_tags array<string>")
     assert [(r.tag, r.id) for r in datasets.label_vocabulary(rows).orderBy("id").collect()] == [("O", 0), ("B-A", 1), ("I-A", 2)]
     n = spark.createDataFrame([(i, f"r{i % 3}", f"s{i}") for i in range(30)], "record_id int, route string, sig string")
@@ -441,23 +438,37 @@ def test_augmented(spark):
 
 
 def test_random_negatives(spark):
-    """Plainly: in each bucket of a hash every record meets the next signature, in a ring; a bucket of one gives none."""
+    """Plainly: in the order of a hash every record meets the next signature, in one ring."""
     from tallyloom import queries
 
     records = queries._records(spark, SF)
     sig = F.col("signature")
-    rows = records.select("record_id", "signature", F.xxhash64(sig, F.lit(7)).alias("b"), F.xxhash64(sig).alias("h"), datasets.candidate_text().alias("t")).collect()
+    rows = records.select("record_id", "signature", F.xxhash64(sig, F.lit(7)).alias("h"), datasets.candidate_text().alias("t")).collect()
     assert len({r.signature for r in rows}) == len(rows)
-    rings, want = {}, []
-    for r in sorted(rows, key=lambda r: (r.h, r.signature)):
-        rings.setdefault(r.b % 64, []).append(r)
-    for ring in rings.values():
-        want += [(a.record_id, b.t) for a, b in zip(ring, ring[1:] + ring[:1]) if len(ring) > 1]
+    ring = sorted(rows, key=lambda r: (r.h, r.signature))
+    want = [(a.record_id, b.t) for a, b in zip(ring, ring[1:] + ring[:1])]
     got = datasets.pair_dataset(records).where("pair_kind = 'random'").collect()
     assert sorted((r.source_id, r.text_b) for r in got) == sorted(want) and {r.label for r in got} == {"NO_MATCH"}
-    counts = {r.pair_kind: r.n for r in entry.queries()["pair_dataset_all"](spark, SF).collect()}
+    counts = {r.pair_kind: r.n for r in entry.queries()["pair_dataset"](spark, SF).collect()}
     assert counts["random"] == len(want) > 0
-    assert {k: n for k, n in counts.items() if k != "random"} == {r.pair_kind: r.n for r in entry.queries()["pair_dataset"](spark, SF).collect()}
+
+
+def test_rings_of_repeated_signatures(spark):
+    """Groups of a few and of many signatures, which records share; each record meets the least record of the next signature, none alone."""
+    r = random.Random(8)
+    rows = [(i, r.choice("aaabc"), f"s{r.randrange(120)}") for i in range(400)] + [(900, "alone", "s1"), (901, "alone", "s1")]
+    df = spark.createDataFrame(rows, "record_id long, route string, sig string")
+    h = dict(df.select("sig", F.xxhash64("sig")).distinct().collect())
+    want = []
+    for route in "abc":
+        least = {s: min(i for i, x, y in rows if (x, y) == (route, s)) for s in {y for _, x, y in rows if x == route}}
+        ring = sorted(least, key=lambda s: (h[s], s))
+        following = dict(zip(ring, ring[1:] + ring[:1]))
+        want += [(i, least[following[s]]) for i, x, s in rows if x == route]
+    got = datasets.hard_negatives(df, "route", "sig").select("record_id", "negative_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert datasets.random_negatives(df, "sig").count() == len(rows)
+    assert datasets.random_negatives(df.where("route = 'alone'"), "sig").count() == 0 == datasets.random_negatives(df.where("false"), "sig").count()
 
 
 def test_blocks_helpers(spark):
