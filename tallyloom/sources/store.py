@@ -11,6 +11,11 @@ from pyspark.sql.types import StructType
 from .versions import VersionLog
 
 
+#: Files of a bucket at most, dealt by the hash of the key: else every task of a shuffle would write one, and a bucket with a frequent value
+#: in `by` is not one task.
+FILES = 4
+
+
 class TableStore:
     """Rows are in the bucket of the column `by`, which must not change in a row; `key` names a row.
 
@@ -73,7 +78,8 @@ class TableStore:
             parts = base.get("parts", {})
             place = f"data/{uuid.uuid4().hex}"
             changed = after(self._read({b: parts[b] for b in touched if b in parts}), rows)
-            changed.select(*names).withColumn("bucket", self.bucket()).write.partitionBy("bucket").parquet(f"{self.folder}/{place}")
+            dealt = changed.select(*names).withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.xxhash64(F.col(self.key)), F.lit(FILES)))
+            dealt.write.partitionBy("bucket").parquet(f"{self.folder}/{place}")
             written = self._buckets_in(place)
             while True:
                 now = {b: p for b, p in parts.items() if b not in touched} | {b: f"{place}/bucket={b}" for b in written}

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.plans import sync, workspace
-from tallyloom.sources.store import TableStore
+from tallyloom.sources.store import FILES, TableStore
 from tallyloom.sources.versions import VersionLog
 
 SCHEMA = "g string, id long, v string"
@@ -64,6 +64,21 @@ def test_only_touched_buckets_are_written_and_read(spark, tmp_path):
         assert sum(now["parts"][b] != old["parts"][b] for b in now["parts"]) == 1
 
 
+def test_a_bucket_has_few_files_and_a_frequent_value_several(spark, tmp_path):
+    s = store(spark, tmp_path / "t", 4)
+    many = spark.range(400, numPartitions=40).select(F.lit("hot").alias("g"), "id", F.lit("x").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows go to one task
+    try:
+        s.upsert(many.union(spark.range(400, 800, numPartitions=40).select(F.concat(F.lit("g"), "id"), "id", F.lit("y"))))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held: dict = {}
+    for f in files(tmp_path / "t" / "data"):
+        held.setdefault(os.path.dirname(f), []).append(f)
+    assert len(held) == 4 and all(len(fs) <= FILES for fs in held.values()) and max(map(len, held.values())) > 1
+    assert len(content(s)) == 800
+
+
 def test_a_crash_leaves_one_version(spark, tmp_path):
     """A process is killed between writing its folders and the version; the table is as before, and goes on."""
     s = store(spark, tmp_path / "t")
