@@ -41,8 +41,13 @@ class Taken(set):
         self.update(self.keys(*unit))
 
 
-def _sorted_stream(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *scope).sortWithinPartitions(*scope, *order)
+def sorted_stream(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """rows with all of a scope in one task, in order, for a kernel that takes one scope after the other.
+
+    They are dealt by a hash of the scope and not by its columns: of a union whose sides are dealt by those columns already, Spark 4.1 leaves
+    the dealing out, and then merges small partitions of each side by itself, so that a scope's rows lie in different tasks.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*scope)).sortWithinPartitions(*scope, *order)
 
 
 def first_told(known: DataFrame, rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
@@ -56,7 +61,7 @@ def first_told(known: DataFrame, rows: DataFrame, scope: list[str], order: list[
     with_keys = lambda df: df.withColumn("_sig", signature()).select("*", *(F.col(f"_sig.{c}").alias(n) for c, n in zip(IDENTITY, names))).drop("_sig")
     told = with_keys(rows.where(complete_identity())).withColumn("_told", F.lit(True))
     old = with_keys(known.select(*scope, *IDENTITY)).select(*scope, *names).distinct().withColumn("_told", F.lit(False))
-    stream = _sorted_stream(told.unionByName(old, allowMissingColumns=True), scope, ["_told", *order])
+    stream = sorted_stream(told.unionByName(old, allowMissingColumns=True), scope, ["_told", *order])
     out_schema, drop = StructType([StructField(f.name, f.dataType) for f in schema]), {*names, "_told"}
 
     def run(batches):
@@ -147,7 +152,7 @@ def fill_outcomes(table: DataFrame, incoming: DataFrame, key: str, seq: str = "s
             pick = lambda n: rows.column(rows.schema.get_field_index(n))
             yield pa.RecordBatch.from_arrays([pick("_key").cast(arrow.field(0).type), pick("_seq"), pa.array(outcomes, pa.string()), pa.array(into, pa.int64()), *(pick(c) for c in ROW_FIELDS)], schema=arrow)
 
-    return _sorted_stream(both, ["_key"], ["_told", "_seq"]).mapInArrow(run, schema)
+    return sorted_stream(both, ["_key"], ["_told", "_seq"]).mapInArrow(run, schema)
 
 
 def fill_counts(table: DataFrame, incoming: DataFrame, key: str, seq: str = "seq") -> DataFrame:

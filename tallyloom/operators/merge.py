@@ -12,6 +12,7 @@ from ..functions import fields, rules
 from ..functions.dates import norm_date
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, base_key, chat_scope, complete_identity, has_payload, norm_phone, row_context_key, row_hash
 from ..functions.text import any_filled, chat_hash, filled, norm_text
+from .distinct import sorted_stream
 
 
 def new_chats(incoming: DataFrame, existing: DataFrame, text: str = "chat_text", seq: str = "seq") -> DataFrame:
@@ -265,8 +266,7 @@ def smart_merge(table: DataFrame, incoming: DataFrame, chats: DataFrame | None =
     if chats is not None:
         told = chats.groupBy("scope").agg(F.min("chat_text").alias("chat_text")).select("scope", F.struct(*(c.alias(n) for n, c in hints.items())).alias("hints"))
         rows = rows.join(told, "scope", "left")
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.withColumn("late", F.col("origin") == "incoming").repartition(n, "scope").sortWithinPartitions("scope", "late", "seq")
+    ordered = sorted_stream(rows.withColumn("late", F.col("origin") == "incoming"), ["scope"], ["late", "seq"])
 
     schema = to_arrow_schema(_parse_datatype_string(MERGED))
 

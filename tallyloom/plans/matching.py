@@ -12,6 +12,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import rules
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, candidate_score, complete_identity, context_key, has_identity, has_payload, row_context_key, same_unit, signature
 from ..functions.text import filled
+from ..operators.distinct import sorted_stream
 
 
 def candidates(orders: DataFrame, seq: str = "seq") -> DataFrame:
@@ -123,8 +124,7 @@ def match_units(existing: DataFrame, incoming: DataFrame, scope: str) -> DataFra
     schema = "scope string, existing_seq long, incoming_seq long, score int"
     weights = {"no_plat": 4, "kontak_driver": 3, "driver": 2}
     side = lambda df, old: df.where(complete_identity()).select(F.col(scope).cast("string").alias("scope"), F.lit(old).alias("old"), F.col("seq").cast("long").alias("seq"), *(signature()[c].alias(c) for c in IDENTITY))
-    n = int(existing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = side(existing, True).unionByName(side(incoming, False)).repartition(n, "scope").sortWithinPartitions("scope", "old", "seq")
+    rows = sorted_stream(side(existing, True).unionByName(side(incoming, False)), ["scope"], ["old", "seq"])
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import distinct, merge
@@ -143,3 +144,25 @@ def test_state_text_takes_units_line_by_line(spark):
     text = "REQUEST ON CALL 5 MEI 2026\n2 UNIT CDD\nWaktu : 08:00\nNama : ANI\nNopol : B 1 X\nWaktu : 09:00\nDriver : BUDI\nNopol : B 2 Y\nNo hp : 0822"
     got = spark.createDataFrame([(text,)], "t string").select(generate.state_of(F.col("t"))).first()[0]
     assert "complete=1; empty=1" in got and got.endswith("existing_driver=09:00 BUDI B 2 Y 0822")
+
+
+def test_orders_stay_whole_where_the_sides_are_dealt_already(spark):
+    """Both sides of the union are dealt by the order's key before, and differ in size, so that small partitions are merged differently."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "100k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {c: spark.conf.get(c, None) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        k = F.col("id") % 20_000
+        said = spark.range(60_000).select(k.alias("k"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("no_plat"))
+        said = said.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("seq")))
+        rows = said.select("k", "seq", "nth", *(F.lit("x").alias(c) for c in FIELDS if c != "no_plat"), "no_plat", F.lit("PARTIAL").alias("status_unit"))
+        stored, new = rows.where("nth = 1").withColumns({"driver": F.lit(""), "no_plat": F.lit("")}), rows.where("nth > 1").withColumn("driver", F.col("no_plat"))
+        known = stored.groupBy("k").agg(F.max("seq").alias("seq"), *(F.max(c).alias(c) for c in (*FIELDS, "status_unit")))
+        done = distinct.fill_outcomes(known, new, "k").groupBy("outcome").count().collect()
+        assert {r["outcome"]: r["count"] for r in done} == {"filled": 20_000, "skipped": 20_000}
+        same_plate = rows.withColumn("no_plat", F.lit("B 1"))
+        assert distinct.first_told(same_plate.where("nth = 1").groupBy("k").agg(*(F.max(c).alias(c) for c in UNIT)), same_plate.where("nth > 1"), ["k"], ["seq"]).count() == 0
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
