@@ -6,13 +6,15 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .annotate import lists_of
+
 TOKENS = "array<struct<token string, start int, stop int>>"
+TOKEN_TYPES = {"token": pa.string(), "start": pa.int32(), "stop": pa.int32()}
 #: The length of a training row, and the label that a loss leaves out.
 LENGTH, NO_LABEL = 128, -100
 #: Tags that a vocabulary may have.
@@ -24,11 +26,9 @@ def tokenized(rows: DataFrame, text: str = "text", tokenizer: Callable[[list[str
     (token, start, stop); the default takes what stands between white space. A null text has none."""
     words = re.compile(r"\S+")
 
-    @F.pandas_udf(TOKENS)
-    def tokens(column: pd.Series) -> pd.Series:
-        values = [t or "" for t in column]
-        found = tokenizer(values) if tokenizer else [[(m[0], *m.span()) for m in words.finditer(t)] for t in values]
-        return pd.Series([[{"token": w, "start": a, "stop": b} for w, a, b in each] for each in found])
+    @F.arrow_udf(TOKENS)
+    def tokens(column: pa.Array) -> pa.Array:
+        return lists_of(column, tokenizer or (lambda texts: [[(m[0], *m.span()) for m in words.finditer(t)] for t in texts]), TOKEN_TYPES)
 
     return rows.withColumn("tokens", tokens(F.col(text)))
 

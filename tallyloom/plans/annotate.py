@@ -4,8 +4,9 @@ expressions, so an Arrow function looks for them, a batch of texts at a time."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,24 @@ RULES = {
     "TIME": r"(?i)waktu\s*loading\s*:\s*(?P<v>segera|\d{1,2}[:.]\d{2})",
 }
 SPANS = "array<struct<label string, start int, stop int, value string, confidence double>>"
+SPAN_TYPES = {"label": pa.string(), "start": pa.int32(), "stop": pa.int32(), "value": pa.string(), "confidence": pa.float64()}
+#: Texts whose tuples a Python worker holds at a time.
+TEXTS = 256
+
+
+def lists_of(texts: pa.Array, found_in: Callable[[list[str]], list[Iterable[tuple]]], types: dict[str, pa.DataType]) -> pa.Array:
+    """What found_in finds in texts (null: empty), a list of structs a text. Tuples become Arrow's arrays TEXTS texts at a time: a batch's
+    would fill the worker, and as dictionaries several times so."""
+    done = []
+    for at in range(0, len(texts), TEXTS):
+        found = [list(f) for f in found_in([t or "" for t in texts.slice(at, TEXTS).to_pylist()])]
+        ends = [0]
+        for f in found:
+            ends.append(ends[-1] + len(f))
+        columns = zip(*(x for f in found for x in f)) if ends[-1] else ((),) * len(types)
+        structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+        done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs))
+    return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.struct(list(types.items()))))
 
 
 def annotate(texts: DataFrame, text: str = "text", rules: dict[str, str] = RULES, extractor=None) -> DataFrame:
@@ -31,14 +50,11 @@ def annotate(texts: DataFrame, text: str = "text", rules: dict[str, str] = RULES
     compiled = {label: re.compile(p) for label, p in rules.items()}
 
     def by_rules(values: list[str]) -> list[list[tuple]]:
-        return [sorted((m.start("v"), m.end("v"), label, m.group("v")) for label, p in compiled.items() for m in p.finditer(t)) for t in values]
-
-    @F.pandas_udf(SPANS)
-    def spans(column: pd.Series) -> pd.Series:
-        values = [t or "" for t in column]
-        if extractor is not None:
-            return pd.Series([[dict(zip(("label", "start", "stop", "value", "confidence"), s)) for s in found] for found in extractor(values)])
-        return pd.Series([[{"label": label, "start": a, "stop": b, "value": v, "confidence": 1.0} for a, b, label, v in found] for found in by_rules(values)])
+        return [[(label, a, b, v, 1.0) for a, b, label, v in sorted((m.start("v"), m.end("v"), label, m.group("v")) for label, p in compiled.items() for m in p.finditer(t))] for t in values]
+
+    @F.arrow_udf(SPANS)
+    def spans(column: pa.Array) -> pa.Array:
+        return lists_of(column, extractor or by_rules, SPAN_TYPES)
 
     return texts.withColumn("spans", spans(F.col(text)))
 

@@ -111,3 +111,21 @@ def test_shuffle_is_one_order(spark):
     assert [i for _, i in a] != sorted((i for _, i in a), key=lambda i: (i is not None, i))
     assert [(x.place, x.id) for x in vary.shuffled(rows, ["id"], seed=7).orderBy("place").collect()] != a
     assert vary.shuffled(rows.where("false"), ["id"]).count() == 0
+
+
+def test_annotator_and_tokenizer_see_some_hundred_texts_at_a_time(spark):
+    """A batch's tuples are not held at once; null texts are empty."""
+    from tallyloom.plans import annotate
+
+    def some(texts):
+        assert len(texts) <= 256
+        return [[("A", 0, len(t), t, 0.5)] if t else [] for t in texts]
+
+    def words(texts):
+        assert len(texts) <= 256
+        return [[(t, 0, len(t))] for t in texts]
+
+    rows = spark.range(1000).coalesce(1).select("id", F.when(F.col("id") % 10 > 0, F.col("id").cast("string")).alias("text"))
+    got = alignment.tokenized(annotate.annotate(rows, extractor=some), tokenizer=words).orderBy("id").collect()
+    assert [[tuple(s) for s in r["spans"]] for r in got] == [[("A", 0, len(str(i)), str(i), 0.5)] if i % 10 else [] for i in range(1000)]
+    assert [[tuple(s) for s in r["tokens"]] for r in got] == [[(t := str(i) if i % 10 else "", 0, len(t))] for i in range(1000)]
