@@ -32,20 +32,21 @@ def _grams(texts: DataFrame, name: str, share: float, q: int) -> DataFrame:
 def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
     """Pairs of a text of left (column a) and one of right (column b), each once, among which are all whose ratio reaches `least` (over 2 / 3).
 
-    Both sides are made distinct. Equal texts are pairs whatever their length. The rarest q-grams are those of both sides together.
+    Both sides are made distinct. Equal texts are pairs whatever their length. The rarest q-grams are those of both sides together. Joins are
+    by shuffle: what is small as a compressed shuffle file need not be so in a driver that would broadcast it.
     """
     share, q = edits(least)
     one, two = left.select(a).where(F.length(a) > 0).distinct(), right.select(b).where(F.length(b) > 0).distinct()
     every = _grams(one, a, share, q).withColumn("own", F.lit(True)).unionByName(_grams(two, b, share, q).withColumn("own", F.lit(False)))
     often = every.groupBy("gram").agg(F.count("*").alias("f"))
     rare = Window.partitionBy("own", "id").orderBy("f", "gram", "at")
-    prefix = every.join(often, "gram").withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= F.col("d") * q + 1)
+    prefix = every.join(often.hint("merge"), "gram").withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= F.col("d") * q + 1)
     mine = prefix.where("own").select("gram", F.col("id").alias("i"), F.col("n").alias("n1"), F.col("d").alias("d1"), F.col("at").alias("at1"))
     theirs = prefix.where("not own").select("gram", F.col("id").alias("j"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("at").alias("at2"))
     near = (F.abs(F.col("at1") - F.col("at2")) <= F.least("d1", "d2")) & fits(F.col("n1"), F.col("n2"), least)
-    met = mine.join(theirs, "gram").where(near).select("i", "j").distinct()
-    named = met.join(one.select(F.md5(a).alias("i"), a), "i").join(two.select(F.md5(b).alias("j"), b), "j").select(a, b)
-    return named.unionByName(one.join(two, one[a] == two[b]).select(a, b)).distinct()
+    met = mine.join(theirs.hint("merge"), "gram").where(near).select("i", "j").distinct()
+    named = met.join(one.select(F.md5(a).alias("i"), a).hint("merge"), "i").join(two.select(F.md5(b).alias("j"), b).hint("merge"), "j").select(a, b)
+    return named.unionByName(one.join(two.hint("merge"), one[a] == two[b]).select(a, b)).distinct()
 
 
 def fits(n: Column, m: Column, least: float) -> Column:

@@ -227,12 +227,12 @@ def truth_labels(pairs: DataFrame, truth: DataFrame, a: str = "text_a", b: str =
     both = known.unionByName(known.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"), "_l")).groupBy("_x", "_y").agg(F.min("_l").alias("_l"))
     keyed = pairs.withColumns({"_p": compact(F.col(a)), "_q": compact(F.col(b))})
     texts = keyed.where("_p <> '' and _q <> ''").select("_p", "_q").distinct()
-    exact = texts.join(both, (F.col("_p") == F.col("_x")) & (F.col("_q") == F.col("_y"))).select("_p", "_q", "_l")
-    rest = texts.join(exact.select("_p", "_q"), ["_p", "_q"], "left_anti")
+    exact = texts.join(both.hint("merge"), (F.col("_p") == F.col("_x")) & (F.col("_q") == F.col("_y"))).select("_p", "_q", "_l")
+    rest = texts.join(exact.select("_p", "_q").hint("merge"), ["_p", "_q"], "left_anti")
     near = None
     for own, theirs in (("_p", "_x"), ("_q", "_y")):
         like = candidate_pairs(rest, both, own, theirs, least)
-        part = rest.join(like, own).join(both, theirs).select("_p", "_q", "_x", "_y", "_l")
+        part = rest.join(like.hint("merge"), own).join(both.hint("merge"), theirs).select("_p", "_q", "_x", "_y", "_l")
         near = part if near is None else near.unionByName(part)
     size = F.length
     near = near.where(fits(size("_p"), size("_x"), low) & fits(size("_q"), size("_y"), low)).distinct()
@@ -247,4 +247,4 @@ def truth_labels(pairs: DataFrame, truth: DataFrame, a: str = "text_a", b: str =
 
     scored = near.withColumn("_s", likeness("_p", "_q", "_x", "_y")).where(F.col("_s") >= least)
     best = scored.groupBy("_p", "_q").agg(F.min_by("_l", F.struct(-F.col("_s"), "_x", "_y")).alias("_l"))
-    return keyed.join(exact.unionByName(best), ["_p", "_q"], "left").withColumn("truth", F.coalesce("_l", F.lit(""))).drop("_p", "_q", "_l")
+    return keyed.join(exact.unionByName(best).hint("merge"), ["_p", "_q"], "left").withColumn("truth", F.coalesce("_l", F.lit(""))).drop("_p", "_q", "_l")

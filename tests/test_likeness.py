@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from tallyloom.plans.likeness import candidate_pairs, edits
+from tallyloom.plans.matching import truth_labels
 
 
 def changed(r, text, n):
@@ -41,3 +42,12 @@ def test_edits():
         for n in range(1, 2000):
             d = int(n * share + 1e-9)
             assert d == 0 or n - q + 1 >= d * q + 1 or q == 1
+
+
+def test_nothing_is_broadcast_that_grows_with_the_texts(spark):
+    """Compressed shuffle files of alike texts are small, and what a driver would build of them is not."""
+    a = spark.createDataFrame([(str(i) * 12,) for i in range(100, 200)], "a string")
+    pairs = a.withColumnsRenamed({"a": "text_a"}).selectExpr("text_a", "reverse(text_a) AS text_b")
+    labels = truth_labels(pairs, pairs.limit(60).selectExpr("upper(text_a) AS text_a", "text_b", "'match' AS label"))
+    assert sum(r["truth"] == "MATCH" for r in labels.collect()) >= 60
+    assert "Broadcast" not in labels._jdf.queryExecution().executedPlan().toString()
