@@ -83,6 +83,7 @@ def first_told(known: DataFrame, rows: DataFrame, scope: list[str], order: list[
 
 #: What fill_outcomes tells of an incoming row.
 FILLED, DUPLICATE, SKIPPED, INCOMPLETE = "filled", "duplicate", "skipped", "incomplete"
+UNIT = ("_driver", "_plate", "_phone")
 
 
 class Filling:
@@ -91,18 +92,18 @@ class Filling:
     def __init__(self):
         self.taken, self.slots, self.used = Taken(), [], 0
 
-    def stored(self, seq: int, unit: tuple[str, str, str], says: list[bool], is_open: bool) -> None:
+    def stored(self, seq: int, unit: tuple[str, str, str], says: int, is_open: bool) -> None:
         self.taken.take(unit)
         if is_open:
             self.slots.append((seq, says))
 
-    def incoming(self, unit: tuple[str, str, str], says: list[bool], whole: bool) -> tuple[str, int | None]:
+    def incoming(self, unit: tuple[str, str, str], says: int, whole: bool) -> tuple[str, int | None]:
         """The outcome, and the slot that it fills."""
         if not whole:
             return INCOMPLETE, None
         if self.taken.has(unit):
             return DUPLICATE, None
-        if self.used < len(self.slots) and any(a and not b for a, b in zip(says, self.slots[self.used][1])):
+        if self.used < len(self.slots) and says & ~self.slots[self.used][1]:
             self.used += 1
             self.taken.take(unit)
             return FILLED, self.slots[self.used - 1][0]
@@ -110,13 +111,15 @@ class Filling:
 
 
 def shaped(rows: DataFrame, key: str, told: Column, seq: str = "seq") -> DataFrame:
-    """What filling looks at: _key, _told (incoming or stored), _seq, _sig, _says (which fields are filled), _open, _whole, and the fields."""
+    """What filling looks at: _key, _told (incoming or stored), _seq, the signature as _driver, _plate and _phone, _says (a mask of the filled
+    fields), _open, _whole, and the fields."""
     said = status(*map(F.col, ROW_FIELDS))
     if "status_unit" in rows.columns:
         said = F.coalesce(F.nullif(known_status(F.coalesce("status_unit", F.lit(""))), F.lit("")), said)
-    brings = F.array(*(filled(F.col(c)) for c in ROW_FIELDS))
+    brings = sum((F.when(filled(F.col(c)), 1 << i).otherwise(0) for i, c in enumerate(ROW_FIELDS)), F.lit(0))
+    sig = signature()
     return rows.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), told.alias("_told"), F.col(seq).cast("long").alias("_seq"), signature().alias("_sig"), brings.alias("_says"),
+        F.col(key).alias("_key"), told.alias("_told"), F.col(seq).cast("long").alias("_seq"), *(sig[c].alias(n) for c, n in zip(IDENTITY, UNIT)), brings.alias("_says"),
         (~told & said.isin("PARTIAL", "UNASSIGNED")).alias("_open"), complete_identity().alias("_whole"), *(F.col(c).cast("string").alias(c) for c in ROW_FIELDS),
     )
 
@@ -139,10 +142,9 @@ def fill_outcomes(table: DataFrame, incoming: DataFrame, key: str, seq: str = "s
         for batch in batches:
             get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n.startswith("_")}
             numbers, outcomes, into = [], [], []
-            for i, (k, told, s, sig, says, is_open, whole) in enumerate(zip(*(get[n] for n in ("_key", "_told", "_seq", "_sig", "_says", "_open", "_whole")))):
+            for i, (k, told, s, unit, says, is_open, whole) in enumerate(zip(get["_key"], get["_told"], get["_seq"], zip(*(get[n] for n in UNIT)), get["_says"], get["_open"], get["_whole"])):
                 if k != at:
                     at, order = k, Filling()
-                unit = (sig["driver"], sig["no_plat"], sig["kontak_driver"])
                 if not told:
                     order.stored(s, unit, says, is_open)
                     continue
