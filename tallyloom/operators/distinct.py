@@ -2,13 +2,11 @@
 
 Two units are one if their plates agree, or two of driver, plate and phone (functions.identity.same_unit). That is no equivalence, so
 which units of an order count as new depends on their sequence: each is compared with those that were taken before it. Rows stream sorted
-through a kernel that holds of one order at a time the keys of its taken units, in hash indexes: the plate, and the three pairs of fields.
+through a kernel that holds of one order at a time the keys of its taken units, in a hash index: plates, and drivers with phones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,24 +19,19 @@ from ..functions.text import filled
 
 
 class Taken(set):
-    """The keys of the units that an order has."""
-
-    @staticmethod
-    def keys(driver: str, plate: str, phone: str) -> Iterator[tuple]:
-        if plate:
-            yield plate
-            if driver:
-                yield driver, plate, 0
-            if phone:
-                yield plate, phone, 1
-        if driver and phone:
-            yield driver, phone, 2
+    """The keys of the units that an order has: plates, and drivers with their phones. Two fields of which one is the plate agree only where
+    the plate does."""
 
     def has(self, unit: tuple[str, str, str]) -> bool:
-        return any(k in self for k in self.keys(*unit))
+        driver, plate, phone = unit
+        return bool(plate) and plate in self or bool(driver and phone) and (driver, phone) in self
 
     def take(self, unit: tuple[str, str, str]) -> None:
-        self.update(self.keys(*unit))
+        driver, plate, phone = unit
+        if plate:
+            self.add(plate)
+        if driver and phone:
+            self.add((driver, phone))
 
 
 def sorted_stream(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:

@@ -63,10 +63,11 @@ def top_candidates(incoming: DataFrame, orders: DataFrame, block: str, k: int =
 
 
 def duplicates_anti(incoming: DataFrame, existing: DataFrame, scope: list[str]) -> DataFrame:
-    """Incoming units that duplicate no existing one of their scope: not the plate, nor two of driver, plate and phone. Four equi anti-joins."""
+    """Incoming units that duplicate no existing one of their scope: not the plate, nor two of driver, plate and phone. Two equi
+    anti-joins: two fields of which one is the plate agree only where the plate does."""
     out = incoming.withColumn("_sig", signature())
     old = existing.select(*scope, signature().alias("_old"))
-    for names in (("no_plat",), ("driver", "kontak_driver"), ("driver", "no_plat"), ("no_plat", "kontak_driver")):
+    for names in (("no_plat",), ("driver", "kontak_driver")):
         side = old.select(*(F.col(s).alias(f"_s{i}") for i, s in enumerate(scope)), *(F.col("_old")[c].alias(f"_o_{c}") for c in names))
         side = side.where(" and ".join(f"_o_{c} <> ''" for c in names)).distinct()
         condition = [F.col(s) == F.col(f"_s{i}") for i, s in enumerate(scope)] + [F.col("_sig")[c] == F.col(f"_o_{c}") for c in names]

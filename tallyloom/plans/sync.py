@@ -37,11 +37,10 @@ def after_snapshot(orders: DataFrame, incoming: DataFrame, key: str = "candidate
     fresh = duplicates_anti(incoming.where(complete_identity()), orders, [key])
     k = F.row_number().over(Window.partitionBy(key).orderBy(seq))
     new = fresh.withColumn("_k", k).select(key, "_k", F.col(seq).alias("filled_from"), *(F.col(c).alias(f"_in_{c}") for c in ROW_FIELDS))
-    names, open_ = orders.columns, orders.where(~complete_identity()).withColumn("_k", k)
-    done = open_.join(new, [key, "_k"], "left").withColumns({c: F.when(filled(F.col(f"_in_{c}")), F.trim(f"_in_{c}")).otherwise(F.col(c)) for c in ROW_FIELDS})
-    rest = orders.where(complete_identity()).withColumn("filled_from", F.lit(None).cast("long"))
-    out = done.select(*names, "filled_from").unionByName(rest.select(*names, "filled_from"))
-    return out.withColumn("marker", F.when(F.col("filled_from").isNotNull(), "BARU").otherwise(""))
+    slots = orders.withColumn("_open", ~complete_identity())
+    slots = slots.withColumn("_k", F.when(F.col("_open"), F.row_number().over(Window.partitionBy(key, "_open").orderBy(seq))))
+    done = slots.join(new, [key, "_k"], "left").withColumns({c: F.when(filled(F.col(f"_in_{c}")), F.trim(f"_in_{c}")).otherwise(F.col(c)) for c in ROW_FIELDS})
+    return done.select(*orders.columns, "filled_from").withColumn("marker", F.when(F.col("filled_from").isNotNull(), "BARU").otherwise(""))
 
 
 def reason(plan: DataFrame) -> Column:

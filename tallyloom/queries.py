@@ -1048,9 +1048,8 @@ def after_snapshots(spark, sf_dir):
     """What orders would look like after a follow-up with two new units and a repeated one."""
     rows = order_rows(spark, sf_dir).withColumn("candidate_key", F.col("l_orderkey").cast("string"))
     ok = F.col("l_orderkey")
-    heads = rows.groupBy("l_orderkey", "candidate_key").agg(F.min("l_linenumber").alias("n"), F.min("l_suppkey").alias("s"))
-    known = rows.where("status_unit = 'ASSIGNED'").groupBy("candidate_key").agg(F.min(F.struct("seq", "no_plat", "driver", "kontak_driver")).alias("x"))
-    units = heads.join(known, "candidate_key", "left").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    known = F.min(F.when(F.col("status_unit") == "ASSIGNED", F.struct("seq", "no_plat", "driver", "kontak_driver")))
+    units = rows.groupBy("l_orderkey", "candidate_key").agg(known.alias("x")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     said = lambda c, new: F.when(F.col("k") == 0, F.coalesce(F.col("x")[c], F.lit(""))).otherwise(new)
     k = F.col("k").cast("string")
     new = {"no_plat": F.concat(F.lit("Z "), ok.cast("string"), F.lit(" "), k), "driver": F.concat(F.lit("BARU "), k), "kontak_driver": F.concat(F.lit("09"), ok.cast("string"), k)}
