@@ -11,7 +11,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import rules
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, candidate_score, complete_identity, context_key, has_identity, has_payload, row_context_key, same_unit, signature
-from ..functions.text import filled
+from ..functions.text import filled, let
 from ..operators.distinct import sorted_stream
 
 
@@ -100,9 +100,9 @@ def score_pairs(pairs: DataFrame, a: str = "text_a", b: str = "text_b", threshol
     if scorer is not None:
         score = F.pandas_udf(scorer, "double")(F.col(a), F.col(b))
     else:
-        words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
-        size = F.least(F.size(words(a)), F.size(words(b)))
-        score = F.when(size > 0, F.size(F.array_intersect(words(a), words(b))) / size).otherwise(F.lit(0.0))
+        words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+        share = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))).otherwise(F.lit(0.0))
+        score = let(F.struct(words(a).alias("a"), words(b).alias("b")), lambda w: share(w["a"], w["b"]))
     p = F.when(filled(F.col(a)) & filled(F.col(b)), score).otherwise(F.lit(0.0))
     return pairs.withColumn("p_match", p).withColumn("predicted", F.when(F.col("p_match") >= threshold, "MATCH").otherwise("NO_MATCH"))
 
@@ -192,7 +192,6 @@ def proof_rows(pairs: DataFrame, names: dict[str, tuple[str, str]], key) -> Data
 def segment_of(row: Column, segments: Column) -> Column:
     """The number of the one segment that shares the most identity fields with the row; null without any, and in a tie."""
     from ..functions.identity import overlap
-    from ..functions.text import let
 
     def of(scores: Column) -> Column:
         best = F.array_max(scores)
