@@ -41,7 +41,7 @@ def _ring(records: DataFrame, by: list[str], sig: str, record: str, negative: st
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.select(*by, "_b", F.coalesce(F.lead("_f").over(w), F.first("_f").over(whole))["_r"].alias("_next"))
     within = F.lead("_r").over(Window.partitionBy(*by, "_b").orderBy("_h", sig))
-    met = one.withColumn("_w", within).join(after, [*by, "_b"]).withColumn(negative, F.coalesce("_w", "_next"))
+    met = one.withColumn("_w", within).join(after.hint("merge"), [*by, "_b"]).withColumn(negative, F.coalesce("_w", "_next"))
     return met.where(F.col(negative) != F.col("_r")).select(*by, sig, negative)
 
 
@@ -58,18 +58,20 @@ def random_negatives(records: DataFrame, sig: str, record: str = "record_id") ->
 
 
 def pair_dataset(records: DataFrame, route: str = "route_key", sig: str = "signature") -> DataFrame:
-    """Positives (a record's text and its follow-up, and its record), hard and random negatives; blank sides are left out."""
+    """Positives (a record's text and its follow-up, and its record), hard and random negatives; blank sides are left out. Each record goes
+    to its two negatives at once, and no table to the driver: whatever is small grows with the records."""
     r = records.withColumn("text_a", candidate_text()).withColumn("text_b", revision_text())
+    pair = lambda kind, a, b, label: F.struct(F.lit(kind).alias("pair_kind"), F.col(a).alias("text_a"), F.col(b).alias("text_b"), F.lit(label).alias("label"))
+    positives = r.select("record_id", F.inline(F.array(pair("revision", "text_a", "text_b", "MATCH"), pair("original", "original_text", "text_a", "MATCH"))))
+    hard = _ring(records, [route], sig, "record_id", "_hard")
+    rand = _ring(records.withColumn("_all", F.lit(0)), ["_all"], sig, "record_id", "_random", salt=7).drop("_all")
+    met = r.select("record_id", route, sig, "text_b").join(hard.hint("merge"), [route, sig], "left").join(rand.hint("merge"), sig, "left")
+    to = F.array(*(F.struct(F.lit(k).alias("pair_kind"), F.col(f"_{k}").alias("negative_id")) for k in ("hard", "random")))
     texts = r.select(F.col("record_id").alias("negative_id"), F.col("text_a").alias("_other"))
-
-    def side(df: DataFrame, a: str, b: str, label: str, kind: str) -> DataFrame:
-        return df.select(F.concat_ws("-", F.lit(kind), F.col("record_id").cast("string")).alias("pair_id"), F.col(a).alias("text_a"), F.col(b).alias("text_b"), F.lit(label).alias("label"), F.lit(kind).alias("pair_kind"), F.col("record_id").alias("source_id"))
-
-    positives = side(r, "text_a", "text_b", "MATCH", "revision").unionByName(side(r, "original_text", "text_a", "MATCH", "original"))
-    hard = hard_negatives(r, route, sig).join(texts, "negative_id")
-    rand = random_negatives(r, sig).join(texts, "negative_id")
-    out = positives.unionByName(side(hard, "text_b", "_other", "NO_MATCH", "hard")).unionByName(side(rand, "text_b", "_other", "NO_MATCH", "random"))
-    return out.where(filled(F.col("text_a")) & filled(F.col("text_b")))
+    negatives = met.select("record_id", "text_b", F.inline(to)).where("negative_id is not null").join(texts.hint("merge"), "negative_id")
+    out = positives.unionByName(negatives.select("record_id", "pair_kind", F.col("text_b").alias("text_a"), F.col("_other").alias("text_b"), F.lit("NO_MATCH").alias("label")))
+    named = F.concat_ws("-", "pair_kind", F.col("record_id").cast("string")).alias("pair_id")
+    return out.where(filled(F.col("text_a")) & filled(F.col("text_b"))).select(named, "text_a", "text_b", "label", "pair_kind", F.col("record_id").alias("source_id"))
 
 
 def zip_halves(rows: DataFrame, batch: str, seq: str, text: str) -> DataFrame:
