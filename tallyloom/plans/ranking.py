@@ -37,9 +37,10 @@ def _values(mask: int) -> str:
 
 def context_index(orders: DataFrame, k: int = 8) -> DataFrame:
     """orders: candidate_key, first_seq and the context fields. A row a combination: fills and agrees (masks of fields), values, and the k
-    earliest candidates, of equals those of the lesser key. The limit goes before the shuffle, so that a list that all orders belong to
-    gathers k rows a task."""
-    keyed = _keyed(orders, "candidate_key", "first_seq")
+    earliest candidates, of equals those of the lesser key. Of each whole context the k earliest orders take part, before they go into its 16
+    lists; the limit goes before the shuffle, so that a list that all orders belong to gathers k rows a task."""
+    whole = Window.partitionBy("_has", "_k").orderBy("first_seq", "candidate_key")
+    keyed = _keyed(orders, "candidate_key", "first_seq").withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= k)
     own = F.expr(f"filter(array({', '.join(f'struct({m} AS agrees, {_values(m)} AS values)' for m in MASKS)}), x -> _has & x.agrees = x.agrees)")
     entries = keyed.select(F.col("_has").alias("fills"), F.explode(own).alias("x"), "first_seq", "candidate_key").select("fills", "x.*", "first_seq", "candidate_key")
     by = Window.partitionBy("fills", "agrees", "values").orderBy("first_seq", "candidate_key")

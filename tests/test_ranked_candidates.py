@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.plans import sync
 from tallyloom.plans.ranking import WEIGHTS, context_index, ranked_candidates
@@ -50,3 +51,12 @@ def test_plans_without_a_place(spark):
     got = sync.plans(orders, message).orderBy("rank").collect()
     assert len(got) == 8 and got[0].tujuan == "KOTA 13" and [r.context_score for r in got] == [7, *[1] * 7]
     assert [r.first_seq for r in got[1:]] == [0, 1, 2, 3, 4, 5, 6]
+
+
+def test_lists_get_few_of_a_context(spark):
+    """Of orders that share a context the k earliest go into the lists, however many there are; the limit stands below the explosion."""
+    index = context_index(spark.range(500).select(F.col("id").cast("string").alias("candidate_key"), (500 - F.col("id")).alias("first_seq"), *(F.lit(v).alias(c) for c, v in zip(("tgl_ro", "pickup", "tujuan", "type_truck"), ("1/2/2024", "A", "B", "")))), 3)
+    rows = index.collect()
+    assert len(rows) == 8 and all(sorted(x.candidates) == [(1, "499"), (2, "498"), (3, "497")] for x in rows)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.index("Generate") :]
