@@ -182,10 +182,15 @@ def truth_key(label: str, c: Column) -> Column:
 
 def entity_value(attr: Column, value: Column) -> Column:
     """An extracted value in the form in which it is counted against the truth, by attribute."""
-    from .dates import month_id
     from .text import clean_cell
 
-    text = clean_cell(value)
+    return clean_entity_value(attr, clean_cell(value))
+
+
+def clean_entity_value(attr: Column, text: Column) -> Column:
+    """entity_value() of a text that went through clean_cell()."""
+    from .dates import month_id
+
     t = F.regexp_replace(F.regexp_replace(F.lower(text), r"[/\\,.\-]+", " "), r"\s+", " ")
     p = r"^(\d{1,2})\s+([a-z]+|\d{1,2})\s+(\d{2,4})$"
     token = extract(t, p, 2)

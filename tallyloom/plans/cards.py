@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules
 from ..functions.dates import norm_key
-from ..functions.identity import IDENTITY, ROW_FIELDS, complete_identity, entity_value
+from ..functions.identity import IDENTITY, ROW_FIELDS, clean_entity_value, complete_identity
 from ..functions.text import clean_cell, distinct_by, distinct_filled, filled, metric_text, strip
 from ..operators.distinct import first_told
-from .evaluate import entity_counts
 from .matching import duplicates_anti
 
 #: The choices of the detail filter, as buckets of the confusion matrix.
@@ -151,16 +150,21 @@ def audit_rows(preview: DataFrame, orders: DataFrame, event: str = "event_id", r
 
 def merged_attributes(rows: DataFrame, truth_items: str = "truth_items", found_items: str = "found_items") -> DataFrame:
     """rows: group, attribute, items of the truth and of the extraction, label_swap. An order's chunks evaluated as one: by group and
-    attribute the values that differ once normalised, counted against each other, with scores and status."""
-
-    def values(items: str, name: str) -> DataFrame:
-        each = rows.select("group", "attribute", F.explode(items).alias("v")).where(filled(F.col("v")))
-        key = entity_value(F.col("attribute"), F.col("v"))
-        return each.select("group", "attribute", F.when(key != "", key).otherwise(F.lower(clean_cell(F.col("v")))).alias("value")).distinct()
-
-    counts = entity_counts(values(truth_items, "t"), values(found_items, "f"), ["group", "attribute"], "value").drop("status")
-    every = rows.groupBy("group", "attribute").agg(F.bool_or(F.coalesce("label_swap", F.lit(False))).alias("label_swap"))
-    out = every.join(counts, ["group", "attribute"], "left").fillna(0, ["tp", "fp", "fn", "duplicate_fp"])
+    attribute the values that differ once normalised, counted against each other, with scores and status. Rows without group or attribute
+    count nothing. Values of both sides meet in one aggregate and not in joins, and are dealt to a stated number of
+    tasks: by an aggregate's own shuffle they would first fill maps in the tasks that read, and then go to as few tasks as there are cores."""
+
+    sides = F.array(*(F.struct(F.lit(bit).alias("side"), F.col(c).alias("items")) for bit, c in ((1, truth_items), (2, found_items))))
+    said = rows.select("group", "attribute", F.coalesce("label_swap", F.lit(False)).alias("label_swap"), F.explode(sides).alias("_s"))
+    each = said.select("group", "attribute", "label_swap", F.col("_s.side").alias("side"), F.posexplode_outer("_s.items").alias("at", "v"))
+    counted = filled(F.col("v")) & F.col("group").isNotNull() & F.col("attribute").isNotNull()
+    first = (F.col("side") == 1) & (F.coalesce("at", F.lit(0)) == 0)  # stays without a value too, so that its group does
+    each = each.where(counted | first).withColumn("_text", F.when(counted, clean_cell(F.col("v")))).withColumn("_key", clean_entity_value(F.col("attribute"), F.col("_text")))
+    value = F.when(F.col("_text").isNotNull(), F.when(F.col("_key") != "", F.col("_key")).otherwise(F.lower("_text")))
+    dealt = each.select("group", "attribute", "label_swap", "side", value.alias("value")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "value")  # an attribute that is one literal would leave no key to meet by
+    met = dealt.groupBy("group", "attribute", "value").agg(F.bit_or("side").alias("sides"), F.bool_or("label_swap").alias("label_swap"))
+    of = lambda sides: F.count_if((F.col("sides") == sides) & F.col("value").isNotNull())
+    out = met.groupBy("group", "attribute").agg(F.bool_or("label_swap").alias("label_swap"), of(3).alias("tp"), of(2).alias("fp"), of(1).alias("fn")).withColumn("duplicate_fp", F.lit(0).cast("long"))
     p, r, f = rules.prf(F.col("tp"), F.col("fp"), F.col("fn"))
     status = rules.evaluation_status(F.col("tp"), F.col("fp"), F.col("fn"), F.col("label_swap"), F.col("duplicate_fp"))
     return out.select("*", p.alias("precision"), r.alias("recall"), f.alias("f1"), (F.col("tp") + F.col("fn")).alias("support"), (F.col("tp") + F.col("fp")).alias("predicted"), status.alias("status"))
