@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..functions import rules
 from ..functions.identity import CONTEXT, IDENTITY, ROW_FIELDS, candidate_score, complete_identity, context_key, has_identity, has_payload, row_context_key, same_unit, signature
@@ -118,41 +120,118 @@ def preview_order(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc(F.col("decision_status") == "CONFLICT"), F.desc(F.col("decision_status") == "SIAP_ISI_SLOT"), F.col("date_conflict"), F.desc("p_match"), "seq")
 
 
+#: What a field that two units share counts.
+WEIGHTS = {"no_plat": 4, "kontak_driver": 3, "driver": 2}
+
+
+def whole_scopes(batches):
+    """A stream that is sorted by _scope as tables that end where a scope ends, so that memory holds a batch and one scope."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("_scope")
+        last = names[-1].as_py()
+        start = batch.num_rows - (names.null_count if last is None else pc.sum(pc.equal(names, last)).as_py())
+        if start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = [batch.slice(start)]
+        elif held and held[-1].column("_scope")[-1].as_py() != last:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def found_again(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole scopes' rows (_scope, _old, and the fields of WEIGHTS behind a _), each scope's incoming ones first: the places of the
+    existing rows that are found again, of the incoming ones that they take, and the scores.
+
+    Where each field's value leads to one row of a side at most, and a unit's fields to the same one, there is nothing to choose, and all such
+    scopes go together; the others go a row at a time, looking only at units that share a field."""
+    code = lambda c: rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    scope, old, weights = code("_scope"), rows.column("_old").to_numpy(), np.array(list(WEIGHTS.values()))
+    new, tangled, keys, near = np.flatnonzero(~old), np.zeros(scope[-1] + 1, bool), [], []
+    for c in WEIGHTS:
+        values = code(f"_{c}")
+        _, key = np.unique(scope * (values.max() + 1) + values, return_inverse=True)
+        olds, news, at = np.bincount(key[old], minlength=key.max() + 1), np.bincount(key[new], minlength=key.max() + 1), np.full(key.max() + 1, -1)
+        at[key[new]] = new
+        tangled[scope[((olds > 0) & (news > 0) & (olds + news > 2))[key]]] = True
+        keys.append(key)
+        near.append(np.where(old, at[key], -1))
+    near = np.stack(near)
+    best = near.max(axis=0)
+    tangled[scope[((near >= 0) & (near != best)).any(axis=0)]] = True
+    met = np.flatnonzero(best >= 0)
+    tangled[scope[met[np.bincount(best[met], minlength=len(scope))[best[met]] > 1]]] = True
+    easy = met[~tangled[scope[met]]]
+    out = [(easy, best[easy], weights @ (near[:, easy] >= 0))]
+
+    hard = np.flatnonzero(tangled[scope])
+    scope_at, found, taken, pairs = None, {}, set(), []
+    for i, s, is_old, *own in zip(hard.tolist(), scope[hard].tolist(), old[hard].tolist(), *(k[hard].tolist() for k in keys)):
+        if s != scope_at:
+            scope_at, found, taken = s, {}, set()
+        if not is_old:
+            for c in enumerate(own):
+                found.setdefault(c, []).append(i)
+            continue
+        scores: dict[int, int] = {}
+        for c, w in zip(enumerate(own), WEIGHTS.values()):
+            if left := [j for j in found.get(c, ()) if j not in taken]:
+                found[c] = left
+                for j in left:
+                    scores[j] = scores.get(j, 0) + w
+        if scores:
+            first = min(scores, key=lambda j: (-scores[j], j))
+            taken.add(first)
+            pairs.append((i, first, scores[first]))
+    out.append(np.array(pairs, np.int64).reshape(-1, 3).T)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _sides(existing: DataFrame, incoming: DataFrame, scope: str, *more: str) -> DataFrame:
+    """The complete units of both as found_again() reads them; the incoming ones with more columns."""
+
+    def side(df: DataFrame, old: bool, *more: str) -> DataFrame:
+        sig = signature()
+        return df.where(complete_identity()).select(*more, F.col(scope).cast("string").alias("_scope"), F.lit(old).alias("_old"), F.col("seq").cast("long").alias("_seq"), *(sig[c].alias(f"_{c}") for c in IDENTITY))
+
+    return sorted_stream(side(existing, True).unionByName(side(incoming, False, *more), allowMissingColumns=True), ["_scope"], ["_old", "_seq"])
+
+
 def match_units(existing: DataFrame, incoming: DataFrame, scope: str) -> DataFrame:
     """Registered units found again: each complete existing unit, in order, takes the best incoming one not yet taken (plate 4, phone 3,
-    driver 2; the first of equals). The choice is sequential within a scope, so a kernel runs a scope at a time over a stream of sorted
-    rows; it looks only at units that share a field."""
+    driver 2; the first of equals). The choice is sequential within a scope, so a kernel runs over a stream of sorted rows, whole scopes at
+    a time."""
     schema = "scope string, existing_seq long, incoming_seq long, score int"
-    weights = {"no_plat": 4, "kontak_driver": 3, "driver": 2}
-    side = lambda df, old: df.where(complete_identity()).select(F.col(scope).cast("string").alias("scope"), F.lit(old).alias("old"), F.col("seq").cast("long").alias("seq"), *(signature()[c].alias(c) for c in IDENTITY))
-    rows = sorted_stream(side(existing, True).unionByName(side(incoming, False)), ["scope"], ["old", "seq"])
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        key, units, found, taken = None, [], {}, set()
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                if x["scope"] != key:
-                    key, units, found, taken = x["scope"], [], {}, set()
-                if not x["old"]:
-                    for c in weights:
-                        found.setdefault((c, x[c]), []).append(len(units))
-                    units.append(x["seq"])
-                    continue
-                scores: dict[int, int] = {}
-                for c, w in weights.items():
-                    if near := [i for i in found.get((c, x[c]), ()) if i not in taken]:
-                        found[c, x[c]] = near
-                        for i in near:
-                            scores[i] = scores.get(i, 0) + w
-                if scores:
-                    best = min(scores, key=lambda i: (-scores[i], i))
-                    taken.add(best)
-                    out.append({"scope": key, "existing_seq": x["seq"], "incoming_seq": units[best], "score": scores[best]})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    return rows.mapInArrow(run, schema)
+        for rows in whole_scopes(batches):
+            old, new, score = found_again(rows)
+            seq = rows.column("_seq")
+            pairs = pa.Table.from_arrays([rows.column("_scope").take(old), seq.take(old), seq.take(new), pa.array(score, pa.int32())], names=arrow.names)
+            yield from pairs.cast(arrow).to_batches()
+
+    return _sides(existing, incoming, scope).mapInArrow(run, schema)
+
+
+def left_over(existing: DataFrame, incoming: DataFrame, scope: str) -> DataFrame:
+    """The complete incoming units, with all columns, that no existing one takes by match_units(). Units without a scope or seq stay."""
+    schema = incoming.schema
+
+    def run(batches):
+        for rows in whole_scopes(batches):
+            keep = ~rows.column("_old").to_numpy()
+            taken = found_again(rows)[1]
+            keep[taken] = pc.or_(pc.is_null(rows.column("_scope")), pc.is_null(rows.column("_seq"))).to_numpy()[taken]
+            yield from rows.select(schema.names).filter(pa.array(keep)).to_batches()
+
+    return _sides(existing, incoming, scope, *schema.names).mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
 
 
 def history(orders: DataFrame, chats: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text import filled
 from ..operators.merge import fill_slots
 from ..sources.store import TableStore
 from .evidence import compare
-from .matching import candidates, decide, duplicates_anti, incoming_key, match_units, score_pairs, select_output, state_text, unit_counts
+from .matching import candidates, decide, duplicates_anti, incoming_key, left_over, score_pairs, select_output, state_text, unit_counts
 from .numbering import kept
 from .ranking import ranked_candidates
 
@@ -141,10 +141,9 @@ def sync_blocks(orders: DataFrame, units: DataFrame, block: str = "chunk_no", mo
 
 
 def unmatched_units(units: DataFrame, orders: DataFrame, key: str = "candidate_key") -> DataFrame:
-    """Complete units of messages that no registered unit of their order has found again: matching.match_units pairs them one to one, so a
+    """Complete units of messages that no registered unit of their order has found again: matching.match_units() pairs them one to one, so a
     unit that is told twice is left over once. units and orders: key, seq and the identity fields; seq is unique within a key."""
-    found = match_units(orders, units, key).select(F.col("scope").alias("_scope"), F.col("incoming_seq").alias("_seq"))
-    return units.where(complete_identity()).join(found, (F.col(key).cast("string") == F.col("_scope")) & (F.col("seq").cast("long") == F.col("_seq")), "left_anti")
+    return left_over(orders, units, key)
 
 
 def context_of(rows: DataFrame) -> DataFrame:

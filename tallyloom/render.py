@@ -24,7 +24,8 @@ def truck(key: Column) -> Column:
 
 
 def plate(order: Column, line: Column) -> Column:
-    return F.format_string("B %d X%s", order, F.substring(F.lit("ABCDEFGHIJ"), line.cast("int") + 1, 1))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    return F.concat(F.lit("B "), text(order), F.lit(" X"), text(F.substring(F.lit("ABCDEFGHIJ"), line.cast("int") + 1, 1)))
 
 
 def phone(order: Column, line: Column) -> Column:
