@@ -567,8 +567,8 @@ WITH {_TOLD_SQL} SELECT u.l_orderkey, u.seq FROM u WHERE k % 2 = 0
 def unmatched_after_registration(spark, sf_dir):
     """Of a follow-up that tells each registered unit and a new one after each, what the pairing of registered units leaves over."""
     u = _told(spark, sf_dir).withColumn("no_plat", plate(F.col("l_orderkey"), F.col("l_linenumber"))).withColumn("driver", F.col("no_plat")).withColumn("kontak_driver", F.concat(F.lit("08"), F.col("seq").cast("string")))
-    u = u.select("l_orderkey", "seq", "k", *identity.IDENTITY)  # with k both sides are made alike, and share their shuffles
-    return sync.unmatched_units(u, u.where("k % 2 = 1"), "l_orderkey").select("l_orderkey", "seq")
+    units = u.select("l_orderkey", "seq", *identity.IDENTITY)
+    return sync.unmatched_units(units, u.where("k % 2 = 1"), "l_orderkey").select("l_orderkey", "seq")
 
 
 _LADDER = """l AS (
