@@ -14,8 +14,8 @@ REQUEST = r"(?:requestt?|reqest|reques|requer)(?!\s+order\s+khusus)"
 HEADER = rf"(?im)(?=^[^\S\n]*(?:\[[^\]]+\]\s*[^:\n]+:\s*)?(?:{REQUEST}|oncall|unit\s+on\s+call|on\s+call)\b)"
 FALLBACK = rf"(?i)(?=\[[^\]\n]*\])|(?im)(?=^[^\S\n]*(?:waktu\s*loading|{REQUEST}|oncall|unit\s+on\s+call|on\s+call))"
 UNIT_LINE = r"(?im)(?=^[^\S\n]*\d{1,3}\s*unit\b)"
-#: Units of one order at most.
-MOST_UNITS = 80
+#: Units whose numbers stand in one array at a time: an order may ask for any number of them.
+UNITS = 10_000
 
 
 def tidy(c: Column) -> Column:
@@ -70,9 +70,13 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def unit_rows(parsed: DataFrame, *keys: str) -> DataFrame:
-    """One row a unit: the i-th driver, plate, phone, loading time and route; the quantity asked for or the slots listed, whichever is more."""
+    """One row a unit: the i-th driver, plate, phone, loading time and route; the quantity asked for or the slots listed, whichever is more,
+    and all of them."""
     slots = F.greatest(F.coalesce("qty", F.lit(1)), F.size("drivers"), F.size("plates"), F.size("phones"), F.lit(1))
-    each = parsed.select(*keys, "tgl_ro", "type_truck", "pickup", "tujuan", "loadings", "drivers", "plates", "phones", "routes", F.explode(F.sequence(F.lit(0), F.least(slots, F.lit(MOST_UNITS)) - 1)).alias("slot_no"))
+    said = (*keys, "tgl_ro", "type_truck", "pickup", "tujuan", "loadings", "drivers", "plates", "phones", "routes")
+    parts = parsed.select(*said, (slots - 1).alias("_last"), F.explode(F.sequence(F.lit(0), F.floor((slots - 1) / UNITS).cast("int"))).alias("_part"))
+    first = F.col("_part") * UNITS
+    each = parts.select(*said, F.explode(F.sequence(first, first + F.least(F.col("_last") - first, F.lit(UNITS - 1)))).alias("slot_no"))
     at = lambda a: F.coalesce(F.get(F.col(a), F.col("slot_no")), F.lit(""))
     shared = lambda a: F.when(F.size(a) == 1, F.get(F.col(a), 0)).otherwise(at(a))
     return each.select(
