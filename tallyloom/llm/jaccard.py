@@ -11,8 +11,10 @@ the first n - ceil(t * n) + 1 shingles of either.
 3. Distinct pairs are verified once against the whole sets; verified links make components.
 4. A group that still holds several components may hide links that step 2 did not pair.  Groups with the same least entity, their hub,
    are looked at together (a template's many shingles have one); they are not joined further.  Within a hub's group every entity outside
-   the largest component is compared with the entities of other components whose sizes can fit: entities are ranged by size, each
-   range is compared with itself and its neighbours, block by block of BLOCK entities, through one matrix product a pair of blocks.
+   the largest component is compared with the entities of other components whose sizes can fit. A hub's group of up to two blocks
+   goes to one task, each set once. In larger ones entities are ranged by size, each range is compared with itself and its neighbours,
+   block by block of BLOCK entities, through one matrix product a pair of blocks. The sets travel in as many rounds as keep a
+   round's shuffle to a share of all sets, as the pairs of blocks grow with the square of a hub's group.
    No link between components is lost and no pair is emitted unless it links.
 """
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, cut, keep_columns, sliced, width
+from .common import arrow_map, column, cut, drop_shuffles, keep_columns, sliced, width
 from .graph import components
 from .kernels import U64, encode, shingle_sets
 
@@ -35,8 +37,11 @@ FREQUENT = 200_000
 SMALL = 32
 #: Entities in a block of step 4.
 BLOCK = 1024
-#: Entities up to this many are broadcast to find their texts (some 60 bytes each); beyond it, the join shuffles.
-BROADCAST_IDS = 500_000
+#: Of the bytes of all sets, the share that a round of step 4 may shuffle, and bytes that it may in any case.
+ROUND_SHARE, ROUND_BYTES = 0.25, 256 << 20
+#: Entities up to this many are broadcast to find their texts (some 60 bytes each); beyond it, the join shuffles the texts of ids that a
+#: bitmap lets pass, with SIEVE bits an id and MOST_BITS at most (a broadcast of 32 MB).
+BROADCAST_IDS, SIEVE, MOST_BITS = 500_000, 32, 1 << 28
 #: Members of a pivot that are verified in one task.
 PORTION = 500
 PARTS = 16
@@ -246,14 +251,18 @@ def _verify(num: int, den: int):
 
 
 def _block_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """placed: hub, eid, comp, n. The entities of the blocks that are to be compared: hub, stray_block, block (string), stray, eid, comp.
+    """placed: hub, eid, comp, n. The entities of the blocks that are to be compared: hub, stray_block, block (string), stray, eid, comp, n.
 
-    Strays are those outside their hub's largest component. Sizes are ranged by powers of den / num, so that those that can link are in one
-    range or neighbouring ones; a hub's range is dealt by hash into blocks of some BLOCK entities. Pairs of blocks without strays do not
-    come up.
+    Strays are those outside their hub's largest component. A hub of up to two blocks' entities is taken whole: its blocks have no names, its
+    strays are compared with all in it, and each entity comes once. In larger ones sizes are ranged by powers of den / num, so that those
+    that can link are in one range or neighbouring ones; a hub's range is dealt by hash into blocks of some BLOCK entities. Pairs of blocks
+    without strays do not come up.
     """
-    main = cut(placed.groupBy("hub", "comp").count().groupBy("hub").agg(F.max(F.struct("count", "comp"))["comp"].alias("main")))  # written, so that joins split a hub of very many
-    ranged = placed.join(main, "hub").withColumn("stray", F.col("comp") != F.col("main")).withColumn("range", F.floor(F.log(den / num, F.col("n"))).cast("int"))
+    counts = placed.groupBy("hub", "comp").count()
+    main = cut(counts.groupBy("hub").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.sum("count").alias("in_hub")))  # written, so that joins split a hub of very many
+    every_one = placed.join(main, "hub").withColumn("stray", F.col("comp") != F.col("main"))
+    small = every_one.where(F.col("in_hub") <= 2 * BLOCK).withColumns({"stray_block": F.lit(None).cast("string"), "block": F.lit(None).cast("string")})
+    ranged = every_one.where(F.col("in_hub") > 2 * BLOCK).withColumn("range", F.floor(F.log(den / num, F.col("n"))).cast("int"))
     sizes = cut(ranged.groupBy("hub", "range").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("stray_blocks")))
     near = sizes.withColumn("there", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))  # these blocks are met from the ranges beside
     name = lambda at, number: F.concat_ws(":", at, number)
@@ -262,20 +271,36 @@ def _block_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
     own = ranged.join(sizes, ["hub", "range"])
     there = near.select("hub", F.col("there").alias("range"), F.col("range").alias("beside"), F.col("blocks").alias("blocks_there"), F.col("stray_blocks").alias("strays_there"))
     met = own.join(there, ["hub", "range"])
-    members = met.where("strays_there > 0").select("hub", F.lit(False).alias("stray"), "eid", "comp", "beside", name(F.col("range"), deal(F.col("blocks"))).alias("block"), every(F.col("strays_there")).alias("k"))
-    strays = met.where("stray").select("hub", F.lit(True).alias("stray"), "eid", "comp", "beside", name(F.col("range"), deal(F.col("stray_blocks"))).alias("stray_block"), every(F.col("blocks_there")).alias("k"))
-    columns = ("hub", "stray_block", "block", "stray", "eid", "comp")
+    members = met.where("strays_there > 0").select("hub", F.lit(False).alias("stray"), "eid", "comp", "n", "beside", name(F.col("range"), deal(F.col("blocks"))).alias("block"), every(F.col("strays_there")).alias("k"))
+    strays = met.where("stray").select("hub", F.lit(True).alias("stray"), "eid", "comp", "n", "beside", name(F.col("range"), deal(F.col("stray_blocks"))).alias("stray_block"), every(F.col("blocks_there")).alias("k"))
+    columns = ("hub", "stray_block", "block", "stray", "eid", "comp", "n")
     members = members.withColumn("stray_block", name(F.col("beside"), F.col("k"))).select(*columns)
-    return members.union(strays.withColumn("block", name(F.col("beside"), F.col("k"))).select(*columns))
+    return small.select(*columns).union(members).union(strays.withColumn("block", name(F.col("beside"), F.col("k"))).select(*columns))
 
 
 def _block_links(num: int, den: int):
-    """For groups (hub, block of strays, block of members): links between different components, one for each stray and component at most."""
+    """For groups (hub, block of strays, block of members): links between different components, one for each stray and component at most.
+    Where the blocks have no names, strays are members too, and the sizes that can fit are taken here."""
 
     def run(batches):
         key, strays, members = None, [], []
 
-        def links():
+        def whole():
+            by_size = sorted(strays + members, key=lambda x: len(x[2]))
+            some, sizes, at = sorted(strays, key=lambda x: len(x[2])), np.array([len(x[2]) for x in by_size]), 0
+            own = [len(x[2]) for x in some]
+            while at < len(some):
+                low, to = own[at], at + 1
+                while to < len(some) and den * low >= num * own[to]:
+                    to += 1
+                fit = np.flatnonzero((den * sizes >= num * low) & (den * own[to - 1] >= num * sizes))
+                yield from links(some[at:to], [by_size[i] for i in fit])
+                at = to
+
+        def done():
+            return whole() if key and key[1] is None else links(strays, members)
+
+        def links(strays, members):
             if not strays or not members:
                 return
             sizes = [np.array([len(x[2]) for x in side]) for side in (strays, members)]
@@ -306,14 +331,32 @@ def _block_links(num: int, den: int):
             rows = zip(*(column(batch, c).to_pylist() for c in ("hub", "stray_block", "block", "stray", "eid", "comp")), column(batch, "hashes"))
             for hub, theirs, mine, stray, eid, comp, raw in rows:
                 if key != (hub, theirs, mine):
-                    yield from links()
+                    yield from done()
                     key, strays, members = (hub, theirs, mine), [], []
                 (strays if stray else members).append((eid, comp, np.frombuffer(raw.as_buffer(), U64).copy()))
-        yield from links()
+        yield from done()
 
     return run
 
 
+def _maybe_in(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of docs whose doc_id is among the n of ids, and few others: by a bitmap of hashes, so that no other text need travel."""
+    size = min(MOST_BITS, 1 << max(16, (SIEVE * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size)) + 1  # from 1, as buckets of bitmaps begin there
+    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toArrow()
+    bits = np.zeros(size // 8, np.uint8)
+    for bucket, part in zip(parts["bucket"].to_pylist(), parts["bits"].to_pylist()):
+        bits[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def passes(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False).astype(np.int64) - 1
+        return pa.array(held.value[at >> 3] >> (at & 7) & 1 > 0)
+
+    return docs.where(passes(place))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs: doc_id long, text string, any other columns.  Returns doc_id, n_shingles, component_id (long), a row for each row.
 
@@ -346,10 +389,13 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     sets = arrow_map(docs, _sets(words, num, den, frequent), "doc_id long, n int, light int, key binary, prefix array<long>")
     whole = sets.where("key is not null and doc_id is not null")
     entities = cut(whole.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("light").alias("light"), F.any_value("prefix").alias("prefix")))
+    drop_shuffles(spark)  # cut() asks too, but while its own plan is still held
     entities = entities.withColumn("eid", F.monotonically_increasing_id())
     rows = entities.select("eid", "n", "light", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.repartition(n, "token").sortWithinPartitions("token", "light", "n", "eid")
     met = cut(arrow_map(rows, _pair_up(num, den), "kind int, a long, b long, na int, nb int, shared int, fit boolean"))
+    del rows
+    drop_shuffles(spark)
     opened = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("eid"), F.col("na").alias("n"))
     # the positional filter at the end of the prefixes: what they share, counted, and all that stands behind the shorter of them
     hidden = opened.groupBy("eid").count()
@@ -362,9 +408,11 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def whole_sets(eids: DataFrame) -> DataFrame:
         """eid, hashes: the whole sets of some entities, each once and dealt by entity."""
-        wanted = cut(eids.join(entities.select("eid", "doc_id", "key"), "eid"))
-        if wanted.count() <= BROADCAST_IDS:
+        wanted, texts = cut(eids.join(entities.select("eid", "doc_id", "key"), "eid")), docs
+        if (n_wanted := wanted.count()) <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
+        else:
+            texts = _maybe_in(docs, wanted, n_wanted)
 
         def hashes(batches):
             for batch in sliced(batches):
@@ -373,7 +421,7 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 mine = [i for i, x in enumerate(s) if blake2b(x.tobytes(), digest_size=16).digest() == keys[i]]
                 yield {"eid": [eids[i] for i in mine], "hashes": [s[i].tobytes() for i in mine]}
 
-        found = arrow_map(docs.join(wanted, "doc_id"), hashes, "eid long, hashes binary")
+        found = arrow_map(texts.join(wanted, "doc_id"), hashes, "eid long, hashes binary")
         return found.repartition(n, "eid").groupBy("eid").agg(F.any_value("hashes").alias("hashes"))
 
     full = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("eid")).distinct())
@@ -386,6 +434,8 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     pivots = pivots.select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
     sides = sides.union(pivots).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     links = cut(arrow_map(sides, _verify(num, den), "u long, v long"))
+    del full, sides, pivots, salted, portions, pairs
+    drop_shuffles(spark)
     labels = components(links)
 
     # groups that still hold several components
@@ -393,9 +443,18 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("eid").alias("hub")).where("low < high")
     placed = cut(labelled.join(mixed.select("token", "hub"), "token").select("hub", "eid", "comp", "n").distinct())
     if not placed.isEmpty():
-        work = _block_pairs(placed, num, den).join(whole_sets(placed.select("eid").distinct()), "eid")
-        work = work.repartition(n, "hub", "stray_block", "block").sortWithinPartitions("hub", "stray_block", "block")
-        labels = components(links.union(arrow_map(work, _block_links(num, den), "u long, v long")))
+        blocks, full = _block_pairs(placed, num, den), whole_sets(placed.select("eid").distinct())
+        total = lambda df: 8 * (df.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0)
+        rounds = -(-total(blocks) // max(ROUND_BYTES, int(ROUND_SHARE * total(entities))))
+        full = cut(full) if rounds > 1 else full
+        turn = F.pmod(F.xxhash64("hub", "stray_block", "block"), F.lit(rounds))
+        for k in range(rounds):
+            drop_shuffles(spark)
+            work = blocks.where(turn == k).join(full, "eid").repartition(n, "hub", "stray_block", "block").sortWithinPartitions("hub", "stray_block", "block")
+            more = cut(arrow_map(work, _block_links(num, den), "u long, v long"))
+            links = links.union(more)
+            del work
+        labels = components(links)
 
     # the least document of a component, for every set's key
     named = entities.select("eid", "key", "doc_id").join(labels.withColumnRenamed("id", "eid"), "eid", "left").withColumn("root", F.coalesce("root", "eid"))
