@@ -293,13 +293,14 @@ def truth_labels(pairs: DataFrame, truth: DataFrame, a: str = "text_a", b: str =
     the most like pair (of equals the first by its texts), if the mean of difflib's ratios reaches `least`; else the empty text.
 
     Equal pairs meet by an equi-join. Of others a mean of `least` needs a side whose own ratio reaches it, and ratios of 2 * least - 1 on
-    both: candidates come from an index of q-grams of either side (likeness.candidate_pairs), and are compared in Arrow batches. Neither
-    table is collected.
+    both: candidates of all texts of both sides come from one index of pieces (likeness.candidate_pairs), as the truth has each text on
+    either side, and are compared in Arrow batches. Neither table is collected.
     """
     from difflib import SequenceMatcher
 
     from ..functions.text import compact
     from .likeness import candidate_pairs, fits
+    from .numbering import kept
 
     low = 2 * least - 1
     known = truth.select(compact(F.col("text_a")).alias("_x"), compact(F.col("text_b")).alias("_y"), F.upper(F.trim("label")).alias("_l")).where("_x <> '' and _y <> ''")
@@ -307,11 +308,11 @@ def truth_labels(pairs: DataFrame, truth: DataFrame, a: str = "text_a", b: str =
     keyed = pairs.withColumns({"_p": compact(F.col(a)), "_q": compact(F.col(b))})
     texts = keyed.where("_p <> '' and _q <> ''").select("_p", "_q").distinct()
     exact = texts.join(both.hint("merge"), (F.col("_p") == F.col("_x")) & (F.col("_q") == F.col("_y"))).select("_p", "_q", "_l")
-    rest = texts.join(exact.select("_p", "_q").hint("merge"), ["_p", "_q"], "left_anti")
+    rest = kept(texts.join(exact.select("_p", "_q").hint("merge"), ["_p", "_q"], "left_anti"))
+    like = kept(candidate_pairs(rest.select(F.col("_p").alias("_t")).union(rest.select("_q")), both.select(F.col("_x").alias("_u")), "_t", "_u", least))
     near = None
     for own, theirs in (("_p", "_x"), ("_q", "_y")):
-        like = candidate_pairs(rest, both, own, theirs, least)
-        part = rest.join(like.hint("merge"), own).join(both.hint("merge"), theirs).select("_p", "_q", "_x", "_y", "_l")
+        part = rest.join(like.withColumnsRenamed({"_t": own, "_u": theirs}).hint("merge"), own).join(both.hint("merge"), theirs).select("_p", "_q", "_x", "_y", "_l")
         near = part if near is None else near.unionByName(part)
     size = F.length
     near = near.where(fits(size("_p"), size("_x"), low) & fits(size("_q"), size("_y"), low)).distinct()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +21,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Asks the JVM's collector to run, so that Spark deletes the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(rows: DataFrame, *order, name: str = "place") -> DataFrame:
     """rows with their number from 1 in the order given, which should leave no ties. The rows are sorted in ranges, each a task's; what goes
     to the driver is the number of rows of each partition. An empty table stays empty."""
