@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What each entity looks like; the group that holds it is named v.
+#: What each entity looks like; the group that holds it is named v. Rules that may begin anywhere name both cases of their
+#: first letter, as re then looks for these instead of trying each place.
 RULES = {
-    "RO_DATE": r"(?i)\bon\s*call\s+(?P<v>\d{1,2}[\s/-]+(?:[a-z]{3,10}|\d{1,2})[\s/-]+\d{2,4})",
-    "LOAD_DATE": r"(?i)waktu\s*loading\s*:[^\n]*?(?P<v>\d{1,2}/\d{1,2}/\d{2,4})",
+    "RO_DATE": r"[oO](?<!\w[oO])(?i:n\s*call\s+(?P<v>\d{1,2}[\s/-]+(?:[a-z]{3,10}|\d{1,2})[\s/-]+\d{2,4}))",
+    "LOAD_DATE": r"[wW](?i:aktu\s*loading\s*:[^\n]*?(?P<v>\d{1,2}/\d{1,2}/\d{2,4}))",
     "UNIT_QTY": r"(?im)^\s*(?P<v>\d{1,3})\s*unit\b",
     "UNIT_TYPE": r"(?im)^\s*\d{1,3}\s*unit\s+(?P<v>[^\n:]+?)\s*$",
     "ORIGIN": r"(?im)^\s*lokasi\s*:\s*(?P<v>[^\n]+?)\s*$",
@@ -21,8 +22,10 @@ RULES = {
     "DRIVER": r"(?im)^\s*driver\s*:\s*(?P<v>[^\n]+?)\s*$",
     "PLATE": r"(?im)^\s*nopol\s*:\s*(?P<v>[^\n]+?)\s*$",
     "PHONE": r"(?im)^\s*no\s*hp\s*:\s*(?P<v>\+?[\d\s-]{8,20}\d)",
-    "TIME": r"(?i)waktu\s*loading\s*:\s*(?P<v>segera|\d{1,2}[:.]\d{2})",
+    "TIME": r"[wW](?i:aktu\s*loading\s*:\s*(?P<v>segera|\d{1,2}[:.]\d{2}))",
 }
+#: Rules of one line begin so, and go on with a digit or one of these letters, which have no other case than the two of ASCII.
+LINE, FIRST = r"(?im)^\s*", "abcdefghjlmnopqrtuvwxyz"
 SPANS = "array<struct<label string, start int, stop int, value string, confidence double>>"
 SPAN_TYPES = {"label": pa.string(), "start": pa.int32(), "stop": pa.int32(), "value": pa.string(), "confidence": pa.float64()}
 #: Texts whose tuples a Python worker holds at a time.
@@ -44,13 +47,42 @@ def lists_of(texts: pa.Array, found_in: Callable[[list[str]], list[Iterable[tupl
     return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.struct(list(types.items()))))
 
 
+def by_first(rules: dict[str, str]) -> tuple[list, list, dict[str, list]]:
+    """(label, compiled rule) of rules that may begin anywhere, of those of lines that begin with a digit, and of those of lines by their
+    first letter. A line's rule need be tried at the starts of lines that are not blank only, as blanks before its first letter are skipped."""
+    anywhere, digits, letters = [], [], {}
+    for label, rule in rules.items():
+        pair, then = (label, re.compile(rule)), rule.removeprefix(LINE)
+        if then != rule and "|" not in re.sub(r"\(.*?\)|\[.*?\]", "", then) and then.startswith(("\\d{1", r"(?P<v>\d{1")):
+            digits.append(pair)
+        elif then != rule and "|" not in re.sub(r"\(.*?\)|\[.*?\]", "", then) and re.match(rf"[{FIRST}](?![*?{{|])", then):
+            for x in (then[0], then[0].upper()):
+                letters.setdefault(x, []).append(pair)
+        else:
+            anywhere.append(pair)
+    return anywhere, digits, letters
+
+
 def annotate(texts: DataFrame, text: str = "text", rules: dict[str, str] = RULES, extractor=None) -> DataFrame:
     """Adds spans, ordered by place. extractor: a function from a list of texts to lists of (label, start, stop, value, confidence), for
     models; the default applies the rules, with confidence 1."""
-    compiled = {label: re.compile(p) for label, p in rules.items()}
+    anywhere, digits, letters = by_first(rules)
 
     def by_rules(values: list[str]) -> list[list[tuple]]:
-        return [[(label, a, b, v, 1.0) for a, b, label, v in sorted((m.start("v"), m.end("v"), label, m.group("v")) for label, p in compiled.items() for m in p.finditer(t))] for t in values]
+        found = []
+        for t in values:
+            some = [(*m.span("v"), label, m["v"]) for label, p in anywhere for m in p.finditer(t)]
+            at, ends = 0, {}
+            for line in t.split("\n"):
+                if bare := line.lstrip():
+                    first = bare[0]
+                    for label, p in letters.get(first, ()) or (digits if first.isdecimal() else ()):
+                        if at >= ends.get(label, 0) and (m := p.match(t, at)):
+                            some.append((*m.span("v"), label, m["v"]))
+                            ends[label] = m.end()
+                at += len(line) + 1
+            found.append([(label, a, b, v, 1.0) for a, b, label, v in sorted(some)])
+        return found
 
     @F.arrow_udf(SPANS)
     def spans(column: pa.Array) -> pa.Array:
